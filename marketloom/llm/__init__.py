@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join, sharding, topk_search
+from . import exact_dedup, langid, ngram_join, packing, pii, quality, sharding, topk_search
 
-_MODULES = (exact_dedup, topk_search, sharding, ngram_join)
+_MODULES = (exact_dedup, topk_search, sharding, ngram_join, langid, packing, pii, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
