@@ -23,7 +23,7 @@ import numpy as np
 _UNSURE = re.compile(r"\s{3}|\s\s$")
 #: A text without any of these has no two white-space characters in a row.
 _HINTS = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
-_KEEP = 700_000
+_KEEP = 300_000
 # Fixed value: the published pattern of byte-level pre-tokenizers.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -73,6 +73,10 @@ class PackedEncoder:
         self.fast = ranked_encoder(path)
         self.after_space: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop what was kept; workers live on after a job, and others need the memory."""
+        self.after_space = {}
+
     def _raw(self, texts: list[str]) -> list[bytes]:
         if self.fast is not None:
             ids = map(self.fast.encode_ordinary, texts)

@@ -110,15 +110,18 @@ def predict(df: DataFrame, text_col: str, langs: list[str], matrix: np.ndarray,
             p = p.max(axis=1) / p.sum(axis=1)
             letters = np.asarray(batch.column(1))
             pred = [langs[k] if f else UNKNOWN for k, f in zip(best, letters, strict=True)]
-            out = [batch.column(k + 2) for k in range(len(keep))]
+            out = [batch.column(at) for at in places]
             yield pa.RecordBatch.from_arrays([*out, pa.array(pred, pa.string()), pa.array(np.where(letters, p, 0.0))], names=[f"k{k}" for k in range(len(keep))] + ["lang_pred", "score"])
 
     text = F.col(text_col)
-    has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    read = df.select(text.alias("t"), has_letter.alias("f"), *[F.col(c).alias(f"k{k}") for k, c in enumerate(keep)])
+    has_letter = F.coalesce(text.cast("string").rlike(r"\p{L}"), F.lit(False))
+    # The text goes to Python once, whether kept or not.
+    others = [k for k, c in enumerate(keep) if c != text_col or df.schema[c].dataType.simpleString() != "string"]
+    places = [2 + others.index(k) if k in others else 0 for k in range(len(keep))]
+    read = df.select(text.cast("string").alias("t"), has_letter.alias("f"), *[F.col(keep[k]).alias(f"k{k}") for k in others])
     kinds = ", ".join(f"k{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
     if not langs:
-        blank = read.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        blank = df.select(*[F.col(c).alias(f"k{k}") for k, c in enumerate(keep)]).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     else:
         blank = read.mapInArrow(run, f"{kinds}, lang_pred string, score double")
     return blank.select(*[F.col(f"k{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "score")

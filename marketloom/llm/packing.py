@@ -22,7 +22,7 @@ from .common import ranked, table, written
 
 Layout = list[tuple[int, int]]
 _PIECE = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_CHUNK_CHARS = 1 << 21
+_CHUNK_CHARS = 1 << 20
 
 
 def dominance_reduction(counts: dict[int, int], capacity: int) -> list[tuple[Layout, int]]:
@@ -156,6 +156,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_co
                     ids, texts, size = [], [], 0
             if ids:
                 yield rows(ids, texts)
+        enc.forget()
 
     read = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return read.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")

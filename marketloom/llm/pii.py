@@ -129,7 +129,7 @@ def _pick(key: bytes, tweak: str, n: int) -> int:
     return int.from_bytes(hmac.new(key, tweak.encode(), hashlib.sha256).digest()[:8], "big") % n
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
     """The ``attempt``-th surrogate of an entity, in canonical form."""
     tweak = f"{kind}|{attempt}"
@@ -344,7 +344,7 @@ def with_surrogates(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]):
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("surrogate", pa.string())]))
-        for batch in batches:
+        for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
             changed, listed = [], []
             for t, m in zip(batch.column(at), batch.column(len(columns)), strict=True):
                 if not t.is_valid:

@@ -194,7 +194,7 @@ class Codec:
         whole = iter(self._packed([t for t, r in zip(texts, rows, strict=True) if r is None]))
         get = self.known.__getitem__
         out = [next(whole) if r is None else b"".join(map(get, r)) for r in rows]
-        while len(self.known) > 400_000:
+        while len(self.known) > 300_000:
             self.known.popitem()
         return out
 
@@ -268,6 +268,7 @@ def encoded(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
                     keys, texts, size = [], [], 0
             if keys:
                 yield rows(keys, texts)
+        c.known = {}  # workers live on after a job
 
     read = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     return read.mapInArrow(run, kinds).withColumnRenamed("i", id_col)
