@@ -134,9 +134,9 @@ def value_ratio(hardware: Column, price: C) -> Column:
     return F.round(F.pow(hardware, F.lit(1.35)) / (F.greatest(F.lit(1.0), col(price)) / 10000.0), 2)
 
 
-def value_power(hardware: Column, price: C, least_price: float | None = None) -> Column:
+def value_power(hardware: Column, price: C, least_price: float | None = None, digits: int = 2) -> Column:
     """Value for money by a power law, 15 to 100; below ``least_price`` (if given) the neutral 50."""
-    score = clamp((value_ratio(hardware, price) - 18.0) / 40.0 * 100.0, 15, 100)
+    score = clamp((value_ratio(hardware, price) - 18.0) / 40.0 * 100.0, 15, 100, digits)
     return score if least_price is None else F.when(col(price) >= least_price, score).otherwise(50.0)
 
 
@@ -167,11 +167,11 @@ def battery_anchor(hours: C, integrated: C, cpu_w: C, gpu_w: C) -> Column:
     return clamp(bounded, 45, 95, 1)
 
 
-def community_score(aspects: Mapping[str, Column]) -> Column:
+def community_score(aspects: Mapping[str, Column], digits: int = 2) -> Column:
     total = F.lit(0.0)
     for name, w in ASPECT_WEIGHTS.items():
         total = total + w * aspects[name]
-    return F.round(total, 2)
+    return F.round(total, digits)
 
 
 def profile_ok(scores: list[Column], bullets: Column) -> Column:

@@ -57,12 +57,12 @@ def ladder_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {SHEET_SQL}, h AS (SELECT id, price * 40 AS cost, greatest(ram, 8) AS h FROM (SELECT id, price, 0.28 * gref + 0.32 * gref + 0.15 * p_size + 0.10 * least(100.0, ram / 32.0 * 100.0) + 0.15 * cache AS ram FROM sheet)),
-v AS (SELECT id, round(greatest(15, least(100, (round(pow(h, 1.35) / (greatest(1, cost) / 10000.0), 2) - 18.0) / 40.0 * 100.0)), 2) AS score FROM h)
+v AS (SELECT id, round(greatest(15, least(100, (round(pow(h, 1.35) / (greatest(1, cost) / 10000.0), 2) - 18.0) / 40.0 * 100.0)), 4) AS score FROM h)
 SELECT id, score, CASE WHEN score >= 75 THEN 'GREAT_DEAL' WHEN score >= 60 THEN 'GOOD_VALUE' WHEN score >= 45 THEN 'FAIR_VALUE' ELSE 'POOR_VALUE' END AS tier FROM v"""
 )
 def value_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.greatest(S.composite("gref", "gref", F.col("p_size"), "cache", "ram"), F.lit(8.0))
-    score = S.value_power(h, F.col("price") * 40)
+    score = S.value_power(h, F.col("price") * 40, digits=4)
     return sheet(spark, sf_dir).select("id", score.alias("score"), S.deal_tier(score).alias("tier"))
 
 
@@ -88,12 +88,12 @@ def power_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {SHEET_SQL}, a AS (SELECT id, round(greatest(42, least(96, 75.0 + (gref - 75.0) * 1.25)), 1) AS t, round(greatest(42, least(96, 75.0 + (watts - 75.0) * 1.25)), 1) AS n, cache / 5 AS hours, igpu, cores, watts FROM sheet),
 b AS (SELECT *, 38.0 + (hours - 2.5) * 7.2 AS raw FROM a),
 c AS (SELECT *, round(greatest(45, least(95, CASE WHEN NOT igpu AND (cores >= 55 OR watts >= 115) THEN least(raw, 61.5) WHEN igpu AND hours >= 7 THEN greatest(raw, 86.5) ELSE raw END)), 1) AS battery FROM b)
-SELECT id, battery, round(0.30 * t + 0.15 * n + 0.25 * t + 0.15 * n + 0.15 * battery, 2) AS community FROM c"""
+SELECT id, battery, round(0.30 * t + 0.15 * n + 0.25 * t + 0.15 * n + 0.15 * battery, 4) AS community FROM c"""
 )
 def aspect_recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     battery = S.battery_anchor(F.col("cache") / 5, "igpu", "cores", "watts")
     t, n = S.stretched("gref"), S.stretched("watts")
-    return sheet(spark, sf_dir).select("id", battery.alias("battery"), S.community_score({"thermals": t, "acoustics": n, "build": t, "keyboard": n, "battery": battery}).alias("community"))
+    return sheet(spark, sf_dir).select("id", battery.alias("battery"), S.community_score({"thermals": t, "acoustics": n, "build": t, "keyboard": n, "battery": battery}, 4).alias("community"))
 
 
 @query(
