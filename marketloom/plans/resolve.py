@@ -136,9 +136,9 @@ def field_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT p_type, p_size, count(*) AS c, min(p_partkey) AS at FROM part GROUP BY 1, 2), m AS (SELECT p_type, arg_min(p_size, (-c, at)) AS modal_p_size FROM f GROUP BY 1),
-b AS (SELECT p_type, p_brand, min(p_partkey) AS at FROM part GROUP BY 1, 2)
-SELECT p_type, string_agg(p_brand, ',' ORDER BY at) AS p_brand_list, (SELECT count(*) FROM part p WHERE p.p_type = b.p_type) AS variant_count, any_value(modal_p_size) AS modal_p_size FROM b JOIN m USING (p_type) GROUP BY 1"""
+    """WITH f AS (SELECT p_type, p_size, count(*) AS c, min(p_partkey) AS seen FROM part GROUP BY 1, 2), m AS (SELECT p_type, arg_min(p_size, (-c, seen)) AS modal_p_size FROM f GROUP BY 1),
+b AS (SELECT p_type, p_brand, min(p_partkey) AS seen FROM part GROUP BY 1, 2)
+SELECT p_type, string_agg(p_brand, ',' ORDER BY seen) AS p_brand_list, (SELECT count(*) FROM part p WHERE p.p_type = b.p_type) AS variant_count, any_value(modal_p_size) AS modal_p_size FROM b JOIN m USING (p_type) GROUP BY 1"""
 )
 def target_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.target_rollup(part(spark, sf_dir), "p_type", ["p_partkey"], ["p_brand"], "p_size").select("p_type", "p_brand_list", "variant_count", "modal_p_size")
