@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("price", "browse", "merge", "scoring", "ranking", "resolve", "text", "vectors", "pages", "stream")
+GROUPS = ("price", "browse", "merge", "scoring", "ranking", "resolve", "text", "vectors", "pages", "specs", "stream")
 
 
 def load() -> None:
