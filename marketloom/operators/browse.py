@@ -129,10 +129,17 @@ def change_feed(history: DataFrame, offers: DataFrame, items: DataFrame, since:
     return recent.join(offers, ["item_id", "store"]).join(items, "item_id").orderBy(F.desc("recorded_at"), "item_id", "store", "order_key", "line_no").limit(limit)
 
 
-def taken_until(df: DataFrame, by: list[str], position: str, hit: Column) -> DataFrame:
-    """Each list's rows before the first, by position, where ``hit`` holds (all, if it never does)."""
-    first = df.where(hit).groupBy(*by).agg(F.min(position).alias("_stop"))
-    return df.join(first, by, "left").where(F.col("_stop").isNull() | (F.col(position) < F.col("_stop"))).drop("_stop")
+def taken_until(df: DataFrame, by: list[str], newest: list[str], hit: Column) -> DataFrame:
+    """Each list's rows newer than the newest, by the columns ``newest``, where ``hit`` holds (all, if it never does), with their position.
+
+    What is left is what came since the last crawl; only that is numbered.
+    """
+    from pyspark.sql import Window
+
+    key = F.struct(*newest)
+    stop = df.where(hit).groupBy(*by).agg(F.max(key).alias("_stop"))
+    left = df.join(stop, by, "left").where(F.col("_stop").isNull() | (key > F.col("_stop"))).drop("_stop")
+    return left.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in newest])))
 
 
 def compare(items: DataFrame, key: str, better: dict[str, str]) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators.merge import first_wins
+
 
 def normalised(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
@@ -55,8 +57,7 @@ def polarity(text: Column, pros: list[str], cons: list[str], explicit: Column |
 def exact_duplicates(df: DataFrame, by: list[str], text: str, order: list[str], least: int = 8) -> DataFrame:
     """The first of each group's equal normalised texts of at least ``least`` characters."""
     n = normalised(F.col(text))
-    first = Window.partitionBy(*by, "_t").orderBy(*order)
-    return df.withColumn("_t", n).where(F.length("_t") >= least).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_t", "_n")
+    return first_wins(df.where(F.length(n) >= least), [*by, n.alias("_t")], order)
 
 
 def features(text: str) -> Counter:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,9 +27,13 @@ def matched(batch: DataFrame, known: DataFrame, keys: list[list[str]], known_id:
     return out.withColumns({"matched_id": F.coalesce(*found), "match_rule": rule}).drop(*[f"_id{n}" for n in range(1, len(keys) + 1)])
 
 
-def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the first in order: what a later row of a batch sees of earlier ones."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+def first_wins(df: DataFrame, key: list[str | Column], order: list[str | Column]) -> DataFrame:
+    """One row per key, the first in order: what a later row of a batch sees of earlier ones.
+
+    An aggregate, so that a key's rows are reduced before they are shuffled.
+    """
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order)).alias("_first")
+    return df.groupBy(*key).agg(first).select("_first.*")
 
 
 def snapshot(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -75,5 +79,5 @@ def touched(df: DataFrame, keys: DataFrame, on: list[str], column: str, value: C
 
 def donors(df: DataFrame, key: str, order: list[Column], columns: list[str]) -> DataFrame:
     """For every row that lacks evidence, the columns of its key's best row that has some."""
-    best = df.where("has_evidence").withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").select(key, *[F.col(c).alias(f"donor_{c}") for c in columns])
+    best = first_wins(df.where("has_evidence"), [key], order).select(key, *[F.col(c).alias(f"donor_{c}") for c in columns])
     return df.where("NOT has_evidence").join(best, key)

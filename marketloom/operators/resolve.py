@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.operators.graph import connected_components
+from marketloom.operators.merge import first_wins
 
 
 def unknown_or(a: Column, b: Column, same: Column) -> Column:
@@ -97,7 +98,7 @@ def first_of_any_key(df: DataFrame, block: str, order: list[str], keys: list[str
 
 
 def first_per_key(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+    return first_wins(df, [key.alias("_key")], order)
 
 
 def longest_match(df: DataFrame, text: str, key: list[str], patterns: DataFrame, pattern: str, value: str) -> DataFrame:

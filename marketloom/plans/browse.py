@@ -176,11 +176,8 @@ SELECT l.store, l.item_id, l.position FROM l LEFT JOIN s USING (store) WHERE sto
 )
 def take_until_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each store listed since the last item already known."""
-    from pyspark.sql import Window
-
-    newest = Window.partitionBy("store").orderBy(F.desc("recorded_at"), F.desc("order_key"), F.desc("line_no"), F.desc("item_id"), F.desc("price"))
-    listed = observations(spark, sf_dir).select("store", "item_id", F.row_number().over(newest).alias("position"))
-    return B.taken_until(listed, ["store"], "position", F.col("item_id") % 97 == 0)
+    newest = ["recorded_at", "order_key", "line_no", "item_id", "price"]
+    return B.taken_until(observations(spark, sf_dir), ["store"], newest, F.col("item_id") % 97 == 0).select("store", "item_id", "position")
 
 
 @query(

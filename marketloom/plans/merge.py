@@ -130,7 +130,7 @@ SELECT s.c_custkey, d.c_custkey AS donor_c_custkey, d.c_mktsegment AS donor_c_mk
 def sibling_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence taken over from the best sibling of the same group."""
     c = load(spark, sf_dir, "customer").withColumn("has_evidence", F.col("c_acctbal") > 5000)
-    return M.donors(c, "c_nationkey", [F.desc("c_acctbal"), F.col("c_custkey")], ["c_custkey", "c_mktsegment"]).select("c_custkey", "donor_c_custkey", "donor_c_mktsegment")
+    return M.donors(c, "c_nationkey", [-F.col("c_acctbal"), F.col("c_custkey")], ["c_custkey", "c_mktsegment"]).select("c_custkey", "donor_c_custkey", "donor_c_mktsegment")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")

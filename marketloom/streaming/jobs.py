@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -62,8 +62,8 @@ def apply_batch(state: DataFrame, batch: DataFrame, keys: list[str], order: list
 
     ``state`` and ``batch`` have keys, price and in_stock.
     """
-    last = batch.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))).where("_n = 1")
-    new = last.select(*keys, F.col("price").alias("new_price"), F.col("in_stock").alias("now_in_stock"))
+    last = batch.groupBy(*keys).agg(F.max_by(F.struct("price", "in_stock"), F.struct(*order)).alias("m"))
+    new = last.select(*keys, F.col("m.price").alias("new_price"), F.col("m.in_stock").alias("now_in_stock"))
     both = state.join(new, keys, "full_outer")
     now: Column = F.coalesce("now_in_stock", "in_stock")
     step = transition(F.col("price"), F.col("new_price"), F.col("in_stock"), now)
