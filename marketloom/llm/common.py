@@ -2,44 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketloom.sources.scratch import scratch_path, shared_dir, written
+
+__all__ = ["is_empty", "ranked", "scratch_path", "shared_dir", "spare_name", "table", "text_or_empty", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark so that any store it can open will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests on one machine) is a local one made.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        told = "file://" + tempfile.mkdtemp(prefix="spark-marketloom-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", told)
-    return told.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/marketloom-{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends here.
-
-    A lost executor then costs only its running tasks, never the steps before.
-    """
-    path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -66,8 +41,6 @@ def ranked(df: DataFrame, group: list[str], order: list[str], into: str, buckets
     Use only where the number of groups is bounded: the sub-totals are joined
     by Spark's own size check.
     """
-    from pyspark.sql import Window
-
     one = F.col(count) if count else F.lit(1)
     bucket, total, base = (spare_name(df, x) for x in ("bucket", "bucket_total", "bucket_base"))
     dealt = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))

@@ -9,7 +9,8 @@ and a hash of the whole; both are functions of the content, so equal contents
 share a partition while the sample that reaches the driver stays small even
 for very long texts.  Contents of which one copy group holds a large share of
 all rows are found by an exact count and sorted in blocks, each block on its
-own; block winners are then merged.  At most ``4 x partitions`` contents can
+own (as many blocks as partitions, 64 at least); block winners are then merged.
+At most ``4 x partitions`` contents can
 be that frequent, so their table has a proven bound.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 PREFIX = 64
-BLOCKS = 64
+LEAST_BLOCKS = 64
 
 
 def normalised(text: Column, how: str = "none") -> Column:
@@ -53,7 +54,7 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts = base.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("all"))
     hot = counts.where(F.col("n") > 256).crossJoin(F.broadcast(total)).where(F.col("n") * (4 * partitions) > F.col("all")).select("code", F.lit(True).alias("hot"))
-    block = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(BLOCKS))).otherwise(F.lit(-1)).cast("int")
+    block = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(max(LEAST_BLOCKS, partitions)))).otherwise(F.lit(-1)).cast("int")
     keyed = base.join(F.broadcast(hot), "code", "left").withColumn("block", block).drop("hot")
 
     side_by_side = keyed.repartitionByRange("head", "code", "block")
