@@ -100,20 +100,30 @@ def _one_row(df: DataFrame, criteria: list[Criterion], by: list[str]) -> DataFra
     return df.groupBy(*by).agg(*aggs)
 
 
-def _score(criteria: list[Criterion], weights: list[float]) -> Column:
-    """0 to 100: nearness to the ideal row against the anti-ideal one."""
+def _deviations(joined: DataFrame, criteria: list[Criterion]) -> DataFrame:
+    """Squared distances of each normalised value from the pool's ends, ``_lo`` and ``_hi``, before weights."""
+    out = {}
+    for k, c in enumerate(criteria):
+        x, n = F.col(c.column).cast("double"), F.when(F.col(f"_n{k}") == 0, 1.0).otherwise(F.col(f"_n{k}"))
+        out |= {f"_lo{k}": F.pow((x - F.col(f"_a{k}")) / n, 2), f"_hi{k}": F.pow((x - F.col(f"_z{k}")) / n, 2)}
+    return joined.withColumns(out)
+
+
+def _distances(criteria: list[Criterion], weights: list[float]) -> tuple[Column, Column]:
+    """Distances to the ideal and the anti-ideal row; a negative weight turns a criterion round."""
     total = sum(weights)
     total = total if total > 0 else 1.0
     near, far = F.lit(0.0), F.lit(0.0)
     for k, (c, w) in enumerate(zip(criteria, weights, strict=True)):
-        scale = F.lit(w / total) / F.when(F.col(f"_n{k}") == 0, 1.0).otherwise(F.col(f"_n{k}"))
-        v, a, z = F.col(c.column).cast("double") * scale, F.col(f"_a{k}") * scale, F.col(f"_z{k}") * scale
-        high, low = F.greatest(a, z), F.least(a, z)
-        best, worst = (high, low) if c.benefit else (low, high)
-        near, far = near + (v - best) * (v - best), far + (v - worst) * (v - worst)
-    near, far = F.sqrt(near), F.sqrt(far)
-    score = F.when(near + far > 1e-12, far / (near + far) * 100).otherwise(50.0)
-    return F.round(F.when(F.col("_rows") == 1, 100.0).otherwise(score), 2)
+        share = (w / total) ** 2
+        up = c.benefit == (w >= 0)
+        near, far = near + share * F.col(f"_hi{k}" if up else f"_lo{k}"), far + share * F.col(f"_lo{k}" if up else f"_hi{k}")
+    return F.sqrt(near), F.sqrt(far)
+
+
+def _score(near: Column, far: Column, rows: Column) -> Column:
+    """0 to 100: nearness to the ideal row against the anti-ideal one; 100 in a pool of one."""
+    return F.round(F.when(rows == 1, 100.0).when(near + far > 1e-12, far / (near + far) * 100).otherwise(50.0), 2)
 
 
 def topsis(df: DataFrame, criteria: list[Criterion], into: str = "score", by: list[str] | None = None) -> DataFrame:
@@ -124,15 +134,21 @@ def topsis(df: DataFrame, criteria: list[Criterion], into: str = "score", by: li
     """
     by = by or []
     stats = _one_row(df, criteria, by)
-    joined = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))
-    return joined.withColumn(into, _score(criteria, [c.weight for c in criteria])).drop("_rows", *[f"_{s}{k}" for s in "naz" for k in range(len(criteria))])
+    joined = _deviations(df.join(stats, by) if by else df.crossJoin(F.broadcast(stats)), criteria)
+    near, far = _distances(criteria, [c.weight for c in criteria])
+    scored = joined.withColumns({"_near": near, "_far": far}).withColumn(into, _score(F.col("_near"), F.col("_far"), F.col("_rows")))
+    return scored.drop("_rows", "_near", "_far", *[f"_{s}{k}" for s in ("n", "a", "z", "lo", "hi") for k in range(len(criteria))])
 
 
 def persona_scores(df: DataFrame, key: list[str], criteria: list[Criterion], weights: dict[str, list[float]]) -> DataFrame:
-    """Scores of every row for every set of weights; the pool is read once, as norms don't depend on weights."""
-    joined = df.crossJoin(F.broadcast(_one_row(df, criteria, [])))
-    rows = F.array(*[F.struct(F.lit(p).alias("persona"), _score(criteria, w).alias("score")) for p, w in weights.items()])
-    return joined.select(*key, F.explode(rows).alias("p")).select(*key, "p.*")
+    """Scores of every row for every set of weights; the pool is read once, as norms and deviations don't depend on weights."""
+    joined = _deviations(df.crossJoin(F.broadcast(_one_row(df, criteria, []))), criteria)
+    sets = []
+    for p, w in weights.items():
+        near, far = _distances(criteria, w)
+        sets.append(F.struct(F.lit(p).alias("persona"), near.alias("near"), far.alias("far")))
+    rows = joined.select(*key, "_rows", F.explode(F.array(*sets)).alias("p"))
+    return rows.select(*key, "p.persona", _score(F.col("p.near"), F.col("p.far"), F.col("_rows")).alias("score"))
 
 
 def top(df: DataFrame, k: int, score: str, order: list[Column]) -> DataFrame:

@@ -9,6 +9,7 @@ from marketloom.operators import ranking as R
 from marketloom.operators.browse import purchasable
 from marketloom.plans.browse import ITEMS_SQL, items, metrics
 from marketloom.registry import query
+from marketloom.sources.scratch import written
 from marketloom.sources.tables import load
 
 RANK = [R.Criterion("n_obs", 0.3), R.Criterion("avg_qty", 0.2), R.Criterion("avg_disc", 0.2), R.Criterion("min_price", 0.3, benefit=False)]
@@ -21,7 +22,9 @@ cand AS (SELECT item_id, brand, family, size, min_price, price_spread, cheapest_
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).join(metrics(spark, sf_dir), "item_id").select("item_id", "brand", "family", "size", "min_price", "price_spread", "cheapest_store", "in_stock", "n_obs", "avg_qty", "avg_disc")
+    """Items with their metrics, written once: a ranking reads its pool for counts, for norms and for scores."""
+    pool = items(spark, sf_dir).join(metrics(spark, sf_dir), "item_id").select("item_id", "brand", "family", "size", "min_price", "price_spread", "cheapest_store", "in_stock", "n_obs", "avg_qty", "avg_disc")
+    return written(pool, "pool")
 
 
 def topsis_sql(source: str, crit: list[tuple[str, float, bool]], keep: str) -> str:
