@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.operators import browse as B
-from marketloom.plans.price import ROLLUP_SQL, points, rollups
+from marketloom.plans.price import ROLLUP_SQL, rollups
 from marketloom.registry import query
 from marketloom.sources.tables import HEAD_SQL, OBS_SQL, head_state, load, moment, observations
 
