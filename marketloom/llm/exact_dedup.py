@@ -10,8 +10,8 @@ share a partition while the sample that reaches the driver stays small even
 for very long texts.  Contents of which one copy group holds a large share of
 all rows are found by an exact count and sorted in blocks, each block on its
 own (as many blocks as partitions, 64 at least); block winners are then merged.
-At most ``4 x partitions`` contents can
-be that frequent, so their table has a proven bound.
+At most ``4 x partitions`` contents can be that frequent, so their table has a
+proven bound.
 """
 
 from __future__ import annotations
