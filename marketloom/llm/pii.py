@@ -181,6 +181,12 @@ _NUMBERS = re.compile(
     r"|(?P<phone>(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+(?!1[ .(-])\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w|\.\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])(?:\d{4}[ -]?){3}\d{1,7}(?![\w-])|(?<![\w-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-]))"
 )
+# Lengths by the IBAN registry.
+_IBAN_LENGTHS = {
+    land: n
+    for n, lands in {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}.items()
+    for land in lands.split()
+}
 _AWS = re.compile(r"\bAKIA[0-9A-Z]{16}\b")
 _SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?([A-Za-z0-9_+/\-.]{8,})")
 _TITLE = re.compile(rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ({_NAME})(?: ({_NAME}))?")
@@ -211,16 +217,31 @@ def _canonical(kind: str, text: str) -> str | None:
     return text.lower() if kind == "email" else text
 
 
+def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Numbered entities; a match may go too far, so it is tried with shorter ends, and what is none swallows nothing."""
+    m = _NUMBERS.search(text)
+    while m is not None:
+        (lo, hi), kind, c = m.span(), m.lastgroup, None
+        ends = [hi]
+        if kind in ("iban", "phone"):
+            ends += sorted((lo + g.start() for g in re.finditer("[ .-]", m[0])), reverse=True)
+        if kind == "iban":  # a country's own length comes first
+            ends.sort(key=lambda e: len(text[lo:e].replace(" ", "")) != _IBAN_LENGTHS.get(m[0][:2]))
+        for hi in ends:
+            c = _canonical(kind, text[lo:hi])
+            if c is not None:
+                yield lo, hi, kind, c
+                break
+        m = _NUMBERS.search(text, hi if c is not None else lo + 1)
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(from, to, kind, canonical) of all entities, in order, none overlapping another."""
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
         found += [(*m.span(), "email", _canonical("email", m[0])) for m in _EMAIL.finditer(text)]
     if _DIGIT.search(text):
-        for m in _NUMBERS.finditer(text):
-            c = _canonical(m.lastgroup, m[0])
-            if c is not None:
-                found.append((*m.span(), m.lastgroup, c))
+        found += _numbers(text)
     if "AKIA" in text:
         found += [(*m.span(), "aws_key", m[0]) for m in _AWS.finditer(text)]
     if "=" in text or ":" in text:

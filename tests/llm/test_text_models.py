@@ -106,6 +106,24 @@ def test_mentions():
     assert kinds == ["given:m:latin", "surname:latin", "ip", "phone", "card", "email", "secret", "aws_key", "iban"]
 
 
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("IBAN ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", ["ES91 2100 0418 4502 0005 1332"]),
+        ("AT611904300234573201 EUR 50", ["AT611904300234573201"]),
+        ("BE68 5390 0754 7034 2024 EUR 4111 1111 1111 1111", ["BE68 5390 0754 7034", "4111 1111 1111 1111"]),
+        ("DE89 3704 0044 0532 0130 00 EUR", ["DE89 3704 0044 0532 0130 00"]),
+        ("ref AB12 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("no 1234 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("AB12 3456 7890 1234 AT611904300234573201", ["AT611904300234573201"]),
+        ("+49 30 1234 5678 9012 3456", ["+49 30 1234 5678"]),
+        ("1234 5678 9012 3456 and AB12 3456 7890 1234", []),
+    ],
+)
+def test_failed_matches_swallow_nothing(text, wanted):
+    assert [text[lo:hi] for lo, hi, *_ in pii.mentions(text)] == wanted
+
+
 def test_surrogates_keep_form_and_identity():
     key = b"k"
     t = "Mrs. Ada Byron (ada.b7@mail.example.com) and Mrs Byron; ADA.B7@mail.example.com; card 4111-1111-1111-1111, 4111111111111111; +1 (644) 555-7859 or +1 644 555 7859; 8.8.8.8"
