@@ -9,8 +9,9 @@ a pool of names, a surrogate that occurs in the corpus as somebody's own data)
 a check over the table of all distinct entities finds the clash, and the
 entities concerned move on to their next surrogate.
 
-Person names are found by their titles; given names follow the title's gender
-and the script, and given names and surnames are mapped separately, so that
+Person names are found by their titles: all capitalised words and initials that
+follow, and then bare mentions of these words in the same document.  Given
+names follow the title's gender and the script, and given names and surnames are mapped separately, so that
 "Mr. John Smith" and "Mr. Smith" still share a surname.
 """
 
@@ -50,6 +51,7 @@ SYLLABLES = {
     "cyrillic": "ба бе бо ва ве во га го да де до ка ке ко ла ле ло ма ме мо на не но па ра ре ро са се со та те то".split(),
     "greek": "βα βε γα γο δα δε κα κο λα λε λο μα με νο πα πε ρα ρο σα τα τε το".split(),
 }
+INITIALS = {"latin": _UPPER, "cyrillic": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "greek": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
 
 
 # ---- keyed permutation ----------------------------------------------------
@@ -160,6 +162,10 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
         return name + extra + ("" if attempt < 3 else "-" + _surname(key, f"{tweak}|{canonical}", script, 2 + attempt))
     if kind.startswith("surname"):
         return _surname(key, f"{tweak}|{canonical}", kind.split(":")[1], 3 + attempt)
+    if kind.startswith("initial"):  # a keyed turn of the alphabet: never the letter itself, never one letter for two
+        letters = INITIALS[kind.split(":")[1]]
+        turn = 1 + _pick(key, kind, len(letters) - 1)
+        return letters[(letters.index(canonical) + turn) % len(letters)] if canonical in letters else letters[_pick(key, f"{kind}|{canonical}", len(letters))]
     if kind == "aws_key":
         return canonical[:4] + reshaped(canonical[4:], key, tweak)
     return reshaped(canonical, key, tweak, hexa=bool(re.fullmatch("[0-9a-f]+", canonical)))
@@ -189,7 +195,14 @@ _IBAN_LENGTHS = {
 }
 _AWS = re.compile(r"\bAKIA[0-9A-Z]{16}\b")
 _SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?([A-Za-z0-9_+/\-.]{8,})")
-_TITLE = re.compile(rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ({_NAME})(?: ({_NAME}))?")
+_ANY_TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
+# A word of a name (O'Brien and double names too), an initial, and what may stand between them.
+_WORD = rf"(?!(?:{_ANY_TITLE}|Jr|Jnr|II|III|IV)\b)(?:[^\W\d_a-zß-öø-ÿа-яά-ώ]['’](?=[^\W\d_a-zß-öø-ÿа-яά-ώ]))?{_NAME}"
+_INITIAL = r"[^\W\d_a-zß-öø-ÿа-яά-ώ](?:\.(?:-(?=[^\W\d_a-zß-öø-ÿа-яά-ώ]\.))?|(?=[ \t\xa0]+[^\W\d_a-zß-öø-ÿа-яά-ώ]))"
+_GAP = r"(?:[ \t\xa0]+(?:(?:van|von|vom|zu|zur|der|den|dem|ter|ten|de|del|della|di|da|dos|das|du|la|las|los|le|el|al|bin|ibn|y|e)[ \t\xa0]+){0,3}|(?<=[.-]))"
+_PART = re.compile(rf"(?P<word>{_WORD})|(?P<initial>{_INITIAL})")
+_TITLE = re.compile(rf"\b(?P<titles>(?:{_ANY_TITLE})\b\.?(?:[ \t\xa0]+(?:{_ANY_TITLE})\b\.?)*){_GAP}(?P<name>(?:{_WORD}|{_INITIAL})(?:{_GAP}(?:{_WORD}|{_INITIAL}))*)")
+_TITLES_IN = re.compile(rf"\b(?:{_ANY_TITLE})\b")
 _TITLE_HINT = tuple(TITLES)
 _DIGIT = re.compile(r"[0-9]")
 
@@ -235,6 +248,33 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
         m = _NUMBERS.search(text, hi if c is not None else lo + 1)
 
 
+def _persons(text: str) -> list[tuple[int, int, str, str]]:
+    """Names after titles, and bare mentions of their words elsewhere in the same text."""
+    found: list[tuple[int, int, str, str]] = []
+    for m in _TITLE.finditer(text):
+        gender = next((g for t in _TITLES_IN.findall(m["titles"]) if (g := TITLES[t]) != "n"), "n")
+        parts = list(_PART.finditer(text, *m.span("name")))
+        for k, p in enumerate(parts):
+            lo, word = p.start(), p[0]
+            if p["initial"] is not None:
+                found.append((lo, lo + 1, f"initial:{script_of(word)}", word[0]))
+            else:  # the first of several is the given name, as far as can be told
+                kind = f"given:{gender}" if k == 0 and len(parts) > 1 else "surname"
+                found.append((lo, p.end(), f"{kind}:{script_of(word)}", word))
+    known: dict[str, tuple[str, str]] = {}
+    for _, _, kind, word in found:
+        if not kind.startswith("initial"):
+            known.setdefault(word, (kind, word))
+    for word, entity in list(known.items()):
+        known.setdefault(word.upper(), entity)
+        if word.isupper():
+            known.setdefault(word.capitalize(), entity)
+    if known:
+        words = "|".join(map(re.escape, sorted(known, key=len, reverse=True)))
+        found += [(*m.span(), *known[m[0]]) for m in re.finditer(rf"(?<![^\W\d_])(?:{words})(?![^\W\d_])", text)]
+    return found
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(from, to, kind, canonical) of all entities, in order, none overlapping another."""
     found: list[tuple[int, int, str, str]] = []
@@ -247,12 +287,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     if "=" in text or ":" in text:
         found += [(*m.span(1), "secret", m[1]) for m in _SECRET.finditer(text)]
     if any(map(text.__contains__, _TITLE_HINT)):
-        for m in _TITLE.finditer(text):
-            gender, script = TITLES[m[1]], script_of(m[2])
-            if m[3] is not None:
-                found.append((*m.span(2), f"given:{gender}:{script}", m[2]))
-            last = 3 if m[3] is not None else 2
-            found.append((*m.span(last), f"surname:{script_of(m[last])}", m[last]))
+        found += _persons(text)
     found.sort(key=lambda f: (f[0], -f[1]))
     out: list[tuple[int, int, str, str]] = []
     for f in found:
@@ -299,7 +334,7 @@ def _entities(texts: DataFrame, key: bytes) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["kind", "canonical", "attempt", "made"])
 
-    found = texts.mapInArrow(run, "kind string, canonical string, attempt long, made string")
+    found = texts.mapInArrow(run, "kind string, canonical string, attempt long, made string").where("kind NOT LIKE 'initial%'")  # these can't clash
     return found.dropDuplicates(["kind", "canonical"])
 
 

@@ -124,6 +124,33 @@ def test_failed_matches_swallow_nothing(text, wanted):
     assert [text[lo:hi] for lo, hi, *_ in pii.mentions(text)] == wanted
 
 
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("Mr. John Q. Smith said", ["John", "Q", "Smith"]),
+        ("Mr. J. Smith, Dr. J.R.R. Tolkien", ["J", "Smith", "J", "R", "R", "Tolkien"]),
+        ("Dr. Maria Garcia Lopez came", ["Maria", "Garcia", "Lopez"]),
+        ("Mr. Smith came. Smith left, SMITH's too, Smithson not", ["Smith", "Smith", "SMITH"]),
+        ("Prof. Dr. Hans Meier Jr. and Meier", ["Hans", "Meier", "Meier"]),
+        ("Herr Ludwig van Beethoven; Mr. Pat O'Brien", ["Ludwig", "Beethoven", "Pat", "O'Brien"]),
+        ("господин Иван П. Петров, Петров", ["Иван", "П", "Петров", "Петров"]),
+        ("Smith and Jones without titles", []),
+    ],
+)
+def test_whole_names_and_bare_mentions(text, wanted):
+    assert [text[lo:hi] for lo, hi, *_ in pii.mentions(text)] == wanted
+
+
+def test_bare_mentions_share_surrogates(spark):
+    rows = [(1, "Mr. John Q. Smith met Dr. Smith. Smith left with John."), (2, "Smith is not named here"), *((10 + k, f"Mr. {c}. Smith") for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))]
+    got = {r["doc_id"]: r["text"] for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    given, initial, name = re.fullmatch(r"Mr\. (\S+) (\w)\. (\w+) met .*", got[1]).groups()
+    assert got[1] == f"Mr. {given} {initial}. {name} met Dr. {name}. {name} left with {given}." and (given, name) != ("John", "Smith") and initial != "Q"
+    assert got[2] == "Smith is not named here"
+    made = [got[10 + k].split()[1][0] for k in range(26)]
+    assert sorted(made) == list("ABCDEFGHIJKLMNOPQRSTUVWXYZ") and all(a != b for a, b in zip(made, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
+
 def test_surrogates_keep_form_and_identity():
     key = b"k"
     t = "Mrs. Ada Byron (ada.b7@mail.example.com) and Mrs Byron; ADA.B7@mail.example.com; card 4111-1111-1111-1111, 4111111111111111; +1 (644) 555-7859 or +1 644 555 7859; 8.8.8.8"
