@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.sources.scratch import written
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -72,20 +74,42 @@ def anchored(df: DataFrame, key: str, vector: str, anchors: DataFrame, name: str
     return sims.groupBy(key).agg(F.min(F.struct((-F.round("s", 9)).alias("o"), name, "s")).alias("b")).select(key, F.col(f"b.{name}").alias(name), F.col("b.s").alias("similarity"))
 
 
-def dense_dedup(df: DataFrame, by: str, key: str, vector: str, alike: float = 0.88) -> DataFrame:
-    """Greedy in key order inside each group: rows at least ``alike`` to a kept one go."""
+def near_pairs(df: DataFrame, by: str, key: str, vector: str, alike: float, block_rows: int = 1024) -> DataFrame:
+    """(by, first, second) of rows of a group at least ``alike``, first < second: products of blocks, each pair of blocks a tile."""
+    sizes = df.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_cells"))
+    rows = df.select(by, key, vector).join(sizes, by).withColumn("_cell", F.pmod(F.xxhash64(key), "_cells").cast("int"))
+    tiles = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))).withColumns({"_x": F.least("_cell", "_o"), "_y": F.greatest("_cell", "_o")})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, kind="stable")
+        pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
         m = np.array(pdf[vector].tolist(), dtype=np.float64)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        kept: list[int] = []
-        for k in range(len(m)):
-            if not kept or (m[kept] @ m[k]).max() < alike:
-                kept.append(k)
-        return pdf.iloc[kept][[by, key]]
+        # Pairs inside a block are found in its own tile only.
+        cell, apart = pdf["_cell"].to_numpy(), bool(pdf["_x"].iloc[0] != pdf["_y"].iloc[0])
+        a, b = np.nonzero(np.triu(m @ m.T >= alike, 1))
+        if apart:
+            a, b = a[cell[a] != cell[b]], b[cell[a] != cell[b]]
+        return pd.DataFrame({by: pdf[by].iloc[a].to_numpy(), "first": pdf[key].iloc[a].to_numpy(), "second": pdf[key].iloc[b].to_numpy()})
+
+    kind = df.schema[key].dataType.simpleString()
+    return tiles.groupBy(by, "_x", "_y").applyInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, first {kind}, second {kind}")
+
 
-    return df.groupBy(by).applyInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, {key} {df.schema[key].dataType.simpleString()}")
+def dense_dedup(df: DataFrame, by: str, key: str, vector: str, alike: float = 0.88, block_rows: int = 1024) -> DataFrame:
+    """Greedy in key order inside each group: rows at least ``alike`` to a kept one go.  Keys are unique in a group.
+
+    Decided in rounds: an undecided row without undecided earlier neighbours
+    stays, and its neighbours go, so no group is gathered in one task.
+    """
+    pairs = written(near_pairs(df, by, key, vector, alike, block_rows), "pairs")
+    rows = df.select(by, key)
+    while pairs.take(1):
+        kept = pairs.select(by, "first").distinct().join(pairs.select(by, F.col("second").alias("first")), [by, "first"], "left_anti")
+        gone = written(pairs.join(kept, [by, "first"], "left_semi").select(by, "second").distinct(), "gone")
+        rows = rows.join(gone.withColumnRenamed("second", key), [by, key], "left_anti")
+        left = pairs.join(gone, [by, "second"], "left_anti").join(gone.withColumnRenamed("second", "first"), [by, "first"], "left_anti")
+        pairs = written(left.select(by, "first", "second"), "pairs")
+    return rows
 
 
 def per_aspect(df: DataFrame, by: str, aspect: str, score: str, key: str, each: int = 2, most: int = 8) -> DataFrame:

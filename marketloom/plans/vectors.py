@@ -72,9 +72,8 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dense_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of small hashed groups without those nearly equal to an earlier one."""
-    e = load(spark, sf_dir, "embeddings").withColumn("cell", F.concat_ws(":", F.col("label").cast("string"), F.floor(F.col("vec_id") / 200).cast("string")))
-    return V.dense_dedup(e, "cell", "vec_id", "embedding")
+    """Vectors of each label without those nearly equal to an earlier kept one."""
+    return V.dense_dedup(load(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
 
 
 @query(f"WITH {SIM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY label, polarity ORDER BY round(similarity, 6) DESC, vec_id) AS a FROM s) SELECT vec_id, label, polarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CAST(a > 2 AS INT), round(similarity, 6) DESC, vec_id) AS f FROM r) WHERE f <= 6")

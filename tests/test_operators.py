@@ -158,6 +158,28 @@ def test_bullets_and_chunks(spark):
     assert [len(c.split()) for c in got] == [35, 35, 10, 6]
 
 
+def test_dense_dedupe_compares_whole_labels(spark):
+    from marketloom.plans import vectors as vector_plans
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "label", "embedding")
+    # A copy of each vector far behind it: all copies must go.
+    far = e.unionByName(e.withColumn("vec_id", F.col("vec_id") + 1_000_000))
+    wanted = set()
+    for label in {r["label"] for r in e.select("label").distinct().collect()}:
+        kept = []
+        for r in sorted((r for r in far.where(F.col("label") == label).collect()), key=lambda r: r["vec_id"]):
+            v = np.array(r["embedding"], dtype=float)
+            v /= max(np.linalg.norm(v), 1e-12)
+            if not any(v @ k >= 0.88 for k in kept):
+                kept.append(v)
+                wanted.add((label, r["vec_id"]))
+    for block_rows in (16, 1024):
+        got = [tuple(r) for r in vectors.dense_dedup(far, "label", "vec_id", "embedding", block_rows=block_rows).collect()]
+        assert len(got) == len(wanted) and set(got) == wanted
+    plan = [tuple(r) for r in vector_plans.dense_dedupe(spark, "/root/testdata/sf0.001").collect()]
+    assert set(plan) == wanted
+
+
 def test_dense_dedup(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(30, 6))
