@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketloom.operators.graph import connected_components
 from marketloom.operators.merge import first_wins
+from marketloom.sources.scratch import written
 
 
 def unknown_or(a: Column, b: Column, same: Column) -> Column:
@@ -79,22 +80,26 @@ def guarded_clusters(df: DataFrame, node: str, block: str, order: list[str], acc
 
 
 def first_of_any_key(df: DataFrame, block: str, order: list[str], keys: list[str]) -> DataFrame:
-    """Rows of each block that share no key value with an earlier kept row."""
+    """Rows of each block that share no key value with an earlier kept row; ``order`` is unique in a block.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[str, set] = {k: set() for k in keys}
-        keep = []
-        pdf = pdf.sort_values(order, kind="stable")
-        for k in range(len(pdf)):
-            values = {c: pdf[c].iloc[k] for c in keys if not pd.isna(pdf[c].iloc[k])}
-            fresh = not any(v in seen[c] for c, v in values.items())
-            keep.append(fresh)
-            if fresh:
-                for c, v in values.items():
-                    seen[c].add(v)
-        return pdf[keep]
-
-    return df.groupBy(block).applyInPandas(run, df.schema)
+    Decided in rounds: a row that is the first undecided one for all its keys
+    stays, and rows that share a key with it go, so no block is gathered in one
+    task.  A null key links nothing.
+    """
+    at = df.withColumns({"_b": F.struct(block), "_p": F.struct(*order)})
+    known = lambda c: F.col(c).isNotNull() & ~F.col(c).cast("string").eqNullSafe("NaN")
+    entries = F.filter(F.array(*[F.when(known(c), F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))) for c in keys]), lambda e: e.isNotNull())
+    left = written(at.select("_b", "_p", F.explode(entries).alias("e")).select("_b", "_p", "e.k", "e.v"), "undecided")
+    kept = at.where(F.size(entries) == 0).select("_b", "_p")
+    while left.take(1):
+        heads = left.groupBy("_b", "k", "v").agg(F.min("_p").alias("head"))
+        first = left.join(heads, ["_b", "k", "v"]).groupBy("_b", "_p").agg(F.min(F.col("_p") == F.col("head")).alias("all")).where("all").select("_b", "_p")
+        first = written(first, "kept")
+        taken = left.join(first, ["_b", "_p"], "left_semi").select("_b", "k", "v").distinct()
+        gone = left.join(taken, ["_b", "k", "v"], "left_semi").select("_b", "_p").distinct()
+        left = written(left.join(gone, ["_b", "_p"], "left_anti"), "undecided")
+        kept = kept.unionByName(first)
+    return at.join(kept, ["_b", "_p"], "left_semi").select(*df.columns)
 
 
 def first_per_key(df: DataFrame, key: Column, order: list[str]) -> DataFrame:

@@ -88,8 +88,8 @@ def clusters_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def candidate_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of a block whose segment and rounded balance were not seen before in it."""
-    c = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 100).alias("bal"), F.concat_ws("|", F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 64).cast("string")).alias("block"))
+    """Customers of a nation whose segment and rounded balance were not seen before in it."""
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 100).alias("bal"), F.col("c_nationkey").alias("block"))
     return R.first_of_any_key(c, "block", ["c_custkey"], ["c_mktsegment", "bal"]).select("c_custkey", "c_mktsegment", "bal")
 
 

@@ -158,6 +158,26 @@ def test_bullets_and_chunks(spark):
     assert [len(c.split()) for c in got] == [35, 35, 10, 6]
 
 
+def test_candidate_dedupe_against_loop(spark):
+    def loop(rows):  # (block, position, keys)
+        seen, out = set(), set()
+        for b, p, keys in sorted(rows, key=lambda r: r[1]):
+            mine = {(b, k, v) for k, v in enumerate(keys) if v is not None}
+            if not mine & seen:
+                seen |= mine
+                out.add(p)
+        return out
+
+    rng = np.random.default_rng(3)
+    rows = [(None if k % 3 == 0 else int(k % 3), k, None if rng.random() < 0.1 else f"s{rng.integers(30)}", None if rng.random() < 0.1 else int(rng.integers(40))) for k in range(400)]
+    df = spark.createDataFrame(rows, "b int, id long, x string, y int")
+    got = [r["id"] for r in resolve.first_of_any_key(df, "b", ["id"], ["x", "y"]).collect()]
+    assert sorted(got) == sorted(loop([(b, i, (x, y)) for b, i, x, y in rows]))
+    c = spark.read.parquet("/root/testdata/sf0.01/customer.parquet").select("c_nationkey", "c_custkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 100).alias("bal")).collect()
+    got = [r["c_custkey"] for r in resolve_plans.candidate_dedupe(spark, "/root/testdata/sf0.01").collect()]
+    assert sorted(got) == sorted(loop([(r[0], r[1], (r[2], r[3])) for r in c]))
+
+
 def test_dense_dedupe_compares_whole_labels(spark):
     from marketloom.plans import vectors as vector_plans
 
