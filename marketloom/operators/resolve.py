@@ -142,6 +142,10 @@ def numbered_ids(df: DataFrame, base: str, order: list[str], into: str = "unique
 
 def target_rollup(df: DataFrame, key: str, order: list[str], lists: list[str], modal: str) -> DataFrame:
     """Per key its first row's order, ordered distinct lists, the modal value (ties to the first seen) and how many rows."""
-    parts = [F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(c).cast("string").alias("v")))), lambda x: x["v"])), ",").alias(f"{c}_list") for c in lists]
-    per = df.groupBy(key, modal).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*order)).alias("at")).groupBy(key).agg(F.min(F.struct((-F.col("c")).alias("c"), "at", modal))[modal].alias(f"modal_{modal}"))
-    return df.groupBy(key).agg(*parts, F.count(F.lit(1)).alias("variant_count")).join(per, key)
+    per = df.groupBy(key, modal).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*order)).alias("at"))
+    out = per.groupBy(key).agg(F.sum("c").alias("variant_count"), F.min(F.struct((-F.col("c")).alias("c"), "at", modal))[modal].alias(f"modal_{modal}"))
+    for c in lists:  # distinct values first, so only these are gathered
+        values = df.where(F.col(c).isNotNull()).groupBy(key, F.col(c).cast("string").alias("v")).agg(F.min(F.struct(*order)).alias("at"))
+        listed = values.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]), ",").alias(f"{c}_list"))
+        out = out.where(F.col(key).isNotNull()).join(listed, key, "left").withColumn(f"{c}_list", F.coalesce(f"{c}_list", F.lit("")))
+    return out.select(key, *[f"{c}_list" for c in lists], "variant_count", f"modal_{modal}")

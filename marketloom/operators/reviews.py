@@ -49,8 +49,10 @@ def fanned_out(profiles: DataFrame, ids: str, position: str, values: list[str])
 
 def record(df: DataFrame, key: str, score: str, text: str, order: list[str]) -> DataFrame:
     """Per key the mean score and its distinct texts in order, joined by bars."""
-    texts = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("t")))), lambda x: x["t"]))
-    return df.groupBy(key).agg(F.round(F.avg(score), 2).alias("score"), F.array_join(texts, " | ").alias("document"))
+    per = df.groupBy(key, text).agg(F.min(F.struct(*order)).alias("at"), F.sum(score).alias("s"), F.count(score).alias("c"))
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct("at", F.col(text).alias("t"))))), lambda x: x["t"])
+    mean = F.when(F.sum("c") > 0, F.sum("s") / F.sum("c"))
+    return per.groupBy(key).agg(F.round(mean, 2).alias("score"), F.array_join(texts, " | ").alias("document"))
 
 
 def aligned(en: Column, ar: Column) -> Column:

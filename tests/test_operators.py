@@ -158,6 +158,23 @@ def test_bullets_and_chunks(spark):
     assert [len(c.split()) for c in got] == [35, 35, 10, 6]
 
 
+def test_rollups_gather_distinct_values_only(spark):
+    from marketloom.operators import reviews
+
+    df = spark.createDataFrame([("a", k, None if k == 0 else f"t{9 - k % 3}", float(k), k % 2) for k in range(3000)] + [("b", 5000, None, None, 1)], "g string, k long, t string, s double, m int")
+    longest = {}
+    for name, out in (("record", reviews.record(df, "g", "s", "t", ["k"])), ("rollup", resolve.target_rollup(df, "g", ["k"], ["t"], "m"))):
+        longest[name] = {r["g"]: r for r in out.collect()}
+        # Rows are combined by (key, value) before any list is collected.
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        gathered = [x for x in plan.splitlines() if "collect_list" in x]
+        assert gathered and all("k#" not in x.split("collect_list", 1)[1] for x in gathered), plan
+    assert (longest["record"]["a"]["document"], longest["record"]["a"]["score"]) == ("t8 | t7 | t9", 1499.5)
+    assert (longest["record"]["b"]["document"], longest["record"]["b"]["score"]) == ("", None)
+    r = longest["rollup"]["a"]
+    assert (r["t_list"], r["variant_count"], r["modal_m"], longest["rollup"]["b"]["t_list"]) == ("t8,t7,t9", 3000, 0, "")
+
+
 def test_candidate_dedupe_against_loop(spark):
     def loop(rows):  # (block, position, keys)
         seen, out = set(), set()
