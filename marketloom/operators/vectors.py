@@ -101,8 +101,12 @@ def dense_dedup(df: DataFrame, by: str, key: str, vector: str, alike: float = 0.
     Decided in rounds: an undecided row without undecided earlier neighbours
     stays, and its neighbours go, so no group is gathered in one task.
     """
-    pairs = written(near_pairs(df, by, key, vector, alike, block_rows), "pairs")
-    rows = df.select(by, key)
+    # Of equal vectors only the first can stay, so the others make no pairs; those of length 0 are like nothing.
+    solid = F.coalesce(norm(F.col(vector)) > 1e-9, F.lit(False))
+    single = df.where(solid).groupBy(by, vector).agg(F.min(key).alias(key)).select(by, key, vector).unionByName(df.where(~solid).select(by, key, vector))
+    single = written(single, "single")
+    pairs = written(near_pairs(single, by, key, vector, alike, block_rows), "pairs")
+    rows = single.select(by, key)
     while pairs.take(1):
         kept = pairs.select(by, "first").distinct().join(pairs.select(by, F.col("second").alias("first")), [by, "first"], "left_anti")
         gone = written(pairs.join(kept, [by, "first"], "left_semi").select(by, "second").distinct(), "gone")
