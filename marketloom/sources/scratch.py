@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session has none (tests on one machine) a local one is made."""
+    """``spark.checkpoint.dir``; a session on one machine that has none gets a local folder, and one on a cluster is refused."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         told = "file://" + tempfile.mkdtemp(prefix="spark-marketloom-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", told)
     return told.rstrip("/")
@@ -26,3 +28,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` made; nothing may read it any more."""
+    spark = df.sparkSession
+    mine = f"{shared_dir(spark)}/marketloom-"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = hadoop(folder)
+        if path.toString().replace("file:///", "file:/").startswith(mine.replace("file:///", "file:/")):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
