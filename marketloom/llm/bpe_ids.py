@@ -1,13 +1,12 @@
 """Byte-level BPE ids of whole texts, fast enough for large tables.
 
-The vocabulary is read from a ``tokenizers`` file.  Its pre-tokenizer always
-cuts before a space that stands alone between other characters, so a text's ids
-are those of its stretches, laid end to end; stretches recur, and each is
-encoded once per worker and kept as packed little-endian 32-bit ids.  Texts
-with runs of white space where that cutting isn't certain are encoded whole.
-New stretches go through ``tiktoken`` with the file's own vocabulary as ranks,
-which gives the same ids (the tests compare them) at a quarter of the time;
-files of any other kind are left to ``tokenizers`` alone.
+Ids come from ``tokenizers`` with the given file as it is.  A byte-level
+pre-tokenizer always cuts before a space that stands alone between other
+characters, so a text's ids are those of its stretches, laid end to end;
+stretches recur, and each is encoded once and kept as packed little-endian
+32-bit ids.  Texts with runs of white space where that cutting isn't certain,
+and texts that contain one of the file's added tokens, are encoded whole, and
+so are all texts if the file is of another kind.
 """
 
 from __future__ import annotations
@@ -20,49 +19,26 @@ from functools import cache
 
 import numpy as np
 
+from .stretches import StretchCache
+
 _UNSURE = re.compile(r"\s{3}|\s\s$")
 #: A text without any of these has no two white-space characters in a row.
 _HINTS = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
-_KEEP = 300_000
-# Fixed value: the published pattern of byte-level pre-tokenizers.
-_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The stand-in for a space at the beginning of byte-level tokens.
+_SPACE = "Ġ"
+#: So many new stretches are encoded as one text.
+_JOINED = 1000
 
 
 @cache
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
-
-
-def _byte_of_char() -> dict[str, int]:
-    """The printable stand-ins of byte-level vocabularies: printable Latin-1 for itself, the rest from 256 on."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    return Tokenizer.from_file(path)
 
 
-@cache
-def ranked_encoder(path: str):
-    """A tiktoken encoding of the file's vocabulary, or None if ids aren't merge ranks."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-    if model.get("type") != "BPE" or not plain or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
-        return None
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-    ids = [model["vocab"].get(a + b) for a, b in merged]
-    if None in ids or any(x >= y for x, y in zip(ids, ids[1:], strict=False)):
-        return None
-    import tiktoken
-
-    back = _byte_of_char()
-    ranks = {bytes(back[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-    return tiktoken.Encoding("vocabulary", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, dtype="<u4").tobytes()
 
 
 class PackedEncoder:
@@ -70,50 +46,55 @@ class PackedEncoder:
 
     def __init__(self, path: str):
         self.path = path
-        self.fast = ranked_encoder(path)
-        self.after_space: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.by_stretch = spec.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        if self.by_stretch:
+            self.opens = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
+            self.opens[[i for t, i in model["vocab"].items() if t.startswith(_SPACE)]] = True
+        self.forget()
 
     def forget(self) -> None:
         """Drop what was kept; workers live on after a job, and others need the memory."""
-        self.after_space = {}
+        self.cache = StretchCache(self._after_space)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [_packed(e.ids) for e in tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _after_space(self, stretches: list[str]) -> list[bytes]:
+        """Ids of each stretch with a space before it.
+
+        Many go through the library as one text: only a token with a space in
+        front begins a stretch, as long as none begins or ends with white space.
+        """
+        out: list[bytes | None] = [None] * len(stretches)
+        plain = [k for k, s in enumerate(stretches) if s and not s[0].isspace() and not s[-1].isspace()]
+        parts = [plain[lo : lo + _JOINED] for lo in range(0, len(plain), _JOINED)]
+        joined = tokenizer(self.path).encode_batch_fast(["".join(" " + stretches[k] for k in part) for part in parts], add_special_tokens=False)
+        for part, e in zip(parts, joined, strict=True):
+            ids = np.asarray(e.ids, dtype="<u4")
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(part):
+                raw, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
+                for k, a, b in zip(part, (at * 4).tolist(), ends, strict=True):
+                    out[k] = raw[a:b]
+        left = [k for k, v in enumerate(out) if v is None]
+        for k, v in zip(left, self._whole([" " + stretches[k] for k in left]), strict=True):
+            out[k] = v
+        return out
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        if self.fast is not None:
-            ids = map(self.fast.encode_ordinary, texts)
-        else:
-            ids = (e.ids for e in tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False))
-        if sys.byteorder == "little":
-            return [array("I", x).tobytes() for x in ids]
-        return [np.asarray(x, dtype="<u4").tobytes() for x in ids]
+    def _sure(self, t: str) -> bool:
+        return self.by_stretch and not any(a in t for a in self.added) and not (any(map(t.__contains__, _HINTS)) and _UNSURE.search(t))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.after_space
-        rows: list = []
-        missing: set[str] = set()
-        for t in texts:
-            if any(map(t.__contains__, _HINTS)) and _UNSURE.search(t):
-                rows.append(None)
-                continue
-            first, *rest = t.split(" ")
-            found = list(map(known.get, rest))
-            if None in found:
-                missing.update(s for s, v in zip(rest, found, strict=True) if v is None)
-            rows.append((first, rest, found))
-        new = list(missing)
-        known.update(zip(new, self._raw([" " + s for s in new]), strict=True))
-        starts = self._raw([r[0] if r is not None else t for r, t in zip(rows, texts, strict=True)])
-        out = []
-        for start, r in zip(starts, rows, strict=True):
-            if r is None:
-                out.append(start)
-                continue
-            _, rest, found = r
-            if None in found:
-                found = [known[s] if v is None else v for s, v in zip(rest, found, strict=True)]
-            out.append(start + b"".join(found))
-        while len(known) > _KEEP:  # what came last goes first; frequent stretches came early
-            known.popitem()
-        return out
+        cut = [t.partition(" ") if self._sure(t) else (t, "", "") for t in texts]
+        starts = self._whole([c[0] for c in cut])
+        more = [k for k, c in enumerate(cut) if c[1]]
+        for k, v in zip(more, self.cache.packed([cut[k][2] for k in more]), strict=True):
+            starts[k] += v
+        return starts
 
 
 @cache

@@ -10,6 +10,7 @@ a part, and a piece's number says which layout it goes to and where.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable
 
@@ -133,6 +134,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_co
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores
         enc = encoder(tokenizer_path)
 
         def rows(ids: list, texts: list[str]):

@@ -7,7 +7,12 @@ the type), so one entity has one surrogate wherever it occurs, and different
 entities have different ones.  Where that can't be promised (a fixed point,
 a pool of names, a surrogate that occurs in the corpus as somebody's own data)
 a check over the table of all distinct entities finds the clash, and the
-entities concerned move on to their next surrogate.
+entities concerned move on to their next surrogate.  Forms with few members
+(all symbols, say) take surrogates from a fixed alphabet, and an entity that
+has moved on ``LONGER`` times gets a longer one, so every corpus settles.
+
+A phone number is its country code and its digits, however it is grouped; ten
+digits in the 3-3-4 form count as one of country code 1.
 
 Person names are found by their titles: all capitalised words and initials that
 follow, and then bare mentions of these words in the same document.  Given
@@ -25,10 +30,11 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import is_empty, table, written
+from .common import discard, is_empty, spare_name, table, written
 
 _DIGITS = "0123456789"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -79,17 +85,31 @@ def _alphabet(c: str, hexa: bool) -> str:
     return _DIGITS if c in _DIGITS else _LOWER if c in _LOWER else _UPPER if c in _UPPER else c
 
 
-def reshaped(text: str, key: bytes, tweak: str, valid: Callable[[str], bool] = lambda s: True, hexa: bool = False) -> str:
+#: Forms with fewer members than this are left for a fixed alphabet.
+FEW = 1000
+#: After so many surrogates that clash, an entity's next ones are longer.
+LONGER = 12
+
+
+def keyed_string(key: bytes, tweak: str, n: int) -> str:
+    alphabet = _DIGITS + _LOWER
+    return "".join(alphabet[_pick(key, f"{tweak}|{k}", len(alphabet))] for k in range(n))
+
+
+def reshaped(text: str, key: bytes, tweak: str, valid: Callable[[str], bool] = lambda s: True, hexa: bool = False, few: int = FEW) -> str:
     """Another string of the same form: each digit a digit, each letter a letter of its case.
 
     ``valid`` holds for ``text``; the permutation is walked until it holds again.
+    A form of fewer than ``FEW`` members gives a keyed string of letters and
+    digits of its length instead.
     """
     sets = [_alphabet(c, hexa) for c in text]
-    size = value = 0
-    size = 1
+    size, value = 1, 0
     for c, s in zip(text, sets, strict=True):
         size *= len(s)
         value = value * len(s) + s.index(c)
+    if size < few:
+        return keyed_string(key, f"{tweak}|{text}", len(text))
     form = "".join(s[0] for s in sets)
     while True:
         value = permuted(value, size, key, f"{tweak}|{form}")
@@ -135,20 +155,23 @@ def _pick(key: bytes, tweak: str, n: int) -> int:
 def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
     """The ``attempt``-th surrogate of an entity, in canonical form."""
     tweak = f"{kind}|{attempt}"
+    if attempt >= LONGER and not kind.startswith(("given", "surname")):
+        more = keyed_string(key, f"{tweak}|{canonical}|more", attempt - LONGER + 4)
+        first = surrogate(kind, canonical, 0, key)
+        return f"{more}.{first}" if kind == "email" else f"{first}-{more}"
     if kind == "ip":
         return _ip(canonical, key, tweak)
     if kind == "card":
         first, check = canonical[0], luhn(canonical)
         return reshaped(canonical, key, tweak, lambda s: s[0] == first and luhn(s) == check)
     if kind == "phone":
-        low = [g[0] in "01" for g in canonical.split(" ")[1:] if g]
-        head = canonical.split(" ")[0]
-        body = canonical[len(head) :]
-        return head + reshaped(body, key, tweak, lambda s: [g[0] in "01" for g in s.split(" ") if g][:1] == low[:1])
+        code, national = canonical.split(" ")
+        low = national[0] in "01"
+        return f"{code} {reshaped(national, key, f'{tweak}|{code}', lambda s: (s[0] in '01') == low)}"
     if kind == "email":
         local, _, domain = canonical.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return f"{reshaped(local, key, tweak)}@{reshaped(host, key, tweak + '|host')}.{top}"
+        return f"{reshaped(local, key, tweak, few=0)}@{reshaped(host, key, tweak + '|host', few=0)}.{top}"
     if kind == "iban":
         land = canonical[:2]
         body = reshaped(canonical[4:], key, tweak)
@@ -193,6 +216,8 @@ _IBAN_LENGTHS = {
     for n, lands in {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}.items()
     for land in lands.split()
 }
+# Country codes of two digits; 1 and 7 stand alone, all others have three.
+_TWO_DIGIT_CODES = {"20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"}
 _AWS = re.compile(r"\bAKIA[0-9A-Z]{16}\b")
 _SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s*[=:]\s*[\"']?([A-Za-z0-9_+/\-.]{8,})")
 _ANY_TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
@@ -217,10 +242,9 @@ def _canonical(kind: str, text: str) -> str | None:
         parts = text.split(".")
         return ".".join(str(int(p)) for p in parts) if all(int(p) < 256 for p in parts) else None
     if kind == "phone":
-        groups = re.findall(r"\d+", text)
-        if not 8 <= sum(map(len, groups)) <= 15:
-            return None
-        return ("+" + groups[0] if text[0] == "+" else "") + " " + " ".join(groups[1:] if text[0] == "+" else groups)
+        digits = re.sub(r"\D", "", text.replace("(0)", "") if text[0] == "+" else f"1{text}")
+        size = 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGIT_CODES else 3
+        return f"+{digits[:size]} {digits[size:]}" if 8 <= len(digits) <= 15 else None
     if kind == "card":
         digits = re.sub(r"\D", "", text)
         return digits if 13 <= len(digits) <= 19 and digits[0] in "23456" and luhn(digits) == 0 else None
@@ -297,9 +321,16 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def rendered(mention: str, kind: str, made: str) -> str:
-    """A canonical surrogate in the mention's own format."""
-    if kind in ("phone", "card"):
-        digits = iter(re.sub(r"\D", "", made))
+    """A canonical surrogate in the mention's own format; longer ones as they are."""
+    if kind in ("phone", "card", "iban") and "-" in made:
+        return made
+    if kind == "phone":
+        head, zero, tail = mention.partition("(0)") if mention[0] == "+" else (mention, "", "")
+        digits = iter(made[1:].replace(" ", "") if mention[0] == "+" else made.partition(" ")[2])
+        fill = lambda part: "".join(next(digits) if c in _DIGITS else c for c in part)
+        return fill(head) + zero + fill(tail)
+    if kind == "card":
+        digits = iter(made)
         return "".join(next(digits) if c in _DIGITS else c for c in mention)
     if kind == "iban":
         rest = iter(made)
@@ -309,11 +340,11 @@ def rendered(mention: str, kind: str, made: str) -> str:
     return made
 
 
-def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, list[tuple[int, int, str, str]]]:
-    """The text with surrogates, and (from, to, kind, surrogate) by its new places."""
+def replace(text: str, key: bytes, attempts: dict[bytes, int]) -> tuple[str, list[tuple[int, int, str, str]]]:
+    """The text with surrogates, and (from, to, kind, surrogate) by its new places; ``attempts`` by entity_tag."""
     out, at, spans, length = [], 0, [], 0
     for lo, hi, kind, canonical in mentions(text):
-        made = rendered(text[lo:hi], kind, surrogate(kind, canonical, attempts.get((kind, canonical), 0), key))
+        made = rendered(text[lo:hi], kind, surrogate(kind, canonical, attempts.get(entity_tag(key, kind, canonical), 0) if attempts else 0, key))
         out += [text[at:lo], made]
         length += lo - at
         spans.append((length, length + len(made), kind, made))
@@ -324,49 +355,83 @@ def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tupl
 
 # ---- jobs -----------------------------------------------------------------
 
-def _entities(texts: DataFrame, key: bytes) -> DataFrame:
-    """Distinct (kind, canonical, attempt, made)."""
+def entity_tag(key: bytes, kind: str, canonical: str) -> bytes:
+    """Names an entity without showing it."""
+    return hmac.new(key, f"{kind}\0{canonical}".encode(), hashlib.blake2b).digest()[:16]
+
+
+def _seen(texts: DataFrame) -> DataFrame:
+    """(doc, kind, canonical) of each entity of each row (doc, text), once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            seen = {(k, c) for t in batch.column(0) if t.is_valid for _, _, k, c in mentions(t.as_py())}
-            rows = [(k, c, 0, surrogate(k, c, 0, key)) for k, c in sorted(seen)]
+            rows = [(i.as_py(), k, c) for i, t in zip(batch.column(0), batch.column(1), strict=True) if t.is_valid for k, c in sorted({(k, c) for _, _, k, c in mentions(t.as_py())})]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["kind", "canonical", "attempt", "made"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["doc", "kind", "canonical"])
 
-    found = texts.mapInArrow(run, "kind string, canonical string, attempt long, made string").where("kind NOT LIKE 'initial%'")  # these can't clash
-    return found.dropDuplicates(["kind", "canonical"])
+    return texts.mapInArrow(run, "doc string, kind string, canonical string")
 
 
-def settle(entities: DataFrame, key: bytes, rounds: int = 50) -> DataFrame:
-    """Distinct surrogates: rows (kind, canonical, attempt) of entities whose first surrogate clashes.
+def _made(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, canonical, attempt) with each one's surrogate in ``made``."""
 
-    A clash is a surrogate that two entities of a type share, or one that is an
-    entity of the corpus itself.  Of those that share one, the first in order
-    keeps it and the others move on, until no clash is left.
-    """
-
-    def again(batches: Iterator[pd.DataFrame]):
+    def run(batches: Iterator[pd.DataFrame]):
         for b in batches:
-            b["attempt"] += 1
             b["made"] = [surrogate(k, c, int(a), key) for k, c, a in zip(b["kind"], b["canonical"], b["attempt"], strict=True)]
             yield b
 
-    schema = "kind string, canonical string, attempt long, made string"
-    group = F.split("kind", ":")[0]
-    own = entities.select(group.alias("g"), F.col("canonical").alias("made")).distinct()
-    now = entities
-    for _ in range(rounds):
-        numbered = now.withColumn("g", group).withColumn("place", F.row_number().over(Window.partitionBy("g", "made").orderBy("attempt", "canonical", "kind")))
-        clash = numbered.join(own.withColumn("taken", F.lit(True)), ["g", "made"], "left").where("place > 1 OR taken").select("kind", "canonical", "attempt", "made")
-        clash = written(clash, "clashes")
+    return entities.select("kind", "canonical", "attempt").mapInPandas(run, "kind string, canonical string, attempt long, made string")
+
+
+def settle(entities: DataFrame, key: bytes) -> tuple[DataFrame, list[DataFrame]]:
+    """Distinct surrogates for distinct (kind, canonical): rows (kind, canonical, attempt) of those whose first one clashes, and the tables written on the way.
+
+    A clash is a surrogate that two entities of a type share, or one that is an
+    entity of the corpus itself.  Of those that share one, the first in order
+    (attempt, canonical, kind) keeps it and the others move on, until no clash
+    is left; surrogates grow longer on the way, so there is an end.
+    """
+    group = F.split("kind", ":")[0].alias("g")
+    own = entities.select(group, F.col("canonical").alias("made")).distinct()
+    now = written(_made(entities.select("kind", "canonical", F.lit(0).cast("long").alias("attempt")), key), "surrogates")
+    made = [now]
+    while True:
+        # One row for a surrogate, found by a grouped minimum, so that a name that many would get is no task's burden.
+        first = now.groupBy(group, "made").agg(F.min(F.struct("attempt", "canonical", "kind")).alias("w"))
+        stays = first.join(own, ["g", "made"], "left_anti").select("w.kind", "w.canonical")
+        clash = written(now.join(stays, ["kind", "canonical"], "left_anti").select("kind", "canonical", (F.col("attempt") + 1).alias("attempt")), "clashes")
+        made.append(clash)
         if is_empty(clash):
-            return now.where("attempt > 0").select("kind", "canonical", "attempt")
-        now = written(now.join(clash.select("kind", "canonical"), ["kind", "canonical"], "left_anti").unionByName(clash.mapInPandas(again, schema)), "settled")
-    raise RuntimeError("surrogates still clash: the pools are too small for this corpus")
+            return now.where("attempt > 0").select("kind", "canonical", "attempt"), made
+        now = written(now.join(clash, ["kind", "canonical"], "left_anti").unionByName(_made(clash, key)), "surrogates")
+        made.append(now)
+
+
+#: A name's mentions are dealt to so many tasks when its attempt is looked up.
+_DEAL = 16
+
+
+def _moved_by_doc(seen: DataFrame, key: bytes) -> DataFrame | None:
+    """(doc, moved) with tag and attempt of the entities of a text that don't take their first surrogate; None if there are none."""
+    entities = written(seen.where("kind NOT LIKE 'initial%'").select("kind", "canonical").distinct(), "entities")  # initials can't clash
+    moved, made = settle(entities, key)
+    lists = None
+    if not is_empty(moved):
+        dealt = moved.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(_DEAL - 1))))
+        found = seen.withColumn("deal", F.pmod(F.xxhash64("doc"), F.lit(_DEAL)).cast("int")).join(dealt, ["kind", "canonical", "deal"])
+
+        def tagged(batches: Iterator[pd.DataFrame]):
+            for b in batches:
+                yield pd.DataFrame({"doc": b["doc"], "tag": [entity_tag(key, k, c) for k, c in zip(b["kind"], b["canonical"], strict=True)], "attempt": b["attempt"]})
+
+        tags = found.select("doc", "kind", "canonical", "attempt").mapInPandas(tagged, "doc string, tag binary, attempt long")
+        lists = written(tags.groupBy("doc").agg(F.collect_set(F.struct("tag", "attempt")).alias("moved")), "moved")
+    for t in (entities, *made):  # they hold what is to be hidden
+        discard(t)
+    return lists
 
 
-def with_surrogates(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
+def with_surrogates(df: DataFrame, key: bytes, text_col: str = "text", spans: bool = True) -> DataFrame:
     """``df`` with its texts replaced, and (unless ``spans`` is off) n_entities and entities.
 
     entities lists begin, end (in the new text), kind and surrogate.  All
@@ -374,28 +439,19 @@ def with_surrogates(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     entities the new one gets underscores before it.  Null texts stay null and
     have no entities; texts without entities stay as they are.  Repeated rows
     and null identifiers are rows like others.  An empty table gives no rows.
+    Tables with entities in clear are removed from the shared folder before
+    this returns; what stays there names them by keyed tags.
     """
-    from .common import spare_name
-
-    found = written(_entities(df.select(F.col(text_col).cast("string").alias("text")), key), "entities")
-    moved = settle(found, key)
-    names = {n: spare_name(df, n) for n in ("n_entities", "entities", "moved")}
-    source = df
-    if not is_empty(moved):
-        # Which documents mention an entity that moved on: found again, joined by size.
-        def mentioned(batches: Iterator[pa.RecordBatch]):
-            for batch in batches:
-                rows = [(i.as_py(), k, c) for i, t in zip(batch.column(0), batch.column(1), strict=True) if t.is_valid for k, c in {(k, c) for _, _, k, c in mentions(t.as_py())}]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["i", "kind", "canonical"])
-
-        where = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(mentioned, "i long, kind string, canonical string")
-        lists = where.join(moved, ["kind", "canonical"]).dropDuplicates().groupBy("i").agg(F.collect_set(F.struct("kind", "canonical", "attempt")).alias(names["moved"]))
-        source = df.join(lists, F.col(id_col).cast("long").eqNullSafe(F.col("i")), "left").drop("i")
-    else:
-        source = df.withColumn(names["moved"], F.lit(None).cast("array<struct<kind:string,canonical:string,attempt:long>>"))
-
+    doc = F.md5(F.col(f"`{text_col}`").cast("string").cast("binary"))
+    seen = written(_seen(df.select(doc.alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))).distinct(), "mentions")
+    lists = _moved_by_doc(seen, key)
+    discard(seen)
     columns = df.columns
+    names = {n: spare_name(df, n) for n in ("n_entities", "entities", "moved", "doc")}
+    if lists is None:
+        source = df.withColumn(names["moved"], F.lit(None).cast("array<struct<tag:binary,attempt:bigint>>"))
+    else:
+        source = df.join(lists.toDF(names["doc"], names["moved"]), doc == F.col(names["doc"]), "left").drop(names["doc"])
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -407,7 +463,7 @@ def with_surrogates(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
                     changed.append(None)
                     listed.append([])
                     continue
-                attempts = {(x["kind"], x["canonical"]): x["attempt"] for x in m.as_py()} if m.is_valid else {}
+                attempts = {x["tag"]: x["attempt"] for x in m.as_py()} if m.is_valid else {}
                 text, where = replace(t.as_py(), key, attempts)
                 changed.append(text)
                 listed.append([dict(zip(("begin", "end", "kind", "surrogate"), w, strict=True)) for w in where])
@@ -417,8 +473,6 @@ def with_surrogates(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
                 arrays += [pa.array([len(x) for x in listed], pa.int32()), pa.array(listed, kind)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f"c{k}" for k in range(len(arrays))])
 
-    from pyspark.sql import types as T
-
     fields = [T.StructField(f"c{k}", T.StringType() if k == at else f.dataType) for k, f in enumerate(df.schema.fields)]
     extra = [names["n_entities"], names["entities"]] if spans else []
     if spans:
@@ -427,13 +481,20 @@ def with_surrogates(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     return done.toDF(*columns, *extra)
 
 
-#: A deployment passes its own key; this one makes results repeatable.
+#: Where a session names no key of its own, this one makes results repeatable, and lets anybody undo them.
 DEMO_KEY = b"marketloom surrogates"
+KEY_SETTING = "spark.marketloom.surrogateKey"
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key in the session's setting ``KEY_SETTING``; DEMO_KEY if it has none."""
+    told = spark.conf.get(KEY_SETTING, None)
+    return told.encode() if told else DEMO_KEY
 
 
 def op9_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = with_surrogates(docs, DEMO_KEY)
+    out = with_surrogates(docs, session_key(spark))
     return out.select("doc_id", "text", "n_entities", F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["begin"], e["end"])), ",").alias("spans"))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .stretches import StretchCache
 
 # The format's numbers of model and piece types.
 UNIGRAM, BPE = 1, 2
@@ -150,63 +152,63 @@ def build_tokenizer(m: Model):
     own = [AddedToken(p, normalized=False, special=False) for p, _, kind in m.pieces if kind == USER_DEFINED]
     if own:
         t.add_tokens(own)
+    # Decoding drops control pieces and shows unknown ones as the original does.
+    shown = [decoders.Replace(p, " \u2047 " if kind == UNKNOWN else "") for p, _, kind in m.pieces if kind in (UNKNOWN, CONTROL)]
     end = [decoders.Strip(" ", 1, 0)] if m.add_dummy_prefix else []
-    t.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *end])
+    t.decoder = decoders.Sequence([*shown, decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *end])
     return t
 
 
 class Codec:
-    """Encodes and decodes batches; kept by each worker."""
-
-    def __init__(self, data: bytes):
-        self.model = parse_model(data)
-        self.tokenizer = build_tokenizer(self.model)
-        self.by_word = separable(self.model) and not self.model.remove_extra_whitespaces and self.model.add_dummy_prefix
-        self.known: dict[str, bytes] = {}
-        self.bytes_of = [self._bytes(p, kind) for p, _, kind in self.model.pieces]
-
-    @staticmethod
-    def _bytes(piece: str, kind: int) -> bytes:
-        if kind == BYTE:
-            return bytes([int(piece[3:5], 16)])
-        return b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else piece.replace(SPACE, " ").encode()
+    """Encodes and decodes batches with the library's threads; kept by each worker."""
+
+    def __init__(self, data: bytes, threads: int = 2):
+        from tokenizers import Tokenizer, models
+
+        m = self.model = parse_model(data)
+        self.threads = threads
+        self.tokenizer = build_tokenizer(m)
+        self.by_word = separable(m) and not m.remove_extra_whitespaces and m.add_dummy_prefix
+        ids = {p: i for i, (p, _, _) in enumerate(m.pieces)}
+        plain = m.kind == BPE and not any(kind == USER_DEFINED for *_, kind in m.pieces)
+        #: The id of a space as a byte, which no word's ids have; it ends words that are encoded many at once.
+        self.end_id = ids.get("<0x20>") if plain and m.byte_fallback and not any(" " in p for p in ids) else None
+        if self.end_id is not None:
+            self.bare = Tokenizer(models.BPE(ids, _merges(m), unk_token=m.pieces[m.unknown][0], fuse_unk=True, byte_fallback=True, cache_capacity=0))
+        self.cache = StretchCache(self._words)
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with its marker."""
+        if self.end_id is None:
+            return self._packed(words)
+        step = max(1, -(-len(words) // self.threads))
+        parts = [words[lo : lo + step] for lo in range(0, len(words), step)]
+        out: list[bytes] = []
+        for part, e in zip(parts, self.bare.encode_batch_fast([[f"{SPACE}{w} " for w in part] for part in parts], is_pretokenized=True, add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.end_id)
+            if len(ends) != len(part):
+                raise ValueError("a word has the space byte among its ids")
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(ends[:-1] * 4 + 4).tolist()], (ends * 4).tolist(), strict=True)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian 32-bit ids.
 
         Where words never merge, each distinct word is encoded once and kept;
         texts with runs of spaces or markers of their own are encoded whole.
         """
-        rows: list[list[str] | None] = []
-        missing: set[str] = set()
-        for t in texts:
-            if not self.by_word or not t or "  " in t or SPACE in t or t[0] == " " or t[-1] == " ":
-                rows.append(None)
-                continue
-            words = t.split(" ")
-            rows.append(words)
-            missing.update(w for w, v in zip(words, map(self.known.get, words), strict=True) if v is None)
-        new = list(missing)
-        self.known.update(zip(new, self._packed(new), strict=True))
-        whole = iter(self._packed([t for t, r in zip(texts, rows, strict=True) if r is None]))
-        get = self.known.__getitem__
-        out = [next(whole) if r is None else b"".join(map(get, r)) for r in rows]
-        while len(self.known) > 400_000:
-            self.known.popitem()
-        return out
+        whole = [not self.by_word or not t or "  " in t or SPACE in t or t[0] == " " or t[-1] == " " for t in texts]
+        made = [iter(f([t for t, w in zip(texts, whole, strict=True) if w == k])) for k, f in ((False, self.cache.packed), (True, self._packed))]
+        return [next(made[w]) for w in whole]
 
     def decode(self, packed: list[bytes]) -> list[str]:
         """Texts of packed ids; bytes that are no UTF-8 become replacement characters."""
-        out = []
-        for p in packed:
-            raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(p, dtype="<u4").tolist()))
-            if self.model.add_dummy_prefix and raw[:1] == b" ":
-                raw = raw[1:]
-            out.append(raw.decode("utf-8", "replace"))
-        return out
+        return self.tokenizer.decode_batch([np.frombuffer(p, dtype="<u4").tolist() for p in packed], skip_special_tokens=False)
 
 
 @cache
@@ -222,7 +224,7 @@ def _original(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-_CHUNK_CHARS = 1 << 21
+_CHUNK_CHARS = 1 << 22
 
 
 def encoded(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", parity: bool = True, threads: int = 2, ids: bool = True) -> DataFrame:
@@ -249,7 +251,7 @@ def encoded(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
             fine = [t == b if plain else t.split() == b.split() for t, b in zip(texts, back, strict=True)]
             same = [None] * len(texts)
             if parity:
-                same = [np.asarray(x, dtype="<u4").tobytes() == p for x, p in zip(_original(model_path).encode(texts, num_threads=threads), packed, strict=True)]
+                same = [array("I", x).tobytes() == p for x, p in zip(_original(model_path).encode(texts, num_threads=1), packed, strict=True)]
             cols = [pa.array(keys, pa.int64()), pa.array([len(p) // 4 for p in packed], pa.int32()), pa.array([zlib.crc32(p) for p in packed], pa.int64()), pa.array(fine, pa.bool_()), pa.array(same, pa.bool_())]
             names = ["i", "n_tokens", "ids_crc32", "round_trip", "parity"]
             if ids:

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -5,9 +6,11 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from marketloom.llm import packing as P
-from marketloom.llm.bpe_ids import encoder, tokenizer
+from marketloom.llm.bpe_ids import PackedEncoder, tokenizer
+from marketloom.llm.stretches import StretchCache
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -70,15 +73,37 @@ def test_large_counts():
 TRICKY = ["  a", "a  ", "a   b", "a \n b", " ", "", "a\n\nb", "don't  stop", "<|endoftext|> a", "é  ü ", "a \n\n b", "a b", "x \t y", "a\x1c b", "日本 語"]
 
 
+SPECIAL = ["hello <|endoftext|> world", "end<|endoftext|>next", "<|endoftext|>", "a <|endoftext|>  <|endoftext|> b", "<|endoftext|", "x<|endoftext|>\n\n y"]
+
+
+def library_ids(texts):
+    """The ids of the library itself, with the file as it is."""
+    return [np.asarray(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_ids_are_those_of_the_library(spark):
-    texts = TRICKY + [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    want = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer(PATH).encode_batch(texts, add_special_tokens=False)]
-    assert encoder(PATH).encode(texts) == want
-    assert encoder(PATH).encode(texts) == want
+    texts = TRICKY + SPECIAL + [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    want = library_ids(texts)
+    e = PackedEncoder(PATH)
+    assert e.encode(texts) == want
+    assert e.encode(texts) == want  # from what was kept
+
+
+def test_ids_of_odd_strings():
+    rng = random.Random(8)
+    alphabet = ["a", "Bc", " ", " ", "'s", "'", "7", "12", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "é", "日", "!", "Ġ", "<|endoftext|>", "\u200b", "🙂"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) for _ in range(20_000)]
+    assert PackedEncoder(PATH).encode(texts) == library_ids(texts)
+
+
+def test_what_is_kept_is_bounded():
+    c = StretchCache(lambda words: [w.encode() for w in words], keep=3, longest=4)
+    assert c.packed(["a bb ccccc", "", "dd a ee ff"]) == [b"abbccccc", b"", b"ddaeeff"]
+    assert len(c.known) == 3 and all(len(k) <= 4 for k in c.known)
 
 
 def test_documents(spark):
-    rows = [(k, t) for k, t in enumerate(TRICKY)] + [(50, None), (51, "the cat " * 3000), (51, "the cat " * 3000), (None, "x y")]
+    rows = [(k, t) for k, t in enumerate(TRICKY + SPECIAL)] + [(50, None), (51, "the cat " * 3000), (51, "the cat " * 3000), (None, "x y")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int")
     got = P.pack_documents(df, PATH, capacity=64, buckets=3).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)

@@ -194,6 +194,72 @@ def test_clashes_are_settled(spark):
     assert len(set(made)) == len(rows) and not set(made) & {t for _, t in rows}
 
 
+@pytest.mark.parametrize("text", ["call +15551234567 now", "ring +442079460958", "password: ________", "token = ........", "a@b.cc", "secret: aaaa----"])
+def test_forms_with_few_members_settle(spark, text):
+    got = pii.with_surrogates(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"), b"k").collect()
+    made = {r["text"] for r in got}
+    assert len(made) == 1 and text not in made and all(r["n_entities"] == 1 for r in got)
+
+
+def test_one_number_in_many_spellings(spark):
+    forms = ["+1 555-123-4567", "+1 5551234567", "+15551234567", "+1 (555) 123-4567", "(555) 123-4567", "555-123-4567"]
+    other = ["+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958", "+1 555-123-4568", "+49 555 1234567"]
+    rows = list(enumerate(forms + other))
+    got = {r["doc_id"]: r["text"] for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    digits = [re.sub(r"\D", "", got[k].replace("(0)", "")) for k in range(len(rows))]
+    assert {d[-10:] for d in digits[:6]} == {digits[0][1:]} and digits[0] != "15551234567" and all(d[0] == "1" for d in digits[:4])
+    assert len({d for d in digits[6:9]}) == 1 and digits[6].startswith("44") and "(0)" in got[8]
+    assert len({digits[0], digits[6], digits[9], digits[10]}) == 4
+    assert [re.sub(r"\d", "0", got[k]) for k, _ in rows] == [re.sub(r"\d", "0", t) for _, t in rows]
+
+
+def plain_settle(entities, key):
+    """The rounds of ``settle`` with dicts: attempt by entity."""
+    attempt = dict.fromkeys(entities, 0)
+    own = {(k.split(":")[0], c) for k, c in entities}
+    while True:
+        by = {}
+        for (k, c), a in attempt.items():
+            by.setdefault((k.split(":")[0], pii.surrogate(k, c, a, key)), []).append((a, c, k))
+        clash = [(k, c) for made, who in by.items() for a, c, k in sorted(who)[0 if made in own else 1 :]]
+        if not clash:
+            return attempt
+        for e in clash:
+            attempt[e] += 1
+
+
+def test_settle_against_plain_rounds(spark):
+    """Names from small pools, all addresses of a small form, and usual entities: attempts and texts as by plain rounds."""
+    key = b"k"
+    titles = [f"{t} {g} {s}." for t in ("Mr.", "Mrs.") for g in ("Adam", "Boris", "Alma", "Bella", "Zed", "Yan") for s in ("Rabo", "Kilo", "Smith")]
+    texts = titles + [f"{x}@{y}.io" for x in "abcdefghijklmnopqrstuvwxyz" for y in "abcdefghijklmnopqrstuvw"] + ["8.8.8.8 and 10.0.0.1", "pwd = --------", "pwd = ++++++++", "", None]
+    entities = sorted({(k, c) for t in texts if t for _, _, k, c in pii.mentions(t) if not k.startswith("initial")})
+    attempt = plain_settle(entities, key)
+    assert max(attempt.values()) >= pii.LONGER  # 598 of 676 addresses leave too few
+    moved, _ = pii.settle(spark.createDataFrame(entities, "kind string, canonical string"), key)
+    assert {(r["kind"], r["canonical"]): r["attempt"] for r in moved.collect()} == {e: a for e, a in attempt.items() if a}
+    by_tag = {pii.entity_tag(key, *e): a for e, a in attempt.items()}
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["text"] for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), key).collect()}
+    assert got == {k: t if t is None else pii.replace(t, key, by_tag)[0] for k, t in rows}
+    made = [got[k] for k, t in rows if t and "@" in t]
+    assert len(set(made)) == len(made) and not set(made) & set(texts)
+
+
+def test_no_entity_stays_in_the_shared_folder(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        rows = [(k, f"Mr. {g} Quux, {g.lower()}@b.com") for k, g in enumerate(["Adam", "Boris", "Carl", "David", "Emil"] * 2)]
+        out = pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), b"k")
+        left = [f for f in tmp_path.rglob("*.parquet")]
+        assert all("moved" in str(f) for f in left)
+        assert not any(x in f.read_bytes() for f in left for x in (b"Adam", b"@b.com", b"Quux"))
+        assert out.count() == 10
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+
+
 def test_planted_data_goes(spark):
     got = {r["doc_id"]: r["text"] for r in pii.op9_keyed_surrogates(spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
