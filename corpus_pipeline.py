@@ -46,7 +46,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets become surrogates; n_chars follows the new text."""
-    out = pii.with_surrogates(docs, pii.DEMO_KEY, spans=False)
+    out = pii.with_surrogates(docs, pii.session_key(spark), spans=False)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
 
 
