@@ -152,10 +152,8 @@ def build_tokenizer(m: Model):
     own = [AddedToken(p, normalized=False, special=False) for p, _, kind in m.pieces if kind == USER_DEFINED]
     if own:
         t.add_tokens(own)
-    # Decoding drops control pieces and shows unknown ones as the original does.
-    shown = [decoders.Replace(p, " \u2047 " if kind == UNKNOWN else "") for p, _, kind in m.pieces if kind in (UNKNOWN, CONTROL)]
     end = [decoders.Strip(" ", 1, 0)] if m.add_dummy_prefix else []
-    t.decoder = decoders.Sequence([*shown, decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *end])
+    t.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *end])
     return t
 
 
@@ -176,6 +174,7 @@ class Codec:
         if self.end_id is not None:
             self.bare = Tokenizer(models.BPE(ids, _merges(m), unk_token=m.pieces[m.unknown][0], fuse_unk=True, byte_fallback=True, cache_capacity=0))
         self.cache = StretchCache(self._words)
+        self.silent = np.array([kind if kind in (CONTROL, UNKNOWN) else 0 for *_, kind in m.pieces], dtype=np.int8)
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -207,8 +206,34 @@ class Codec:
         return [next(made[w]) for w in whole]
 
     def decode(self, packed: list[bytes]) -> list[str]:
-        """Texts of packed ids; bytes that are no UTF-8 become replacement characters."""
-        return self.tokenizer.decode_batch([np.frombuffer(p, dtype="<u4").tolist() for p in packed], skip_special_tokens=False)
+        """Texts of packed ids; bytes that are no UTF-8 become replacement characters.
+
+        Control pieces are left out and unknown ones shown as the original does:
+        a text with unknown pieces is decoded in stretches between them.
+        """
+        runs, owner = [], []
+        for k, p in enumerate(packed):
+            ids = np.frombuffer(p, dtype="<u4")
+            odd = self.silent[ids]
+            if odd.any():
+                ids = ids[odd != CONTROL]
+                cut = np.flatnonzero(ids == self.model.unknown)
+                runs += [x.tolist() for x in np.split(np.delete(ids, cut), cut - np.arange(len(cut)))]
+                owner += [k] * (len(cut) + 1)
+            else:
+                runs.append(ids.tolist())
+                owner.append(k)
+        texts = self.tokenizer.decode_batch(runs, skip_special_tokens=False)
+        if len(runs) == len(packed):
+            return texts
+        out: list[str | None] = [None] * len(packed)
+        strip = self.model.add_dummy_prefix
+        for k, r, t in zip(owner, runs, texts, strict=True):
+            if out[k] is None:
+                out[k] = t
+            else:  # only the beginning of a text loses its space
+                out[k] += " \u2047 " + (" " * (strip and self.model.pieces[r[0]][0].startswith(SPACE)) if r else "") + t
+        return out
 
 
 @cache

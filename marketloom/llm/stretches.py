@@ -36,7 +36,7 @@ class StretchCache:
             return []
         words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = words.flatten().dictionary_encode()
-        keys = coded.dictionary.to_pylist()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self.known.get, keys))
         if None in ids:
             new = [k for k, v in enumerate(ids) if v is None]
