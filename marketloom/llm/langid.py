@@ -1,11 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-N-grams of 1 to 4 bytes of the lower-cased UTF-8 text are hashed into a fixed
-number of buckets.  Counting is one pass over all labelled rows: each task
-emits what it has counted by language and bucket, and Spark sums that.  The
-log-probabilities are one matrix, buckets x languages, whose size is fixed by
-two parameters; it is broadcast, and texts are scored in numpy by gathering
-rows of it.
+N-grams of 1 to 4 characters (code points) of the lower-cased text, with a space
+before and after it, are hashed into a fixed number of buckets.  Counting is one
+pass over all labelled rows: each task emits what it has counted by language and
+bucket, and Spark sums that.  The log-probabilities are one matrix, buckets x
+languages; it is broadcast, and a text's score is its sparse row of counts times
+the matrix, in numpy.  Long texts are counted in stretches, so a task holds one
+stretch and one row of counts whatever the text's length.
 """
 
 from __future__ import annotations
@@ -16,66 +17,61 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textkernels import spaced, text_buffer
 
-_FOLD = np.arange(256, dtype=np.uint32)
-_FOLD[65:91] += 32
-_CHUNK = 1 << 20
+_STRETCH = 1 << 20
+_HELD = 64
 UNKNOWN = "und"
 
 
-def gram_buckets(raw: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """Bucket of the n-gram that starts at each byte (the last ``order`` - 1 bytes start none)."""
-    c = _FOLD[raw]
-    n = max(0, len(c) - order + 1)
-    h = np.full(n, order, dtype=np.uint32)
-    for k in range(order):
-        h = h * np.uint32(0x01000193) ^ c[k : k + n]
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return h >> np.uint32(32 - bits)
-
-
-def _slices(column: pa.Array):
-    """Runs of rows of about ``_CHUNK`` bytes; each row as one space-ended stretch."""
-    raw, starts, ends = text_buffer(column)
-    lo, total = 0, 0
-    for k in range(len(starts)):
-        total += int(ends[k] - starts[k])
-        if total >= _CHUNK or k + 1 == len(starts):
-            buf, begin = spaced(raw, starts[lo : k + 1], ends[lo : k + 1])
-            yield lo, k + 1, buf, begin
-            lo, total = k + 1, 0
-
-
-def learn(labelled: DataFrame, text_col: str, lang_col: str, orders: tuple[int, ...], bits: int, max_languages: int, smoothing: float) -> tuple[list[str], np.ndarray]:
+def gram_counts(text: str, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, int]:
+    """(how many n-grams of the orders fall in each bucket, characters) of one text."""
+    counts = np.zeros(1 << bits, dtype=np.int64)
+    most, total = max(orders), 0
+    padded = f" {text.lower()} "
+    for at in range(0, len(padded), _STRETCH):
+        # The grams that start in this stretch; they may end in the next one.
+        chars = np.frombuffer(padded[at : at + _STRETCH + most - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        starts = min(_STRETCH, len(padded) - at)
+        total += starts
+        h, found = np.full(len(chars), 0x811C9DC5, dtype=np.uint32), []
+        for order in range(1, min(most, len(chars)) + 1):
+            h = h[: len(chars) - order + 1] * np.uint32(0x01000193) ^ chars[order - 1 :]
+            if order in orders:
+                x = h[:starts] ^ np.uint32(order * 0x9E3779B1 & 0xFFFFFFFF)
+                x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+                x = (x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)
+                found.append(x >> np.uint32(32 - bits))
+        if found:
+            counts += np.bincount(np.concatenate(found), minlength=1 << bits)
+    return counts, total
+
+
+def learn(labelled: DataFrame, text_col: str, lang_col: str, orders: tuple[int, ...], bits: int, smoothing: float, max_matrix_bytes: int = 1 << 28) -> tuple[list[str], np.ndarray]:
     """Languages in alphabetical order and the log-probability matrix; its last row holds the priors."""
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
+        held: dict[str, np.ndarray] = {}
+
+        def emit():
+            for lang, s in held.items():
+                at = np.flatnonzero(s)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(s[at], pa.int64())], names=["lang", "bucket", "n"])
+            held.clear()
+
         for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), dtype=object)
-            for lo, hi, buf, begin in _slices(batch.column(0)):
-                row_of = np.repeat(np.arange(hi - lo), np.diff(begin))
-                here, code = np.unique(langs[lo:hi].astype(str), return_inverse=True)
-                for k, lang in enumerate(here):
-                    docs[lang] = docs.get(lang, 0) + int((code == k).sum())
-                    sums.setdefault(lang, np.zeros(1 << bits, dtype=np.int64))
-                tag = code[row_of].astype(np.uint32)
-                for order in orders:
-                    b = gram_buckets(buf, order, bits)
-                    both = np.bincount((tag[: len(b)] << np.uint32(bits)) + b, minlength=len(here) << bits)
-                    for k, lang in enumerate(here):
-                        sums[lang] += both[k << bits : (k + 1) << bits]
-        for lang, s in sums.items():
-            at = np.flatnonzero(s)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, 1 << bits), pa.int32()), pa.array(np.append(s[at], docs[lang]), pa.int64())], names=["lang", "bucket", "n"])
-
-    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    summed = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    frequent = summed.where(F.col("bucket") == 1 << bits).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
-    found = summed.join(F.broadcast(frequent), "lang", "left_semi").toPandas()  # at most max_languages x (buckets + 1) rows
-    langs = sorted(found["lang"].unique())
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if lang not in held and len(held) == _HELD:  # whatever the number of labels, a task holds so many
+                    yield from emit()
+                sums = held.setdefault(lang, np.zeros((1 << bits) + 1, dtype=np.int64))
+                sums[-1] += 1
+                sums[:-1] += gram_counts(text.as_py() or "", orders, bits)[0]
+        yield from emit()
+
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(max_matrix_bytes // (4 << bits) + 1).collect())
+    if len(langs) * (4 << bits) > max_matrix_bytes:
+        raise ValueError(f"more labels than a matrix of {max_matrix_bytes} bytes has room for; raise max_matrix_bytes or lower bits")
+    found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most the matrix's own size
     counts = np.zeros(((1 << bits) + 1, len(langs)))
     counts[found["bucket"], np.searchsorted(langs, found["lang"])] = found["n"]
     matrix = np.empty_like(counts)
@@ -85,6 +81,15 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, orders: tuple[int,
     return langs, matrix.astype(np.float32)
 
 
+def text_scores(text: str, matrix: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
+    """Log-posteriors of the languages up to a constant, evidence tempered."""
+    counts, length = gram_counts(text, orders, bits)
+    at = np.flatnonzero(counts)
+    evidence = counts[at].astype(np.float32) @ matrix[at]
+    # An n-gram's neighbours share its characters: the evidence of a text counts as that of so many separate n-grams.
+    return evidence.astype(np.float64) / (len(orders) * max(orders) / 2 * max(1.0, length / 256) ** 0.5) + matrix[-1]
+
+
 def predict(df: DataFrame, text_col: str, langs: list[str], matrix: np.ndarray, orders: tuple[int, ...], bits: int, keep: list[str]) -> DataFrame:
     """Columns ``keep``, lang_pred and score of every row."""
     shared = df.sparkSession.sparkContext.broadcast(matrix)
@@ -92,26 +97,18 @@ def predict(df: DataFrame, text_col: str, langs: list[str], matrix: np.ndarray,
     def run(batches):
         m = shared.value
         for batch in batches:
-            scores = np.zeros((batch.num_rows, m.shape[1]))
-            length = np.ones(batch.num_rows)
-            for lo, hi, buf, begin in _slices(batch.column(0)):
-                for order in orders:
-                    b = np.append(gram_buckets(buf, order, bits), np.zeros(order - 1, dtype=np.uint32))
-                    got = m[b]
-                    if order > 1:
-                        got[-(order - 1) :] = 0
-                    scores[lo:hi] += np.add.reduceat(got, begin[:-1], axis=0, dtype=np.float64)
-                length[lo:hi] = np.diff(begin)
-            # An n-gram's neighbours share its bytes: the evidence of a text counts as that of so many separate n-grams.
-            scores /= (len(orders) * max(orders) / 2 * np.maximum(1, length / 256) ** 0.5)[:, None]
-            scores += m[-1]
-            best = scores.argmax(axis=1)
-            p = np.exp(scores - scores.max(axis=1, keepdims=True))
-            p = p.max(axis=1) / p.sum(axis=1)
-            letters = np.asarray(batch.column(1))
-            pred = [langs[k] if f else UNKNOWN for k, f in zip(best, letters, strict=True)]
+            pred, score = [], []
+            for text, letters in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if not letters:
+                    pred.append(UNKNOWN)
+                    score.append(0.0)
+                    continue
+                s = text_scores(text.as_py(), m, orders, bits)
+                best = int(s.argmax())
+                pred.append(langs[best])
+                score.append(float(1 / np.exp(s - s[best]).sum()))
             out = [batch.column(at) for at in places]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(pred, pa.string()), pa.array(np.where(letters, p, 0.0))], names=[f"k{k}" for k in range(len(keep))] + ["lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[f"k{k}" for k in range(len(keep))] + ["lang_pred", "score"])
 
     text = F.col(text_col)
     has_letter = F.coalesce(text.cast("string").rlike(r"\p{L}"), F.lit(False))
@@ -135,21 +132,22 @@ def identify_languages(
     lang_col: str = "lang",
     orders: tuple[int, ...] = (1, 2, 3, 4),
     bits: int = 15,
-    max_languages: int = 256,
     smoothing: float = 0.5,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Every row of ``df`` with lang_pred and score, learned from the rows where ``learn_from`` holds.
 
-    lang_pred is a label of the learning rows (the ``max_languages`` most
-    frequent; ties by name), or ``und``, with score 0, if the text is null or
-    has no letter, or if nothing could be learned.  score is the posterior of
-    the predicted label, with the evidence tempered for overlapping n-grams.
-    Null labels teach nothing, null identifiers and repeated rows are rows like
-    others, and an empty table gives no rows.  ``keep`` names the columns to
-    return beside these, ``id_col`` alone by default.
+    lang_pred is a label of the learning rows (of labels with equal scores the
+    first by name), or ``und``, with score 0, if the text is null or has no
+    letter, or if nothing could be learned.  score is the posterior of the
+    predicted label, with the evidence tempered for overlapping n-grams.
+    Null labels teach nothing, null texts count for the priors alone, null
+    identifiers and repeated rows are rows like others, and an empty table gives
+    no rows.  More labels than a matrix of 256 MB has room for (2048) are
+    refused.  ``keep`` names the columns to return beside these, ``id_col``
+    alone by default.
     """
-    langs, matrix = learn(df.where(learn_from), text_col, lang_col, orders, bits, max_languages, smoothing)
+    langs, matrix = learn(df.where(learn_from), text_col, lang_col, orders, bits, smoothing)
     return predict(df, text_col, langs, matrix, orders, bits, keep or [id_col])
 
 

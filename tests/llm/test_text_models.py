@@ -1,5 +1,7 @@
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -22,22 +24,62 @@ def test_language_accuracy(spark):
 
 
 def test_language_scores_are_naive_bayes(spark):
-    """The matrix and the sums against plain counting."""
-    rows = [(0, "aab ab", "x"), (1, "bba b", "y"), (2, "ab ab", "x"), (3, None, "y"), (4, "zz", None)]
+    """Counts, matrix, answers and scores against plain naive Bayes over the characters."""
+    rows = [(0, "aab ab", "x"), (1, "bba b", "y"), (2, "Ab AB", "x"), (3, None, "y"), (4, "zz", None), (5, "ÀÉ日本語 İ", "z"), (6, "Éà 日本", "z"), (7, "b", "y"), (8, "", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    langs, m = L.learn(df, "text", "lang", (1, 2), 8, 10, 0.5)
-    assert langs == ["x", "y"]
-    counts = np.zeros((257, 2))
-    for _, t, lang in rows:
-        if lang is not None:
-            buf = np.frombuffer(((t or "") + " ").encode(), np.uint8)
-            counts[256, langs.index(lang)] += 1
-    buf = {lang: [] for lang in langs}
-    for _, t, lang in rows:
-        if lang is not None:
-            buf[lang].append((t or "") + " ")
-    assert np.allclose(np.exp(m[:-1]).sum(axis=0), 1, atol=1e-4)
-    assert np.allclose(np.exp(m[256]), counts[256] / counts[256].sum(), atol=1e-5)
+    orders, bits = (1, 2, 4), 10
+    langs, m = L.learn(df, "text", "lang", orders, bits, 0.5)
+    assert langs == ["x", "y", "z"]
+
+    def grams(t):
+        t = f" {(t or '').lower()} "
+        return [t[k : k + n] for n in orders for k in range(len(t) - n + 1)]
+
+    def bucket(g):  # 32-bit arithmetic on Python's integers
+        h = 0x811C9DC5
+        for c in g:
+            h = (h * 0x01000193 & 0xFFFFFFFF) ^ ord(c)
+        h ^= len(g) * 0x9E3779B1 & 0xFFFFFFFF
+        h = (h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF
+        return ((h ^ (h >> 12)) * 0x297A2D39 & 0xFFFFFFFF) >> (32 - bits)
+
+    counts = {lang: Counter(bucket(g) for _, t, x in rows if x == lang and t is not None for g in grams(t)) for lang in langs}
+    for lang in langs:  # null texts are empty ones: a space before and one after
+        counts[lang].update(bucket(g) for _, t, x in rows if x == lang and t is None for g in grams(t))
+    for k, lang in enumerate(langs):
+        total = sum(counts[lang].values()) + 0.5 * (1 << bits)
+        want = [math.log((counts[lang][b] + 0.5) / total) for b in range(1 << bits)]
+        assert np.allclose(m[:-1, k], want, atol=1e-5)
+        assert m[-1, k] == pytest.approx(math.log(sum(x == lang for *_, x in rows) / 8), abs=1e-5)
+    got = {r["doc_id"]: r for r in L.identify_languages(df, F.lit(True), orders=orders, bits=bits).collect()}
+    for i, t, _ in rows:
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        s = []
+        for k, lang in enumerate(langs):
+            total = sum(counts[lang].values()) + 0.5 * (1 << bits)
+            s.append(sum(math.log((counts[lang][bucket(g)] + 0.5) / total) for g in grams(t)) / (len(orders) * 4 / 2) + float(m[-1, k]))
+        assert got[i]["lang_pred"] == langs[s.index(max(s))]
+        assert got[i]["score"] == pytest.approx(1 / sum(math.exp(x - max(s)) for x in s), abs=1e-4)
+
+
+def test_long_texts_count_alike(monkeypatch):
+    t = "Der Hund lief über die Straße. " * 40
+    want, n = L.gram_counts(t, (1, 2, 3, 4), 12)
+    for stretch in (1, 7, 100):
+        monkeypatch.setattr(L, "_STRETCH", stretch)
+        got, m = L.gram_counts(t, (1, 2, 3, 4), 12)
+        assert (got == want).all() and n == m == len(t) + 2
+
+
+def test_many_labels(spark):
+    """More labels than a task holds at once; and more than fit."""
+    df = spark.createDataFrame([(k, f"word{k} " * 5, f"l{k:03}") for k in range(150)], "doc_id long, text string, lang string").coalesce(1)
+    got = L.identify_languages(df, F.lit(True), bits=12).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id']:03}" for r in got) and len(got) == 150
+    with pytest.raises(ValueError, match="labels"):
+        L.learn(df, "text", "lang", (1,), 12, 0.5, 100 * (4 << 12))
 
 
 def test_language_cases(spark):
