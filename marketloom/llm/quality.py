@@ -1,15 +1,21 @@
 """Quality classifier: attention-based multiple-instance learning.
 
 A document is a bag of passages.  Every passage of the whole text is described
-by counts over its bytes and words, encoded, and weighted by gated attention;
-the document's score comes from the weighted mean of its encodings.  Encoder,
-attention and classifier are learned together from document labels alone
-(Ilse, Tomczak and Welling, 2018), in numpy, on a bounded sample of labelled
-rows.  The model is a few thousand numbers and goes to the tasks with their code.
+by hashed counts of its words and character trigrams and by some shares of
+character classes and repeats, embedded by a learned matrix, and weighted by
+gated attention; the document's score comes from the weighted mean of its
+passages' embeddings.  Embedding, attention and classifier are learned together
+from document labels alone (Ilse, Tomczak and Welling, 2018), in numpy, on a
+bounded sample of labelled rows.  The model goes to the tasks with their code.
+
+A passage is up to 64 words of a stretch; stretches are whole texts, or of
+longer ones about 1 MB each, cut at white space, so a task holds one stretch.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .langid import remainder
-from .textkernels import spaced, text_buffer, word_hashes
+from .textkernels import SEPARATORS, spaced, text_buffer, word_hashes
 
 _CHUNK = 1 << 20
 PASSAGE_WORDS = 64
+_FOLD = np.arange(256, dtype=np.uint32)
+_FOLD[65:91] += 32
 
 _CLASSES = np.zeros(256, dtype=np.uint8)
 _CLASSES[65:91] = 1  # capitals
@@ -28,20 +36,68 @@ _CLASSES[48:58] = 2  # digits
 for _k, _chars in ((3, b"!?"), (4, b"#$%&*@~^_=+<>{}[]\\/"), (5, b"|"), (6, b".,;:"), (7, b"\n")):
     _CLASSES[list(_chars)] = _k
 _CLASSES[128:192] = 8  # all but the first byte of longer characters
-N_FEATURES = 16
-
-
-def passage_features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(features of all passages, each row's first passage); a text without words has one passage."""
-    buf, begin = spaced(raw, starts, ends)
-    at, to, h = word_hashes(buf)
-    bound = np.searchsorted(at, begin)
-    n_words = np.diff(bound)
-    n_pass = np.maximum(1, -(-n_words // PASSAGE_WORDS))
-    first = np.concatenate(([0], np.cumsum(n_pass)))
-    row = np.repeat(np.arange(len(starts)), n_pass)
-    w0 = bound[row] + (np.arange(first[-1]) - first[row]) * PASSAGE_WORDS
-    w1 = np.minimum(w0 + PASSAGE_WORDS, bound[row + 1])
+N_SHAPES = 16
+#: Buckets of hashed words and character trigrams.
+N_HASHED = 1024
+N_FEATURES = N_SHAPES + N_HASHED
+_AT_ONCE = 2048
+
+
+def stretches(raw: np.ndarray, start: int, end: int) -> list[tuple[int, int]]:
+    """(from, to) of a text's stretches of about ``_CHUNK`` bytes; cut behind white space, or anywhere in a word that is longer."""
+    out = []
+    while end - start > 2 * _CHUNK:
+        gaps = np.flatnonzero(SEPARATORS[raw[start + _CHUNK : start + 2 * _CHUNK]])
+        cut = start + _CHUNK + (int(gaps[0]) + 1 if len(gaps) else 0)
+        out.append((start, cut))
+        start = cut
+    return [*out, (start, end)]
+
+
+def trigram_buckets(buf: np.ndarray) -> np.ndarray:
+    """Bucket of the three bytes (A-Z lower-cased) that start at each place."""
+    c = _FOLD[buf]
+    h = ((c[:-2] * np.uint32(0x01000193) ^ c[1:-1]) * np.uint32(0x01000193) ^ c[2:]) * np.uint32(0x9E3779B1)
+    return (h ^ (h >> np.uint32(15))) % np.uint32(N_HASHED)
+
+
+class Passages:
+    """What is counted of the passages of some stretches; a stretch without words has one empty passage."""
+
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        buf, begin = spaced(raw, starts, ends)
+        at, to, h = word_hashes(buf)
+        bound = np.searchsorted(at, begin)
+        n_pass = np.maximum(1, -(-np.diff(bound) // PASSAGE_WORDS))
+        self.first = np.concatenate(([0], np.cumsum(n_pass)))
+        row = np.repeat(np.arange(len(starts)), n_pass)
+        w0 = bound[row] + (np.arange(self.first[-1]) - self.first[row]) * PASSAGE_WORDS
+        w1 = np.minimum(w0 + PASSAGE_WORDS, bound[row + 1])
+        self.shapes = _shapes(buf, at, to, h, w0, w1)
+        self.w0, self.w1, self.words = w0, w1, h % np.uint64(N_HASHED)
+        has = w1 > w0
+        self.b0 = np.where(has, at[np.minimum(w0, len(at) - 1)], 0) if len(at) else np.zeros(len(w0), dtype=np.int64)
+        self.b1 = np.where(has, to[np.maximum(w1 - 1, 0)], 0) if len(at) else self.b0
+        self.grams = trigram_buckets(buf)
+
+    def counted(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shapes and hashed counts (255 at most) of the passages from ``lo`` to ``hi``."""
+        n, parts = np.arange(hi - lo), []
+        for begin, size, buckets in ((self.w0[lo:hi], (self.w1 - self.w0)[lo:hi], self.words), (self.b0[lo:hi], np.maximum(0, self.b1 - self.b0 - 2)[lo:hi], self.grams)):
+            place = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+            parts.append(np.repeat(n * N_HASHED, size) + buckets[place].astype(np.int64))
+        counts = np.bincount(np.concatenate(parts), minlength=(hi - lo) * N_HASHED).reshape(hi - lo, N_HASHED)
+        return self.shapes[lo:hi].astype(np.float32), np.minimum(counts, 255).astype(np.uint8)
+
+
+def features(shapes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What the model reads of passages: shapes, and roots of the shares of their counts."""
+    share = counts / np.maximum(1, counts.sum(axis=1, keepdims=True, dtype=np.float32))
+    return np.concatenate((shapes, np.sqrt(share, dtype=np.float32)), axis=1)
+
+
+def _shapes(buf: np.ndarray, at: np.ndarray, to: np.ndarray, h: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
+    """Shares of character classes, word lengths and repeats of the passages of words w0 to w1."""
     words = (w1 - w0).astype(np.float64)
     has = words > 0
     some = np.maximum(words, 1)
@@ -50,7 +106,7 @@ def passage_features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
         sums = np.concatenate(([0], np.cumsum(v, dtype=np.float64)))
         return sums[w1] - sums[w0]
 
-    out = np.zeros((len(row), N_FEATURES))
+    out = np.zeros((len(w0), N_SHAPES))
     if len(at):
         b0 = np.where(has, at[np.minimum(w0, len(at) - 1)], 0)
         b1 = np.where(has, to[np.maximum(w1 - 1, 0)], 0)
@@ -72,10 +128,10 @@ def passage_features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
         order = np.lexsort((h, owner))
         fresh = np.ones(len(at))
         fresh[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-        out[:, 13] = np.bincount(owner, weights=fresh[np.argsort(order, kind="stable")], minlength=len(row)) / some
+        out[:, 13] = np.bincount(owner, weights=fresh[np.argsort(order, kind="stable")], minlength=len(w0)) / some
     out[:, 14] = words / PASSAGE_WORDS
     out[:, 15] = ~has
-    return out, first
+    return out
 
 
 class AttentionModel:
@@ -90,8 +146,10 @@ class AttentionModel:
         self.constant: float | None = None
 
     def _forward(self, x: np.ndarray, first: np.ndarray) -> dict:
+        return self._attend(np.tanh(x @ self.p["W"] + self.p["b"]), first)
+
+    def _attend(self, e: np.ndarray, first: np.ndarray) -> dict:
         p = self.p
-        e = np.tanh(x @ p["W"] + p["b"])
         t, s = np.tanh(e @ p["V"] + p["vb"]), 1 / (1 + np.exp(-(e @ p["U"] + p["ub"])))
         logit = (t * s) @ p["a"]
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -101,10 +159,13 @@ class AttentionModel:
         y = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))
         return {"e": e, "t": t, "s": s, "row": row, "w": weight, "z": z, "y": y}
 
-    def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(first) - 1, self.constant)
-        return self._forward((x - self.mean) / self.scale, first)["y"]
+    def embed(self, x: np.ndarray) -> np.ndarray:
+        w = self.p["W"] / self.scale[:, None]
+        return np.tanh(x @ w.astype(np.float32) + (self.p["b"] - self.mean @ w))
+
+    def score(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Probabilities of label 1 from the embedded passages of documents, each one's from first[k] to first[k + 1]."""
+        return np.full(len(first) - 1, self.constant) if self.constant is not None else self._attend(e, first)["y"]
 
     def _gradient(self, x: np.ndarray, first: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         p, f = self.p, self._forward(x, first)
@@ -120,21 +181,24 @@ class AttentionModel:
             "c": f["z"].T @ dy, "d": np.array([dy.sum()]), "a": (f["t"] * f["s"]).T @ dl, "V": f["e"].T @ dt, "vb": dt.sum(0), "U": f["e"].T @ ds, "ub": ds.sum(0), "W": x.T @ de, "b": de.sum(0),
         }
 
-    def fit(self, bags: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> AttentionModel:
+    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 20, batch: int = 64, rate: float = 0.005, decay: float = 1e-3, seed: int = 5) -> AttentionModel:
+        """Adam over shuffled batches of documents; ``bags`` are shapes and counts of their passages."""
         labels = np.asarray(labels, dtype=np.float64)
         if len(labels) == 0 or labels.min() == labels.max():
             self.constant = float(labels.mean()) if len(labels) else 0.5
             return self
-        x = np.concatenate(bags)
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        bags = [(b - self.mean) / self.scale for b in bags]
+        n = sum(len(x) for x, _ in bags)
+        for x in (features(*bag) for bag in bags):
+            self.mean = self.mean + x.sum(axis=0, dtype=np.float64) / n
+        square = sum(((features(*bag) - self.mean) ** 2).sum(axis=0) for bag in bags) / n
+        self.mean, self.scale = self.mean.astype(np.float32), (np.sqrt(square) + 1e-2).astype(np.float32)
         rng, m, v, step = np.random.default_rng(seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
         for epoch in range(epochs):
             order = rng.permutation(len(bags))
             for lo in range(0, len(order), batch):
                 pick = order[lo : lo + batch]
-                first = np.concatenate(([0], np.cumsum([len(bags[k]) for k in pick])))
-                g, step = self._gradient(np.concatenate([bags[k] for k in pick]), first, labels[pick]), step + 1
+                first = np.concatenate(([0], np.cumsum([len(bags[k][0]) for k in pick])))
+                g, step = self._gradient((features(*map(np.concatenate, zip(*[bags[k] for k in pick], strict=True))) - self.mean) / self.scale, first, labels[pick]), step + 1
                 now = rate * (1 - epoch / epochs)
                 for k in self.p:
                     d = g[k] + decay * self.p[k]
@@ -144,47 +208,79 @@ class AttentionModel:
         return self
 
 
-def _slices(column: pa.Array):
+def _groups(column: pa.Array):
+    """(rows of the stretches, their passages) in groups of about ``_CHUNK`` bytes."""
     raw, starts, ends = text_buffer(column)
-    lo, total = 0, 0
+    rows, spans, total = [], [], 0
     for k in range(len(starts)):
-        total += int(ends[k] - starts[k])
-        if total >= _CHUNK or k + 1 == len(starts):
-            yield lo, k + 1, *passage_features(raw, starts[lo : k + 1], ends[lo : k + 1])
-            lo, total = k + 1, 0
-
-
-def train(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str, text_col: str, label_col: str, train_rows: int) -> AttentionModel:
-    """Fit on at most ``train_rows`` labelled documents, those with the smallest hashed identifiers."""
+        for a, b in stretches(raw, int(starts[k]), int(ends[k])):
+            rows.append(k)
+            spans.append((a, b))
+            total += b - a
+            if total >= _CHUNK or len(rows) >= _AT_ONCE:
+                yield np.array(rows), Passages(raw, *np.array(spans).T)
+                rows, spans, total = [], [], 0
+    if rows:
+        yield np.array(rows), Passages(raw, *np.array(spans).T)
+
+
+def train(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str, text_col: str, label_col: str, train_rows: int, train_passages: int) -> AttentionModel:
+    """Fit on at most ``train_rows`` labelled documents, those with the smallest hashed identifiers, and at most ``train_passages`` passages of each, evenly over the whole text."""
     marked = labels.where(eligible & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     picked = marked.orderBy(F.xxhash64("i"), "i").limit(train_rows)
 
     def bags(batches):
         for batch in batches:
-            for lo, hi, x, first in _slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()), batch.column(2).slice(lo, hi - lo)], names=["i", "x", "y"])
+            for one in range(batch.num_rows):
+                part = batch.slice(one, 1)
+                found = [p for _, p in _groups(part.column(1))]
+                total = sum(int(p.first[-1]) for p in found)
+                wanted, at, x = np.unique(np.linspace(0, total - 1, min(total, train_passages)).astype(int)), 0, []
+                for p in found:
+                    n = int(p.first[-1])
+                    x += [p.counted(k, k + 1) for k in (wanted[(wanted >= at) & (wanted < at + n)] - at).tolist()]
+                    at += n
+                packed = zlib.compress(b"".join(np.concatenate(c).tobytes() for c in zip(*x, strict=True)), 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed], pa.binary()), part.column(2)], names=["i", "x", "y"])
 
+    kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(picked), "i").select("i", "t", "y")
-    rows = texts.mapInArrow(bags, "i long, x binary, y int").toPandas().sort_values(["i", "x"])
-    return AttentionModel().fit([np.frombuffer(x, np.float32).reshape(-1, N_FEATURES).astype(np.float64) for x in rows["x"]], rows["y"].to_numpy())
+    # One row an identifier, the same one whatever the order of rows.
+    rows = texts.mapInArrow(bags, f"i {kind}, x binary, y int").groupBy("i").agg(F.min("x").alias("x"), F.min("y").alias("y")).toPandas().sort_values("i")
+
+    def unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+        raw = zlib.decompress(x)
+        n = len(raw) // (4 * N_SHAPES + N_HASHED)
+        return np.frombuffer(raw, np.float32, n * N_SHAPES).reshape(n, N_SHAPES), np.frombuffer(raw, np.uint8, n * N_HASHED, 4 * n * N_SHAPES).reshape(n, N_HASHED)
+
+    return AttentionModel().fit([unpacked(x) for x in rows["x"]], rows["y"].to_numpy())
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 6000, threshold: float = 0.3) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 6000, threshold: float = 0.3, train_passages: int = 16) -> DataFrame:
     """``id_col``, score (0 to 1) and predicted (1 if score >= ``threshold``) of every row of ``docs``.
 
     Only labels of rows where ``eligible`` (an expression on ``id_col``) holds
-    are learned; of a document's repeated labels the least counts, and null
-    labels and labels without a document teach nothing.  Null and empty texts
-    have one empty passage.  Without labels of both kinds the score is their
-    mean (0.5 if there are none).  Repeated rows and null identifiers are scored
-    like others; an empty table gives no rows.
+    are learned, of at most ``train_rows`` documents and ``train_passages``
+    passages of each; scores are of all passages.  Of a document's repeated
+    labels the least counts, of rows that repeat an identifier one teaches, and
+    null labels and labels without a document teach nothing.  Null and empty
+    texts have one empty passage.  Without labels of both kinds the score is
+    their mean (0.5 if there are none).  Repeated rows and null identifiers are
+    scored like others; an empty table gives no rows.
     """
-    model = train(docs, labels, eligible, id_col, text_col, label_col, train_rows)
+    model = train(docs, labels, eligible, id_col, text_col, label_col, train_rows, train_passages)
 
     def run(batches):
         for batch in batches:
-            scores = [model.score(x, first) for _, _, x, first in _slices(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["i", "score"])
+            if not batch.num_rows:
+                continue
+            embedded, owner = [], []
+            for rows, p in _groups(batch.column(1)):
+                n = int(p.first[-1])
+                embedded += [model.embed(features(*p.counted(lo, min(n, lo + _AT_ONCE)))) for lo in range(0, n, _AT_ONCE)]
+                owner.append(np.repeat(rows, np.diff(p.first)))
+            first = np.searchsorted(np.concatenate(owner), np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(np.concatenate(embedded), first), pa.float64())], names=["i", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"i {kind}, score double")

@@ -129,14 +129,74 @@ def test_quality_cases(spark):
     assert Q.quality_scores(docs.limit(0), labels, F.lit(True)).collect() == []
 
 
-def test_passage_features_cover_whole_texts():
+def passages(texts):
     import pyarrow as pa
 
     from marketloom.llm.textkernels import text_buffer
 
-    x, first = Q.passage_features(*text_buffer(pa.array(["a b " * 100, None, "one", "É!! " * 65])))
-    assert np.diff(first).tolist() == [4, 1, 1, 2]
+    return Q.Passages(*text_buffer(pa.array(texts)))
+
+
+def test_passage_features_cover_whole_texts():
+    p = passages(["a b " * 100, None, "one", "É!! " * 65])
+    x, counts = p.counted(0, 8)
+    assert np.diff(p.first).tolist() == [4, 1, 1, 2]
     assert x[4, 15] == 1 and x[0, 11] == pytest.approx(62 / 64) and x[0, 10] == 0
+    assert counts.sum(axis=1).tolist() == [64 + 125] * 3 + [8 + 13, 0, 1 + 1, 64 + 5 * 64 - 3, 1 + 2]
+    assert (p.counted(2, 5)[1] == counts[2:5]).all()
+
+
+def plain_score(model, text):
+    """The forward pass of one document in plain Python: every passage counted, embedded, weighted, summed."""
+    words = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
+    embedded = []
+    for k in range(0, max(1, len(words)), 64):
+        g = [m[0] for m in words[k : k + 64]]
+        one = text[words[k].start() : words[k : k + 64][-1].end()] if g else ""
+        p = passages([one])
+        counts = [0] * Q.N_HASHED
+        for w in g:
+            counts[int(passages([w]).words[0])] += 1
+        raw = [c + 32 if 65 <= c <= 90 else c for c in one.encode()]
+        for a, b, c in zip(raw, raw[1:], raw[2:]):
+            h = ((a * 0x01000193 & 0xFFFFFFFF ^ b) * 0x01000193 & 0xFFFFFFFF ^ c) * 0x9E3779B1 & 0xFFFFFFFF
+            counts[(h ^ (h >> 15)) % Q.N_HASHED] += 1
+        assert counts == p.counted(0, 1)[1][0].tolist()
+        x = [*p.shapes[0].tolist(), *[math.sqrt(c / max(1, sum(counts))) for c in counts]]
+        x = [(a - float(m)) / float(s) for a, m, s in zip(x, model.mean, model.scale)]
+        embedded.append([math.tanh(sum(a * b for a, b in zip(x, w)) + b0) for w, b0 in zip(model.p["W"].T.tolist(), model.p["b"])])
+    dot = lambda e, w, b: [sum(a * c for a, c in zip(e, col)) + d for col, d in zip(w.T.tolist(), b)]
+    logits = [sum(math.tanh(t) / (1 + math.exp(-s)) * a for t, s, a in zip(dot(e, model.p["V"], model.p["vb"]), dot(e, model.p["U"], model.p["ub"]), model.p["a"])) for e in embedded]
+    weights = [math.exp(x - max(logits)) for x in logits]
+    z = [sum(w * e[k] for w, e in zip(weights, embedded)) / sum(weights) for k in range(len(embedded[0]))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, model.p["c"])) - float(model.p["d"][0])))
+
+
+def test_scores_are_a_plain_forward_pass(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").limit(40).collect()
+    rows = [(r["doc_id"], r["text"]) for r in docs if len(r["text"]) < 4000] + [(-1, None), (-2, ""), (-3, "Ünï " * 130), (-1, "twice")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    model = Q.train(df, labels, F.lit(True), "doc_id", "text", "quality", 6000, 16)
+    got = sorted((r["doc_id"], r["score"]) for r in Q.quality_scores(df, labels, F.lit(True)).collect())
+    assert np.allclose([s for _, s in got], [s for _, s in sorted((i, plain_score(model, t)) for i, t in rows)], atol=1e-4)
+
+
+def test_long_texts_are_cut_into_stretches(spark, monkeypatch):
+    monkeypatch.setattr(Q, "_CHUNK", 100)
+    raw = np.frombuffer(b"ab cd " * 100 + b"x" * 450 + b" y", np.uint8)
+    cut = Q.stretches(raw, 0, len(raw))
+    assert cut[0][0] == 0 and cut[-1][1] == len(raw) and all(a[1] == b[0] for a, b in zip(cut, cut[1:])) and max(b - a for a, b in cut) <= 200
+    assert all(raw[b - 1] == 32 for _, b in cut[:5])
+
+
+def test_repeated_identifiers_teach_once(spark):
+    rows = [(k % 4, f"text {'good' if k % 2 else 'BAD!!'} number " * (1 + k % 4)) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, quality int")
+    once = Q.train(df.dropDuplicates(), labels, F.lit(True), "doc_id", "text", "quality", 6000, 16)
+    many = Q.train(df, labels, F.lit(True), "doc_id", "text", "quality", 6000, 16)
+    assert all((once.p[k] == many.p[k]).all() for k in once.p)
 
 
 # ---- surrogates
