@@ -1,25 +1,31 @@
 """Exact top-k search.
 
-Vectors are packed into blocks: query blocks and candidate shards.  Each tile
-is one matrix product of a query block and a shard; the tile keeps each query's
-``k`` best by partial selection, and lists are merged ``fan_in`` at a time in a
-tree until each query has one.  A task holds one tile, whatever the tables'
-sizes, and nothing is broadcast.
+Vectors are packed into blocks where they are read: query blocks and candidate
+shards.  A tile is one matrix product of a query block and a shard, of which
+each query's ``k`` best are kept by partial selection.  A task gets a group of
+query blocks, holds it, and lets one part of the shards stream past, so what is
+shuffled is shards x groups and query blocks x parts, in the narrowest integers
+that hold them; groups and parts have a bounded size.  The parts' lists are
+merged ``fan_in`` at a time in a tree until each query has one.  Nothing is
+broadcast.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-_BLOCK = "block int, ids binary, vectors binary, dim int"
-_LIST = "qblock int, node int, query_id long, vec_id long, score long"
+_BLOCK = "block long, ids binary, vectors binary, dim int"
+_LIST = "qblock long, node int, query_id long, vec_id long, score long"
+_GROUP_BYTES, _PART_BYTES = 64 << 20, 512 << 20
 
 
 def quantised(name: str = "embedding", scale: int = 256) -> Column:
@@ -30,20 +36,50 @@ def quantised(name: str = "embedding", scale: int = 256) -> Column:
 
 
 def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """(id, v) rows packed by hash into blocks of about ``rows``; ids ascend in each."""
-    count = vectors.count()
-    n = max(1, math.ceil(count / rows))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        out = []
-        for dim, part in pdf.groupby(pdf["v"].map(len)):
-            m = np.array(part["v"].tolist(), dtype=np.int64).reshape(len(part), dim)
-            out.append((int(pdf["block"].iloc[0]), part["id"].to_numpy(np.int64).tobytes(), m.tobytes(), dim))
-        return pd.DataFrame(out, columns=["block", "ids", "vectors", "dim"])
-
-    dealt = vectors.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(pack, _BLOCK)
+    """(id, v) rows packed by each task into blocks of at most ``rows`` of one dimension; ids ascend in each."""
+
+    def pack(batches: Iterator[pa.RecordBatch]):
+        held: dict[int, tuple[list, list]] = {}
+        made = 0
+
+        def block(dim: int):
+            nonlocal made
+            ids, parts = held.pop(dim)
+            ids, m = np.concatenate(ids), np.concatenate(parts)
+            order = np.argsort(ids, kind="stable")
+            number = TaskContext.get().partitionId() << 32 | made
+            made += 1
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([narrow(m[order]).tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=["block", "ids", "vectors", "dim"])
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            size = batch.column(1).value_lengths().to_numpy()
+            flat, ends = batch.column(1).flatten().to_numpy(), np.cumsum(size)
+            for dim in np.unique(size).tolist():
+                at = np.flatnonzero(size == dim)
+                m = flat[(ends[at] - dim)[:, None] + np.arange(dim)].reshape(len(at), dim)
+                for lo in range(0, len(at), rows):
+                    mine = held.setdefault(dim, ([], []))
+                    mine[0].append(ids[at[lo : lo + rows]])
+                    mine[1].append(m[lo : lo + rows])
+                    if sum(map(len, mine[0])) >= rows:
+                        yield block(dim)
+        for dim in list(held):
+            yield block(dim)
+
+    return vectors.mapInArrow(pack, _BLOCK)
+
+
+def narrow(m: np.ndarray) -> np.ndarray:
+    """The same integers in the narrowest type that holds them."""
+    low, high = m.min(initial=0), m.max(initial=0)
+    return m.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def _unpacked(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    i = np.frombuffer(ids, np.int64)
+    width = len(vectors) // max(1, len(i) * dim) or 8
+    return i, np.frombuffer(vectors, f"i{width}").reshape(len(i), dim).astype(np.int64)
 
 
 def tile_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -58,66 +94,102 @@ def tile_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties to smaller ids, without the row ``own``."""
-    free = np.flatnonzero(ids != own)
-    s = scores[free]
-    if len(s) > k:
-        least = np.partition(s, len(s) - k)[len(s) - k]
-        keep = s > least
-        tied = np.flatnonzero(s == least)
-        room = k - int(keep.sum())
-        keep[tied[np.argsort(ids[free[tied]], kind="stable")[:room]]] = True
-        free, s = free[keep], s[keep]
-    return free[np.lexsort((ids[free], -s))]
+def tile_best(scores: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) places of each query's k highest scores, ties to smaller ids (which ascend), none with the query's own id."""
+    left, right = np.searchsorted(c_ids, q_ids, "left"), np.searchsorted(c_ids, q_ids, "right")
+    own = np.flatnonzero(right > left)
+    if len(own):
+        scores = scores.copy()
+    for q in own.tolist():
+        scores[q, left[q] : right[q]] = np.iinfo(np.int64).min
+    n = scores.shape[1]
+    keep = np.ones(scores.shape, dtype=bool)
+    if n > k:
+        keep = scores >= np.partition(scores, n - k, axis=1)[:, n - k, None]
+    for q in own.tolist():
+        keep[q, left[q] : right[q]] = False
+    return first_k(*np.nonzero(keep), scores, k)
+
+
+def first_k(q: np.ndarray, c: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((c, ~scores[q, c], q))
+    q, c = q[order], c[order]
+    fine = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[fine], c[fine]
 
 
-def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block_rows: int = 4096, fan_in: int = 8) -> DataFrame:
+def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block_rows: int = 4096, fan_in: int = 8, group_bytes: int = _GROUP_BYTES, part_bytes: int = _PART_BYTES) -> DataFrame:
     """For every query its ``k`` best candidates: query_id, rank, vec_id, score.
 
     Both tables have (id long, v array<long>).  A candidate with the query's own
     id takes no part.  Ties go to the smaller id.  A query with fewer candidates
     gets all of them; rows with null ids or vectors take no part, and only
     vectors of one dimension are compared.  Of repeated ids, each row counts as
-    a candidate, and each repeated query is answered once.  Scores beyond 64
-    bits are cut to that range.  Empty tables give no rows.
+    a candidate, and a repeated query is answered once, for the least of its
+    vectors.  Scores beyond 64 bits are cut to that range.  Empty tables give no
+    rows.  A task holds ``group_bytes`` of queries and one shard.
     """
     fine = F.col("id").isNotNull() & F.col("v").isNotNull()
     shards = written(_blocks(candidates.where(fine).select("id", "v"), block_rows), "shards")
-    asked = written(_blocks(queries.where(fine).select("id", "v").dropDuplicates(["id"]), block_rows), "queries")
-    q_ids = asked.agg(F.sort_array(F.collect_set("block")).alias("all")).first()["all"]
-    n_shards = shards.agg(F.max("block")).first()[0]
+    asked = written(_blocks(queries.where(fine).groupBy("id").agg(F.min("v").alias("v")), block_rows), "queries")
+    sizes = [df.agg(F.coalesce(F.sum(F.length("vectors") + F.length("ids")), F.lit(0))).first()[0] for df in (asked, shards)]
     schema = "query_id long, rank int, vec_id long, score long"
-    if not q_ids or n_shards is None:
+    if not all(sizes):
         return queries.sparkSession.createDataFrame([], schema)
-    spread = shards.select(F.col("block").alias("node"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"), "dim", F.explode(F.sequence(F.lit(0), F.lit(max(q_ids)))).alias("qblock"))
-    tiles = spread.join(asked.withColumnRenamed("block", "qblock"), ["qblock", "dim"])
-
-    def select(batches):
-        for pdf in batches:
-            for t in pdf.itertuples(index=False):
-                qi, ci = np.frombuffer(t.ids, np.int64), np.frombuffer(t.c_ids, np.int64)
-                q = np.frombuffer(t.vectors, np.int64).reshape(len(qi), t.dim)
-                c = np.frombuffer(t.c_vectors, np.int64).reshape(len(ci), t.dim)
-                for lo in range(0, len(qi), 512):
-                    scores = tile_scores(q[lo : lo + 512], c)
-                    found = [best_of(row, ci, own, k) for row, own in zip(scores, qi[lo : lo + 512], strict=True)]
-                    size = [len(x) for x in found]
-                    at = np.concatenate(found) if found else np.zeros(0, int)
-                    yield pd.DataFrame({"qblock": t.qblock, "node": t.node, "query_id": np.repeat(qi[lo : lo + 512], size), "vec_id": ci[at], "score": scores[np.repeat(np.arange(len(size)), size), at]})
-
-    lists = tiles.mapInPandas(select, _LIST)
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    groups, parts = (max(1, math.ceil(size / most)) for size, most in zip(sizes, (group_bytes, part_bytes), strict=True))
+
+    def dealt(df: DataFrame, kind: int, own: str, n: int, other: str, m: int) -> DataFrame:
+        place = F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+        return df.withColumn(own, place).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("group", "part", F.lit(kind).alias("kind"), *df.columns)
+
+    met = dealt(asked, 0, "group", groups, "part", parts).unionByName(dealt(shards, 1, "part", parts, "group", groups))
+    met = met.repartition("group", "part").sortWithinPartitions("group", "part", "kind", "block")
+
+    def select(batches: Iterator[pa.RecordBatch]):
+        here, blocks, best = None, [], []
+
+        def lists():
+            for (number, ids, _), (q, c, s) in zip(blocks, best, strict=True):
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), number)), pa.array(np.full(len(q), here[1], np.int32)), pa.array(ids[q]), pa.array(c), pa.array(s)], names=["qblock", "node", "query_id", "vec_id", "score"])
+
+        for batch in batches:
+            for k_row in range(batch.num_rows):
+                group, part, kind, number, ids, vectors, dim = (batch.column(c)[k_row].as_py() for c in range(7))
+                if (group, part) != here:
+                    yield from lists()
+                    here, blocks, best = (group, part), [], []
+                i, m = _unpacked(ids, vectors, dim)
+                if kind == 0:
+                    blocks.append((number, i, m))
+                    best.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                    continue
+                for at, (_, q_ids, q) in enumerate(blocks):
+                    if q.shape[1] != dim:
+                        continue
+                    found = [best[at]]
+                    for lo in range(0, len(q_ids), 512):
+                        scores = tile_scores(q[lo : lo + 512], m)
+                        r, c = tile_best(scores, q_ids[lo : lo + 512], i, k)
+                        found.append((r + lo, i[c], scores[r, c]))
+                    r, c, s = map(np.concatenate, zip(*found, strict=True))
+                    order = np.lexsort((c, ~s, r))
+                    r, c, s = r[order], c[order], s[order]
+                    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                    best[at] = (r[keep], c[keep], s[keep])
+        yield from lists()
+
+    lists = met.mapInArrow(select, _LIST)
+
+    def merge(pdf):
         pdf = pdf.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
         return pdf[pdf.groupby("query_id").cumcount() < k]
 
-    nodes = n_shards + 1
-    while nodes > 1:
-        nodes = math.ceil(nodes / fan_in)
+    while parts > fan_in:
+        parts = math.ceil(parts / fan_in)
         lists = lists.withColumn("node", F.floor(F.col("node") / fan_in).cast("int")).groupBy("qblock", "node").applyInPandas(merge, _LIST)
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+    def order(pdf):
         pdf = merge(pdf)
         pdf["rank"] = pdf.groupby("query_id").cumcount().astype("int32") + 1
         return pdf[["query_id", "rank", "vec_id", "score"]]
