@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pandas as pd
@@ -60,10 +61,15 @@ def exact_duplicates(df: DataFrame, by: list[str], text: str, order: list[str],
     return first_wins(df.where(F.length(n) >= least), [*by, n.alias("_t")], order)
 
 
+#: What separates words for ``features``: all but letters, digits, the underscore and the Arabic block.
+_BETWEEN = re.compile(r"[^\w\u0600-\u06ff]+")
+
+
 def features(text: str) -> Counter:
-    """Words, and runs of 3 and 4 characters of the padded text, with their counts."""
-    t = f" {' '.join(text.lower().split())} "
-    return Counter(t.split()) + Counter(t[k : k + n] for n in (3, 4) for k in range(len(t) - n + 1))
+    """How often each word, and each run of 3 and 4 characters of the padded text without punctuation, occurs; words and runs are told apart."""
+    words = _BETWEEN.sub(" ", text.lower()).split()
+    t = f" {' '.join(words)} "
+    return Counter([(0, w) for w in words] + [t[k : k + n] for n in (3, 4) for k in range(len(t) - n + 1)])
 
 
 def cosine(a: Counter, b: Counter) -> float:
@@ -105,24 +111,36 @@ def near_duplicates(df: DataFrame, by: list[str], key: list[str], text: str, ord
     return df.groupBy(*by).applyInPandas(run, schema)
 
 
-def feature_rows(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """(key, feature, n): words and runs of 3 and 4 characters of the padded normal form."""
-    t = F.concat(F.lit(" "), normalised(F.col(text)), F.lit(" "))
-    runs = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda k: F.substring(t, k, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in (3, 4)]
-    words = F.filter(F.split(F.trim(t), " "), lambda w: w != "")
-    return df.select(*key, F.explode(F.concat(words, *runs)).alias("feature")).groupBy(*key, "feature").agg(F.count(F.lit(1)).alias("n"))
-
-
-def pair_cosines(rows: DataFrame, pairs: DataFrame, key: list[str]) -> DataFrame:
-    """Cosine of given pairs (columns ``a_<key>``, ``b_<key>``) of feature rows."""
-    norms = rows.groupBy(*key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    a = rows.select(*[F.col(c).alias(f"a_{c}") for c in key], "feature", F.col("n").alias("x"))
-    b = rows.select(*[F.col(c).alias(f"b_{c}") for c in key], "feature", F.col("n").alias("y"))
-    ka, kb = [f"a_{c}" for c in key], [f"b_{c}" for c in key]
-    dots = pairs.join(a, ka).join(b, [*kb, "feature"]).groupBy(*ka, *kb).agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    named = lambda p: norms.select(*[F.col(c).alias(f"{p}_{c}") for c in key], F.col("norm").alias(f"{p}_norm"))
-    out = pairs.join(dots, [*ka, *kb], "left").join(named("a"), ka).join(named("b"), kb)
-    return out.select(*ka, *kb, F.coalesce(F.col("dot") / (F.col("a_norm") * F.col("b_norm")), F.lit(0.0)).alias("cosine"))
+def feature_sizes(text: Column) -> Column:
+    """How many features a text has: distinct ones, all, and the commonest one's number."""
+
+    @F.pandas_udf("struct<features:long,total:long,most:long>")
+    def sizes(texts: pd.Series) -> pd.DataFrame:
+        found = [features(t or "").values() for t in texts]
+        return pd.DataFrame({"features": [len(f) for f in found], "total": [sum(f) for f in found], "most": [max(f, default=0) for f in found]})
+
+    return sizes(text)
+
+
+def text_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two texts' features; a null text has those of the empty one."""
+
+    @F.pandas_udf("double")
+    def cosines(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([cosine(features(s or ""), features(t or "")) for s, t in zip(x, y, strict=True)], dtype="float64")
+
+    return cosines(a, b)
+
+
+def next_cosines(df: DataFrame, group: str, position: str, text: str) -> DataFrame:
+    """(group, position, cosine) of each row with the one at the next position of its group.
+
+    Rows meet by group and position, so a group of any size is dealt to all
+    tasks.  Rows that repeat a position are pairs of their own.
+    """
+    here = df.select(group, position, F.col(text).alias("_here"))
+    following = df.select(group, (F.col(position) - 1).alias(position), F.col(text).alias("_next"))
+    return here.join(following, [group, position]).select(group, position, text_cosine(F.col("_here"), F.col("_next")).alias("cosine"))
 
 
 def best_chunks(df: DataFrame, by: list[str], score: Column, position: str, most: int = 20) -> DataFrame:

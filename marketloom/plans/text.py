@@ -57,36 +57,39 @@ def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.exact_duplicates(docs(spark, sf_dir), ["source"], "text", ["doc_id"]).select("doc_id", "source")
 
 
-@query()
-def near_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of each conversation without (nearly) repeated ones."""
-    return E.near_duplicates(load(spark, sf_dir, "conversations"), ["conv_id"], ["conv_id", "turn"], "text", ["turn"])
-
-
-FEATURE_SQL = f"""t AS (SELECT conv_id, turn, ' ' || {NORM.format('text')} || ' ' AS t FROM conversations),
-f AS (SELECT conv_id, turn, feature, count(*) AS n FROM (SELECT conv_id, turn, unnest(list_filter(string_split(trim(t), ' '), lambda w: w <> '')) AS feature FROM t
-  UNION ALL SELECT conv_id, turn, unnest(list_transform(range(1, length(t) - 1), lambda k: substr(t, k, 3))) FROM t WHERE length(t) >= 3 UNION ALL SELECT conv_id, turn, unnest(list_transform(range(1, length(t) - 2), lambda k: substr(t, k, 4))) FROM t WHERE length(t) >= 4) GROUP BY 1, 2, 3)"""
+FEATURE_SQL = f"""t AS (SELECT conv_id, turn, ' ' || trim(regexp_replace({NORM.format('text')}, '[^\\p{{L}}\\p{{N}}_\\x{{0600}}-\\x{{06FF}}]+', ' ', 'g')) || ' ' AS t FROM conversations),
+f AS MATERIALIZED (SELECT conv_id, turn, feature, count(*) AS n FROM (SELECT conv_id, turn, unnest(list_transform(list_filter(string_split(trim(t), ' '), lambda w: w <> ''), lambda w: 'w:' || w)) AS feature FROM t
+  UNION ALL SELECT conv_id, turn, unnest(list_transform(range(1, length(t) - 1), lambda k: 'c:' || substr(t, k, 3))) FROM t WHERE length(t) >= 3 UNION ALL SELECT conv_id, turn, unnest(list_transform(range(1, length(t) - 2), lambda k: 'c:' || substr(t, k, 4))) FROM t WHERE length(t) >= 4) GROUP BY 1, 2, 3),
+m AS MATERIALIZED (SELECT conv_id, turn, sqrt(sum(n * n)) AS norm FROM f GROUP BY 1, 2)"""
 
 
 @query(f"WITH {FEATURE_SQL} SELECT conv_id, turn, count(*) AS features, CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS BIGINT) AS most FROM f GROUP BY 1, 2")
 def feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.feature_rows(load(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
-    return rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("features"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", E.feature_sizes(F.col("text")).alias("f")).select("conv_id", "turn", "f.*")
 
 
 @query(
-    f"""WITH {FEATURE_SQL}, g AS (SELECT conv_id, turn, feature, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY 1, 2, 3), m AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS norm FROM g GROUP BY 1, 2),
-p AS (SELECT DISTINCT a.conv_id, a.turn AS x, b.turn AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-d AS (SELECT p.conv_id, x, y, sum(a.n * b.n) AS dot FROM p JOIN g a ON a.conv_id = p.conv_id AND a.turn = x JOIN g b ON b.conv_id = p.conv_id AND b.turn = y AND b.feature = a.feature GROUP BY 1, 2, 3)
-SELECT p.conv_id, p.x AS turn, round(coalesce(dot / (m1.norm * m2.norm), 0), 6) AS cosine FROM p LEFT JOIN d USING (conv_id, x, y) JOIN m m1 ON m1.conv_id = p.conv_id AND m1.turn = p.x JOIN m m2 ON m2.conv_id = p.conv_id AND m2.turn = p.y"""
+    f"""WITH {FEATURE_SQL}, d AS (SELECT a.conv_id, a.turn, sum(a.n * b.n) AS dot FROM f a JOIN f b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.feature = a.feature GROUP BY 1, 2)
+SELECT x.conv_id, x.turn, round(coalesce(dot / (x.norm * y.norm), 0), 6) AS cosine FROM m x JOIN m y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1 LEFT JOIN d ON d.conv_id = x.conv_id AND d.turn = x.turn"""
 )
 def sparse_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How alike each turn is to the next one of its conversation."""
-    c = load(spark, sf_dir, "conversations")
-    rows = E.feature_rows(c, ["conv_id", "turn"], "text")
-    turns = c.select("conv_id", "turn").distinct()
-    pairs = turns.select(F.col("conv_id").alias("a_conv_id"), F.col("turn").alias("a_turn"), F.col("conv_id").alias("b_conv_id"), (F.col("turn") + 1).alias("b_turn")).join(turns.select(F.col("conv_id").alias("b_conv_id"), F.col("turn").alias("b_turn")), ["b_conv_id", "b_turn"])
-    return E.pair_cosines(rows, pairs, ["conv_id", "turn"]).select(F.col("a_conv_id").alias("conv_id"), F.col("a_turn").alias("turn"), F.round("cosine", 6).alias("cosine"))
+    return E.next_cosines(load(spark, sf_dir, "conversations"), "conv_id", "turn", "text").withColumn("cosine", F.round("cosine", 6))
+
+
+@query(
+    f"""WITH RECURSIVE {FEATURE_SQL}, c AS (SELECT conv_id, turn, {NORM.format('text')} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+near AS (SELECT b.conv_id, b.turn, list(a.turn) AS alike FROM (SELECT a.conv_id, a.turn AS x, b.turn AS y, sum(a.n * b.n) AS dot FROM f a JOIN f b ON a.conv_id = b.conv_id AND a.turn < b.turn AND b.feature = a.feature GROUP BY 1, 2, 3) d
+  JOIN m a ON a.conv_id = d.conv_id AND a.turn = x JOIN m b ON b.conv_id = d.conv_id AND b.turn = y WHERE dot / (a.norm * b.norm) > 0.90 GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT c.conv_id, c.turn, k, length(t) < 8 AS short, coalesce(alike, []) AS alike, row_number() OVER (PARTITION BY c.conv_id, t ORDER BY c.turn) > 1 AS again FROM c LEFT JOIN near USING (conv_id, turn)),
+r AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS turn, '' AS fate, CAST([] AS BIGINT[]) AS kept FROM e WHERE k = 1
+  UNION ALL SELECT e.conv_id, e.k, e.turn, CASE WHEN short THEN 'short' WHEN again THEN 'exact' WHEN list_has_any(alike, kept) THEN 'near' ELSE 'kept' END, CASE WHEN short OR again OR list_has_any(alike, kept) THEN kept ELSE list_append(kept, CAST(e.turn AS BIGINT)) END
+  FROM r JOIN e ON e.conv_id = r.conv_id AND e.k = r.k + 1)
+SELECT conv_id, CAST(turn AS INT) AS turn, fate FROM r WHERE k > 0"""
+)
+def near_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each conversation without (nearly) repeated ones."""
+    return E.near_duplicates(load(spark, sf_dir, "conversations"), ["conv_id"], ["conv_id", "turn"], "text", ["turn"])
 
 
 @query(
