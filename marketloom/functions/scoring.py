@@ -40,34 +40,7 @@ def choice(v: Column, points: Mapping[str, float], otherwise: float) -> Column:
     return out
 
 
-# M1-M3: processor and graphics
-
-def cpu_score(cores: C, threads: C, boost_ghz: C, cache_mb: C, benchmark: C | None = None, memory_mhz: C | None = None) -> Column:
-    """A benchmark where there is one, else an estimate from the data sheet; then the memory's bandwidth."""
-    estimate = clamp(col(cores) * 2.5 + col(threads) * 0.8 + (col(boost_ghz) - 3) * 8 + col(cache_mb) * 0.35, 15, 98, None)
-    base = F.coalesce(col(benchmark), estimate) if benchmark is not None else estimate
-    factor = F.lit(1.0) if memory_mhz is None else ladder(F.coalesce(col(memory_mhz), F.lit(0)), [(6400, 1.05), (5200, 1.02)], 1.0)
-    return clamp(base * factor, 10, 100)
-
-
-def gpu_score(reference: C, integrated: C, watts: C, reference_watts: C, gddr7: C, multiplier: float = 1.0) -> Column:
-    """The reference score, for discrete chips scaled by the power they are given."""
-    ratio = clamp(col(watts) / F.nullif(col(reference_watts), F.lit(0.0)), 0.4, 1.35, None)
-    scale = F.round(clamp(F.pow(F.coalesce(ratio, F.lit(1.0)), F.lit(0.32)), 0.72, 1.10, None), 3)
-    discrete = col(reference) * scale + F.when(col(gddr7), 2.5).otherwise(0.0)
-    return clamp(F.when(col(integrated), col(reference) * multiplier).otherwise(discrete), 15, 100)
-
-
-def silicon_index(cpu: C, gpu: C) -> Column:
-    return F.round(0.45 * col(cpu) + 0.55 * col(gpu), 2)
-
-
-def power_headroom(cpu_w: C, gpu_w: C, adapter_w: C, overhead_w: float = 30.0, boost_share: float = 0.0) -> Column:
-    """How far the adapter carries the load: full marks with room to spare, falling in two bands."""
-    load = (col(cpu_w) + col(gpu_w)) * (1 - boost_share) + overhead_w
-    spare = col(adapter_w) - load
-    return clamp(F.when(spare >= 20, 95 + (spare - 20) * 0.1).when(spare >= 0, 80 + spare * 0.75).otherwise(80 + spare * 0.9), 20, 100)
-
+# M13: the power policy of graphics
 
 def power_tier(watts: C, base_max: C, integrated: C) -> Column:
     """Share of the native power limit that a chip is given, as a tier."""
@@ -88,38 +61,9 @@ def with_warning(warnings: Column, warning: Column) -> Column:
     return F.when(warning.isNull() | F.array_contains(have, warning), have).otherwise(F.concat(F.array(warning), have))
 
 
-# M5-M9: display, mobility, longevity, ergonomics, ports
-
-def pixel_density(width: C, height: C, inches: C) -> Column:
-    return F.hypot(col(width).cast("double"), col(height).cast("double")) / F.nullif(col(inches).cast("double"), F.lit(0.0))
-
-
-def display_score(ppi: Column, hz: C, nits: C, gamut_pct: C, oled: C, response_ms: C) -> Column:
-    parts = ladder(ppi, [(200, 25.0), (160, 20.0), (140, 15.0)], 8.0) + ladder(col(hz), [(240, 20.0), (144, 16.0), (120, 13.0), (90, 9.0)], 5.0) + ladder(col(nits), [(500, 20.0), (400, 16.0), (300, 11.0)], 6.0)
-    parts = parts + ladder(col(gamut_pct), [(95, 20.0), (72, 13.0)], 6.0) + F.when(col(oled), 10.0).otherwise(4.0) + F.when(col(response_ms) <= 3, 5.0).otherwise(2.0)
-    return clamp(parts, 10, 100)
-
-
-def battery_hours(watt_hours: C, idle_watts: C) -> Column:
-    return F.round(col(watt_hours) / F.greatest(col(idle_watts), F.lit(1.0)), 1)
-
-
-def mobility_score(hours: Column, weight_kg: C, thickness_mm: C, usb_power: C, fast_charge: C) -> Column:
-    weight = F.when(col(weight_kg) <= 1.3, 35.0).when(col(weight_kg) <= 1.6, 28.0).when(col(weight_kg) <= 2.0, 20.0).when(col(weight_kg) <= 2.4, 12.0).otherwise(5.0)
-    return clamp(ladder(hours, [(10, 40.0), (7, 32.0), (5, 22.0), (3, 12.0)], 5.0) + weight + F.when(col(thickness_mm) <= 18, 10.0).otherwise(4.0) + F.when(col(usb_power), 8.0).otherwise(0.0) + F.when(col(fast_charge), 7.0).otherwise(0.0), 10, 100)
-
-
-def longevity_score(ram: Column, storage: Column, chassis: Column) -> Column:
-    return clamp(F.least(ram, F.lit(45.0)) + F.least(storage, F.lit(40.0)) + F.least(chassis, F.lit(15.0)), 10, 100)
-
-
-def ergonomics_score(webcam: Column, keyboard: Column, audio: Column) -> Column:
-    return clamp(F.least(webcam, F.lit(35.0)) + F.least(keyboard, F.lit(35.0)) + F.least(audio, F.lit(30.0)), 10, 100)
-
-
 def port_count(ports: Column) -> Column:
     """Ports of a list such as ``2 x USB-C``; an entry without a number is one."""
-    n = F.transform(ports, lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"^\s*(\d+)\s*x", 1), F.lit("")).cast("int"), F.lit(1)))
+    n = F.transform(ports, lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"^\s*(\d+)\s*[xX]", 1), F.lit("")).cast("int"), F.lit(1)))
     return F.aggregate(n, F.lit(0), lambda a, x: a + x)
 
 

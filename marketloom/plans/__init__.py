@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("price", "browse", "merge", "scoring", "ranking", "resolve", "text", "vectors", "pages", "specs", "reviews", "stream")
+GROUPS = ("price", "browse", "merge", "scoring", "metrics", "ranking", "resolve", "text", "vectors", "pages", "specs", "reviews", "stream")
 
 
 def load() -> None:

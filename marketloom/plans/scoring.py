@@ -28,24 +28,6 @@ def clamp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", S.clamp(F.col("p_size") * 2.5, 15, 98).alias("score"))
 
 
-@query(f"WITH {SHEET_SQL} SELECT id, round(greatest(10, least(100, greatest(15, least(98, cores * 2.5 + threads * 0.8 + (boost - 3) * 8 + cache * 0.35)) * CASE WHEN p_size * 200 >= 6400 THEN 1.05 WHEN p_size * 200 >= 5200 THEN 1.02 ELSE 1 END)), 4) AS score FROM sheet")
-def cpu_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    estimate = S.clamp(F.col("cores") * 2.5 + F.col("threads") * 0.8 + (F.col("boost") - 3) * 8 + F.col("cache") * 0.35, 15, 98, None)
-    factor = S.ladder(F.col("p_size") * 200, [(6400, 1.05), (5200, 1.02)], 1.0)
-    return sheet(spark, sf_dir).select("id", S.clamp(estimate * factor, 10, 100, 4).alias("score"))
-
-
-GPU_SQL = "greatest(15, least(100, CASE WHEN igpu THEN gref ELSE gref * round(greatest(0.72, least(1.10, pow(greatest(0.4, least(1.35, watts / 115.0)), 0.32))), 3) + CASE WHEN p_size > 40 THEN 2.5 ELSE 0 END END))"
-
-
-@query(f"WITH {SHEET_SQL}, g AS (SELECT *, {GPU_SQL} AS v FROM sheet) SELECT id, round(v, 3) AS score FROM g")
-def gpu_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratio = S.clamp(F.col("watts") / 115.0, 0.4, 1.35, None)
-    scale = F.round(S.clamp(F.pow(ratio, F.lit(0.32)), 0.72, 1.10, None), 3)
-    v = F.when(F.col("igpu"), F.col("gref")).otherwise(F.col("gref") * scale + F.when(F.col("p_size") > 40, 2.5).otherwise(0.0))
-    return sheet(spark, sf_dir).select("id", S.clamp(v, 15, 100, 3).alias("score"))
-
-
 LADDER = "CASE WHEN {c} >= 40 THEN 25 WHEN {c} >= 25 THEN 16 WHEN {c} >= 10 THEN 9 ELSE 4 END"
 
 
@@ -79,11 +61,6 @@ def power_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheet(spark, sf_dir).select("id", S.power_tier("watts", F.lit(115.0), "igpu").alias("tier"), S.power_utilisation("watts", F.lit(140.0)).alias("utilisation"))
 
 
-@query(f"WITH {SHEET_SQL}, p AS (SELECT id, 330.0 - (cores * 5 + watts + 30.0) - p_size * 4 AS spare FROM sheet) SELECT id, round(greatest(20, least(100, CASE WHEN spare >= 20 THEN 95 + (spare - 20) * 0.1 WHEN spare >= 0 THEN 80 + spare * 0.75 ELSE 80 + spare * 0.9 END)), 2) AS score FROM p")
-def power_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sheet(spark, sf_dir).select("id", S.power_headroom(F.col("cores") * 5, "watts", 330.0 - F.col("p_size") * 4).alias("score"))
-
-
 @query(
     f"""WITH {SHEET_SQL}, a AS (SELECT id, round(greatest(42, least(96, 75.0 + (gref - 75.0) * 1.25)), 1) AS t, round(greatest(42, least(96, 75.0 + (watts - 75.0) * 1.25)), 1) AS n, cache / 5 AS hours, igpu, cores, watts FROM sheet),
 b AS (SELECT *, 38.0 + (hours - 2.5) * 7.2 AS raw FROM a),
