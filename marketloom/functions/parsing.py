@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,17 +44,39 @@ def finite(v: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _western(text: Column) -> Column:
+    return F.translate(text, "٠١٢٣٤٥٦٧٨٩", "0123456789")
+
+
 def money(text: Column) -> Column:
-    """A positive price out of a text: Eastern Arabic digits, currency words, thousands marks of either kind."""
-    t = F.translate(text, "٠١٢٣٤٥٦٧٨٩", "0123456789")
-    run = F.regexp_extract(t, r"(\d[\d.,]*)", 1)
-    # A mark followed by three digits at each place separates thousands; else the last one is a decimal mark.
-    thousands = run.rlike(r"^\d{1,3}([.,]\d{3})+$")
-    mixed = run.rlike(r"^\d{1,3}(,\d{3})*\.\d{1,2}$")
-    euro = run.rlike(r"^\d{1,3}(\.\d{3})*,\d{1,2}$")
-    plain = F.when(thousands, F.regexp_replace(run, "[.,]", "")).when(mixed, F.regexp_replace(run, ",", "")).when(euro, F.regexp_replace(F.regexp_replace(run, r"\.", ""), ",", ".")).otherwise(F.regexp_replace(run, ",", ""))
-    value = plain.try_cast("double")
-    return F.when(value > 0, value)
+    """A positive price out of a text: Eastern Arabic digits, currency words left out, blanks within the number too.
+
+    With both marks the last one is decimal; commas alone separate thousands,
+    and a point alone is decimal.
+    """
+    t = F.regexp_replace(_western(text), r"(?iU)\b(?:egp|le|l\.e|جنيه|ج\.م)\b", "")
+
+    def plain(run: Column) -> Column:
+        european = run.rlike(r"\..*,[^.]*$")  # both marks, the comma last
+        return F.when(european, F.translate(F.translate(run, ".", ""), ",", ".")).otherwise(F.translate(run, ",", ""))
+
+    def value(number: Column) -> Column:
+        return F.when(number.rlike(r"^\d+\.?\d*$") & (number.try_cast("double") > 0), number.try_cast("double"))
+
+    return bound(bound(F.translate(F.regexp_extract(t, r"(\d[\d,. ]*)", 1), " ", ""), plain), value)
+
+
+def shown_money(text: Column) -> Column:
+    """struct(value, shown) of a price text: the first run of digits and commas, with two decimals if a point and two digits follow; ``shown`` is the text itself if there is none."""
+    run = F.translate(F.regexp_extract(_western(text), r"([\d,]+(?:\.\d{2})?)", 1), ",", "")
+    value = F.when(F.length(text) > 0, run.try_cast("double"))
+    shown = F.when(value.isNotNull(), F.concat(F.format_number(value, 2), F.lit(" EGP"))).when(F.length(text) > 0, F.trim(text))
+    return F.struct(value.alias("value"), shown.alias("shown"))
 
 
 #: What the validators accept.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.functions.parsing import money
+from marketloom.functions.parsing import bound, money
 
 
 def title(html: Column) -> Column:
@@ -27,10 +27,14 @@ def json_ld(html: Column) -> Column:
 
 def offer(html: Column) -> Column:
     """struct(price, in_stock) of a product page: linked data first, then a price element; stock unless said otherwise."""
-    data = json_ld(html)
-    price = F.coalesce(F.get_json_object(data, "$.offers.price").try_cast("double"), money(F.nullif(F.regexp_extract(html, r'(?is)class="price"[^>]*>([^<]+)<', 1), F.lit(""))))
-    said = F.coalesce(F.get_json_object(data, "$.offers.availability"), F.lit(""))
-    return F.struct(price.alias("price"), (~(said.contains("OutOfStock") | F.lower(html).contains("out of stock"))).alias("in_stock"))
+
+    def read(page: Column) -> Column:
+        data = json_ld(page)
+        price = F.coalesce(F.get_json_object(data, "$.offers.price").try_cast("double"), money(F.nullif(F.regexp_extract(page, r'(?is)class="price"[^>]*>([^<]+)<', 1), F.lit(""))))
+        said = F.coalesce(F.get_json_object(data, "$.offers.availability"), F.lit(""))
+        return F.struct(price.alias("price"), (~(said.contains("OutOfStock") | F.lower(page).contains("out of stock"))).alias("in_stock"))
+
+    return bound(html, read)
 
 
 def table_rows(html: Column) -> Column:

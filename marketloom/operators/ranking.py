@@ -169,6 +169,8 @@ class Scope:
     least_for_floor: int = 5
     least_for_gates: int = 3
     fallback: Column = field(default_factory=lambda: F.lit(True))
+    #: What fallback rows should satisfy, first things first; each holds as long as some row is left. The gates, if not given.
+    preferences: tuple[Column, ...] | None = None
     fallback_rows: int = 3
 
 
@@ -182,8 +184,14 @@ def scoped(df: DataFrame, scope: Scope, price: str, order: list[str]) -> DataFra
     """
     b, g, p = F.coalesce(scope.base, F.lit(False)), F.coalesce(scope.gates, F.lit(False)), F.col(price)
     floors = [round(scope.max_budget * 0.60, 0), round(scope.max_budget * 0.45, 0)]
-    flagged = df.withColumns({"_b": b, "_g": b & g, "_f": F.coalesce(scope.fallback, F.lit(False)) & (p > 0), "_fg": F.coalesce(scope.fallback, F.lit(False)) & (p > 0) & g})
-    aggs = [F.count_if(c).alias(f"c{c}") for c in ("_b", "_g", "_f", "_fg")]
+    wishes = (g,) if scope.preferences is None else tuple(F.coalesce(w, F.lit(False)) for w in scope.preferences)
+    met = F.lit(0)
+    for k, w in enumerate(wishes):
+        met = met + F.when(w, 1 << k).otherwise(0)
+    flagged = df.withColumns({"_b": b, "_g": b & g, "_f": F.coalesce(scope.fallback, F.lit(False)) & (p > 0), "_m": met})
+    aggs = [F.count_if(c).alias(f"c{c}") for c in ("_b", "_g")]
+    # For every set of wishes, how many fallback rows satisfy it.
+    aggs.append(F.array(*[F.count_if(F.col("_f") & (F.col("_m").bitwiseAND(k) == k)) for k in range(1 << len(wishes))]).alias("_sets"))
     aggs += [F.count_if(F.col(c) & (p >= f)).alias(f"c{c}{k}") for c in ("_b", "_g") for k, f in enumerate(floors)]
     counts = flagged.agg(*aggs)
     relaxed = ((F.col("c_g") < scope.least_for_gates) & (F.col("c_b") >= scope.least_for_gates)) | ((F.col("c_g") == 0) & (F.col("c_b") > 0))
@@ -193,14 +201,66 @@ def scoped(df: DataFrame, scope: Scope, price: str, order: list[str]) -> DataFra
     if scope.min_budget is None and scope.smart_floor:
         for k in (1, 0):
             floor = F.when((pick("") > scope.least_for_floor) & (pick(str(k)) >= scope.least_for_floor), floors[k]).otherwise(floor)
-    counts = counts.select("_relaxed", pick("").alias("_pool"), floor.alias("floor"), (F.col("c_fg") > 0).alias("_use_fg"))
+    wanted = F.lit(0)
+    for k in range(len(wishes)):
+        more = wanted.bitwiseOR(1 << k)
+        wanted = F.when(F.get("_sets", more) > 0, more).otherwise(wanted)
+    counts = counts.select("_relaxed", pick("").alias("_pool"), floor.alias("floor"), wanted.alias("_wanted"))
     rows = flagged.crossJoin(F.broadcast(counts))
     mine = F.when(F.col("_relaxed"), F.col("_b")).otherwise(F.col("_g")) & (p >= F.col("floor"))
     status = F.when(F.col("_pool") == 0, "BUDGET_TOO_LOW_FOR_CATEGORY").when(F.col("_relaxed"), "GATES_RELAXED_FOR_LOW_BUDGET").otherwise("OK")
     ranked = rows.where((F.col("_pool") > 0) & mine)
-    spare = rows.where((F.col("_pool") == 0) & F.when(F.col("_use_fg"), F.col("_fg")).otherwise(F.col("_f"))).orderBy(p, *order).limit(scope.fallback_rows)
+    spare = rows.where((F.col("_pool") == 0) & F.col("_f") & (F.col("_m").bitwiseAND(F.col("_wanted")) == F.col("_wanted"))).orderBy(p, *order).limit(scope.fallback_rows)
     out = ranked.unionByName(spare)
-    return out.withColumns({"status": status, "gates_relaxed": F.col("_relaxed") | (F.col("_pool") == 0)}).drop("_b", "_g", "_f", "_fg", "_relaxed", "_pool", "_use_fg")
+    return out.withColumns({"status": status, "gates_relaxed": F.col("_relaxed") | (F.col("_pool") == 0)}).drop("_b", "_g", "_f", "_m", "_relaxed", "_pool", "_wanted")
+
+
+def hard_filters(columns: dict[str, str], brands: list[str] | None = None, ram_gb: float | None = None, storage_gb: float | None = None, discrete: bool | None = None, oled: bool = False, touch: bool = False) -> Column:
+    """What a user insists on; ``columns`` names brand, ram_gb, storage_gb, integrated, panel, touch, and unknown values fail."""
+    c = lambda k, d: F.coalesce(F.col(columns[k]), F.lit(d))
+    out = F.lit(True)
+    if brands:
+        out = out & F.lower(F.trim(c("brand", ""))).isin(*[b.lower().strip() for b in brands])
+    if ram_gb:
+        out = out & (c("ram_gb", 0) >= ram_gb)
+    if storage_gb:
+        out = out & (c("storage_gb", 0) >= storage_gb)
+    if discrete is not None:
+        out = out & (~c("integrated", True) if discrete else c("integrated", True))
+    if oled:
+        out = out & F.upper(c("panel", "")).contains("OLED")
+    return out & c("touch", False) if touch else out
+
+
+def reviewed(df: DataFrame, key: str, overrides: DataFrame | None = None, score: str = "reviews", neutral: float = 75.0) -> DataFrame:
+    """``df`` with its review score replaced by that of ``overrides`` (``key``, ``score``; one row a key), and the neutral one where there is none."""
+    own = F.col(score) if score in df.columns else F.lit(None).cast("double")
+    if overrides is None:
+        return df.withColumn(score, F.coalesce(own, F.lit(neutral)))
+    given = overrides.select(F.col(key).alias("_key"), F.col(score).cast("double").alias("_given"))
+    joined = df.join(given, F.col(key) == F.col("_key"), "left")
+    return joined.withColumn(score, F.coalesce("_given", own, F.lit(neutral))).drop("_key", "_given")
+
+
+def calibrated_value(hardware: Column, price: Column, middle: float = 0.92, steepness: float = 2.5) -> Column:
+    """Value for money by a logistic curve of points per thousand, 15 to 97.5; 50 below a price of 10 000."""
+    z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), -steepness * (F.greatest(F.lit(0.0), hardware) / (price / 1000.0) - middle)))
+    return F.when(price >= 10000, F.round(15.0 + 82.5 / (1.0 + F.exp(z)), 2)).otherwise(50.0)
+
+
+def persona_fits(df: DataFrame, key: list[str], benefits: list[str], value: str, price: str) -> DataFrame:
+    """hardware_fit, value_fit and persona_value of every row for every persona.
+
+    The first is the score over all benefits, the second has the value for money
+    (null counts as 50) beside them with one and a half times the price's
+    weight, and the third sets the first against the price.
+    """
+    rows = df.withColumn("_value", F.coalesce(F.nullif(F.col(value), F.lit(0.0)), F.lit(50.0)))
+    shares = {p: dict(zip(CRITERIA, w, strict=True)) for p, w in PERSONAS.items()}
+    hardware = persona_scores(rows, [*key, price], [Criterion(c, 1.0) for c in benefits], {p: [w[c] for c in benefits] for p, w in shares.items()})
+    both = persona_scores(rows, key, [Criterion(c, 1.0) for c in [*benefits, "_value"]], {p: [*[w[c] for c in benefits], w["price"] * 1.5] for p, w in shares.items()})
+    out = hardware.withColumnRenamed("score", "hardware_fit").join(both.withColumnRenamed("score", "value_fit"), [*key, "persona"])
+    return out.withColumn("persona_value", calibrated_value(F.greatest(F.lit(1.0), F.col("hardware_fit")), F.col(price))).drop(price)
 
 
 # Prompts

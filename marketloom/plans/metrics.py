@@ -78,6 +78,9 @@ SHEET = {
     "ethernet": "CASE k % 7 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END",
     "ethernet_speed": "CASE k % 6 WHEN 0 THEN '2.5 Gbps' WHEN 1 THEN '1 Gbps' END",
     "card_reader": "k % 4 = 3",
+    "storage_gb": "CASE WHEN k % 9 > 0 THEN CAST(256 * (1 + k % 6) AS INT) END",
+    "touch": "k % 4 = 0",
+    "brand": "CASE k % 6 WHEN 0 THEN 'Asus' WHEN 1 THEN ' HP' WHEN 2 THEN 'Dell' WHEN 3 THEN 'lenovo' WHEN 4 THEN 'Acer' END",
     "archived": "k % 50 = 7",
     "shown_price": "price * 60",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.functions.parsing import shown_money
 from marketloom.operators import pages as P
 from marketloom.registry import query
 from marketloom.sources.tables import load
@@ -23,16 +24,28 @@ def page_title_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", P.title(F.col("html")).alias("title"), F.size(links).alias("n_links"), F.array_join(F.slice(links, 1, 3), " ").alias("first_links"))
 
 
-INJECTED = "html || '<span class=\"price\">EGP ' || format('{:,}', 1000 + page_id * 37) || '.50</span>' || CASE WHEN page_id % 4 = 0 THEN 'Out of Stock' ELSE '' END"
+#: Price texts in the ways that stores write them, in SQL that Spark and DuckDB read alike.
+PRICE_TEXT = """CASE page_id % 8 WHEN 0 THEN concat('EGP 1,', CAST(100 + page_id % 900 AS STRING), '.50') WHEN 1 THEN concat('81.', CAST(100 + page_id % 900 AS STRING), ',25 ج.م') WHEN 2 THEN concat(CAST(20 + page_id % 70 AS STRING), ' ', CAST(100 + page_id % 900 AS STRING), ' L.E.')
+WHEN 3 THEN concat('45.', CAST(100 + page_id % 900 AS STRING)) WHEN 4 THEN concat('جنيه ٦', CAST(page_id % 10 AS STRING), ',٩٩٩') WHEN 5 THEN 'call us' WHEN 6 THEN concat('12,5', CAST(page_id % 10 AS STRING), ' EGP') ELSE concat('1.2.', CAST(page_id AS STRING)) END"""
+WESTERN = f"translate({PRICE_TEXT}, '٠١٢٣٤٥٦٧٨٩', '0123456789')"
+MONEY_SQL = f"""x AS (SELECT page_id, html, {PRICE_TEXT} AS t, replace(regexp_extract({WESTERN}, '([0-9][0-9,. ]*)', 1), ' ', '') AS run, regexp_extract({WESTERN}, '([0-9,]+(\\.[0-9]{{2}})?)', 1) AS simple FROM pages),
+y AS (SELECT *, CASE WHEN NOT contains(run, ',') THEN run WHEN NOT contains(run, '.') THEN replace(run, ',', '') WHEN regexp_matches(run, '\\.[^,]*$') THEN replace(run, ',', '') ELSE replace(replace(run, '.', ''), ',', '.') END AS plain FROM x),
+z AS (SELECT *, CASE WHEN TRY_CAST(plain AS DOUBLE) > 0 THEN TRY_CAST(plain AS DOUBLE) END AS price FROM y)"""
 
 
-@query(f"WITH x AS (SELECT page_id, {INJECTED} AS h FROM pages), r AS (SELECT page_id, h, regexp_extract(regexp_extract(h, '(?is)class=\"price\"[^>]*>([^<]+)<', 1), '([0-9][0-9.,]*)', 1) AS run FROM x) SELECT page_id, TRY_CAST(replace(run, ',', '') AS DOUBLE) AS price, NOT contains(lower(h), 'out of stock') AS in_stock FROM r")
+@query(f"WITH {MONEY_SQL} SELECT page_id, price, NOT contains(lower(html || CASE WHEN page_id % 4 = 0 THEN 'Out of Stock' ELSE '' END), 'out of stock') AS in_stock FROM z")
 def page_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices and stock of pages (with a price element appended, as these pages have none)."""
-    extra = F.concat("html", F.lit('<span class="price">EGP '), F.format_number(F.col("page_id") * 37 + 1000, 0), F.lit(".50</span>"), F.when(F.col("page_id") % 4 == 0, "Out of Stock").otherwise(""))
+    extra = F.concat("html", F.lit('<span class="price">'), F.expr(PRICE_TEXT), F.lit("</span>"), F.when(F.col("page_id") % 4 == 0, "Out of Stock").otherwise(""))
     return pages(spark, sf_dir).select("page_id", P.offer(extra).alias("o")).select("page_id", "o.price", "o.in_stock")
 
 
+@query(f"WITH {MONEY_SQL} SELECT page_id, TRY_CAST(replace(simple, ',', '') AS DOUBLE) AS value, CASE WHEN TRY_CAST(replace(simple, ',', '') AS DOUBLE) IS NULL THEN t ELSE format('{{:,.2f}} EGP', TRY_CAST(replace(simple, ',', '') AS DOUBLE)) END AS shown FROM z")
+def shown_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price texts as numbers and in the form in which they are shown."""
+    return pages(spark, sf_dir).select("page_id", shown_money(F.expr(PRICE_TEXT)).alias("m")).select("page_id", "m.value", "m.shown")
+
+
 VETOES = [("script", "track\\(1\\d*\\)"), ("foreign", 'lang="(de|fr)"'), ("advert", "<!-- ad [0-4] -->")]
 
 

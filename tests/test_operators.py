@@ -96,9 +96,11 @@ def test_names(spark):
 
 
 def test_parsing(spark):
-    texts = ["EGP 45,999.50", "٤٥٬٠٠٠", "45.999,50 EGP", "1,234,567", "no price", "0", "12,5"]
+    texts = ["EGP 45,999.50", "81.500,00 ج.م", "45.999,50 EGP", "1,234,567", "no price", "0", "12,5", "45 999", "45.999", "1.2.3", "٦١,٩٩٩", "", None, "81,500.00 L.E"]
     got = list(one(spark, *[parsing.money(F.lit(t)) for t in texts]))
-    assert got[0] == 45999.5 and got[2] == 45999.5 and got[3] == 1234567 and got[4] is None and got[5] is None
+    assert got == [45999.5, 81500.0, 45999.5, 1234567.0, None, None, 125.0, 45999.0, 45.999, None, 61999.0, None, None, 81500.0]
+    got = one(spark, *[parsing.shown_money(F.lit(t)) for t in ("54,999.00 EGP", "EGP 54,999", "54.999 ج.م", "جنيه ٦١,٩٩٩", " call ", "", None, ",,")])
+    assert [tuple(g) for g in got] == [(54999.0, "54,999.00 EGP"), (54999.0, "54,999.00 EGP"), (54.99, "54.99 EGP"), (61999.0, "61,999.00 EGP"), (None, "call"), (None, None), (None, None), (None, ",,")]
     r = one(spark, parsing.validated("ram_gb", F.lit("16")), parsing.validated("weight_kg", F.lit(9)), parsing.hdr_flag(F.lit("No HDR")), parsing.dimensions(F.array(F.lit(35.9), F.lit(2.1), F.lit(25.4))))
     assert r[0]["ok"] and not r[1]["ok"] and r[2] is False and r[3] == pytest.approx([359, 254, 21])
 
