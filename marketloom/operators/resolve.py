@@ -31,13 +31,25 @@ def compatible(left: str, right: str, exact: list[str], within: dict[str, float]
     return out
 
 
+def alike_classes(df: DataFrame, key: list[str], position: str, exact: list[str], within: dict[str, float]) -> DataFrame:
+    """Rows that agree in block and in all that is compared, as one class: its first row in order, and how many they are."""
+    what = [*key, *exact, *within]
+    return df.groupBy(*what).agg(F.min(position).alias(position), F.count(F.lit(1)).alias("members"))
+
+
 def candidate_pairs(df: DataFrame, key: list[str], position: str, exact: list[str], within: dict[str, float]) -> DataFrame:
-    """(first, second) of rows that share a block key, in order, and are compatible."""
+    """(first, second, first_members, second_members): classes that share a block key and are compatible, by their first rows.
+
+    Members of a class are compatible with each other, and with all members of
+    a class that is compatible with theirs, so copies make no pairs.
+    """
+    df = alike_classes(df, key, position, exact, within)
     a, b = df.alias("a"), df.alias("b")
     block = F.lit(True)
     for k in key:
         block = block & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    return a.join(b, block & (F.col(f"a.{position}") < F.col(f"b.{position}"))).where(compatible("a", "b", exact, within)).select(F.col(f"a.{position}").alias("first"), F.col(f"b.{position}").alias("second"))
+    pairs = a.join(b, block & (F.col(f"a.{position}") < F.col(f"b.{position}"))).where(compatible("a", "b", exact, within))
+    return pairs.select(F.col(f"a.{position}").alias("first"), F.col(f"b.{position}").alias("second"), F.col("a.members").alias("first_members"), F.col("b.members").alias("second_members"))
 
 
 def key_components(df: DataFrame, node: str, keys: list[list[str]]) -> DataFrame:
@@ -107,13 +119,20 @@ def first_per_key(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
 
 
 def longest_match(df: DataFrame, text: str, key: list[str], patterns: DataFrame, pattern: str, value: str) -> DataFrame:
-    """Each row's longest pattern that its text contains, with the pattern's value; ties by pattern.
+    """Each row's longest pattern that its text contains (case aside), with the pattern's value; ties by pattern.
 
-    The patterns are a dimension table; Spark broadcasts it if its size allows.
+    Every stretch of a text that is as long as some pattern is looked up by an
+    equi-join, so what is joined are matches alone, whatever the number of
+    patterns; of patterns with different lengths there are as many as the
+    longest has characters at most.
     """
-    hit = df.join(patterns, F.lower(F.col(text)).contains(F.lower(F.col(pattern))), "left")
-    best = F.max_by(F.struct(pattern, value), F.struct(F.length(pattern), F.col(pattern)))
-    return hit.groupBy(*key).agg(best.alias("b")).select(*key, F.col(f"b.{pattern}").alias("matched"), F.col(f"b.{value}").alias(value))
+    lengths = patterns.where(F.length(pattern) > 0).agg(F.collect_set(F.length(pattern)).alias("_lengths"))  # one row
+    low = F.lower(F.col(text))
+    at = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n))).otherwise(F.array().cast("array<string>"))
+    spans = df.crossJoin(F.broadcast(lengths)).select(*key, F.explode(F.array_distinct(F.flatten(F.transform("_lengths", at)))).alias("_span"))
+    hit = spans.join(patterns.select(pattern, value, F.lower(F.col(pattern)).alias("_span")), "_span")
+    best = hit.groupBy(*key).agg(F.max_by(F.struct(pattern, value), F.struct(F.length(pattern), F.col(pattern))).alias("b"))
+    return df.select(*key).join(best, key, "left").select(*key, F.col(f"b.{pattern}").alias("matched"), F.col(f"b.{value}").alias(value))
 
 
 def verdict(checks: list[Column], must: list[Column]) -> Column:

@@ -37,24 +37,26 @@ def adjusted(sims: DataFrame, key: str, base: float = 75.0, con_weight: float =
 
 
 def dynamic_weight(scores: DataFrame, value: str, top: int = 5, low: tuple[float, float] = (0.08, 0.10), high: tuple[float, float] = (0.26, 0.25)) -> DataFrame:
-    """A weight from the spread of a few values (one row per key): mean of the top against the median of the rest.
+    """A weight from the spread of values (one row per key): mean of the top against the median of the rest.
 
     With no more than ``top`` values: the largest against the median.  The
-    spread is mapped linearly between the two points and clamped.
+    spread is at least 0, mapped linearly between the two points and clamped.
+    Without values there is no spread.  The top is a sorted limit, and the rest's median comes
+    from an aggregate over the values without it, so none is gathered.
     """
-    v = F.array_sort(F.collect_list(value), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0))
-    s = scores.agg(v.alias("v"))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a)
-
-    def median(a: Column) -> Column:
-        n = F.size(a)
-        mid = F.floor(n / 2).cast("int")
-        return F.when(n % 2 == 1, F.element_at(a, mid + 1)).otherwise((F.element_at(a, mid) + F.element_at(a, mid + 1)) / 2)
-
-    rest = F.slice(F.col("v"), top + 1, F.greatest(F.size("v") - top, F.lit(1)))
-    spread = F.when(F.size("v") > top, mean(F.slice("v", 1, top)) - median(rest)).otherwise(F.element_at("v", 1) - median(F.col("v")))
+    v = scores.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    best = v.orderBy(F.desc("v")).limit(top).agg(F.avg("v").alias("mean"), F.max("v").alias("most"), F.min("v").alias("least"), F.collect_list("v").alias("taken"))
+    all_of = v.crossJoin(F.broadcast(best))  # a row of ``top`` values
+    counted = all_of.agg(F.count(F.lit(1)).alias("n"), F.first("mean").alias("mean"), F.first("most").alias("most"), F.percentile("v", 0.5).alias("middle"), F.first("least").alias("least"), F.first("taken").alias("taken"))
+    # Of values equal to the least taken one, as many belong to the top as were taken of them.
+    ties = F.size(F.filter("taken", lambda x: x == F.col("least")))
+    rest = v.crossJoin(F.broadcast(counted.select("least", ties.alias("ties")))).groupBy("v", "least", "ties").agg(F.count(F.lit(1)).alias("c")).where("v <= least")
+    rest = rest.select("v", (F.col("c") - F.when(F.col("v") == F.col("least"), F.col("ties")).otherwise(0)).alias("c")).where("c > 0")
+    below = rest.agg(F.expr("percentile(v, 0.5, c)").alias("below"))
+    spread = F.when(F.col("n") > top, F.col("mean") - F.col("below")).otherwise(F.col("most") - F.col("middle"))
+    s = counted.crossJoin(F.broadcast(below)).select(F.greatest(F.lit(0.0), spread).alias("spread"))
     t = (F.col("spread") - low[0]) / (high[0] - low[0])
-    return s.select(spread.alias("spread")).withColumn("weight", low[1] + F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)) * (high[1] - low[1]))
+    return s.withColumn("weight", low[1] + F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)) * (high[1] - low[1]))
 
 
 def boost(similarity: Column, least: float = 0.48) -> Column:
@@ -68,8 +70,14 @@ def means(df: DataFrame, key: str, vector: str, digits: int | None = None) -> Da
     return long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", m.alias("m")))), lambda s: s["m"]).alias("mean"))
 
 
-def anchored(df: DataFrame, key: str, vector: str, anchors: DataFrame, name: str, anchor: str) -> DataFrame:
-    """Each row's most similar anchor (ties by name) and the similarity; anchors are a small fixed set."""
+def anchored(df: DataFrame, key: str, vector: str, anchors: DataFrame, name: str, anchor: str, most: int = 10_000) -> DataFrame:
+    """Each row's most similar anchor (ties by name) and the similarity.
+
+    Anchors are sent to all tasks, so more than ``most`` of them are refused.
+    """
+    anchors = written(anchors, "anchors")
+    if anchors.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} anchors")
     sims = df.crossJoin(F.broadcast(anchors)).select(key, name, cosine(F.col(vector), F.col(anchor)).alias("s"))
     return sims.groupBy(key).agg(F.min(F.struct((-F.round("s", 9)).alias("o"), name, "s")).alias("b")).select(key, F.col(f"b.{name}").alias(name), F.col("b.s").alias("similarity"))
 
@@ -116,8 +124,23 @@ def dense_dedup(df: DataFrame, by: str, key: str, vector: str, alike: float = 0.
     return rows
 
 
-def per_aspect(df: DataFrame, by: str, aspect: str, score: str, key: str, each: int = 2, most: int = 8) -> DataFrame:
-    """Up to ``each`` rows of every aspect, then the best of all, ``most`` per group."""
-    order = [F.desc(score), F.col(key)]
-    ranked = df.withColumn("_a", F.row_number().over(Window.partitionBy(by, aspect).orderBy(*order)))
-    return ranked.withColumn("_f", F.row_number().over(Window.partitionBy(by).orderBy((F.col("_a") > each).cast("int"), *order))).where(F.col("_f") <= most).drop("_a", "_f")
+def per_aspect(df: DataFrame, by: str, aspect: str, score: str, key: str, vector: str, each: int = 2, most: int = 8, veto: float = 0.88) -> DataFrame:
+    """Up to ``each`` rows of every aspect in turn, then the best of all, ``most`` per group; rows more alike to a pick than ``veto`` are passed over.
+
+    One pick a group and round, so there are ``most`` rounds, and of a group
+    only its pick is joined back.
+    """
+    left = written(df.withColumn("_n", F.lit(0)), "candidates")
+    picks = None
+    for _ in range(most):
+        open_ = F.col("_n") < each
+        rank = F.struct((~open_).cast("int").alias("phase"), F.when(open_, F.col(aspect).cast("string")).otherwise("").alias("turn"), (-F.col(score)).alias("s"), F.col(key).alias("k"))
+        best = written(left.groupBy(by).agg(F.min_by(F.struct(key, aspect, vector), rank).alias("p")).select(by, *[F.col(f"p.{c}").alias(f"_{c}") for c in (key, aspect, vector)]), "picks")
+        picks = best if picks is None else picks.unionByName(best)
+        met = left.join(best, by)
+        met = met.where((F.col(key) != F.col(f"_{key}")) & (cosine(F.col(vector), F.col(f"_{vector}")) <= veto))
+        left = written(met.withColumn("_n", F.col("_n") + (F.col(aspect) == F.col(f"_{aspect}")).cast("int")).select(*left.columns), "candidates")
+        if not left.take(1):
+            break
+    chosen = picks.select(F.col(by).alias("_by"), F.col(f"_{key}").alias("_key"))
+    return df.join(chosen, (F.col(by) == F.col("_by")) & (F.col(key) == F.col("_key")), "left_semi")

@@ -50,14 +50,14 @@ def canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH x AS (SELECT p_partkey AS id, p_brand, p_size, p_type, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_partkey % 300 END AS hz FROM part)
-SELECT a.id AS first, b.id AS second FROM x a JOIN x b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.id < b.id
-WHERE a.p_type = b.p_type AND (a.hz IS NULL OR b.hz IS NULL OR a.hz = 0 OR b.hz = 0 OR abs(a.hz - b.hz) <= 100)"""
+    """WITH x AS (SELECT min(p_partkey) AS id, count(*) AS members, p_brand, p_size, p_type, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_partkey % 20 END AS hz FROM part GROUP BY ALL)
+SELECT a.id AS first, b.id AS second, a.members AS first_members, b.members AS second_members FROM x a JOIN x b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.id < b.id
+WHERE a.p_type = b.p_type AND (a.hz IS NULL OR b.hz IS NULL OR a.hz = 0 OR b.hz = 0 OR abs(a.hz - b.hz) <= 10)"""
 )
 def compatible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    x = part(spark, sf_dir).select(k.alias("id"), "p_brand", "p_size", "p_type", F.when(k % 6 != 0, k % 300).alias("hz"))
-    return R.candidate_pairs(x, ["p_brand", "p_size"], "id", ["p_type"], {"hz": 100})
+    x = part(spark, sf_dir).select(k.alias("id"), "p_brand", "p_size", "p_type", F.when(k % 6 != 0, k % 20).alias("hz"))
+    return R.candidate_pairs(x, ["p_brand", "p_size"], "id", ["p_type"], {"hz": 10})
 
 
 @query(
@@ -78,7 +78,13 @@ def accepts(a, b) -> bool:
     return a["p_type"] == b["p_type"] and near
 
 
-@query()
+@query(
+    """WITH RECURSIVE x AS MATERIALIZED (SELECT p_partkey AS id, p_brand || '|' || p_size AS block, p_type, p_partkey % 7 * 6 AS hz, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS k FROM part),
+r AS (SELECT block, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS node, CAST(NULL AS BIGINT) AS cluster, CAST([] AS STRUCT(head BIGINT, t VARCHAR, lo BIGINT, hi BIGINT)[]) AS cs FROM x WHERE k = 1
+  UNION ALL SELECT block, k, id, CASE WHEN home IS NULL THEN id ELSE cs[home].head END, CASE WHEN home IS NULL THEN list_append(cs, {'head': id, 't': p_type, 'lo': nullif(hz, 0), 'hi': nullif(hz, 0)}) ELSE list_transform(cs, lambda c, i: CASE WHEN i = home AND hz <> 0 THEN {'head': c.head, 't': c.t, 'lo': least(coalesce(c.lo, hz), hz), 'hi': greatest(coalesce(c.hi, hz), hz)} ELSE c END) END
+  FROM (SELECT x.*, r.cs, list_position(list_transform(r.cs, lambda c: c.t = x.p_type AND (x.hz = 0 OR c.lo IS NULL OR (x.hz - c.lo <= 10 AND c.hi - x.hz <= 10))), TRUE) AS home FROM r JOIN x ON x.block = r.block AND x.k = r.k + 1))
+SELECT node, cluster FROM r WHERE k > 0"""
+)
 def clusters_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy clusters in blocks of one brand and size; a member that disagrees keeps a row out."""
     k = F.col("p_partkey")
@@ -86,7 +92,13 @@ def clusters_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.guarded_clusters(x, "id", "block", ["p_brand", "id"], accepts)
 
 
-@query()
+@query(
+    """WITH RECURSIVE x AS MATERIALIZED (SELECT c_custkey, c_mktsegment, CAST(floor(c_acctbal / 100) AS BIGINT) AS bal, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
+r AS (SELECT c_nationkey, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS c_custkey, '' AS c_mktsegment, CAST(NULL AS BIGINT) AS bal, FALSE AS stays, CAST([] AS VARCHAR[]) AS segments, CAST([] AS BIGINT[]) AS bals FROM x WHERE k = 1
+  UNION ALL SELECT c_nationkey, k, c_custkey, c_mktsegment, bal, fresh, CASE WHEN fresh THEN list_append(segments, c_mktsegment) ELSE segments END, CASE WHEN fresh THEN list_append(bals, bal) ELSE bals END
+  FROM (SELECT x.*, segments, bals, NOT coalesce(list_contains(segments, x.c_mktsegment), FALSE) AND NOT coalesce(list_contains(bals, x.bal), FALSE) AS fresh FROM r JOIN x ON x.c_nationkey = r.c_nationkey AND x.k = r.k + 1))
+SELECT c_custkey, c_mktsegment, bal FROM r WHERE stays"""
+)
 def candidate_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of a nation whose segment and rounded balance were not seen before in it."""
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 100).alias("bal"), F.col("c_nationkey").alias("block"))
@@ -144,7 +156,16 @@ def target_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.target_rollup(part(spark, sf_dir), "p_type", ["p_partkey"], ["p_brand"], "p_size").select("p_type", "p_brand_list", "variant_count", "modal_p_size")
 
 
-@query("SELECT s_suppkey, 'supplier' || ':' || 'generic' || ':' || lower(regexp_extract(upper(s_name), '([A-Z]*[0-9]+[A-Z]*)', 1)) AS chassis_key, FALSE AS clonable FROM supplier")
+CHASSIS = "CASE p_partkey % 4 WHEN 0 THEN 'Model ' || (10 + p_size) || 'X' WHEN 1 THEN 'no digits' WHEN 2 THEN 'ab-' || p_size || 'cd 99' ELSE '' END"
+FAMILY = "CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Zen Book' ELSE 'unknown' END"
+
+
+@query(
+    f"""WITH x AS (SELECT p_partkey, {SLUG.format('p_brand')} AS brand, {SLUG.format(FAMILY)} AS family, lower(regexp_extract(upper({CHASSIS}), '([A-Z]*[0-9]+[A-Z]*)', 1)) AS root FROM part),
+k AS (SELECT p_partkey, coalesce(nullif(brand, ''), 'generic') AS b, coalesce(nullif(family, ''), 'generic') AS f, coalesce(nullif(root, ''), 'generic') AS r FROM x)
+SELECT p_partkey, b || ':' || f || ':' || r AS chassis_key, b NOT IN ('generic', 'unknown') AND f NOT IN ('generic', 'unknown') AND r NOT IN ('generic', 'unknown') AS clonable FROM k"""
+)
 def chassis_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = N.chassis_key(F.lit("Supplier"), F.lit(""), F.col("s_name"))
-    return load(spark, sf_dir, "supplier").select("s_suppkey", key.alias("chassis_key"), N.clonable(key).alias("clonable"))
+    """Keys of cases from brand, family and model; those with a part missing can't be cloned."""
+    key = N.chassis_key(F.col("p_brand"), F.expr(FAMILY), F.expr(CHASSIS))
+    return part(spark, sf_dir).select("p_partkey", key.alias("chassis_key"), N.clonable(key).alias("clonable"))

@@ -43,19 +43,19 @@ def profile_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fanned_out(s, "ids", "s_suppkey", ["s_acctbal", "s_nationkey"])
 
 
-@query("WITH d AS (SELECT p_type, p_name, min(p_partkey) AS seen FROM part WHERE p_size > 48 GROUP BY 1, 2) SELECT p_type, (SELECT round(avg(p_retailprice), 2) FROM part p WHERE p.p_type = d.p_type AND p_size > 48) AS score, string_agg(p_name, ' | ' ORDER BY seen) AS document FROM d GROUP BY 1")
+@query("WITH d AS (SELECT p_type, p_name, min(p_partkey) AS seen FROM part GROUP BY 1, 2) SELECT p_type, (SELECT round(avg(p_retailprice), 2) FROM part p WHERE p.p_type = d.p_type) AS score, string_agg(p_name, ' | ' ORDER BY seen) AS document FROM d GROUP BY 1")
 def vector_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged records: mean score and distinct texts."""
-    return R.record(load(spark, sf_dir, "part").where("p_size > 48"), "p_type", "p_retailprice", "p_name", ["p_partkey"])
+    return R.record(load(spark, sf_dir, "part"), "p_type", "p_retailprice", "p_name", ["p_partkey"])
 
 
 @query(
-    """WITH r AS (SELECT o_orderkey AS rank_key, o_custkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS remote FROM orders WHERE o_orderstatus = 'P')
+    """WITH r AS (SELECT o_orderkey AS rank_key, o_custkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS remote FROM orders)
 SELECT r.id, rank_key, coalesce(remote, c_acctbal, 75.0) AS score, coalesce(c_mktsegment, 'unknown') AS segment FROM r LEFT JOIN customer ON c_custkey = r.id AND c_acctbal > 0"""
 )
 def hydrate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remote results with local facts: the remote score first, then the local one, then the neutral one."""
-    o = load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("rank_key"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("remote"))
+    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("rank_key"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("remote"))
     c = load(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), "c_acctbal", "c_mktsegment")
     return R.hydrated(o, c, "id", {"rank_key": F.col("r.rank_key"), "score": F.coalesce("r.remote", "l.c_acctbal", F.lit(75.0)), "segment": F.coalesce("l.c_mktsegment", F.lit("unknown"))})
 
@@ -73,9 +73,13 @@ def path_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("cost"), F.count_if(F.get_json_object("props", "$.k").cast("int") > 50).alias("fallbacks"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'a,A b,c' WHEN p_size % 4 = 1 THEN 'a' ELSE 'a,A b' END AS aligned FROM part")
+@query(
+    """WITH x AS (SELECT p_partkey, p_size, lower(p_brand) AS b, [lower(p_name), lower(p_brand)] AS a, [upper(p_name), p_type, lower(p_type)] AS c FROM part),
+m AS (SELECT *, [a[1]] || CASE WHEN a[2] = a[1] THEN [] ELSE [a[2]] END || CASE WHEN lower(c[2]) IN (a[1], a[2]) THEN [] ELSE [c[2]] END AS merged FROM x)
+SELECT p_partkey, array_to_string(CASE WHEN p_size % 4 > 0 AND len(merged) > p_size % 4 THEN merged[1 : p_size % 4] ELSE merged END, ',') AS aligned FROM m"""
+)
 def bilingual_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bullets of two languages: the longer first list is cut to the second one's length."""
-    en = R.list_merge(F.array(F.lit("a"), F.lit("A b")), F.array(F.lit("A"), F.lit("c")))
-    ar = F.slice(F.array(F.lit("x"), F.lit("y")), 1, F.when(F.col("p_size") % 4 == 0, 0).when(F.col("p_size") % 4 == 1, 1).otherwise(2))
+    """Bullets merged without repeats; the longer first list is cut to the second one's length."""
+    en = R.list_merge(F.array(F.lower("p_name"), F.lower("p_brand")), F.array(F.upper("p_name"), F.col("p_type"), F.lower("p_type")))
+    ar = F.slice(F.array(*map(F.lit, "xyz")), 1, F.col("p_size") % 4)
     return load(spark, sf_dir, "part").select("p_partkey", F.array_join(R.aligned(en, ar), ",").alias("aligned"))

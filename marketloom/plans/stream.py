@@ -22,9 +22,9 @@ def event_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events to the handlers of their types, each of which appends to its own table."""
     base = scratch_path(spark, "routed")
     kinds = ["click", "purchase", "error"]
-    handlers = {k: (lambda rows, k=k: rows.write.mode("append").parquet(f"{base}/event_type={k}")) for k in kinds}
+    handlers = {k: J.batch_sink(f"{base}/event_type={k}") for k in kinds}
     J.routed(J.events(spark, f"{sf_dir}/events.parquet").select("event_id", "value", "event_type"), handlers, "event_type", scratch_path(spark, "routed-checkpoint")).awaitTermination()
-    out = spark.read.parquet(*[f"{base}/event_type={k}" for k in kinds])
+    out = spark.read.parquet(base)
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 

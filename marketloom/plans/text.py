@@ -163,7 +163,13 @@ def delta_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.delta_keys(d, "doc_id", ["text", "lang"], cache).select("doc_id", "unchanged")
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text, '[.!؟\\n]\\s+'), lambda x: trim(x)), lambda x: length(x) >= 20) AS s FROM conversations),
+d AS (SELECT conv_id, turn, flatten(list_transform(s, lambda x: CASE WHEN len(string_split(x, ' ')) > 45 THEN list_transform(range(0, (len(string_split(x, ' ')) - 1) // 35 + 1), lambda i: array_to_string(string_split(x, ' ')[i * 35 + 1 : i * 35 + 35], ' ')) ELSE [x] END))[1:8] AS b FROM c),
+r AS (SELECT conv_id, turn, b, 1 AS k, CAST([] AS VARCHAR[]) AS kept FROM d
+  UNION ALL SELECT conv_id, turn, b, k + 1, CASE WHEN length(b[k]) < 12 OR len(kept) >= 5 OR coalesce(list_bool_or(list_transform(kept, lambda x: len(list_intersect(list_distinct(string_split_regex(lower(x), '\\s+')), list_distinct(string_split_regex(lower(b[k]), '\\s+')))) / len(list_distinct(string_split_regex(lower(x), '\\s+') || string_split_regex(lower(b[k]), '\\s+'))) > 0.55)), FALSE) THEN kept ELSE list_append(kept, b[k]) END FROM r WHERE k <= len(b))
+SELECT conv_id, turn, CAST(len(kept) AS INT) AS n, array_to_string(kept, ' | ') AS bullets FROM r WHERE k = len(b) + 1"""
+)
 def bullet_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of each turn as bullets, without alike ones."""
     b = E.merged_bullets(E.sentence_chunks(F.col("text")))

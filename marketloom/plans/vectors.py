@@ -36,7 +36,7 @@ def adjusted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {ADJUSTED_SQL}, r AS (SELECT net, row_number() OVER (ORDER BY net DESC) AS k, count(*) OVER () AS c FROM n),
 d AS (SELECT CASE WHEN any_value(c) > 5 THEN avg(net) FILTER (k <= 5) - median(net) FILTER (k > 5) ELSE max(net) - median(net) END AS spread FROM r)
-SELECT round(spread, 5) AS spread, round(0.10 + greatest(0, least(1, (spread - 0.08) / 0.18)) * 0.15, 5) AS weight FROM d"""
+SELECT round(greatest(0, spread), 5) AS spread, round(0.10 + greatest(0, least(1, (greatest(0, spread) - 0.08) / 0.18)) * 0.15, 5) AS weight FROM d"""
 )
 def dynamic_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.dynamic_weight(V.adjusted(sims(spark, sf_dir), "label"), "net")
@@ -70,13 +70,29 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_keyed(e.select("vec_id", F.lit("old").alias("version"), "label"), new, ["vec_id"])
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+near AS (SELECT b.vec_id, list(a.vec_id) AS alike FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.88 GROUP BY 1),
+x AS MATERIALIZED (SELECT e.vec_id, label, k, coalesce(alike, []) AS alike FROM e LEFT JOIN near USING (vec_id)),
+r AS (SELECT label, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS vec_id, FALSE AS stays, CAST([] AS BIGINT[]) AS kept FROM x WHERE k = 1
+  UNION ALL SELECT x.label, x.k, x.vec_id, NOT list_has_any(alike, kept), CASE WHEN list_has_any(alike, kept) THEN kept ELSE list_append(kept, CAST(x.vec_id AS BIGINT)) END FROM r JOIN x ON x.label = r.label AND x.k = r.k + 1)
+SELECT label, vec_id FROM r WHERE stays"""
+)
 def dense_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of each label without those nearly equal to an earlier kept one."""
     return V.dense_dedup(load(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
 
 
-@query(f"WITH {SIM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY label, polarity ORDER BY round(similarity, 6) DESC, vec_id) AS a FROM s) SELECT vec_id, label, polarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CAST(a > 2 AS INT), round(similarity, 6) DESC, vec_id) AS f FROM r) WHERE f <= 6")
+def _picks_sql(rounds: int, each: int, veto: float) -> str:
+    steps = ["l0 AS MATERIALIZED (SELECT s.vec_id, label, polarity, round(similarity, 6) AS sim, CAST(embedding AS DOUBLE[]) AS e, 0 AS n FROM s JOIN (SELECT vec_id, embedding FROM embeddings) USING (vec_id))"]
+    for k in range(rounds):
+        steps.append(f"p{k} AS MATERIALIZED (SELECT * EXCLUDE (o) FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CAST(n >= {each} AS INT), CASE WHEN n < {each} THEN polarity ELSE '' END, sim DESC, vec_id) AS o FROM l{k}) WHERE o = 1)")
+        steps.append(f"l{k + 1} AS MATERIALIZED (SELECT l.vec_id, l.label, l.polarity, l.sim, l.e, l.n + CAST(l.polarity = p.polarity AS INT) AS n FROM l{k} l JOIN p{k} p USING (label) WHERE l.vec_id <> p.vec_id AND list_cosine_similarity(l.e, p.e) <= {veto})")
+    return f"WITH {SIM_SQL}, {', '.join(steps)} " + " UNION ALL ".join(f"SELECT vec_id, label, polarity FROM p{k}" for k in range(rounds))
+
+
+@query(_picks_sql(6, 2, 0.35))
 def aspect_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two vectors of each polarity and then the best, six a label, none too like another (these vectors are far apart, so the bound is low)."""
     s = sims(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
-    return V.per_aspect(s, "label", "polarity", "similarity", "vec_id", 2, 6).select("vec_id", "label", "polarity")
+    return V.per_aspect(s, "label", "polarity", "similarity", "vec_id", "embedding", 2, 6, 0.35).select("vec_id", "label", "polarity")

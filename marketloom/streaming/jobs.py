@@ -28,7 +28,10 @@ def events(spark: SparkSession, path: str, files_per_trigger: int | None = None)
 
 
 def inbox(stream: DataFrame, key: str, time: str, within: str = "24 hours") -> DataFrame:
-    """Each message once: repeats within the given time are dropped, and older state with them."""
+    """Each message once: repeats within the given time are dropped, and older state with them.
+
+    A message that is late by more than ``within`` against the latest one seen is taken for a repeat and dropped.
+    """
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, within).dropDuplicatesWithinWatermark([key])
 
 
@@ -41,16 +44,24 @@ def to_table(df: DataFrame, what: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def routed(stream: DataFrame, routes: dict[str, Callable[[DataFrame], None]], routing_key: str, checkpoint: str) -> StreamingQuery:
-    """Every micro-batch's rows to the handler of their routing key; rows of unknown keys are left."""
+def routed(stream: DataFrame, routes: dict[str, Callable[[DataFrame, int], None]], routing_key: str, checkpoint: str) -> StreamingQuery:
+    """Every micro-batch's rows, with the batch's number, to the handler of their routing key; rows of unknown keys are left.
+
+    A batch may come again after a failure, so handlers must give the same state when called twice with one number.
+    """
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         for key, handler in routes.items():
-            handler(batch.where(F.col(routing_key) == key))
+            handler(batch.where(F.col(routing_key) == key), number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A handler that writes each batch to a folder of its own number, so a batch that comes again replaces itself."""
+    return lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def windowed_counts(stream: DataFrame, time: str, key: str, length: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Events by window and key; a window is final once the watermark has passed it."""
     timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
