@@ -13,14 +13,15 @@ def slug(text: Column) -> Column:
 
 
 #: Tokens that stand where a part number is missing.
-NO_PART_NUMBERS = ("UNKNOWN", "NONE", "GENERIC", "DEFAULT")
+NO_PART_NUMBERS = ("NONE", "N/A", "NA", "UNKNOWN", "LAPTOP", "MODEL", "NOTEBOOK", "GAMING", "BLACK", "GREY", "SILVER", "DOS", "WIN11")
 
 
 def part_number(text: Column) -> Column:
-    """Up to ``#`` or ``/``, without separators, upper case; null for short ones and stand-ins."""
+    """Up to ``#`` or ``/``, without separators, upper case; of a longer one the vendor's own ten characters at its end; null for short ones and stand-ins."""
     head = F.regexp_extract(F.trim(text), "^([^#/]*)", 1)
     t = F.upper(F.regexp_replace(head, r"[\s\-_.]", ""))
-    return F.when((F.length(t) >= 5) & ~t.isin(*NO_PART_NUMBERS) & ~t.startswith("LAPTOP"), t)
+    t = F.when(F.length(t) > 10, F.coalesce(F.nullif(F.regexp_extract(t, "([82][0-9A-Z]{9})$", 1), F.lit("")), t)).otherwise(t)
+    return F.when((F.length(t) >= 5) & ~t.isin(*NO_PART_NUMBERS) & ~t.startswith("LAPTOP") & ~t.startswith("NOTEBOOK"), t)
 
 
 def fingerprint(parts: list[Column]) -> Column:
@@ -71,6 +72,19 @@ def model_tokens(text: Column) -> Column:
     return F.filter(F.split(F.upper(text), "[^A-Z0-9-]+"), lambda x: x.rlike("[A-Z]") & x.rlike("[0-9]") & (F.length(x) >= 4))
 
 
+def comparable(token: Column) -> Column:
+    """A token for comparison: no blanks, dashes or underscores, lower case; empty for null."""
+    return F.coalesce(F.lower(F.regexp_replace(token, r"[\s\-_]+", "")), F.lit(""))
+
+
+#: How tokens of components begin.
+COMPONENTS = ("RTX", "GTX", "RX", "CORE", "RYZEN", "DDR", "SSD", "NVME")
+
+
+def is_component(token: Column) -> Column:
+    return F.exists(F.array(*map(F.lit, COMPONENTS)), lambda p: F.startswith(F.upper(token), p))
+
+
 def chassis_key(brand: Column, family: Column, model: Column) -> Column:
     """brand:family:model root; parts that are missing are ``generic``."""
     root = F.regexp_extract(F.upper(model), "([A-Z]*[0-9]+[A-Z]*)", 1)

@@ -47,6 +47,12 @@ def metric_gates(items: DataFrame, metrics: DataFrame, key: str, gates: dict[str
     return items.join(passing, key)
 
 
+def gated(df: DataFrame, gates: dict[str, float]) -> DataFrame:
+    """Rows of a source that holds its scores itself; a missing score fails, and so does one that is a boolean."""
+    kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.where(all_of([F.lit(False) if kind.get(c, "boolean") == "boolean" else F.coalesce(F.col(c) >= v, F.lit(False)) for c, v in gates.items()] or [F.lit(True)]))
+
+
 @dataclass(frozen=True)
 class Cursor:
     """A place in the order (price, id)."""

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions.names import slug
+from marketloom.functions.parsing import bound
 from marketloom.operators.graph import connected_components
 from marketloom.operators.merge import first_wins
 from marketloom.sources.scratch import written
@@ -153,10 +155,62 @@ def fused(value: str, order: list[str]) -> Column:
     return F.min(F.when(v.isNotNull() & (v != ""), F.struct((~v.rlike("[0-9]")).alias("d"), (-F.length(v)).alias("l"), *order, v.alias("v"))))["v"]
 
 
-def numbered_ids(df: DataFrame, base: str, order: list[str], into: str = "unique_id") -> DataFrame:
-    """Identifiers made unique: the first of equal ones stays, others get ``_v2``, ``_v3`` ..."""
+def numbered_ids(df: DataFrame, base: str, order: list[str], into: str = "unique_id", hz: str | None = None) -> DataFrame:
+    """Identifiers made unique: the first of equal ones stays, others get their refresh rate, if known, and then ``_v2``, ``_v3`` ..."""
     n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return df.withColumn("_n", n).withColumn(into, F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_v"), F.col("_n").cast("string")))).drop("_n")
+    df = df.withColumn("_n", n).withColumn("_id", F.col(base))
+    if hz is not None:
+        rate = F.concat(F.col(hz).cast("string"), F.lit("hz"))
+        df = df.withColumn("_id", F.when((F.col("_n") > 1) & (F.col(hz) > 0) & ~F.contains(F.col(base), rate), F.concat(F.col(base), F.lit("_"), rate)).otherwise(F.col(base)))
+    m = F.row_number().over(Window.partitionBy("_id").orderBy(F.col("_n") > 1, *order))
+    return df.withColumn("_m", m).withColumn(into, F.when(F.col("_m") == 1, F.col("_id")).otherwise(F.concat(F.col("_id"), F.lit("_v"), F.col("_m").cast("string")))).drop("_n", "_id", "_m")
+
+
+#: Processor tiers and graphics numbers that tell listings apart.
+CPU_TIERS = ("i3", "i5", "i7", "i9", "ultra_5", "ultra_7", "ultra_9", "ryzen_3", "ryzen_5", "ryzen_7", "ryzen_9")
+GPU_NUMBERS = ("2050", "3050", "3060", "3070", "3080", "4050", "4060", "4070", "4080", "4090", "5050", "5060", "5070", "5080", "5090")
+
+
+def _other_token(a: Column, b: Column, tokens: tuple[str, ...]) -> Column:
+    """Both known, neither part of the other, and one has a token where the other has a different one."""
+    of = lambda x: F.filter(F.array(*map(F.lit, tokens)), lambda t: F.contains(x, t))
+
+    def clash(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        return (x != "") & (y != "") & ~F.contains(x, y) & ~F.contains(y, x) & F.exists(of(x), lambda t: F.exists(of(y), lambda u: u != t))
+
+    return bound(F.struct(F.coalesce(slug(a), F.lit("")).alias("x"), F.coalesce(slug(b), F.lit("")).alias("y")), clash)
+
+
+def same_hardware(left: str, right: str) -> Column:
+    """Whether two listings may be one machine; unknown values (null, 0, empty) never speak against it.
+
+    Columns: ram_gb, storage_gb, vram_gb, store, mpn, hz, resolution, panel,
+    touch, cpu, gpu.  Equal part numbers overrule what displays say, and one
+    store's different part numbers are different machines.
+    """
+    a, b = lambda c: F.col(f"{left}.{c}"), lambda c: F.col(f"{right}.{c}")
+    text = lambda c: F.lower(F.trim(c))
+    same_mpn = F.coalesce((a("mpn") != "") & (a("mpn") == b("mpn")), F.lit(False))
+    variants = F.coalesce((a("store") != "") & (a("store") == b("store")) & (a("mpn") != "") & (b("mpn") != "") & (a("mpn") != b("mpn")), F.lit(False))
+    both = lambda c, same: unknown_or(a(c), b(c), same)
+    shown = both("hz", F.abs(a("hz") - b("hz")) <= 10) & both("resolution", text(a("resolution")) == text(b("resolution"))) & both("panel", text(a("panel")).contains("oled") == text(b("panel")).contains("oled")) & F.coalesce(a("touch") == b("touch"), F.lit(True))
+    built = both("ram_gb", a("ram_gb") == b("ram_gb")) & both("storage_gb", F.abs(a("storage_gb") - b("storage_gb")) <= 64) & both("vram_gb", a("vram_gb") == b("vram_gb"))
+    return built & ~variants & (same_mpn | shown) & ~_other_token(a("cpu"), b("cpu"), CPU_TIERS) & ~_other_token(a("gpu"), b("gpu"), GPU_NUMBERS)
+
+
+def consolidated(df: DataFrame, key: str, richness: list[Column], order: list[str], lists: list[str], firsts: list[str]) -> DataFrame:
+    """Per key the richest row (ties to the first in order), its rows' distinct values of ``lists``, and the first known value of ``firsts``."""
+    rank = F.struct(*[(-r.cast("int")).alias(f"r{k}") for k, r in enumerate(richness)], *order)
+    others = [c for c in df.columns if c not in (key, *lists, *firsts)]
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order)))
+    out = df.groupBy(key).agg(F.min_by(F.struct(*others), rank).alias("_rep"), *[F.coalesce(F.min_by(c, rank), first(c)).alias(c) for c in firsts])
+    out = out.select(key, "_rep.*", *firsts)
+    for c in lists:  # distinct values first, so only these are gathered
+        values = df.where(F.col(c).isNotNull()).groupBy(key, c).agg(F.min(F.struct(*order)).alias("_at"))
+        listed = values.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", c))), lambda x: x[c]).alias(c))
+        out = out.join(listed, key, "left")
+    return out
 
 
 def target_rollup(df: DataFrame, key: str, order: list[str], lists: list[str], modal: str) -> DataFrame:

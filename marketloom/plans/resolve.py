@@ -22,14 +22,12 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part(spark, sf_dir).select("p_partkey", N.slug(F.col("p_brand")).alias("brand"), N.slug(F.col("p_name")).alias("name"))
 
 
-MPN = "CASE WHEN c_custkey % 9 = 0 THEN 'LAPTOP-1234' WHEN c_custkey % 7 = 0 THEN '12 3' ELSE c_name || '-' || c_mktsegment || '#ABV' END"
+MPN = "CASE WHEN c_custkey % 9 = 0 THEN 'LAPTOP-1234' WHEN c_custkey % 7 = 0 THEN '12 3' WHEN c_custkey % 5 = 0 THEN '15IRX10-83JE' || lpad(CAST(c_custkey AS STRING), 6, '0') ELSE c_name || '-' || c_mktsegment || '#ABV' END"
 
 
-@query(f"WITH m AS (SELECT c_custkey, upper(regexp_replace(regexp_extract(trim({MPN}), '^([^#/]*)', 1), '[\\s\\-_.]', '', 'g')) AS t FROM customer) SELECT c_custkey, CASE WHEN length(t) >= 5 AND t NOT IN ('UNKNOWN', 'NONE', 'GENERIC', 'DEFAULT') AND NOT starts_with(t, 'LAPTOP') THEN t END AS mpn FROM m")
+@query(f"WITH m AS (SELECT c_custkey, upper(regexp_replace(regexp_extract(trim({MPN}), '^([^#/]*)', 1), '[\\s\\-_.]', '', 'g')) AS t FROM customer), v AS (SELECT c_custkey, CASE WHEN length(t) > 10 AND regexp_matches(t, '[82][0-9A-Z]{{9}}$') THEN t[-10:] ELSE t END AS t FROM m) SELECT c_custkey, CASE WHEN length(t) >= 5 AND t NOT IN ('NONE', 'N/A', 'NA', 'UNKNOWN', 'LAPTOP', 'MODEL', 'NOTEBOOK', 'GAMING', 'BLACK', 'GREY', 'SILVER', 'DOS', 'WIN11') AND NOT starts_with(t, 'LAPTOP') AND NOT starts_with(t, 'NOTEBOOK') THEN t END AS mpn FROM v")
 def part_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    raw = F.when(k % 9 == 0, "LAPTOP-1234").when(k % 7 == 0, "12 3").otherwise(F.concat("c_name", F.lit("-"), "c_mktsegment", F.lit("#ABV")))
-    return load(spark, sf_dir, "customer").select("c_custkey", N.part_number(raw).alias("mpn"))
+    return load(spark, sf_dir, "customer").select("c_custkey", N.part_number(F.expr(MPN)).alias("mpn"))
 
 
 PRINT = f"{SLUG.format('p_brand')} || '|' || {SLUG.format('p_type')} || '|' || p_size || '|' || CASE WHEN p_partkey % 4 = 0 THEN 'na' ELSE {SLUG.format('p_name')} END"
@@ -41,12 +39,13 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part(spark, sf_dir).select("p_partkey", N.fingerprint([F.col("p_brand"), F.col("p_type"), F.col("p_size"), name]).alias("fingerprint"))
 
 
-@query(f"WITH b AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN {SLUG.format('p_brand')} || '_mpn' || (p_partkey % 50) ELSE {SLUG.format('p_brand')} || '_' || {SLUG.format('p_type')} || '_' || p_size END AS id FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p_partkey) AS n FROM b) SELECT p_partkey, CASE WHEN n = 1 THEN id ELSE id || '_v' || n END AS unique_id FROM n")
+@query(f"""WITH b AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN {SLUG.format('p_brand')} || '_mpn' || (p_partkey % 50) ELSE {SLUG.format('p_brand')} || '_' || {SLUG.format('p_type')} || '_' || p_size END AS id FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p_partkey) AS n, p_partkey % 4 * 30 AS hz FROM b),
+w AS (SELECT p_partkey, CASE WHEN n > 1 AND hz > 0 THEN id || '_' || hz || 'hz' ELSE id END AS id, n > 1 AS late FROM n), x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY late, p_partkey) AS m FROM w) SELECT p_partkey, CASE WHEN m = 1 THEN id ELSE id || '_v' || m END AS unique_id FROM x""")
 def canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     mpn = F.when(k % 5 == 0, F.concat(F.lit("MPN"), (k % 50).cast("string")))
     named = part(spark, sf_dir).withColumn("id", N.canonical_id(F.col("p_brand"), mpn, [F.col("p_type"), F.col("p_size")]))
-    return R.numbered_ids(named, "id", ["p_partkey"]).select("p_partkey", "unique_id")
+    return R.numbered_ids(named.withColumn("hz", k % 4 * 30), "id", ["p_partkey"], hz="hz").select("p_partkey", "unique_id")
 
 
 @query(

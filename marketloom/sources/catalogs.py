@@ -27,9 +27,9 @@ CATALOG = T.StructType(
 )
 
 
-def read_catalogs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per catalog file; files that are no JSON are left out, missing ones are no error."""
-    raw = spark.read.option("ignoreMissingFiles", True).schema(CATALOG).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
+def read_catalogs(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
+    """One row per catalog (a file, or a line if ``multi_line`` is off); what is no JSON is left out, missing files are no error."""
+    raw = spark.read.option("ignoreMissingFiles", True).schema(CATALOG).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(paths)
     return raw.where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
