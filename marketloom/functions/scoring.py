@@ -90,6 +90,12 @@ def value_logistic(hardware: Column, price: C, middle: float = 38.0, spread: flo
     return F.round(15.0 + 82.5 / (1.0 + F.exp(-(ratio - middle) / spread)), 2)
 
 
+def calibrated_value(hardware: Column, price: Column, middle: float = 0.92, steepness: float = 2.5) -> Column:
+    """Value for money by a logistic curve of points per thousand, 15 to 97.5; 50 below a price of 10 000."""
+    z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), -steepness * (F.greatest(F.lit(0.0), hardware) / (price / 1000.0) - middle)))
+    return F.when(price >= 10000, F.round(15.0 + 82.5 / (1.0 + F.exp(z)), 2)).otherwise(50.0)
+
+
 def deal_tier(score: Column) -> Column:
     return F.when(score >= 75, "GREAT_DEAL").when(score >= 60, "GOOD_VALUE").when(score >= 45, "FAIR_VALUE").otherwise("POOR_VALUE")
 
@@ -118,12 +124,17 @@ def community_score(aspects: Mapping[str, Column], digits: int = 2) -> Column:
     return F.round(total, digits)
 
 
-def profile_ok(scores: list[Column], bullets: Column) -> Column:
-    """All five scores in 35..98 and 2 to 6 bullets of at least 12 characters."""
-    fine = F.lit(True)
-    for s in scores:
-        fine = fine & F.coalesce(s.between(35, 98), F.lit(False))
-    return fine & F.size(bullets).between(2, 6) & F.forall(bullets, lambda b: F.length(b) >= 12)
+def profile_errors(scores: Mapping[str, Column], lists: Mapping[str, Column]) -> Column:
+    """What is wrong with a review profile: scores outside 35..98 or missing, lists without 2 to 6 entries, entries shorter than 10, Arabic ones (lists ending in _ar) with fewer than 10 Arabic letters."""
+    found = [F.when(~F.coalesce(s.between(35, 98), F.lit(False)), F.lit(name)) for name, s in scores.items()]
+    for name, entries in lists.items():
+        said = F.filter(F.transform(entries, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+        number = F.coalesce(F.size(said).between(2, 6), F.lit(False))
+        short = F.exists(said, lambda x: F.length(x) < 10)
+        if name.endswith("_ar"):
+            short = short | F.exists(said, lambda x: F.length(F.regexp_replace(x, "[^\\u0600-\\u06FF]", "")) < 10)
+        found.append(F.when(~number, F.lit(f"{name}: number")).when(short, F.lit(f"{name}: too short")))
+    return F.filter(F.array(*found), lambda e: e.isNotNull())
 
 
 def workload_fps(gpu: C, cpu: C, demand: float, cap: float = 400.0) -> Column:

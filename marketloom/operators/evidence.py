@@ -36,6 +36,19 @@ def sentence_chunks(text: Column, least: int = 20, longest: int = 45, window: in
     return F.slice(F.flatten(F.transform(sentences, windows)), 1, most)
 
 
+def phrase_chunks(text: Column, least_words: int = 6, least: int = 25, longest: int = 45, window: int = 32, most: int = 360) -> Column:
+    """Sentences and lines of at least six words and 25 characters, cut at 360; of those of over 45 words, windows of 32."""
+    lines = F.split(F.regexp_replace(F.trim(text), r"([.!?؟])\s+", "$1\n"), r"\n+")
+    parts = F.filter(F.transform(lines, lambda s: F.trim(s)), lambda s: F.size(F.split(s, r"\s+")) >= least_words)
+
+    def windows(s: Column) -> Column:
+        w = F.split(s, r"\s+")
+        return F.when(F.size(w) > longest, F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / window).cast("int")), lambda i: F.array_join(F.slice(w, i * window + 1, window), " "))).otherwise(F.array(s))
+
+    fine = F.filter(F.flatten(F.transform(parts, windows)), lambda s: (F.length(s) >= least) & (F.size(F.split(s, " ")) >= least_words))
+    return F.transform(fine, lambda s: F.substring(s, 1, most))
+
+
 def aspects(text: Column, keywords: dict[str, list[str]]) -> Column:
     """The aspects, in order, any of whose words the text contains."""
     hits = [F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)), F.lit(a)) for a, words in keywords.items()]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.functions.scoring import deal_tier, ladder, or_default, port_count, power_tier
+from marketloom.functions.scoring import calibrated_value, deal_tier, ladder, or_default, port_count, power_tier
 
 #: Columns of a data sheet, beside identifiers.
 SHEET = {
@@ -214,3 +214,63 @@ def item_metrics(sheets: DataFrame) -> DataFrame:
     for step in (silicon, power, display, mobility, longevity, ergonomics, connectivity, economics):
         df = step(df)
     return df
+
+
+def verified() -> Column:
+    """Whether a sheet says enough to be scored: processor, graphics, memory and storage."""
+    return (F.length(F.coalesce("cpu", F.lit(""))) > 0) & (F.length(F.coalesce("gpu", F.lit(""))) > 0) & (F.coalesce("ram_gb", F.lit(0)) != 0) & (F.coalesce("storage_gb", F.lit(0)) != 0)
+
+
+def rescued(df: DataFrame) -> DataFrame:
+    """Graphics that memory (vram_gb), power or the title (names_discrete) show to be discrete count as discrete."""
+    shown = (F.coalesce("vram_gb", F.lit(0)) >= 4) | (F.coalesce("gpu_w", F.lit(0.0)) >= 35.0) | F.coalesce("names_discrete", F.lit(False))
+    return df.withColumn("integrated", _integrated() & ~shown)
+
+
+def advisor_metrics(sheets: DataFrame) -> DataFrame:
+    """``item_metrics`` and the finer scores that recommendations use.
+
+    vram_score; gaming_score and creator_score of the display; battery_score and
+    portability_score; upgrade_score and build_score (material and, if there is
+    one, the reviews' review_build, half each); advisor_value, the value for
+    money of a composite that has mobility in the place of integrated graphics.
+    Discrete graphics of unknown power count as at 85 % of their full one.
+    """
+    df = rescued(sheets)
+    full = F.coalesce("gpu_full_w", F.when(_integrated(), F.lit(0.0)).otherwise(F.lit(95.0)))
+    df = df.withColumns({"_said_w": F.col("gpu_w"), "gpu_w": F.when(~_integrated() & (F.coalesce("gpu_w", F.lit(0.0)) <= 0), full * 0.85).otherwise(F.col("gpu_w"))})
+    scored = silicon(df).withColumn("gpu_w", F.col("_said_w")).drop("_said_w")
+    for step in (power, display, mobility, longevity, ergonomics, connectivity, economics):
+        scored = step(scored)
+    vram = F.coalesce("vram_gb", F.lit(0))
+    hz = F.coalesce(F.nullif(F.col("hz"), F.lit(0)), F.when(_integrated(), 60).otherwise(144))
+    panel = F.upper(or_default("panel", "IPS"))
+    rich, wide, high = panel.contains("OLED") | panel.contains("MINI-LED"), or_default("width", 1920), or_default("height", 1080)
+    nits = F.coalesce(F.col("nits"), F.when(rich, 450).when((wide >= 2560) | (hz >= 165), 350).when(~_integrated() | _has(F.col("gamut"), "100% srgb"), 300).otherwise(250))
+    aspect = F.coalesce(F.nullif(F.col("aspect"), F.lit("")), F.when(high.isin(1200, 1600, 1800, 2400), "16:10").otherwise("16:9"))
+    tier = F.col("gamut_tier")
+    weight = _by_kind("weight_kg", 1.65, 2.3)
+    charge = _by_kind("battery_wh", 50.0, 70.0)
+    both = F.col("front_mm").isNotNull() & F.col("rear_mm").isNotNull()
+    thick = F.when(both, half_up((F.col("front_mm") + F.col("rear_mm")) / 2.0, 1)).otherwise(_by_kind("thick_mm", 18.5, 23.5))
+    material = F.when(F.col("chassis_tier").startswith("Metal"), 90.0).when(F.col("chassis_tier").startswith("MIL"), 70.0).otherwise(50.0)
+    scored = scored.withColumns(
+        {
+            "vram_score": F.when(_integrated() | (vram < 4), 15.0).otherwise(ladder(vram, [(16, 100.0), (12, 88.0), (8, 74.0), (6, 58.0)], 40.0)),
+            "gaming_score": bounded(ladder(hz, [(240, 55.0), (165, 48.0), (144, 42.0), (120, 34.0), (90, 22.0)], 10.0) + _points(F.coalesce(F.col("response_ms") <= 3.0, F.lit(False)), 15.0, 5.0) + _points(_is("adaptive_sync"), 15.0) + F.when(panel.contains("OLED"), 15.0).when(panel.contains("IPS"), 10.0).otherwise(5.0), 10.0),
+            "creator_score": bounded(
+                F.when(tier.startswith("100% DCI"), 40.0).when(tier.startswith("100% sRGB"), 30.0).when(tier.startswith("62.5%"), 16.0).otherwise(10.0)
+                + F.when(rich, 20.0).when(panel.contains("IPS"), 14.0).when(panel.contains("VA"), 9.0).otherwise(4.0)
+                + bounded(5.0 + (nits - 200.0) / 400.0 * 15.0, 5.0, 20.0) + bounded(5.0 + (F.col("ppi") - 110.0) / 170.0 * 10.0, 5.0, 15.0) + _points(aspect.isin("16:10", "3:2"), 5.0),
+                15.0,
+            ),
+            "battery_score": bounded(bounded(15.0 + (F.col("battery_hours") - 2.5) / 8.0 * 60.0, 15.0, 75.0) + _points(_is("usb_power"), 15.0) + _points(F.coalesce(F.col("fast_charge"), charge >= 60.0), 10.0), 15.0),
+            "portability_score": bounded(bounded(10.0 + (3.2 - weight) / 2.1 * 60.0, 10.0, 70.0) + bounded(5.0 + (30.0 - thick) / 16.5 * 25.0, 5.0, 30.0), 15.0),
+            "build_score": bounded(F.coalesce(0.5 * material + 0.5 * F.col("review_build"), material), 15.0),
+        }
+    )
+    ram = or_default("ram_gb", 16)
+    memory = 0.10 * F.when(ram <= 32, ram / 32.0 * 100.0).otherwise(100.0)
+    own = 0.28 * F.col("cpu_score") + 0.32 * F.col("gpu_score") + 0.15 * F.col("display_score") + memory + 0.15 * F.col("longevity_score")
+    shared = 0.28 * F.col("cpu_score") + 0.30 * F.col("mobility_score") + 0.22 * F.col("display_score") + memory + 0.10 * F.col("build_score")
+    return scored.withColumn("advisor_value", calibrated_value(F.when(_integrated(), shared).otherwise(own), F.col("effective_price")))

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions.scoring import calibrated_value
+
 #: Criteria of the catalog ranking; the price is a cost, all others are benefits.
 CRITERIA = ["cpu", "gpu", "power", "display", "mobility", "longevity", "ergonomics", "connectivity", "reviews", "price"]
 
@@ -242,12 +244,6 @@ def reviewed(df: DataFrame, key: str, overrides: DataFrame | None = None, score:
     return joined.withColumn(score, F.coalesce("_given", own, F.lit(neutral))).drop("_key", "_given")
 
 
-def calibrated_value(hardware: Column, price: Column, middle: float = 0.92, steepness: float = 2.5) -> Column:
-    """Value for money by a logistic curve of points per thousand, 15 to 97.5; 50 below a price of 10 000."""
-    z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), -steepness * (F.greatest(F.lit(0.0), hardware) / (price / 1000.0) - middle)))
-    return F.when(price >= 10000, F.round(15.0 + 82.5 / (1.0 + F.exp(z)), 2)).otherwise(50.0)
-
-
 def persona_fits(df: DataFrame, key: list[str], benefits: list[str], value: str, price: str) -> DataFrame:
     """hardware_fit, value_fit and persona_value of every row for every persona.
 

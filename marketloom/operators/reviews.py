@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weight and number of chunks taken by kind of source.
@@ -82,3 +82,23 @@ def list_merge(a: Column, b: Column) -> Column:
     """Both lists' entries without repeats, case aside, in order."""
     both = F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))
     return F.aggregate(both, F.array().cast("array<string>"), lambda kept, x: F.when(F.exists(kept, lambda k: F.lower(k) == F.lower(x)), kept).otherwise(F.concat(kept, F.array(x))))
+
+
+#: The order in which kinds of sources are shown; others come last.
+SOURCE_ORDER = ("editorial", "youtube", "community")
+
+
+def ordered_sources(df: DataFrame, group: Column, key: str) -> DataFrame:
+    """Sources (url, kind, title, views) with title and URL, the first of each URL, and their rank in their group: by kind, views and title."""
+    whole = df.where((F.coalesce(F.length("title"), F.lit(0)) > 0) & (F.coalesce(F.length("url"), F.lit(0)) > 0)).withColumns({"_url": F.rtrim(F.lower("url"), F.lit("/")), "_group": group})
+    first = whole.groupBy("_url").agg(F.min(key).alias(key))
+    kept = whole.join(first, ["_url", key], "left_semi")
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SOURCE_ORDER)), F.col("kind")), F.lit(0)), F.lit(len(SOURCE_ORDER) + 1))
+    order = Window.partitionBy("_group").orderBy(place, F.desc("views"), "title", key)
+    return kept.withColumn("rank", F.row_number().over(order)).drop("_url", "_group")
+
+
+def by_platform(targets: DataFrame, posts: DataFrame, key: str, platform: str, platforms: list[str]) -> DataFrame:
+    """Every target with the number of each platform's posts for it, 0 if there are none."""
+    counts = posts.groupBy(key).agg(*[F.count_if(F.col(platform) == p).alias(p) for p in platforms])
+    return targets.join(counts, key, "left").na.fill(0, platforms)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import names as N
 from marketloom.functions import parsing as P
+from marketloom.functions import scoring as S
 from marketloom.operators import evidence as E
+from marketloom.operators import pages as G
 from marketloom.operators import resolve as R
 from marketloom.operators import reviews as V
 from marketloom.registry import query
@@ -206,3 +208,59 @@ def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         C.append_json(e, path)
     return spark.read.schema("event_id long, event_type string").json(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("event_id").alias("events"))
+
+
+_EN = "CASE k % 4 WHEN 0 THEN 'good keyboard|runs quite cool' WHEN 1 THEN 'good keyboard' WHEN 2 THEN 'good keyboard|short' ELSE 'a very long day|b very long day| |c very long day' END"
+_AR = "CASE k % 3 WHEN 0 THEN 'لوحة مفاتيح ممتازة|هادئ جدا في العمل' WHEN 1 THEN 'keyboard لوحة|هادئ جدا في العمل' ELSE NULL END"
+
+
+@query(
+    f"""WITH {P_SQL}, e AS (SELECT k, [CASE WHEN NOT (k % 80 + 25) BETWEEN 35 AND 98 THEN 'thermals' END, CASE WHEN k % 9 = 0 THEN 'battery' END, CASE k % 4 WHEN 1 THEN 'pros_en: number' WHEN 2 THEN 'pros_en: too short' END, CASE k % 3 WHEN 1 THEN 'pros_ar: too short' WHEN 2 THEN 'pros_ar: number' END] AS e FROM p)
+SELECT k, array_to_string(list_filter(e, lambda x: x IS NOT NULL), ', ') AS errors FROM e"""
+)
+def profile_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each review profile."""
+    k = F.col("k")
+    scores = {"thermals": (k % 80 + 25).cast("double"), "battery": F.when(k % 9 > 0, 75.0)}
+    return part(spark, sf_dir).select("k", F.array_join(S.profile_errors(scores, {"pros_en": F.split(F.expr(_EN), "[|]"), "pros_ar": F.split(F.expr(_AR), "[|]")}), ", ").alias("errors"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, list_filter(list_transform(string_split_regex(trim(regexp_replace(text, '[ \\t\\r]+', ' ', 'g')), '\\n+'), lambda x: trim(x)), lambda x: x <> '') AS lines FROM documents),
+s AS (SELECT doc_id, list_filter(list_transform(flatten(list_transform(lines, lambda x: string_split(regexp_replace(x, '([.!?؟])\\s+', '\\1' || chr(10), 'g'), chr(10)))), lambda x: trim(x)), lambda x: len(string_split_regex(x, '\\s+')) >= 6) AS s FROM c),
+w AS (SELECT doc_id, flatten(list_transform(s, lambda x: CASE WHEN len(string_split_regex(x, '\\s+')) > 45 THEN list_transform(range(0, (len(string_split_regex(x, '\\s+')) - 1) // 32 + 1), lambda i: array_to_string(string_split_regex(x, '\\s+')[i * 32 + 1 : i * 32 + 32], ' ')) ELSE [x] END)) AS w FROM s),
+k AS (SELECT doc_id, list_transform(list_filter(w, lambda x: length(x) >= 25 AND len(string_split(x, ' ')) >= 6), lambda x: substr(x, 1, 360)) AS k FROM w)
+SELECT doc_id, CAST(len(k) AS INT) AS n_chunks, md5(array_to_string(k, '|')) AS digest FROM k"""
+)
+def phrase_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences and windows of words of every document."""
+    c = E.phrase_chunks(F.regexp_replace("text", r"[ \t\r]+", " "))
+    return load(spark, sf_dir, "documents").select("doc_id", F.size(c).alias("n_chunks"), F.md5(F.array_join(c, "|")).alias("digest"))
+
+
+@query(
+    """WITH x AS (SELECT page_id, rtrim(lower(url), '/') AS key, CASE WHEN contains(url, 'news') THEN 'editorial' WHEN page_id % 3 = 0 THEN 'youtube' WHEN page_id % 3 = 1 THEN 'community' ELSE 'other' END AS kind, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, length(html) AS views FROM pages),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY page_id) AS n FROM x WHERE title <> '' AND key <> '') WHERE n = 1)
+SELECT page_id, kind, CAST(row_number() OVER (PARTITION BY regexp_extract(key, '^https?://([^/]*)', 1) ORDER BY CASE kind WHEN 'editorial' THEN 0 WHEN 'youtube' THEN 1 WHEN 'community' THEN 2 ELSE 3 END, -views, title, page_id) AS INT) AS rank FROM u"""
+)
+def review_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete sources, one a URL, in the order in which each host's are shown."""
+    html = F.col("html")
+    kind = F.when(F.col("url").contains("news"), "editorial").when(F.col("page_id") % 3 == 0, "youtube").when(F.col("page_id") % 3 == 1, "community").otherwise("other")
+    x = load(spark, sf_dir, "pages").select("page_id", "url", kind.alias("kind"), G.title(html).alias("title"), F.length(html).alias("views"))
+    return V.ordered_sources(x, F.regexp_extract(F.lower("url"), "^https?://([^/]*)", 1), "page_id").select("page_id", "kind", "rank")
+
+
+@query("WITH c AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY 1, 2) SELECT d.doc_id, coalesce((SELECT n FROM c WHERE c.conv_id = d.doc_id AND role = 'user'), 0) AS user_posts, coalesce((SELECT n FROM c WHERE c.conv_id = d.doc_id AND role = 'assistant'), 0) AS assistant_posts FROM documents d")
+def platform_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every target with what each platform has for it, nothing included."""
+    posts = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "role")
+    return V.by_platform(load(spark, sf_dir, "documents").select("doc_id"), posts, "doc_id", "role", ["user", "assistant"]).select("doc_id", F.col("user").alias("user_posts"), F.col("assistant").alias("assistant_posts"))
+
+
+@query("SELECT conv_id, CASE WHEN count(*) FILTER (role = 'user') > 2 THEN 'B2' WHEN count(*) FILTER (role = 'user') > 1 THEN 'B1' WHEN count(*) FILTER (role = 'assistant') > 0 THEN 'A' ELSE 'unknown' END AS format, CAST(count(*) FILTER (role = 'user' AND length(trim(text)) < 60 AND ends_with(trim(text), '?')) AS BIGINT) AS questions FROM conversations GROUP BY 1")
+def review_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The format of each review document, by what it holds, and how many short questions are among its posts."""
+    c = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("u"), F.count_if(F.col("role") == "assistant").alias("a"), F.count_if((F.col("role") == "user") & V.short_question(F.trim("text"))).alias("questions"))
+    held = c.withColumns({"deduplicated_chunks": F.when(F.col("u") > 2, 1), "nlp_review_profile": F.when(F.col("u") > 1, 1), "videos": F.when(F.col("a") > 0, 1)})
+    return held.select("conv_id", V.format_of(held.columns).alias("format"), "questions")

@@ -80,6 +80,11 @@ SHEET = {
     "card_reader": "k % 4 = 3",
     "storage_gb": "CASE WHEN k % 9 > 0 THEN CAST(256 * (1 + k % 6) AS INT) END",
     "touch": "k % 4 = 0",
+    "vram_gb": "CASE k % 9 WHEN 0 THEN 4 WHEN 1 THEN 6 WHEN 2 THEN 8 WHEN 3 THEN 12 WHEN 4 THEN 16 WHEN 5 THEN 2 END",
+    "names_discrete": "k % 17 = 0",
+    "review_build": "CASE WHEN k % 3 = 0 THEN CAST(40 + k % 50 AS DOUBLE) END",
+    "cpu": "CASE WHEN k % 10 > 0 THEN 'cpu' END",
+    "gpu": "CASE k % 8 WHEN 0 THEN '' ELSE 'gpu' END",
     "brand": "CASE k % 6 WHEN 0 THEN 'Asus' WHEN 1 THEN ' HP' WHEN 2 THEN 'Dell' WHEN 3 THEN 'lenovo' WHEN 4 THEN 'Acer' END",
     "archived": "k % 50 = 7",
     "shown_price": "price * 60",
@@ -198,3 +203,36 @@ def power_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items and their mean value for money by price status and room to upgrade."""
     return metrics(spark, sf_dir).groupBy("price_status", "longevity_tier").agg(F.count(F.lit(1)).alias("items"), F.round(F.avg("value_score"), 4).alias("value"))
+
+
+@query(f"WITH {_SHEET_SQL} SELECT id, coalesce(cpu, '') <> '' AND coalesce(gpu, '') <> '' AND coalesce(ram_gb, 0) <> 0 AND coalesce(storage_gb, 0) <> 0 AS verified FROM sheet")
+def verified_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sheets(spark, sf_dir).select("id", M.verified().alias("verified"))
+
+
+_RESCUED_SQL = _SHEET_SQL.replace("sheet AS (SELECT id,", "sheet AS (SELECT * REPLACE (integrated AND NOT (coalesce(vram_gb, 0) >= 4 OR coalesce(gpu_w, 0) >= 35 OR names_discrete) AS integrated) FROM (SELECT id,", 1) + ")"
+_ADVISOR = "gpu_score vram_score gaming_score creator_score battery_score portability_score build_score advisor_value".split()
+_HIGH = _OR("height", 1080)
+
+
+def _advisor_sql() -> str:
+    share = f"greatest(0.4, least(1.35, CASE WHEN {_W} > 0 THEN {_W} ELSE full_w * 0.85 END / full_w))"
+    aspect = f"coalesce(aspect, CASE WHEN {_HIGH} IN (1200, 1600, 1800, 2400) THEN '16:10' ELSE '16:9' END)"
+    return f"""WITH {METRICS_SQL.replace(_SHEET_SQL, _RESCUED_SQL)},
+x AS (SELECT * REPLACE (CASE WHEN integrated OR full_w <= 0 THEN {_c("gpu_ref * mult", 5)} ELSE {_c(f"gpu_ref * {_r(f'greatest(0.72, least(1.10, pow({share}, 0.32)))', 3)} + CASE WHEN gddr7 THEN 2.5 ELSE 0 END", 15)} END AS gpu_score),
+  CASE WHEN integrated OR coalesce(vram_gb, 0) < 4 THEN 15 WHEN vram_gb >= 16 THEN 100 WHEN vram_gb >= 12 THEN 88 WHEN vram_gb >= 8 THEN 74 WHEN vram_gb >= 6 THEN 58 ELSE 40 END AS vram_score,
+  {_c(f"CASE WHEN {_HZ} >= 240 THEN 55 WHEN {_HZ} >= 165 THEN 48 WHEN {_HZ} >= 144 THEN 42 WHEN {_HZ} >= 120 THEN 34 WHEN {_HZ} >= 90 THEN 22 ELSE 10 END + CASE WHEN response_ms <= 3 THEN 15 ELSE 5 END + CASE WHEN adaptive_sync THEN 15 ELSE 0 END + CASE WHEN contains({_PANEL}, 'OLED') THEN 15 WHEN contains({_PANEL}, 'IPS') THEN 10 ELSE 5 END", 10)} AS gaming_score,
+  {_c(f"CASE gamut_tier[1:8] WHEN '100% DCI' THEN 40 WHEN '100% sRG' THEN 30 WHEN '62.5% sR' THEN 16 ELSE 10 END + CASE WHEN {_RICH} THEN 20 WHEN contains({_PANEL}, 'IPS') THEN 14 WHEN contains({_PANEL}, 'VA') THEN 9 ELSE 4 END + {_c('5 + (lit - 200) / 400.0 * 15', 5, 20)} + {_c('5 + (ppi - 110) / 170 * 10', 5, 15)} + CASE WHEN {aspect} IN ('16:10', '3:2') THEN 5 ELSE 0 END", 15)} AS creator_score,
+  {_c(f"{_c('15 + (battery_hours - 2.5) / 8 * 60', 15, 75)} + CASE WHEN usb_power THEN 15 ELSE 0 END + CASE WHEN {_FAST} THEN 10 ELSE 0 END", 15)} AS battery_score,
+  {_c(f"{_c(f'10 + (3.2 - {_KG}) / 2.1 * 60', 10, 70)} + {_c('5 + (30 - thick) / 16.5 * 25', 5, 30)}", 15)} AS portability_score,
+  {_c("coalesce(0.5 * review_build + 0.5 * CASE chassis_pts WHEN 14 THEN 90 WHEN 10.5 THEN 70 ELSE 50 END, CASE chassis_pts WHEN 14 THEN 90 WHEN 10.5 THEN 70 ELSE 50 END)", 15)} AS build_score FROM metrics),
+y AS (SELECT *, 0.28 * cpu_score + 0.10 * CASE WHEN {_RAM} <= 32 THEN {_RAM} / 32.0 * 100 ELSE 100 END + CASE WHEN integrated THEN 0.30 * mobility_score + 0.22 * display_score + 0.10 * build_score ELSE 0.32 * gpu_score + 0.15 * display_score + 0.15 * longevity_score END AS hw FROM x)
+SELECT id, * EXCLUDE (id) FROM (SELECT id, {', '.join(_ADVISOR[:-1])}, CASE WHEN effective_price >= 10000 THEN round(15.0 + 82.5 / (1.0 + exp(greatest(-60.0, least(60.0, -2.5 * (hw / (effective_price / 1000.0) - 0.92))))), 2) ELSE 50 END AS advisor_value FROM y)"""
+
+
+@query(_advisor_sql())
+def advisor_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finer scores of recommendations, with graphics rescued from a wrong label."""
+    heads = head_state(observations(spark, sf_dir)).where("is_valid")
+    offers = heads.groupBy("item_id").agg(F.min(F.when(F.col("in_stock"), F.col("price"))).alias("stock_price"), F.min("price").alias("any_price"))
+    return M.advisor_metrics(sheets(spark, sf_dir).join(offers, F.col("id") == F.col("item_id"), "left")).select("id", *_ADVISOR)
