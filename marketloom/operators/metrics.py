@@ -202,7 +202,7 @@ def economics(df: DataFrame) -> DataFrame:
     hardware = 0.28 * F.col("cpu_score") + 0.32 * F.col("gpu_score") + 0.15 * F.col("display_score") + 0.10 * F.when(ram <= 32, ram / 32.0 * 100.0).otherwise(100.0) + 0.15 * F.col("longevity_score")
     ratio = F.when(F.col("effective_price") >= 10000, half_up(F.pow(hardware, F.lit(1.35)) / (F.col("effective_price") / 10000.0), 2))
     df = df.withColumns({"recommendable": F.col("price_status").isin("IN_STOCK_ACTIVE", "OUT_OF_STOCK_RECENT"), "value_ratio": ratio})
-    df = df.withColumn("value_score", F.coalesce(bounded((F.col("value_ratio") - 18.0) / 40.0 * 100.0, 15.0), F.lit(50.0)))
+    df = df.withColumn("value_score", F.when(F.col("value_ratio").isNotNull(), bounded((F.col("value_ratio") - 18.0) / 40.0 * 100.0, 15.0)).otherwise(50.0))
     return df.withColumn("deal", deal_tier(F.col("value_score")))
 
 

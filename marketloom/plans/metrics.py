@@ -162,7 +162,7 @@ d AS (SELECT *, {_c("0.45 * cpu_score + 0.55 * gpu_score", 0)} AS silicon_index,
     + least(13, 2 * coalesce(nullif(list_sum(list_transform({_PORTS}, lambda p: coalesce(TRY_CAST(nullif(regexp_extract(p, '^\\s*(\\d+)\\s*[xX]', 1), '') AS INT), 1))), 0), 5)) + CASE WHEN card_reader THEN 7 ELSE 0 END''', 20)} AS connectivity_score
   FROM c),
 e AS (SELECT *, CASE WHEN effective_price >= 10000 THEN {_r(f"pow(0.28 * cpu_score + 0.32 * gpu_score + 0.15 * display_score + 0.10 * CASE WHEN {_RAM} <= 32 THEN {_RAM} / 32.0 * 100 ELSE 100 END + 0.15 * longevity_score, 1.35) / (effective_price / 10000)", 2)} END AS value_ratio FROM d),
-metrics AS (SELECT *, coalesce({_c("(value_ratio - 18) / 40 * 100", 15)}, 50) AS value_score FROM (SELECT * FROM e))"""
+metrics AS (SELECT *, CASE WHEN value_ratio IS NULL THEN 50 ELSE {_c("(value_ratio - 18) / 40 * 100", 15)} END AS value_score FROM (SELECT * FROM e))"""
 
 _COLUMNS = "cpu_score gpu_score gpu_tier silicon_index ai_tops copilot_pc spare_w power_score ppi gamut_tier display_score battery_hours mobility_score mobility_tier longevity_score longevity_tier ergonomics_score connectivity_score price_status effective_price value_ratio value_score".split()
 

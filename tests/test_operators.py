@@ -101,8 +101,8 @@ def test_parsing(spark):
     assert got == [45999.5, 81500.0, 45999.5, 1234567.0, None, None, 125.0, 45999.0, 45.999, None, 61999.0, None, None, 81500.0]
     got = one(spark, *[parsing.shown_money(F.lit(t)) for t in ("54,999.00 EGP", "EGP 54,999", "54.999 ج.م", "جنيه ٦١,٩٩٩", " call ", "", None, ",,")])
     assert [tuple(g) for g in got] == [(54999.0, "54,999.00 EGP"), (54999.0, "54,999.00 EGP"), (54.99, "54.99 EGP"), (61999.0, "61,999.00 EGP"), (None, "call"), (None, None), (None, None), (None, ",,")]
-    r = one(spark, parsing.validated("ram_gb", F.lit("16")), parsing.validated("weight_kg", F.lit(9)), parsing.hdr_flag(F.lit("No HDR")), parsing.dimensions(F.array(F.lit(35.9), F.lit(2.1), F.lit(25.4))))
-    assert r[0]["ok"] and not r[1]["ok"] and r[2] is False and r[3] == pytest.approx([359, 254, 21])
+    r = one(spark, parsing.validated("ram_gb", F.lit("16")), parsing.validated("weight_kg", F.lit(9)), parsing.hdr_flag(F.lit("No HDR")), parsing.dimensions(F.array(F.lit(35.9), F.lit(2.1), F.lit(25.4))), parsing.dimensions(F.array(F.lit(350.0), F.lit(2.1), F.lit(250.0))))
+    assert r[0]["ok"] and not r[1]["ok"] and r[2] is False and r[3] == pytest.approx([359, 254, 21]) and r[4] is None
 
 
 def test_components(spark):
@@ -259,3 +259,53 @@ def test_breaker(spark):
     rows = [(1, k, k in (3, 4)) for k in range(1, 9)] + [(2, k, False) for k in range(1, 9)]
     got = prices.tripped(spark.createDataFrame(rows, "s int, k int, bad boolean"), ["k"], "bad", by=["s"]).collect()
     assert [(r["s"], r["k"], r["failures"]) for r in got] == [(1, 5, 2)]
+
+
+def test_metrics_of_two_machines(spark):
+    """A gaming and an office machine, scored by hand from the rules."""
+    from marketloom.operators import metrics as M
+
+    gaming = {"integrated": False, "cpu_benchmark": 84.0, "memory_type": "DDR5", "memory_layout": "2 x 8 GB", "memory_mhz": 5600, "gpu_benchmark": 57.0, "gpu_full_w": 115.0, "gpu_w": 140.0, "adapter_w": 240.0, "cpu_w": 55.0, "hz": 165, "adaptive_sync": True, "slots": 2, "ram_gb": 16, "m2_slots": 2, "ssds": 1}
+    office = {"integrated": True, "npu_tops": 47.0, "panel": "OLED", "inches": 14.0, "width": 2880, "height": 1800, "hz": 120, "battery_wh": 75.0, "weight_kg": 1.2, "cpu_w": 17.0, "soldered": True, "memory_type": "LPDDR5X", "ir_camera": True, "shutter": True, "speakers": 4, "thunderbolt": "4", "ports": ["2 x Thunderbolt 4", "HDMI"]}
+    names = sorted({*gaming, *office})
+    kinds = {c: k for k, cs in M.SHEET.items() for c in cs}
+    df = spark.createDataFrame([[r.get(c) for c in names] for r in (gaming, office)], ", ".join(f"{c} {kinds[c]}" for c in names))
+    g, o = M.item_metrics(df.withColumn("any_price", F.lit(40000.0))).orderBy("integrated").collect()
+    assert g["cpu_score"] == 88.2 and g["gpu_score"] == pytest.approx(57 * round(1.2174 ** 0.32, 3), abs=0.2) and g["dual_channel"]
+    assert g["spare_w"] == 240 - (55 + 140 + 25 - 20) and g["power_score"] == 88 + 25 * 0.2 and g["power_status"] == "UNCONSTRAINED_HEADROOM"
+    assert g["longevity_tier"] == "MAXIMUM_UPGRADEABLE" and g["price_status"] == "OUT_OF_STOCK_RECENT" and not g["copilot_pc"]
+    assert o["mobility_tier"] == "ULTRAPORTABLE" and o["battery_hours"] == 10.0 and o["mobility_score"] >= 80
+    assert o["gamut_tier"].startswith("100% DCI-P3") and o["display_score"] == pytest.approx(87.25, abs=0.02) and o["copilot_pc"] and o["ai_tops"] == 47
+    assert o["longevity_tier"] == "LOCKED_APPLIANCE" and 0 <= o["value_score"] <= 100
+    blank = M.item_metrics(spark.createDataFrame([(1,)], "id int")).collect()[0]
+    assert blank["price_status"] == "COMING_SOON_UNPRICED" and blank["value_score"] == 50 and blank["cpu_score"] == 47.2
+
+
+def test_routed_batches_replace_themselves(spark, tmp_path):
+    from marketloom.streaming import jobs
+
+    sink = jobs.batch_sink(str(tmp_path / "t"))
+    rows = spark.range(5)
+    for number in (0, 1, 1):
+        sink(rows, number)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 10
+
+
+def test_fallback_wishes(spark):
+    """Each wish holds as long as some row is left."""
+    rows = [(1, 100.0, "a", True), (2, 50.0, "b", False), (3, 70.0, "a", False), (4, 60.0, "c", True)]
+    df = spark.createDataFrame(rows, "id int, price double, brand string, discrete boolean")
+    of = lambda *wishes: [r["id"] for r in ranking.scoped(df, ranking.Scope(F.lit(False), F.lit(True), 10.0, fallback=F.lit(True), preferences=wishes), "price", ["id"]).orderBy("price").collect()]
+    assert of() == [2, 4, 3]
+    assert of(F.col("brand") == "a") == [3, 1]
+    assert of(F.col("brand") == "a", F.col("discrete")) == [1]
+    assert of(F.col("brand") == "z", F.col("discrete")) == [4, 1]
+
+
+def test_picks_pass_over_what_is_alike(spark):
+    from marketloom.operators import vectors
+
+    rows = [("x", "con", 0.9, 1, [1.0, 0.0]), ("x", "con", 0.8, 2, [1.0, 0.01]), ("x", "con", 0.7, 3, [0.0, 1.0]), ("x", "pro", 0.6, 4, [0.7, 0.7]), ("x", "pro", 0.5, 5, [-1.0, 0.0]), ("y", "pro", 0.1, 6, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "g string, aspect string, score double, id int, v array<double>")
+    got = vectors.per_aspect(df, "g", "aspect", "score", "id", "v", 1, 3, 0.95)
+    assert sorted(r["id"] for r in got.collect()) == [1, 3, 4, 6]
