@@ -15,6 +15,7 @@ import zlib
 from array import array
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .stretches import StretchCache
+from .stretches import StretchCache, slices
 
 # The format's numbers of model and piece types.
 UNIGRAM, BPE = 1, 2
@@ -161,7 +162,7 @@ class Codec:
     """Encodes and decodes batches with the library's threads; kept by each worker."""
 
     def __init__(self, data: bytes, threads: int = 2):
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer, decoders, models
 
         m = self.model = parse_model(data)
         self.threads = threads
@@ -173,7 +174,11 @@ class Codec:
         self.end_id = ids.get("<0x20>") if plain and m.byte_fallback and not any(" " in p for p in ids) else None
         if self.end_id is not None:
             self.bare = Tokenizer(models.BPE(ids, _merges(m), unk_token=m.pieces[m.unknown][0], fuse_unk=True, byte_fallback=True, cache_capacity=0))
+            self.bare.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.cache = StretchCache(self._words)
+        self.decoded: dict[bytes, bytes] = {}
+        self.spaces = np.array([p.count(SPACE) + p.count(" ") + (p == "<0x20>") for p, *_ in m.pieces], dtype=np.int64)
+        self.opens = np.array([p.startswith(SPACE) for p, *_ in m.pieces], dtype=bool)
         self.silent = np.array([kind if kind in (CONTROL, UNKNOWN) else 0 for *_, kind in m.pieces], dtype=np.int8)
 
     def _packed(self, texts: list[str]) -> list[bytes]:
@@ -211,21 +216,21 @@ class Codec:
         Control pieces are left out and unknown ones shown as the original does:
         a text with unknown pieces is decoded in stretches between them.
         """
-        runs, owner = [], []
+        runs, owner, odd = [], [], False
         for k, p in enumerate(packed):
             ids = np.frombuffer(p, dtype="<u4")
-            odd = self.silent[ids]
-            if odd.any():
-                ids = ids[odd != CONTROL]
+            kind = self.silent[ids]
+            if kind.any():
+                odd, ids = True, ids[kind != CONTROL]
                 cut = np.flatnonzero(ids == self.model.unknown)
                 runs += [x.tolist() for x in np.split(np.delete(ids, cut), cut - np.arange(len(cut)))]
                 owner += [k] * (len(cut) + 1)
             else:
-                runs.append(ids.tolist())
+                runs.append(ids.tolist() if odd or self.end_id is None else ids)
                 owner.append(k)
-        texts = self.tokenizer.decode_batch(runs, skip_special_tokens=False)
-        if len(runs) == len(packed):
-            return texts
+        if not odd and self.end_id is not None and self.by_word:
+            return self._by_word(packed)
+        texts = self.tokenizer.decode_batch([list(map(int, r)) for r in runs], skip_special_tokens=False)
         out: list[str | None] = [None] * len(packed)
         strip = self.model.add_dummy_prefix
         for k, r, t in zip(owner, runs, texts, strict=True):
@@ -235,6 +240,46 @@ class Codec:
                 out[k] += " \u2047 " + (" " * (strip and self.model.pieces[r[0]][0].startswith(SPACE)) if r else "") + t
         return out
 
+    def _new_texts(self, words: list[bytes]) -> list[bytes]:
+        """The text of each word's ids.  Words with one space, in front, are decoded many at once and cut apart at it."""
+        ids = np.frombuffer(b"".join(words), dtype="<u4")
+        starts = np.concatenate(([0], np.cumsum([len(w) // 4 for w in words])))
+        plain = np.add.reduceat(self.spaces[ids], starts[:-1]) == 1
+        plain &= self.opens[ids[starts[:-1]]]
+        out: list[bytes | None] = [None] * len(words)
+        at = np.flatnonzero(plain).tolist()
+        parts = [at[lo : lo + 2000] for lo in range(0, len(at), 2000)]
+        joined = self.bare.decode_batch([np.frombuffer(b"".join(words[k] for k in part), dtype="<u4").tolist() for part in parts], skip_special_tokens=False)
+        for part, t in zip(parts, joined, strict=True):
+            _, *found = t.encode().split(b" ")
+            if len(found) == len(part):
+                for k, w in zip(part, found, strict=True):
+                    out[k] = b" " + w
+        left = [k for k, t in enumerate(out) if t is None]
+        for k, t in zip(left, self.bare.decode_batch([np.frombuffer(words[k], dtype="<u4").tolist() for k in left], skip_special_tokens=False), strict=True):
+            out[k] = t.encode()
+        return out
+
+    def _by_word(self, packed: list[bytes]) -> list[str]:
+        """Texts of ids without silent ones: each distinct word's ids (from one marker to the next) are decoded once and kept."""
+        raw = b"".join(packed)
+        ids = np.frombuffer(raw, dtype="<u4")
+        bounds = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int64)
+        opens = np.append(self.opens[ids], True)
+        opens[bounds] = True
+        at = np.flatnonzero(opens)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+        keys = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        texts = list(map(self.decoded.get, keys))
+        if None in texts:
+            new = [k for k, t in enumerate(texts) if t is None]
+            for k, t in zip(new, self._new_texts([keys[k] for k in new]), strict=True):
+                texts[k] = t
+            short = ((keys[k], texts[k]) for k in new if len(keys[k]) <= 4 * self.cache.longest)
+            self.decoded.update(islice(short, max(0, self.cache.keep - len(self.decoded))))
+        column = pa.array(texts, pa.large_binary()).take(words.indices)
+        return [str(t, "utf-8").removeprefix(" ") for t in slices(column, np.searchsorted(at, bounds))]
+
 
 @cache
 def codec(path: str) -> Codec:
