@@ -220,7 +220,7 @@ def _advisor_sql() -> str:
     aspect = f"coalesce(aspect, CASE WHEN {_HIGH} IN (1200, 1600, 1800, 2400) THEN '16:10' ELSE '16:9' END)"
     return f"""WITH {METRICS_SQL.replace(_SHEET_SQL, _RESCUED_SQL)},
 x AS (SELECT * REPLACE (CASE WHEN integrated OR full_w <= 0 THEN {_c("gpu_ref * mult", 5)} ELSE {_c(f"gpu_ref * {_r(f'greatest(0.72, least(1.10, pow({share}, 0.32)))', 3)} + CASE WHEN gddr7 THEN 2.5 ELSE 0 END", 15)} END AS gpu_score),
-  CASE WHEN integrated OR coalesce(vram_gb, 0) < 4 THEN 15 WHEN vram_gb >= 16 THEN 100 WHEN vram_gb >= 12 THEN 88 WHEN vram_gb >= 8 THEN 74 WHEN vram_gb >= 6 THEN 58 ELSE 40 END AS vram_score,
+  CAST(CASE WHEN integrated OR coalesce(vram_gb, 0) < 4 THEN 15 WHEN vram_gb >= 16 THEN 100 WHEN vram_gb >= 12 THEN 88 WHEN vram_gb >= 8 THEN 74 WHEN vram_gb >= 6 THEN 58 ELSE 40 END AS DOUBLE) AS vram_score,
   {_c(f"CASE WHEN {_HZ} >= 240 THEN 55 WHEN {_HZ} >= 165 THEN 48 WHEN {_HZ} >= 144 THEN 42 WHEN {_HZ} >= 120 THEN 34 WHEN {_HZ} >= 90 THEN 22 ELSE 10 END + CASE WHEN response_ms <= 3 THEN 15 ELSE 5 END + CASE WHEN adaptive_sync THEN 15 ELSE 0 END + CASE WHEN contains({_PANEL}, 'OLED') THEN 15 WHEN contains({_PANEL}, 'IPS') THEN 10 ELSE 5 END", 10)} AS gaming_score,
   {_c(f"CASE gamut_tier[1:8] WHEN '100% DCI' THEN 40 WHEN '100% sRG' THEN 30 WHEN '62.5% sR' THEN 16 ELSE 10 END + CASE WHEN {_RICH} THEN 20 WHEN contains({_PANEL}, 'IPS') THEN 14 WHEN contains({_PANEL}, 'VA') THEN 9 ELSE 4 END + {_c('5 + (lit - 200) / 400.0 * 15', 5, 20)} + {_c('5 + (ppi - 110) / 170 * 10', 5, 15)} + CASE WHEN {aspect} IN ('16:10', '3:2') THEN 5 ELSE 0 END", 15)} AS creator_score,
   {_c(f"{_c('15 + (battery_hours - 2.5) / 8 * 60', 15, 75)} + CASE WHEN usb_power THEN 15 ELSE 0 END + CASE WHEN {_FAST} THEN 10 ELSE 0 END", 15)} AS battery_score,
