@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.sources.scratch import discard, scratch_path, shared_dir, written
+from marketloom.sources.scratch import discard, only_results, scratch_path, shared_dir, written
 
-__all__ = ["discard", "is_empty", "ranked", "scratch_path", "shared_dir", "spare_name", "table", "text_or_empty", "written"]
+__all__ = ["discard", "is_empty", "only_results", "ranked", "scratch_path", "shared_dir", "spare_name", "table", "text_or_empty", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, is_empty, spare_name, table, written
+from .common import is_empty, only_results, spare_name, table, written
 
 _DIGITS = "0123456789"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -414,7 +414,7 @@ _DEAL = 16
 def _moved_by_doc(seen: DataFrame, key: bytes) -> DataFrame | None:
     """(doc, moved) with tag and attempt of the entities of a text that don't take their first surrogate; None if there are none."""
     entities = written(seen.where("kind NOT LIKE 'initial%'").select("kind", "canonical").distinct(), "entities")  # initials can't clash
-    moved, made = settle(entities, key)
+    moved, _ = settle(entities, key)
     lists = None
     if not is_empty(moved):
         dealt = moved.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(_DEAL - 1))))
@@ -426,8 +426,6 @@ def _moved_by_doc(seen: DataFrame, key: bytes) -> DataFrame | None:
 
         tags = found.select("doc", "kind", "canonical", "attempt").mapInPandas(tagged, "doc string, tag binary, attempt long")
         lists = written(tags.groupBy("doc").agg(F.collect_set(F.struct("tag", "attempt")).alias("moved")), "moved")
-    for t in (entities, *made):  # they hold what is to be hidden
-        discard(t)
     return lists
 
 
@@ -440,12 +438,13 @@ def with_surrogates(df: DataFrame, key: bytes, text_col: str = "text", spans: bo
     have no entities; texts without entities stay as they are.  Repeated rows
     and null identifiers are rows like others.  An empty table gives no rows.
     Tables with entities in clear are removed from the shared folder before
-    this returns; what stays there names them by keyed tags.
+    this returns, or fails; what stays there names them by keyed tags.
     """
     doc = F.md5(F.col(f"`{text_col}`").cast("string").cast("binary"))
-    seen = written(_seen(df.select(doc.alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))).distinct(), "mentions")
-    lists = _moved_by_doc(seen, key)
-    discard(seen)
+    with only_results(df.sparkSession) as keep:
+        seen = written(_seen(df.select(doc.alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))).distinct(), "mentions")
+        lists = _moved_by_doc(seen, key)
+        keep.extend([lists] if lists is not None else [])
     columns = df.columns
     names = {n: spare_name(df, n) for n in ("n_entities", "entities", "moved", "doc")}
     if lists is None:

@@ -4,12 +4,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from marketloom.llm import langid as L
 from marketloom.llm import pii
 from marketloom.llm import quality as Q
+from marketloom.sources import scratch
 
 SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -348,18 +350,41 @@ def test_settle_against_plain_rounds(spark):
     assert len(set(made)) == len(made) and not set(made) & set(texts)
 
 
-def test_no_entity_stays_in_the_shared_folder(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        rows = [(k, f"Mr. {g} Quux, {g.lower()}@b.com") for k, g in enumerate(["Adam", "Boris", "Carl", "David", "Emil"] * 2)]
-        out = pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), b"k")
-        left = [f for f in tmp_path.rglob("*.parquet")]
-        assert all("moved" in str(f) for f in left)
-        assert not any(x in f.read_bytes() for f in left for x in (b"Adam", b"@b.com", b"Quux"))
-        assert out.count() == 10
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+CLEAR = ("Adam", "Emil", "Quux", "@b.com", "5551234567")
+
+
+def held(folder):
+    """Files in a folder and below whose rows show an entity."""
+    files = [f for f in folder.rglob("*.parquet") if f.is_file()]
+    return [str(f) for f in files if any(x in str(pq.read_table(f).to_pylist()) for x in CLEAR)]
+
+
+def people():
+    return [(k, f"Mr. {g} Quux, {g.lower()}@b.com, +1 5551234567" + " more words of the same kind" * k) for k, g in enumerate(["Adam", "Boris", "Carl", "David", "Emil"] * 2)]
+
+
+@pytest.mark.parametrize("scheme", ["file://", ""])
+def test_no_entity_stays_in_the_shared_folder(spark, tmp_path, monkeypatch, scheme):
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"{scheme}{tmp_path}")
+    out = pii.with_surrogates(spark.createDataFrame(people(), "doc_id long, text string"), b"k")
+    assert held(tmp_path) == []
+    assert all("moved" in str(f) for f in tmp_path.rglob("*.parquet"))
+    assert out.count() == 10
+
+
+@pytest.mark.parametrize("scheme", ["file://", ""])
+def test_no_entity_stays_after_a_failure(spark, tmp_path, monkeypatch, scheme):
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"{scheme}{tmp_path}")
+    seen = []
+
+    def fails(*_):
+        seen.extend(held(tmp_path))
+        raise RuntimeError("half-way")
+
+    monkeypatch.setattr(pii, "_made", fails)
+    with pytest.raises(RuntimeError):
+        pii.with_surrogates(spark.createDataFrame(people(), "doc_id long, text string"), b"k")
+    assert seen and held(tmp_path) == []
 
 
 def test_planted_data_goes(spark):
