@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import exact_dedup, langid, ngram_join, packing, pii
-from marketloom.llm.common import spare_name, written
+from marketloom.llm.common import discard, only_results, spare_name, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +70,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order on ``documents``; each one's result is written as Parquet and read again."""
+    """All stages in order on ``documents``; each one's result is written as Parquet and read again.
+
+    A stage's input and the tables that it wrote on the way are deleted when it is done or has failed, so only the last result stays.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        try:
+            with only_results(spark) as keep:
+                after = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+                keep.append(after)
+        finally:
+            discard(docs)
+        docs = after
     return docs
