@@ -4,11 +4,13 @@ import random
 import re
 
 import public_tokenizers
+import pyarrow.parquet as pq
 from test_ngram_join import brute
 
 import corpus_pipeline as C
 from marketloom.llm import pii
 from marketloom.llm.bpe_ids import tokenizer
+from marketloom.sources import scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -65,6 +67,27 @@ def test_stages(spark):
     assert got == want
 
 
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    """Extra columns with clashing names and a long text go through, and nothing in clear stays in the shared folder."""
+    rows = [(i, t, lang, s, n, "kept?", 1) for i, t, lang, s, n in fixture()]
+    rows.append((400, "and the others " * 60_000 + "Mr. Adam Quux", "en", "s", None, "x", 2))
+    spark.createDataFrame(rows, SCHEMA + ", kept string, component_id int").write.parquet(f"{tmp_path}/in/documents.parquet")
+    (tmp_path / "shared").mkdir()
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"{tmp_path}/shared")
+    out = C.run(spark, f"{tmp_path}/in")
+    assert 400 in {r["doc_id"] for r in out.collect()}
+    left = [f for f in (tmp_path / "shared").rglob("*.parquet") if f.is_file()]
+    assert left and all("best-fit-packing" in str(f) for f in left)
+    assert all("text" not in pq.read_schema(f).names for f in left)
+
+    monkeypatch.setattr(C, "STAGES", [*C.STAGES[:3], ("fails", lambda *_: 1 / 0)])
+    try:
+        C.run(spark, f"{tmp_path}/in")
+    except ZeroDivisionError:
+        pass
+    assert [f for f in (tmp_path / "shared").rglob("*.parquet") if f.is_file() and "best-fit" not in str(f)] == []
+
+
 def test_stages_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in C.STAGES:
