@@ -23,7 +23,9 @@ that are not unique go on, at growing lengths:
 
 Ranks are names (hashes of the pair), not numbers: only equality is asked for.
 Counts are aggregates with map-side combine, so the members of a frequent gram
-never meet in one task; they are joined with their counts by Spark's skew join.
+never meet in one task.  They are joined with their counts, both read from
+written tables and the result written, which is where Spark's skew join splits
+the members of one key over tasks.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import discard, only_results, table, written
 from .textkernels import _power_tables, mix, text_buffer
 
 #: Starts hashed at a time; below 2**20, as places within it take 20 bits.
@@ -110,20 +112,26 @@ def _at_document(left: str, right: str) -> Column:
     return F.col(f"{left}.doc").eqNullSafe(F.col(f"{right}.doc")) & (F.col(f"{left}.code") == F.col(f"{right}.code"))
 
 
+#: Stands for a row where one of equals is chosen; of two rows with one hash, both are.
+_SELF = F.xxhash64
+
+
 def _shared(found: DataFrame) -> DataFrame:
-    """Sites whose gram occurs more than once, with ``twins``: how many have their neighbourhood as well."""
-    grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram")
+    """Sites whose gram occurs more than once, with ``twins`` (how many have their neighbourhood as well), ``leads`` (one of these) and ``open`` (the gram has undecided sites)."""
+    grams = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram"), "grams")
     kept = written(found.join(grams, "gram", "left_semi"), "sites-shared")
-    twins = kept.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("twins"), F.min(F.struct("doc", "code", "first")).alias("head"))
-    open_grams = twins.groupBy("gram").agg(F.min("twins").alias("least")).where("least = 1").select("gram", F.lit(True).alias("open"))
-    out = written(kept.join(twins, ["gram", "around"]).join(open_grams, "gram", "left").withColumn("leads", F.struct("doc", "code", "first").eqNullSafe(F.col("head"))).drop("head"), "sites-twins")
-    discard(kept)
+    groups = written(kept.groupBy("gram", "around").agg(F.count(F.lit(1)).alias("twins"), F.min(_SELF("doc", "code", "first")).alias("head")), "twins")
+    undecided = written(groups.where("twins = 1").select("gram").distinct().withColumn("open", F.lit(True)), "grams-open")
+    told = written(groups.join(undecided, "gram", "left"), "twins-open")
+    out = written(kept.join(told, ["gram", "around"]).withColumn("leads", _SELF("doc", "code", "first") == F.col("head")).drop("head"), "sites-twins")
+    for t in (grams, kept, groups, undecided, told):
+        discard(t)
     return out
 
 
 def _neighbourhoods(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Wanted sites with their bytes: from the first start to the end of the last string."""
-    lists = wanted.groupBy("doc", "code").agg(F.collect_list(F.struct("gram", "twins", "first", "n", "back")).alias("sites"))
+    lists = written(wanted.groupBy("doc", "code").agg(F.collect_list(F.struct("gram", "twins", "first", "n", "back")).alias("sites")), "sites-asked")
     met = docs.alias("d").join(lists.alias("s"), _at_document("d", "s")).select("d.doc", "d.code", F.col("d.text").cast("binary").alias("body"), "sites")
     kind = lists.schema["doc"].dataType.simpleString()
 
@@ -160,13 +168,12 @@ def _round(state: DataFrame, width: int, length: int) -> DataFrame:
         }
     ).select("doc", "code", "first", "weight", "undecided", "rank", F.col("top").alias("far"), F.col("low").alias("near"), "body", F.unhex(F.md5("body")).alias("name"))
     cut = written(cut, "parts")
-    equals = cut.groupBy("rank", "name").agg(F.sum("weight").alias("same"), F.max("undecided").alias("asks"), F.min(F.struct("doc", "code", "first")).alias("head"))
-    equals = written(equals, "equals")
-    ranks = equals.groupBy("rank").agg(F.sum("same").alias("like"), F.max(F.col("asks") & (F.col("same") == 1)).alias("open")).where("like > 1")
-    out = cut.join(equals.drop("asks"), ["rank", "name"]).join(ranks, "rank").withColumn("leads", F.struct("doc", "code", "first").eqNullSafe(F.col("head"))).drop("head", "name")
-    out = written(out, "ranked")
-    discard(cut)
-    discard(equals)
+    equals = written(cut.groupBy("rank", "name").agg(F.sum("weight").alias("same"), F.max("undecided").alias("asks"), F.min(_SELF("doc", "code", "first")).alias("head")), "equals")
+    ranks = written(equals.groupBy("rank").agg(F.sum("same").alias("like"), F.max(F.col("asks") & (F.col("same") == 1)).alias("open")).where("like > 1"), "ranks")
+    told = written(equals.drop("asks").join(ranks, "rank"), "equals-ranks")
+    out = written(cut.join(told, ["rank", "name"]).withColumn("leads", _SELF("doc", "code", "first") == F.col("head")).drop("head", "name"), "ranked")
+    for t in (cut, equals, ranks, told):
+        discard(t)
     return out
 
 
@@ -220,7 +227,9 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     if length < 2:
         raise ValueError("length is 2 at least")
     docs = df.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("code", F.xxhash64("text")).select("doc", "code", "text")
-    lists = repeated_stretches(docs, length).groupBy("doc", "code").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    with only_results(df.sparkSession) as keep:
+        lists = written(repeated_stretches(docs, length).groupBy("doc", "code").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")), "stretches")
+        keep.append(lists)
     met = docs.alias("d").join(lists.alias("s"), _at_document("d", "s"), "left").select("d.doc", F.col("d.text").cast("binary").alias("body"), "starts", "ends")
 
     def run(batches):
