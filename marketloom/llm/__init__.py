@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, exact_dedup, langid, ngram_join, packing, pii, quality, sentencepiece_codec, sharding, suffix_dedup, topk_search, warc
+from . import collocations, exact_dedup, hard_negatives, langid, ngram_join, packing, pii, quality, sentencepiece_codec, sharding, suffix_dedup, topk_search, warc
 
-_MODULES = (sentencepiece_codec, exact_dedup, topk_search, warc, sharding, ngram_join, langid, packing, pii, quality, suffix_dedup, collocations)
+_MODULES = (sentencepiece_codec, exact_dedup, topk_search, warc, sharding, ngram_join, langid, packing, pii, quality, suffix_dedup, collocations, hard_negatives)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
