@@ -1,9 +1,9 @@
 """Frequent word sequences and how strongly they stick together.
 
-Sizes are counted one after the other.  A task lays its texts end to end, hashes
+Sizes are counted one after the other.  A task lays some texts end to end, hashes
 words by a prefix polynomial over bytes and n-grams by one over word hashes
-(Rabin-Karp fingerprints), counts the n-grams of a batch, and sends one row for
-each: fingerprint, count and a pointer to one occurrence.  Inside a batch words
+(Rabin-Karp fingerprints), counts their n-grams, and sends one row for
+each: fingerprint, count and a pointer to one occurrence.  Inside a slice words
 are told apart by their bytes and n-grams by their words, so a count never mixes
 two phrases.  The shuffle adds up counts by fingerprint and passes on those of
 frequent ones with their pointers, which are then followed into the texts: what
@@ -15,7 +15,7 @@ are.  Fingerprints of the size before set bits in a bitmap of fixed size, and
 n-grams with a part whose bit isn't set are left out where they are read; a
 full bitmap lets more through and changes no result.
 
-Fingerprints are of (language, words), so one frequent word is one row a batch.
+Fingerprints are of (language, words), so one frequent word is one row a slice (8 MB of text).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import only_results, table, written
@@ -33,14 +33,14 @@ from .textkernels import _power_tables, mix, text_buffer, word_hashes
 
 #: Bits of the map of frequent fingerprints: 8 MB.
 BITS = 26
-#: Words that a task counts at a time.
-_GROUP = 1 << 21
+#: Bytes of text that a task counts at a time.
+SLICE_BYTES = 8 << 20
 
 _BREAK, _GAP = b".,;:!?\x0a\x0b\x0c\x0d", b" \x09"
 _FORM = np.arange(256, dtype=np.uint8)
 _FORM[65:91] += 32
 _FORM[list(_BREAK)] = 0x0A
-_FORM[list(_GAP)] = 0x20
+_FORM[list(_GAP)] = 0x20  # bytes above 127 are parts of letters
 _WORD = re.compile(b"[^ \x09.,;:!?\x0a-\x0d]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -91,68 +91,74 @@ def fingerprints(hashes: np.ndarray, at: np.ndarray, size: int, seed: np.ndarray
     return mix(mix(total + np.uint64(size)) ^ seed)
 
 
-def counted(buf: np.ndarray, begin: np.ndarray, seeds: np.ndarray, size: int, bitmap: np.ndarray | None):
-    """(fingerprint, count, text, byte) of every n-gram of ``size`` words, group by group; ``bitmap`` is of the size before."""
+def _known(marks: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    low = marks & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def counted(buf: np.ndarray, begin: np.ndarray, seeds: np.ndarray, size: int, bitmap: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """(fingerprint, count, text, byte) of every n-gram of ``size`` words whose parts are in ``bitmap`` (of the size before; None lets all through)."""
     starts, ends, hashes = word_hashes(buf)
-    for lo, hi in _groups(buf, starts):
-        s, e, h = starts[lo:hi], ends[lo:hi], hashes[lo:hi]
-        text = np.searchsorted(begin, s, "right") - 1
-        piece = np.searchsorted(np.flatnonzero(buf[s[0] : e[-1]] == 0x0A) + s[0], s)
-        ids = word_ids(buf[s[0] : e[-1]], s - s[0], e - s[0], h)
-        words = int(ids.max(initial=0)) + 1
-        # Texts of one seed are one language: numbers of phrases start with its number.
-        _, key = np.unique(seeds[text], return_inverse=True)
-        key = key * words + ids
-        at = np.arange(len(s))
-        for k in range(1, size + 1):
-            if k > 1:
-                fine = at[(at + k <= len(s))]
-                fine = fine[piece[np.minimum(fine + k - 1, len(s) - 1)] == piece[fine]]
-                last = np.full(len(s), -1, dtype=np.int64)
-                last[at] = number  # noqa: F821  of the size before
-                fine = fine[(last[fine] >= 0) & (last[fine + 1] >= 0)]
-                at, key = fine, last[fine] * words + ids[fine + k - 1]
-            _, first, number, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            if k == size - 1 and bitmap is not None:
-                found = fingerprints(h, at[first], k, seeds[text[at[first]]]) & np.uint64((1 << BITS) - 1)
-                known = (bitmap[(found >> np.uint64(3)).astype(np.int64)] >> (found & np.uint64(7)).astype(np.uint8)) & 1
-                number = np.where(known[number] > 0, number, -1)
-        head = at[first]
-        yield fingerprints(h, head, size, seeds[text[head]]), times, text[head], s[head] - begin[text[head]]
-
-
-def _groups(buf: np.ndarray, starts: np.ndarray):
-    """(from, to) ranges of words of about ``_GROUP``, ending where a piece does."""
-    lo = 0
-    while lo < len(starts):
-        hi = min(lo + _GROUP, len(starts))
-        while hi < len(starts) and not (buf[starts[hi - 1] : starts[hi]] == 0x0A).any():
-            hi += 1
-        yield lo, hi
-        lo = hi
-
-
-def _counts(docs: DataFrame, size: int, bitmap: np.ndarray | None) -> DataFrame:
-    """(mark, times, doc, code, at): a row for each n-gram of a batch."""
+    text = np.searchsorted(begin, starts, "right") - 1
+    at = np.arange(max(0, len(starts) - size + 1))
+    if size > 1:
+        piece = np.cumsum(np.bincount(np.searchsorted(starts, np.flatnonzero(buf == 0x0A)), minlength=len(starts) + 1))[: len(starts)]
+        at = at[piece[at] == piece[at + size - 1]]
+        if bitmap is not None:
+            part = np.unique(np.concatenate((at, at + 1)))
+            known = np.zeros(len(starts), dtype=bool)
+            known[part] = _known(fingerprints(hashes, part, size - 1, seeds[text[part]]), bitmap)
+            at = at[known[at] & known[at + 1]]
+    if not len(at):
+        return (np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 3)
+    words = np.unique(np.concatenate([at + k for k in range(size)])) if size > 1 else at
+    ids = np.zeros(len(starts), dtype=np.int64)
+    ids[words] = word_ids(buf, starts[words], ends[words], hashes[words])
+    many = int(ids.max()) + 1
+    # Texts of one seed are one language: numbers of phrases start with its number.
+    _, key = np.unique(seeds, return_inverse=True)
+    key = key[text[at]] * many + ids[at]
+    for k in range(1, size):
+        key = np.unique(key, return_inverse=True)[1] * many + ids[at + k]
+    _, first, times = np.unique(key, return_index=True, return_counts=True)
+    head = at[first]
+    return fingerprints(hashes, head, size, seeds[text[head]]), times, text[head], starts[head] - begin[text[head]]
+
+
+def _slices(column: pa.Array, most: int):
+    """(from, to) rows of about ``most`` bytes of text."""
+    _, starts, ends = text_buffer(column)
+    total, lo = 0, 0
+    for k, n in enumerate((ends - starts).tolist()):
+        total += n
+        if total >= most:
+            yield lo, k + 1
+            total, lo = 0, k + 1
+    if lo < len(column):
+        yield lo, len(column)
+
+
+def _counts(docs: DataFrame, size: int, bitmap: np.ndarray | None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(mark, times, doc, place): a row for each n-gram of a slice of a batch; place is the byte and 32 bits that tell the text."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in _slices(b.column(3), slice_bytes)):
             langs = batch.column(2).dictionary_encode()
-            seed = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs.dictionary.to_pylist()] or [0], dtype=np.uint64)
+            seed = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs.dictionary.to_pylist()], dtype=np.uint64)
             buf, begin = laid_out(*text_buffer(batch.column(3)))
-            for mark, times, text, at in counted(buf, begin, seed[langs.indices.to_numpy()], size, shared.value):
-                of = pa.array(text)
-                yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(times), batch.column(0).take(of), batch.column(1).take(of), pa.array(at)], names=["mark", "times", "doc", "code", "at"])
+            mark, times, text, at = counted(buf, begin, seed[langs.indices.to_numpy()], size, shared.value)
+            code = batch.column(1).to_numpy()[text]
+            yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(times), batch.column(0).take(pa.array(text)), pa.array(at << 32 | code)], names=["mark", "times", "doc", "place"])
 
-    return docs.select("doc", "code", "lang", "text").mapInArrow(run, "mark long, times long, doc long, code long, at long")
+    return docs.select("doc", "code", "lang", "text").mapInArrow(run, "mark long, times long, doc long, place long")
 
 
-def _bitmap(frequent: DataFrame) -> np.ndarray:
-    """Bits of the fingerprints' low ends; at most 2**(BITS - 6) rows reach the driver, whatever the table's size."""
-    bit = F.col("mark").bitwiseAND((1 << BITS) - 1)
-    rows = frequent.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((mark & {(1 << BITS) - 1}) & 63 AS INT))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (BITS - 6), dtype=np.int64)
+def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the fingerprints' low ends; at most 2**(bits - 6) rows reach the driver, whatever the table's size."""
+    bit = F.col("mark").bitwiseAND((1 << bits) - 1)
+    rows = frequent.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((mark & {(1 << bits) - 1}) & 63 AS INT))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
     out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return out.view(np.uint8)
 
@@ -184,7 +190,7 @@ def _texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return told.groupBy("lang", "size", "phrase").agg(F.sum("times").alias("times"))
 
 
-def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang", bits: int = BITS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(lang, size, phrase, times) of all phrases of up to ``longest`` words that occur at least ``least`` times in texts of a language.
 
     Texts are lower-cased (A to Z) and cut at ``[.,;:!?\\x0A-\\x0D]``; a phrase
@@ -201,16 +207,16 @@ def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, text_col:
         sizes, bitmap = [], None
         for size in range(1, longest + 1):
             of = Window.partitionBy("mark")
-            marks = _counts(docs, size, bitmap).withColumn("total", F.sum("times").over(of)).where(F.col("total") >= least).drop("total")
+            marks = _counts(docs, size, bitmap, slice_bytes).withColumn("total", F.sum("times").over(of)).where(F.col("total") >= least).drop("total")
             marks = written(marks, f"marks-{size}")
             sizes.append(marks.withColumn("size", F.lit(size)))
             if size < longest:
-                bitmap = _bitmap(marks)
+                bitmap = _bitmap(marks, bits)
         marks = sizes[0]
         for more in sizes[1:]:
             marks = marks.unionByName(more)
         # Rows of one text give one pointer each time.
-        pointers = marks.groupBy("doc", "code", "at", "size").agg(F.sum("times").alias("times"))
+        pointers = marks.groupBy("doc", "place", "size").agg(F.sum("times").alias("times")).select("doc", F.col("place").bitwiseAND(0xFFFFFFFF).alias("code"), F.shiftright("place", 32).alias("at"), "size", "times")
         out = written(_texts(docs, pointers).where(F.col("times") >= least), "phrases")
         keep.append(out)
     return out
@@ -222,25 +228,31 @@ def word_totals(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     return df.groupBy(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")).agg(F.sum(words.cast("long")).alias("n"))
 
 
-def collocations(df: DataFrame, longest: int = 3, least: int = 10, share: int = 50, first: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def exact_score(a: Column, left: Column, right: Column) -> Column:
+    """floor(1000000 a a / (left right)) for counts below 10**15; the products are decimals of up to 38 digits."""
+    big = lambda c: c.cast("decimal(15,0)")
+    return F.call_function("div", (big(a) * big(a)) * F.lit(1000000).cast("decimal(7,0)"), big(left) * big(right))
+
+
+def collocations(df: DataFrame, longest: int = 3, least: int = 10, share: int = 50, first: int = 2000, text_col: str = "text", lang_col: str = "lang", bits: int = BITS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Each language's ``first`` phrases of 2 to ``longest`` words: lang, rank, phrase, a, l, r, n, score.
 
     Of a phrase that occurs ``a`` times, every cut after its first k words gives
     floor(1000000 a a / (l r)) with l and r occurrences of both parts; the
     lowest counts, ties to the smallest k.  A phrase goes if a longer one of at
     least ``share`` percent of its occurrences contains it.  Arithmetic is in
-    decimals, so no product overflows.  Rows are as for ``frequent_phrases``; a
+    decimals, so no product overflows.  ``bits`` (6 at least) and ``slice_bytes``
+    size the bitmap and what a task counts at a time; they change no result.  Rows are as for ``frequent_phrases``; a
     language without phrases has no rows.
     """
-    found = frequent_phrases(df, longest, least, text_col, lang_col)
+    found = frequent_phrases(df, longest, least, text_col, lang_col, bits, slice_bytes)
     known = found.select("lang", "phrase", F.col("times").alias("a"), "size")
     cuts = known.where("size > 1").withColumn("words", F.split("phrase", " ")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
     part = lambda words: F.concat_ws(" ", words)
     cuts = cuts.withColumns({"left": part(F.slice("words", 1, F.col("k"))), "right": part(F.slice("words", F.col("k") + 1, F.col("size") - F.col("k")))})
     times = lambda name, into: known.select(F.col("lang"), F.col("phrase").alias(name), F.col("a").alias(into))
     scored = cuts.join(times("left", "l"), ["lang", "left"]).join(times("right", "r"), ["lang", "right"])
-    big = lambda c: F.col(c).cast("decimal(18,0)")
-    scored = scored.withColumn("score", F.call_function("div", (big("a") * big("a")).cast("decimal(31,0)") * F.lit(1000000).cast("decimal(7,0)"), big("l") * big("r")))
+    scored = scored.withColumn("score", exact_score(F.col("a"), F.col("l"), F.col("r")))
     best = scored.groupBy("lang", "phrase", "a", "size").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
 
     inside = known.where("size > 2").withColumn("words", F.split("phrase", " "))
