@@ -103,8 +103,17 @@ def _values(rows: Column, keep: Callable[[Column], Column], keyed: bool = False)
     return F.nullif(F.array_join(kept, "\n"), F.lit(""))
 
 
+def _by_bucket(rows: Column, keyed: bool) -> Column:
+    """bucket -> its rows' values (or ``key: value``), one a line."""
+    line = lambda r: F.concat(r["key"], F.lit(": "), r["value"]) if keyed else r["value"]
+    of = lambda b: F.array_join(F.transform(F.filter(rows, lambda r: r["bucket"] == b), line), "\n")
+    return F.map_from_entries(F.transform(F.array_distinct(rows["bucket"]), lambda b: F.struct(b.alias("key"), of(b).alias("value"))))
+
+
 def of_bucket(*buckets: str, keyed: bool = False) -> Column:
-    return _values(F.col("rows"), lambda r: r["bucket"].isin(_in(buckets)), keyed)
+    """Values of the rows of buckets, those that also count as them after their own; null if there are none."""
+    texts = [F.col("__keyed" if keyed else "__plain")[b] for b in _in(buckets)]
+    return texts[0] if len(texts) == 1 else F.nullif(F.concat_ws("\n", *texts), F.lit(""))
 
 
 def of_key(pattern: str, veto: str = r"^\b$", keyed: bool = False) -> Column:
@@ -121,6 +130,7 @@ def routed(df: DataFrame, title: str = "title", table: str = "rows") -> DataFram
     """``df`` with its rows' buckets and, for every category, t_<name> (its rows' values) and s_<name> (the first section about it, else rows whose key names it)."""
     rows = F.transform(F.coalesce(F.col(table), F.array().cast("array<struct<section:string,key:string,value:string>>")), lambda r: F.struct(r["section"].alias("section"), F.trim(r["key"]).alias("key"), F.trim(r["value"]).alias("value"), bucket(r["key"]).alias("bucket")))
     df = df.withColumns({"title": F.coalesce(F.col(title), F.lit("")), "rows": F.filter(rows, lambda r: F.coalesce(r["value"], F.lit("")) != "")})
+    df = df.withColumns({"__plain": _by_bucket(F.col("rows"), False), "__keyed": _by_bucket(F.col("rows"), True)})
     max_rows = r"max(?:imum)? (?:storage|memory)|storage support"
     texts: dict[str, Column] = {}
     for name, c in CATEGORIES.items():
@@ -139,7 +149,7 @@ def raw(category: str, fallback: Column) -> Column:
     first = F.filter(mine, lambda x, i: F.array_position(F.transform(mine, lambda y: F.lower(y)), F.lower(x)) == i + 1)
     title = F.concat(F.lit("Title: "), F.nullif(F.trim("title"), F.lit("")))
     if category == "identity":
-        return F.nullif(F.concat_ws(" | ", bar(title), *[F.array_join(first, " | ")]), F.lit(""))
+        return F.nullif(F.concat_ws(" | ", bar(title), F.nullif(F.array_join(first, " | "), F.lit(""))), F.lit(""))
     return F.coalesce(F.nullif(F.array_join(first, " | "), F.lit("")), bar(fallback))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("price", "browse", "merge", "scoring", "metrics", "ranking", "personas", "resolve", "text", "vectors", "pages", "specs", "forms", "reviews", "stream")
+GROUPS = ("price", "browse", "merge", "scoring", "metrics", "ranking", "personas", "resolve", "text", "vectors", "pages", "specs", "sheets", "forms", "reviews", "stream")
 
 
 def load() -> None:
