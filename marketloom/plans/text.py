@@ -92,16 +92,6 @@ def near_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.near_duplicates(load(spark, sf_dir, "conversations"), ["conv_id"], ["conv_id", "turn"], "text", ["turn"])
 
 
-@query(
-    """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN trim(text) = '' THEN 'empty' WHEN regexp_matches(text, 'License|license') THEN 'boilerplate' WHEN contains(text, '!!') THEN 'promo' WHEN regexp_matches(text, '[0-9]{16}') THEN 'number' WHEN length(text) < 40 THEN 'short' ELSE 'relevant' END AS reason FROM documents) GROUP BY 1"""
-)
-def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by the first reason that speaks against them."""
-    t = F.col("text")
-    reason = F.when(F.trim(t) == "", "empty").when(t.rlike("License|license"), "boilerplate").when(t.contains("!!"), "promo").when(t.rlike("[0-9]{16}"), "number").when(F.length(t) < 40, "short").otherwise("relevant")
-    return docs(spark, sf_dir).select(reason.alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
 CHUNK_SQL = f"c AS (SELECT conv_id, turn, CAST(3 * len({_aspect_sql('lower(text)')}) + {HIT('lower(text)', PROS)} AS INT) AS score FROM conversations)"
 
 
