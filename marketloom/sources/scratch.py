@@ -69,7 +69,7 @@ def only_results(spark: SparkSession) -> Iterator[list[DataFrame]]:
         yield keep
         done = True
     finally:
-        _open.remove(made)
+        _open[:] = [x for x in _open if x is not made]  # by identity: two of them may hold the same paths
         stay = {f.rpartition("/")[0].rpartition("/")[2] for df in keep for f in df.inputFiles()} if done else set()
         for path in made:
             if path.rpartition("/")[2] not in stay:
