@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table, written
+from .common import discard, scratch_path, table, written
 
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 _ENTRY = pa.schema([("key", pa.string()), ("id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -108,12 +108,17 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Of equal payloads of at least ``least_bytes`` bytes the row with the
     smallest identifier is the response (all rows that repeat that identifier
     are), the others revisit it; a row whose identifier is null revisits the
-    smallest there is, or is a response.  Null payloads are empty.
+    smallest there is, or is a response.  Null payloads are empty.  A task holds
+    one Arrow batch of rows, so of very long pages as many as a batch has.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     marks = rows.where(F.octet_length("payload") >= least_bytes).select("id", F.sha2("payload", 256).alias("content"))
-    firsts = marks.groupBy("content").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL")
-    again = written(marks.join(firsts.drop("n"), "content").where("id IS NULL OR id != refers_to").distinct(), "revisits")
+    firsts = written(marks.groupBy("content").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n"), "firsts")
+    # The join's own table, so that Spark's skew join may deal the rows of a frequent payload to tasks; then (payload, id) is the key.
+    found = written(marks.join(firsts, "content").where("id IS NULL OR id != refers_to"), "repeats")
+    again = written(found.distinct(), "revisits")
+    discard(firsts)
+    discard(found)
     tagged = rows.withColumn("content", F.sha2("payload", 256)).alias("p").join(again.alias("r"), (F.col("p.content") == F.col("r.content")) & F.col("p.id").eqNullSafe(F.col("r.id")), "left").select("p.id", "url", "payload", "refers_to")
 
     def run(batches):
