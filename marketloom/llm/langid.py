@@ -20,6 +20,8 @@ from .common import table
 
 _STRETCH = 1 << 20
 _HELD = 64
+#: Texts that are scored at once.
+_AT_ONCE = 32
 UNKNOWN = "und"
 
 
@@ -81,13 +83,38 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, orders: tuple[int,
     return langs, matrix.astype(np.float32)
 
 
-def text_scores(text: str, matrix: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
-    """Log-posteriors of the languages up to a constant, evidence tempered."""
-    counts, length = gram_counts(text, orders, bits)
+def sparse_counts(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, count) of what occurs in the texts, rows ascending, and the texts' characters: a batch hashed at once, long texts in stretches."""
+    padded = [f" {t.lower()} " for t in texts]
+    sizes = np.array([len(t) for t in padded], dtype=np.int64)
+    small = np.flatnonzero(sizes <= _STRETCH)
+    chars = np.frombuffer("".join(padded[k] for k in small.tolist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    owner = np.repeat(small, sizes[small])
+    h, codes = np.full(len(chars), 0x811C9DC5, dtype=np.uint32), []
+    for order in range(1, min(max(orders), len(chars)) + 1):
+        h = h[: len(chars) - order + 1] * np.uint32(0x01000193) ^ chars[order - 1 :]
+        if order in orders:
+            x = h ^ np.uint32(order * 0x9E3779B1 & 0xFFFFFFFF)
+            x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            x = (x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)
+            inside = owner[: len(h)] == owner[order - 1 :]
+            codes.append((owner[: len(h)] << bits | (x >> np.uint32(32 - bits)).astype(np.int64))[inside])
+    counts = np.bincount(np.concatenate(codes) if codes else np.zeros(0, np.int64), minlength=len(texts) << bits)
+    for k in np.flatnonzero(sizes > _STRETCH).tolist():
+        counts[k << bits : (k + 1) << bits] = gram_counts(texts[k], orders, bits)[0]
     at = np.flatnonzero(counts)
-    evidence = counts[at].astype(np.float32) @ matrix[at]
+    return at >> bits, at & ((1 << bits) - 1), counts[at], sizes
+
+
+def batch_scores(texts: list[str], matrix: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
+    """Log-posteriors of the languages up to a constant, evidence tempered, a row a text: the batch's sparse counts times the matrix."""
+    row, bucket, n, length = sparse_counts(texts, orders, bits)
+    evidence = np.zeros((len(texts), matrix.shape[1]))
+    there = np.unique(row)
+    if len(there):
+        evidence[there] = np.add.reduceat(n.astype(np.float32)[:, None] * matrix[bucket], np.searchsorted(row, there), axis=0, dtype=np.float64)
     # An n-gram's neighbours share its characters: the evidence of a text counts as that of so many separate n-grams.
-    return evidence.astype(np.float64) / (len(orders) * max(orders) / 2 * max(1.0, length / 256) ** 0.5) + matrix[-1]
+    return evidence / (len(orders) * max(orders) / 2 * np.maximum(1.0, length / 256) ** 0.5)[:, None] + matrix[-1]
 
 
 def predict(df: DataFrame, text_col: str, langs: list[str], matrix: np.ndarray, orders: tuple[int, ...], bits: int, keep: list[str]) -> DataFrame:
@@ -97,16 +124,14 @@ def predict(df: DataFrame, text_col: str, langs: list[str], matrix: np.ndarray,
     def run(batches):
         m = shared.value
         for batch in batches:
-            pred, score = [], []
-            for text, letters in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                if not letters:
-                    pred.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                s = text_scores(text.as_py(), m, orders, bits)
-                best = int(s.argmax())
-                pred.append(langs[best])
-                score.append(float(1 / np.exp(s - s[best]).sum()))
+            pred, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            told = np.flatnonzero(batch.column(1).to_numpy(zero_copy_only=False))
+            for at in (told[lo : lo + _AT_ONCE] for lo in range(0, len(told), _AT_ONCE)):
+                s = batch_scores(batch.column(0).take(pa.array(at)).to_pylist(), m, orders, bits)
+                best = s.argmax(axis=1)
+                score[at] = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
+                for k, b in zip(at.tolist(), best.tolist(), strict=True):
+                    pred[k] = langs[b]
             out = [batch.column(at) for at in places]
             yield pa.RecordBatch.from_arrays([*out, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[f"k{k}" for k in range(len(keep))] + ["lang_pred", "score"])
 
