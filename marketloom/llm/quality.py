@@ -18,7 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -81,13 +81,13 @@ class Passages:
         self.grams = trigram_buckets(buf)
 
     def counted(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """Shapes and hashed counts (255 at most) of the passages from ``lo`` to ``hi``."""
+        """Shapes and hashed counts (65 535 at most) of the passages from ``lo`` to ``hi``."""
         n, parts = np.arange(hi - lo), []
         for begin, size, buckets in ((self.w0[lo:hi], (self.w1 - self.w0)[lo:hi], self.words), (self.b0[lo:hi], np.maximum(0, self.b1 - self.b0 - 2)[lo:hi], self.grams)):
             place = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
             parts.append(np.repeat(n * N_HASHED, size) + buckets[place].astype(np.int64))
         counts = np.bincount(np.concatenate(parts), minlength=(hi - lo) * N_HASHED).reshape(hi - lo, N_HASHED)
-        return self.shapes[lo:hi].astype(np.float32), np.minimum(counts, 255).astype(np.uint8)
+        return self.shapes[lo:hi].astype(np.float32), np.minimum(counts, 65535).astype(np.uint16)
 
 
 def features(shapes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -224,8 +224,8 @@ def _groups(column: pa.Array):
         yield np.array(rows), Passages(raw, *np.array(spans).T)
 
 
-def train(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str, text_col: str, label_col: str, train_rows: int, train_passages: int) -> AttentionModel:
-    """Fit on at most ``train_rows`` labelled documents, those with the smallest hashed identifiers, and at most ``train_passages`` passages of each, evenly over the whole text."""
+def train(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str, text_col: str, label_col: str, train_rows: int, train_bytes: int) -> AttentionModel:
+    """Fit on all passages of at most ``train_rows`` labelled documents with at most ``train_bytes`` of text in all: those with the smallest hashed identifiers, as long as there is room."""
     marked = labels.where(eligible & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     picked = marked.orderBy(F.xxhash64("i"), "i").limit(train_rows)
 
@@ -233,42 +233,39 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str, tex
         for batch in batches:
             for one in range(batch.num_rows):
                 part = batch.slice(one, 1)
-                found = [p for _, p in _groups(part.column(1))]
-                total = sum(int(p.first[-1]) for p in found)
-                wanted, at, x = np.unique(np.linspace(0, total - 1, min(total, train_passages)).astype(int)), 0, []
-                for p in found:
-                    n = int(p.first[-1])
-                    x += [p.counted(k, k + 1) for k in (wanted[(wanted >= at) & (wanted < at + n)] - at).tolist()]
-                    at += n
+                x = [p.counted(0, int(p.first[-1])) for _, p in _groups(part.column(1))]
                 packed = zlib.compress(b"".join(np.concatenate(c).tobytes() for c in zip(*x, strict=True)), 1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed], pa.binary()), part.column(2)], names=["i", "x", "y"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(picked), "i").select("i", "t", "y")
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
+    sizes = texts.join(F.broadcast(picked), "i").groupBy("i", "y").agg(F.max(F.coalesce(F.octet_length("t"), F.lit(0)) + 1).alias("size")).where(F.col("size") <= train_bytes)  # train_rows rows at most
+    room = F.sum("size").over(Window.orderBy(F.xxhash64("i"), "i"))
+    texts = texts.join(F.broadcast(sizes.withColumn("room", room).where(F.col("room") <= train_bytes)), "i").select("i", "t", "y")
     # One row an identifier, the same one whatever the order of rows.
     rows = texts.mapInArrow(bags, f"i {kind}, x binary, y int").groupBy("i").agg(F.min("x").alias("x"), F.min("y").alias("y")).toPandas().sort_values("i")
 
     def unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray]:
         raw = zlib.decompress(x)
-        n = len(raw) // (4 * N_SHAPES + N_HASHED)
-        return np.frombuffer(raw, np.float32, n * N_SHAPES).reshape(n, N_SHAPES), np.frombuffer(raw, np.uint8, n * N_HASHED, 4 * n * N_SHAPES).reshape(n, N_HASHED)
+        n = len(raw) // (4 * N_SHAPES + 2 * N_HASHED)
+        return np.frombuffer(raw, np.float32, n * N_SHAPES).reshape(n, N_SHAPES), np.frombuffer(raw, np.uint16, n * N_HASHED, 4 * n * N_SHAPES).reshape(n, N_HASHED)
 
     return AttentionModel().fit([unpacked(x) for x in rows["x"]], rows["y"].to_numpy())
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 6000, threshold: float = 0.3, train_passages: int = 16) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 6000, threshold: float = 0.3, train_bytes: int = 32 << 20) -> DataFrame:
     """``id_col``, score (0 to 1) and predicted (1 if score >= ``threshold``) of every row of ``docs``.
 
     Only labels of rows where ``eligible`` (an expression on ``id_col``) holds
-    are learned, of at most ``train_rows`` documents and ``train_passages``
-    passages of each; scores are of all passages.  Of a document's repeated
+    are learned, of at most ``train_rows`` documents with ``train_bytes`` of text
+    in all, every passage of each; scores are of all passages.  Of a document's repeated
     labels the least counts, of rows that repeat an identifier one teaches, and
     null labels and labels without a document teach nothing.  Null and empty
     texts have one empty passage.  Without labels of both kinds the score is
     their mean (0.5 if there are none).  Repeated rows and null identifiers are
     scored like others; an empty table gives no rows.
     """
-    model = train(docs, labels, eligible, id_col, text_col, label_col, train_rows, train_passages)
+    model = train(docs, labels, eligible, id_col, text_col, label_col, train_rows, train_bytes)
 
     def run(batches):
         for batch in batches:

@@ -114,3 +114,13 @@ def test_kernels_follow_words():
         for a, b, h in zip(*word_hashes(buf)):
             seen[int(h)].add(bytes(buf[a:b]).lower())
     assert all(len(v) == 1 for v in seen.values())
+
+
+def test_a_chain_of_versions(spark):
+    """Two hundred versions of one document, each close to the next and with rising identifiers, are one component."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(80 + 2 * 200)]
+    rows = [(k, " ".join(words[2 * k : 2 * k + 80])) for k in range(200)]
+    got = {r["doc_id"]: r["component_id"] for r in J.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: 0 for k in range(200)}
+    assert {c for _, _, c in brute(rows)} == {0}

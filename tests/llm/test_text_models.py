@@ -179,7 +179,7 @@ def test_scores_are_a_plain_forward_pass(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs if len(r["text"]) < 4000] + [(-1, None), (-2, ""), (-3, "Ünï " * 130), (-1, "twice")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
-    model = Q.train(df, labels, F.lit(True), "doc_id", "text", "quality", 6000, 16)
+    model = Q.train(df, labels, F.lit(True), "doc_id", "text", "quality", 6000, 32 << 20)
     got = sorted((r["doc_id"], r["score"]) for r in Q.quality_scores(df, labels, F.lit(True)).collect())
     assert np.allclose([s for _, s in got], [s for _, s in sorted((i, plain_score(model, t)) for i, t in rows)], atol=1e-4)
 
@@ -196,8 +196,8 @@ def test_repeated_identifiers_teach_once(spark):
     rows = [(k % 4, f"text {'good' if k % 2 else 'BAD!!'} number " * (1 + k % 4)) for k in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, quality int")
-    once = Q.train(df.dropDuplicates(), labels, F.lit(True), "doc_id", "text", "quality", 6000, 16)
-    many = Q.train(df, labels, F.lit(True), "doc_id", "text", "quality", 6000, 16)
+    once = Q.train(df.dropDuplicates(), labels, F.lit(True), "doc_id", "text", "quality", 6000, 32 << 20)
+    many = Q.train(df, labels, F.lit(True), "doc_id", "text", "quality", 6000, 32 << 20)
     assert all((once.p[k] == many.p[k]).all() for k in once.p)
 
 
@@ -387,6 +387,28 @@ def test_no_entity_stays_after_a_failure(spark, tmp_path, monkeypatch, scheme):
     assert seen and held(tmp_path) == []
 
 
+def test_sparse_batches_count_as_single_texts(monkeypatch):
+    texts = ["", "a", "ab", "the cat sat. The CAT", "日本語 İ ß", "x" * 5000, "é" * 300]
+    for stretch in (1 << 20, 64):
+        monkeypatch.setattr(L, "_STRETCH", stretch)
+        row, bucket, n, length = L.sparse_counts(texts, (1, 2, 4), 12)
+        for k, t in enumerate(texts):
+            want, chars = L.gram_counts(t, (1, 2, 4), 12)
+            got = np.zeros_like(want)
+            got[bucket[row == k]] = n[row == k]
+            assert (got == want).all() and length[k] == chars
+        assert (np.diff(row) >= 0).all()
+
+
+def test_every_passage_of_a_long_document_teaches(spark):
+    """Of a document far longer than others all passages are counted, and documents without room in the budget teach nothing."""
+    docs = [(k, " ".join(["good", "fine", "well"][k % 3] if k % 2 else ["bad", "poor", "ill"][k % 3] for _ in range(40 if k else 64 * 50)), k % 2) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, quality int")
+    got = {r["doc_id"]: r["score"] for r in Q.quality_scores(df.drop("quality"), df.drop("text"), F.col("doc_id") >= 0).collect()}
+    assert all((got[k] >= 0.5) == bool(k % 2) for k in got)
+    assert {r["score"] for r in Q.quality_scores(df.drop("quality"), df.drop("text"), F.col("doc_id") >= 0, train_bytes=10).collect()} == {0.5}
+
+
 def test_planted_data_goes(spark):
     got = {r["doc_id"]: r["text"] for r in pii.op9_keyed_surrogates(spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
