@@ -2,8 +2,9 @@
 
 Sizes are counted one after the other.  A task lays some texts end to end, hashes
 words by a prefix polynomial over bytes and n-grams by one over word hashes
-(Rabin-Karp fingerprints), counts their n-grams, and sends one row for
-each: fingerprint, count and a pointer to one occurrence.  Inside a slice words
+(Rabin-Karp fingerprints), counts their n-grams, and sends of each its
+fingerprint, count and a pointer to one occurrence, packed by parts of the
+fingerprints' range.  Inside a slice words
 are told apart by their bytes and n-grams by their words, so a count never mixes
 two phrases.  The shuffle adds up counts by fingerprint and passes on those of
 frequent ones with their pointers, which are then followed into the texts: what
@@ -15,7 +16,7 @@ are.  Fingerprints of the size before set bits in a bitmap of fixed size, and
 n-grams with a part whose bit isn't set are left out where they are read; a
 full bitmap lets more through and changes no result.
 
-Fingerprints are of (language, words), so one frequent word is one row a slice (8 MB of text).
+Fingerprints are of (language, words), so one frequent word is sent once a slice (8 MB of text).
 """
 
 from __future__ import annotations
@@ -138,8 +139,8 @@ def _slices(column: pa.Array, most: int):
         yield lo, len(column)
 
 
-def _counts(docs: DataFrame, size: int, bitmap: np.ndarray | None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """(mark, times, doc, place): a row for each n-gram of a slice of a batch; place is the byte and 32 bits that tell the text."""
+def _counts(docs: DataFrame, size: int, bitmap: np.ndarray | None, parts: int, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The n-grams of each slice of a batch, packed in a row for each of ``parts`` by fingerprint: marks, times, who (place in doc and code) and at (byte)."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
@@ -148,10 +149,53 @@ def _counts(docs: DataFrame, size: int, bitmap: np.ndarray | None, slice_bytes:
             seed = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs.dictionary.to_pylist()], dtype=np.uint64)
             buf, begin = laid_out(*text_buffer(batch.column(3)))
             mark, times, text, at = counted(buf, begin, seed[langs.indices.to_numpy()], size, shared.value)
-            code = batch.column(1).to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(times), batch.column(0).take(pa.array(text)), pa.array(at << 32 | code)], names=["mark", "times", "doc", "place"])
+            if not len(mark):
+                continue
+            part = ((mark >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            doc, code = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rows = []
+            for mine in np.split(order, cuts):
+                docs_, who = np.unique(text[mine], return_inverse=True)
+                rows.append((int(part[mine[0]]), mark[mine].tobytes(), times[mine].astype(np.uint32).tobytes(), who.astype(np.uint32).tobytes(), at[mine].astype(np.uint32).tobytes(), doc[docs_].tobytes(), code[docs_].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=["part", "marks", "times", "who", "at", "doc", "code"])
 
-    return docs.select("doc", "code", "lang", "text").mapInArrow(run, "mark long, times long, doc long, place long")
+    return docs.select("doc", "code", "lang", "text").mapInArrow(run, "part int, marks binary, times binary, who binary, at binary, doc binary, code binary")
+
+
+def _frequent(packed: DataFrame, least: int) -> DataFrame:
+    """(mark, times, doc, code, at): what slices have counted of the fingerprints whose counts reach ``least`` together.
+
+    A task adds up one part at a time, which holds about as many n-grams as 8 MB of text have.
+    """
+
+    def run(batches):
+        here, held = None, []
+
+        def added():
+            mark, times, doc, code, at = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(mark, kind="stable")
+            sorted_ = mark[order]
+            first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+            total = np.add.reduceat(times[order], first)
+            keep = order[np.repeat(total >= least, np.diff(np.append(first, len(order))))]
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([pa.array(mark[keep].view(np.int64)), *[pa.array(c[keep]) for c in (times, doc, code, at)]], names=["mark", "times", "doc", "code", "at"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part, *raw = (batch.column(c)[k].as_py() for c in range(7))
+                if part != here and held:
+                    yield from added()
+                    held = []
+                here = part
+                mark, times, who, at, doc, code = (np.frombuffer(x, t) for x, t in zip(raw, (np.uint64, np.uint32, np.uint32, np.uint32, np.int64, np.int64), strict=True))
+                held.append((mark, times.astype(np.int64), doc[who], code[who], at.astype(np.int64)))
+        if held:
+            yield from added()
+
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "mark long, times long, doc long, code long, at long")
 
 
 def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
@@ -205,10 +249,9 @@ def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, text_col:
     docs = docs.withColumns({"doc": F.xxhash64("lang", "text"), "code": F.crc32("text")})
     with only_results(df.sparkSession) as keep:
         sizes, bitmap = [], None
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE_BYTES)
         for size in range(1, longest + 1):
-            of = Window.partitionBy("mark")
-            marks = _counts(docs, size, bitmap, slice_bytes).withColumn("total", F.sum("times").over(of)).where(F.col("total") >= least).drop("total")
-            marks = written(marks, f"marks-{size}")
+            marks = written(_frequent(_counts(docs, size, bitmap, parts, slice_bytes), least), f"marks-{size}")
             sizes.append(marks.withColumn("size", F.lit(size)))
             if size < longest:
                 bitmap = _bitmap(marks, bits)
@@ -216,7 +259,7 @@ def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, text_col:
         for more in sizes[1:]:
             marks = marks.unionByName(more)
         # Rows of one text give one pointer each time.
-        pointers = marks.groupBy("doc", "place", "size").agg(F.sum("times").alias("times")).select("doc", F.col("place").bitwiseAND(0xFFFFFFFF).alias("code"), F.shiftright("place", 32).alias("at"), "size", "times")
+        pointers = marks.groupBy("doc", "code", "at", "size").agg(F.sum("times").alias("times"))
         out = written(_texts(docs, pointers).where(F.col("times") >= least), "phrases")
         keep.append(out)
     return out

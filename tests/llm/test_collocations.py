@@ -80,7 +80,7 @@ def test_what_stands_in_the_texts_decides(spark):
     rows = [("en", "a b. c d. a b") for _ in range(12)] + [("en", "c d")]
     df = spark.createDataFrame(rows, "lang string, text string")
     docs = df.selectExpr("lang", "text", "xxhash64(lang, text) AS doc", "crc32(text) AS code")
-    marks = C._counts(docs, 2, None).selectExpr("doc", "place & 4294967295 AS code", "shiftright(place, 32) AS at", "2 AS size", "times")
+    marks = C._frequent(C._counts(docs, 2, None, 3), 1).selectExpr("doc", "code", "at", "2 AS size", "times")
     marks = marks.groupBy("doc", "code", "at", "size").sum("times").withColumnRenamed("sum(times)", "times")
     got = {r["phrase"]: r["times"] for r in C._texts(docs, marks).collect()}
     assert got == {"a b": 24, "c d": 13}
