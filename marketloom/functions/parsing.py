@@ -80,7 +80,7 @@ def shown_money(text: Column) -> Column:
 
 
 #: What the validators accept.
-RAM_SIZES = (4, 8, 12, 16, 18, 20, 24, 32, 36, 40, 48, 64, 96, 128)
+RAM_SIZES = (4, 8, 12, 16, 20, 24, 32, 36, 40, 48, 64, 96, 128, 192)
 VRAM_SIZES = (2, 4, 6, 8, 10, 12, 16, 24)
 #: Least and greatest value, and to how many digits it is kept (0: whole numbers).
 BOUNDS = {
@@ -97,7 +97,8 @@ SPEC_WORDS = ("RAM", "SSD", "HDD", "RTX", "GTX", "GEFORCE", "INTEL", "RYZEN", "W
 FAMILY_WORDS = ("RAM", "SSD", "RTX", "GTX", "INTEL", "RYZEN")
 GENERIC_WORDS = ("NONE", "N/A", "LAPTOP", "GAMING LAPTOP")
 PAINTS = ("silver", "grey", "gray", "black", "blue", "white", "gold", "mica", "eclipse", "cosmos", "shadow", "luna", "platinum", "dark ash")
-SPEAKERS = r"(?i)\bspeakers?\b|\b2w\s*[x×]\s*2\b|\b4w\s*total\b|\brealtek\b|\bwoofer\b|\btweeter\b|\bdts\s+audio\b|\bhi-res\s+audio\b|\bdolby\s+atmos\b"
+SPEAKER_WORDS = ("speaker", "speakers", "2w x 2", "2w × 2", "4w total", "realtek", "woofer", "tweeter", "dts audio", "hi-res audio", "dolby atmos")
+SPEAKERS = r"(?i)\b(?:" + "|".join(w.replace(" x ", r"\s*x\s*").replace(" × ", r"\s*×\s*").replace(" ", r"\s+") for w in SPEAKER_WORDS) + r")\b"
 
 
 def _verdict(value: Column, known: Column, fine: Column, why: Column | str) -> Column:
@@ -117,14 +118,16 @@ def _validated(kind: str, value: Column, most: Column | None, least: Column | No
         (low, high), bounds = LENGTHS[kind]
         mm = F.round(F.when((v >= low) & (v < high), v * 10).otherwise(v), 2)
         return F.when(value.isNull(), F.struct(F.lit(True).alias("ok"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("reason"))).otherwise(_verdict(mm, v.isNotNull(), mm.between(*bounds), f"outside {bounds[0]}..{bounds[1]}"))
+    digits = BOUNDS[kind][2] if kind in BOUNDS else 0
+    if not digits:  # whole numbers: a text that is none is of a wrong type, a number is cut
+        v = F.when((F.typeof(value) != "string") | value.cast("string").rlike(r"^\s*[+-]?\d+\s*$"), F.floor(v).cast("double"))
     if kind in ("ram_gb", "vram_gb"):
-        sizes = RAM_SIZES if kind == "ram_gb" else VRAM_SIZES
-        v = F.floor(v).cast("double")
-        fine, why = v.isin(*[float(x) for x in sizes]), F.lit("not a memory size")
+        fine, why = v.isin(*[float(x) for x in (RAM_SIZES if kind == "ram_gb" else VRAM_SIZES)]), F.lit("not a memory size")
     else:
-        low, high, digits = BOUNDS[kind]
-        v = F.round(v, digits) if digits else F.floor(v).cast("double")
-        fine, why = v.between(low, high), F.lit(f"outside {low}..{high}")
+        low, high, _ = BOUNDS[kind]
+        exact = kind in ("response_ms", "npu_tops")  # checked as they are, rounded then
+        fine, why = (v if exact or not digits else F.round(v, digits)).between(low, high), F.lit(f"outside {low}..{high}")
+        v = F.round(v, digits) if digits else v
     if most is not None:
         why = F.when(fine, "more than the processor takes").otherwise(why)
         fine = fine & ~F.coalesce(v > most, F.lit(False))
@@ -165,7 +168,7 @@ def validated_text(kind: str, value: Column, supported: Column | None = None) ->
         version = F.regexp_extract(t, r"(?i)\b(?:Bluetooth|BT)?\s*v?([4-6](?:\.[0-4])?)\b", 1)
         return _verdict(F.concat(F.lit("Bluetooth "), version, F.when(version.contains("."), "").otherwise(".0")), known, version != "", "unknown version")
     if kind == "gamut":
-        standard = has(low, ("srgb", "ntsc", "dci-p3", "adobe"))
+        standard = has(low, ("srgb", "ntsc", "dci-p3", "adobe rgb"))
         paint = has(low, PAINTS) & ~standard
         return _verdict(t, known, ~paint & (standard | low.contains("color gamut") | t.contains("%")), F.when(paint, "a colour of the case").otherwise("no standard"))
     if kind == "storage_form":

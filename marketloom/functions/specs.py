@@ -110,7 +110,7 @@ def ram_gb(text: Column) -> Column:
     product = _group(t, r"(?i)\b(\d)\s*x\s*\d{1,3}\s*gb").cast("int") * _group(t, r"(?i)\b\d\s*x\s*(\d{1,3})\s*gb").cast("int")
     plain = _first(_group(t, r"(?i)(\d{1,3})\s*gb\s*(?:lp)?(?:ddr\d\w*|ram|memory|unified)"), _group(t, r"(?i)(?:ram|memory)\s*[:=]?\s*(\d{1,3})\s*gb"), _group(t, r"(?i)\b(\d{1,3})\s*gb\b")).cast("int")
     v = _first(hybrid, product, plain)
-    return F.when(v.isin(4, 8, 12, 16, 18, 20, 24, 32, 36, 40, 48, 64, 96, 128), v)
+    return F.when(v.isin(4, 8, 12, 16, 20, 24, 32, 36, 40, 48, 64, 96, 128, 192), v)
 
 
 def ram_type(text: Column) -> Column:

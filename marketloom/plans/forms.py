@@ -55,32 +55,41 @@ def iso_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part(spark, sf_dir).select("k", show(P.moment(F.expr(WHEN))).alias("read"), show(P.moment(F.expr(WHEN), zone=False)).alias("stored"))
 
 
-#: Values for every numeric validator: a number as text, a number that isn't one, or nothing.
-NUMBER = "CASE WHEN k % 11 = 0 THEN 'x' WHEN k % 13 = 0 THEN NULL ELSE CAST({0} AS STRING) END"
+#: Values for every numeric validator: a number as text, a number with a fraction, one that isn't one, or nothing.
+NUMBER = "CASE WHEN k % 11 = 0 THEN 'x' WHEN k % 13 = 0 THEN NULL WHEN k % 17 = 0 THEN '16.504' ELSE CAST({0} AS STRING) END"
 _OF = {"display_inches": "CAST(k % 250 AS DOUBLE) / 10", "battery_wh": "CAST(k % 1200 AS DOUBLE) / 10", "weight_kg": "CAST(k % 700 AS DOUBLE) / 100", "response_ms": "CAST(k % 400 AS DOUBLE) / 10", "npu_tops": "CAST(k % 1700 AS DOUBLE) / 10", "gpu_boost_mhz": "k % 4000", "nits": "k % 3500", "refresh_hz": "k % 600", "adapter_w": "k % 600", "gpu_w": "k % 300"}
+_OF |= {"ram_gb": "k % 200", "vram_gb": "k % 30", "speakers": "k % 12", "warranty_years": "k % 12", "memory_slots": "k % 12", "storage_slots": "k % 12"}
 _LENGTH = {"height_mm": "CAST(k % 700 AS DOUBLE) / 10", "width_mm": "k % 600", "depth_mm": "k % 500"}
+_WHOLE = lambda e: f"TRY_CAST(CASE WHEN contains(t, '.') THEN NULL ELSE t END AS DOUBLE) AS v FROM (SELECT k, {NUMBER.format(e)} AS t FROM p)"
+_ROUND = lambda e, digits: f"round(TRY_CAST(t AS DOUBLE), {digits}) AS v FROM (SELECT k, {NUMBER.format(e)} AS t FROM p)"
 
 
-def _numeric_sql() -> str:
-    parts = []
-    for kind, (low, high, digits) in P.BOUNDS.items():
-        v = f"TRY_CAST({NUMBER.format(_OF.get(kind, 'k % 12'))} AS DOUBLE)"
-        v = f"round({v}, {digits})" if digits else f"floor({v})"
-        parts.append(f"SELECT k, '{kind}' AS kind, {v} AS v, {v} BETWEEN {low} AND {high} AS fine, 'outside {low}..{high}' AS why FROM p")
-    for kind, sizes in (("ram_gb", P.RAM_SIZES), ("vram_gb", P.VRAM_SIZES)):
-        v = f"TRY_CAST({NUMBER.format('k % 70')} AS DOUBLE)"
-        parts.append(f"SELECT k, '{kind}', {v}, {v} IN {sizes}, 'not a memory size' FROM p")
-    checked = " UNION ALL ".join(parts)
-    lengths = " UNION ALL ".join(f"SELECT k, '{kind}' AS kind, round(CASE WHEN x >= {a} AND x < {b} THEN x * 10 ELSE x END, 2) AS v, {c} AS lo, {d} AS hi, t FROM (SELECT k, {NUMBER.format(_LENGTH[kind])} AS t, TRY_CAST({NUMBER.format(_LENGTH[kind])} AS DOUBLE) AS x FROM p)" for kind, ((a, b), (c, d)) in P.LENGTHS.items())
-    return f"""WITH {P_SQL}, c AS ({checked}), l AS ({lengths})
+@query(
+    f"""WITH {P_SQL}, c AS (
+SELECT *, v BETWEEN 10 AND 18.5 AS fine, 'outside 10..18.5' AS why FROM (SELECT k, 'display_inches' AS kind, {_ROUND(_OF['display_inches'], 1)})
+UNION ALL SELECT *, v BETWEEN 60 AND 480, 'outside 60..480' FROM (SELECT k, 'refresh_hz', {_WHOLE(_OF['refresh_hz'])})
+UNION ALL SELECT *, v BETWEEN 25 AND 99.9, 'outside 25..99.9' FROM (SELECT k, 'battery_wh', {_ROUND(_OF['battery_wh'], 1)})
+UNION ALL SELECT *, v BETWEEN 30 AND 500, 'outside 30..500' FROM (SELECT k, 'adapter_w', {_WHOLE(_OF['adapter_w'])})
+UNION ALL SELECT *, v BETWEEN 0.7 AND 5.5, 'outside 0.7..5.5' FROM (SELECT k, 'weight_kg', {_ROUND(_OF['weight_kg'], 2)})
+UNION ALL SELECT *, v BETWEEN 1 AND 8, 'outside 1..8' FROM (SELECT k, 'speakers', {_WHOLE(_OF['speakers'])})
+UNION ALL SELECT *, v BETWEEN 150 AND 3000, 'outside 150..3000' FROM (SELECT k, 'nits', {_WHOLE(_OF['nits'])})
+UNION ALL SELECT *, v BETWEEN 0.1 AND 35, 'outside 0.1..35' FROM (SELECT k, 'response_ms', {_ROUND(_OF['response_ms'], 2)})
+UNION ALL SELECT *, v BETWEEN 5 AND 150, 'outside 5..150' FROM (SELECT k, 'npu_tops', {_ROUND(_OF['npu_tops'], 1)})
+UNION ALL SELECT *, v BETWEEN 500 AND 3200, 'outside 500..3200' FROM (SELECT k, 'gpu_boost_mhz', {_WHOLE(_OF['gpu_boost_mhz'])})
+UNION ALL SELECT *, v BETWEEN 20 AND 250, 'outside 20..250' FROM (SELECT k, 'gpu_w', {_WHOLE(_OF['gpu_w'])})
+UNION ALL SELECT *, v BETWEEN 1 AND 5, 'outside 1..5' FROM (SELECT k, 'warranty_years', {_WHOLE(_OF['warranty_years'])})
+UNION ALL SELECT *, v BETWEEN 0 AND 8, 'outside 0..8' FROM (SELECT k, 'memory_slots', {_WHOLE(_OF['memory_slots'])})
+UNION ALL SELECT *, v BETWEEN 1 AND 6, 'outside 1..6' FROM (SELECT k, 'storage_slots', {_WHOLE(_OF['storage_slots'])})
+UNION ALL SELECT *, v IN (4, 8, 12, 16, 20, 24, 32, 36, 40, 48, 64, 96, 128, 192), 'not a memory size' FROM (SELECT k, 'ram_gb', {_WHOLE(_OF['ram_gb'])})
+UNION ALL SELECT *, v IN (2, 4, 6, 8, 10, 12, 16, 24), 'not a memory size' FROM (SELECT k, 'vram_gb', {_WHOLE(_OF['vram_gb'])})),
+x AS (SELECT k, 'height_mm' AS kind, {NUMBER.format(_LENGTH['height_mm'])} AS t, 0.5 AS a, 6 AS b, 6 AS lo, 60 AS hi FROM p UNION ALL SELECT k, 'width_mm', {NUMBER.format(_LENGTH['width_mm'])}, 15, 60, 180, 500 FROM p UNION ALL SELECT k, 'depth_mm', {NUMBER.format(_LENGTH['depth_mm'])}, 10, 45, 140, 400 FROM p),
+l AS (SELECT *, round(CASE WHEN TRY_CAST(t AS DOUBLE) >= a AND TRY_CAST(t AS DOUBLE) < b THEN TRY_CAST(t AS DOUBLE) * 10 ELSE TRY_CAST(t AS DOUBLE) END, 2) AS v FROM x)
 SELECT k, kind, coalesce(fine, FALSE) AS ok, CASE WHEN fine THEN v END AS value, CASE WHEN v IS NULL THEN 'type_error' WHEN NOT fine THEN why END AS reason FROM c
 UNION ALL SELECT k, kind, t IS NULL OR coalesce(v BETWEEN lo AND hi, FALSE), CASE WHEN v BETWEEN lo AND hi THEN v END, CASE WHEN t IS NULL THEN NULL WHEN v IS NULL THEN 'type_error' WHEN NOT v BETWEEN lo AND hi THEN 'outside ' || lo || '..' || hi END FROM l"""
-
-
-@query(_numeric_sql())
+)
 def validated_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every quantity that has a validator, for every part."""
-    of = {k: NUMBER.format(_OF.get(k, "k % 12")) for k in P.BOUNDS} | {k: NUMBER.format("k % 70") for k in ("ram_gb", "vram_gb")} | {k: NUMBER.format(v) for k, v in _LENGTH.items()}
+    of = {k: NUMBER.format(e) for k, e in (_OF | _LENGTH).items()}
     rows = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), P.validated(kind, F.expr(e)).alias("r")) for kind, e in of.items()]))
     return part(spark, sf_dir).select("k", rows.alias("x")).select("k", "x.kind", "x.r.ok", "x.r.value", "x.r.reason")
 

@@ -22,6 +22,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         " | ", F.concat(pick(["Core i7-13620H", "Ryzen 7 7840HS", "Core Ultra 7 155H"]), F.lit(" processor")), F.concat(pick(["RTX 4060 8GB", "Iris Xe", "RX 7600M"]), F.lit(" graphics")), F.concat((F.lit(8) * F.pow(F.lit(2), k % 3)).cast("int").cast("string"), F.lit("GB DDR5 4800MHz RAM")),
         F.concat(pick(["512GB", "1TB", "2TB"]), F.lit(" NVMe SSD up to 4TB")), F.concat(pick(["14", "15.6", "16"]), F.lit('" '), pick(["FHD", "WQXGA", "4K"]), F.lit(" "), pick(["IPS", "OLED"]), F.lit(" "), (F.lit(60) * (1 + k % 4)).cast("string"), F.lit("Hz 400 nits")),
         F.concat((40 + k % 50).cast("string"), F.lit("Wh battery, 100W adapter")), F.concat((1 + (k % 20) / 10.0).cast("decimal(3,1)").cast("string"), F.lit(" kg")), F.concat(F.lit("Wi-Fi "), pick(["6", "6E", "7"]), F.lit(", Bluetooth 5.3")), pick(["Windows 11 Pro", "FreeDOS"]),
+        F.concat(pick(["RGB backlit", "non-backlit"]), F.lit(" keyboard, 720p webcam, "), pick(["2", "4"]), F.lit(" speakers")),
     )
     return load(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
 
@@ -29,12 +30,13 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT p_partkey, ['Core i7-13620H', 'Ryzen 7 7840HS', 'Core Ultra 7 155H'][p_partkey % 3 + 1] AS cpu, ['rtx 4060', 'iris xe', 'rx 7600m'][p_partkey % 3 + 1] AS gpu, CASE WHEN p_partkey % 3 = 0 THEN 8 END::INT AS vram_gb, CAST(8 * pow(2, p_partkey % 3) AS INT) AS ram_gb, 'DDR5' AS ram_type, 4800 AS ram_mhz,
 [512, 1024, 2048][p_partkey % 3 + 1]::INT AS storage_gb, 'SSD' AS storage_kind, [14, 15.6, 16][p_partkey % 3 + 1]::DOUBLE AS display_inches, CAST(60 * (1 + p_partkey % 4) AS INT) AS refresh_hz, ['1920x1080', '2560x1600', '3840x2160'][p_partkey % 3 + 1] AS resolution, ['IPS', 'OLED'][p_partkey % 2 + 1] AS panel, 400 AS nits, FALSE AS touch,
-CAST(40 + p_partkey % 50 AS DOUBLE) AS battery_wh, 100 AS adapter_w, 1 + (p_partkey % 20) / 10.0 AS weight_kg, ['Wi-Fi 6', 'Wi-Fi 6E', 'Wi-Fi 7'][p_partkey % 3 + 1] AS wifi, 5.3 AS bluetooth, ['Windows 11 Pro', 'FreeDOS'][p_partkey % 2 + 1] AS os FROM part"""
+CAST(40 + p_partkey % 50 AS DOUBLE) AS battery_wh, 100 AS adapter_w, 1 + (p_partkey % 20) / 10.0 AS weight_kg, ['Wi-Fi 6', 'Wi-Fi 6E', 'Wi-Fi 7'][p_partkey % 3 + 1] AS wifi, 5.3 AS bluetooth, ['Windows 11 Pro', 'FreeDOS'][p_partkey % 2 + 1] AS os,
+['RGB', 'none'][p_partkey % 2 + 1] AS backlight, '720p' AS webcam, [2, 4][p_partkey % 2 + 1]::INT AS speakers FROM part"""
 )
 def spec_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fields of every listing."""
     text = F.col("text")
-    return listings(spark, sf_dir).select("p_partkey", *S.extracted(text)).drop("backlight", "webcam", "speakers")
+    return listings(spark, sf_dir).select("p_partkey", *S.extracted(text))
 
 
 @query("SELECT p_type, CASE p_type WHEN 'PROMO' THEN 'bundle' WHEN 'ECONOMY' THEN 'used' WHEN 'LARGE' THEN 'non_laptop:desktop' WHEN 'SMALL' THEN 'accessory' ELSE 'ok' END AS reason, count(*) AS n FROM part GROUP BY 1, 2")
