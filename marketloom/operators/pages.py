@@ -56,3 +56,50 @@ def split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """What passes a gate, and the log of what doesn't."""
     marked = df.withColumn("reason", reason)
     return marked.where("reason = 'ok'").drop("reason"), marked.where("reason != 'ok'")
+
+
+#: A JSON text's tokens as far as brackets go: whole strings (an unclosed one takes the rest), brackets, and what lies between.
+_TOKENS = r'("(?:\\.|[^"\\])*"|"[\s\S]*|[{}]|[^{}"]+)'
+
+
+def balanced(text: Column) -> Column:
+    """The object that a text begins with, up to the bracket that closes it; brackets and quotes inside strings don't count.  Null if it is never closed or is no JSON."""
+
+    def step(s: Column, token: Column) -> Column:
+        depth = s["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        at = s["at"] + F.length(token)
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when(s["end"] > 0, s["end"]).when((depth == 0) & (token == "}"), at).otherwise(0).alias("end"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+    end = F.aggregate(F.regexp_extract_all(text, F.lit(_TOKENS)), start, step)["end"]
+    found = F.when(end > 0, F.substring(text, F.lit(1), end))
+    return F.when(F.try_parse_json(found).isNotNull(), found)
+
+
+def json_around(text: Column, anchor: str, attempts: int = 32) -> Column:
+    """The innermost JSON object around the first ``anchor`` in a text (a streamed payload, say), as text.
+
+    Opening brackets before the anchor are tried from the nearest one on, at
+    most ``attempts`` of them; the first whose object is whole, is JSON and
+    reaches past the anchor counts.  Null without an anchor or such an object,
+    and for null texts.
+    """
+    at = F.locate(anchor, text)
+    before = F.substring(text, F.lit(1), at - 1)
+    gaps = F.slice(F.reverse(F.split(before, r"\{")), 1, attempts)  # from the anchor backwards, what follows each bracket
+    count = F.least(F.size(F.split(before, r"\{")) - 1, F.lit(attempts))
+    place = lambda j: F.length(before) - F.aggregate(F.slice(gaps, F.lit(1), j), F.lit(0), lambda s, g: s + F.length(g)) - j + 1
+    opened = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), place)).otherwise(F.array().cast("array<int>"))
+
+    def attempt(p: Column) -> Column:
+        found = balanced(F.substring(text, p, F.length(text)))
+        return F.when(p + F.length(found) - 1 >= at, found)
+
+    return F.when(at > 0, F.aggregate(opened, F.lit(None).cast("string"), lambda found, p: F.coalesce(found, attempt(p))))
+
+
+def streamed_offer(text: Column, anchor: str = '"price"') -> Column:
+    """struct(price, currency, sku, in_stock) of the object around a streamed payload's first price; all null if there is none."""
+    data = F.from_json(json_around(text, anchor), "price string, priceCurrency string, sku string, availability string, in_stock boolean")
+    stock = F.coalesce(data["in_stock"], ~data["availability"].contains("OutOfStock"))
+    return F.struct(data["price"].try_cast("double").alias("price"), data["priceCurrency"].alias("currency"), data["sku"].alias("sku"), stock.alias("in_stock"))

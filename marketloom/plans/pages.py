@@ -59,3 +59,26 @@ def page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages GROUP BY 1")
 def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).groupBy(F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang")).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("html")).cast("long").alias("chars"))
+
+
+#: Streamed payloads by page: nested and escaped ones, one in which a nearer object closes before the price, broken ones, and none.
+PAYLOADS = [
+    '{"a":[{"offer":{"sku":"P-@","price":"1@.5","priceCurrency":"EGP","note":"a } in \\"quotes\\" {","availability":"https://schema.org/InStock"}}]}',
+    '{"x":{"y":{"z":1}},"price":7@,"sku":"Q@","in_stock":false}',
+    '{"open":{"broken":[1,2},"price":3}',
+    '{"deep":{"brand":{"name":"n{"},"price":"call us","priceCurrency":"USD","availability":"OutOfStock"},"tail":"never closed',
+    "no payload at all",
+    '{"cut":"text with \\"price\\" inside a string","price":9',
+]
+
+
+@query(
+    """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 10 * pow(10, length(CAST(page_id % 90 AS VARCHAR)) - 1) + page_id % 90 + 0.5 WHEN 1 THEN 7 * pow(10, length(CAST(page_id % 90 AS VARCHAR))) + page_id % 90 END AS price,
+CASE page_id % 6 WHEN 0 THEN 'EGP' WHEN 3 THEN 'USD' END AS currency, CASE page_id % 6 WHEN 0 THEN 'P-' || page_id % 90 WHEN 1 THEN 'Q' || page_id % 90 END AS sku, CASE page_id % 6 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 3 THEN FALSE END AS in_stock FROM pages"""
+)
+def streamed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices out of payloads that pages stream after their markup."""
+    k = F.col("page_id")
+    payload = F.replace(F.get(F.array(*map(F.lit, PAYLOADS)), (k % 6).cast("int")), F.lit("@"), (k % 90).cast("string"))
+    text = F.concat(F.coalesce("html", F.lit("")), F.lit("<script>push(["), payload, F.lit("])</script>"))
+    return pages(spark, sf_dir).select("page_id", P.streamed_offer(text).alias("o")).select("page_id", "o.price", "o.currency", "o.sku", "o.in_stock")
