@@ -3,20 +3,20 @@
 Sizes are counted one after the other.  A task lays some texts end to end, hashes
 words by a prefix polynomial over bytes and n-grams by one over word hashes
 (Rabin-Karp fingerprints), counts their n-grams, and sends of each its
-fingerprint, count and a pointer to one occurrence, packed by parts of the
-fingerprints' range.  Inside a slice words
-are told apart by their bytes and n-grams by their words, so a count never mixes
-two phrases.  The shuffle adds up counts by fingerprint and passes on those of
-frequent ones with their pointers, which are then followed into the texts: what
-stands there is the phrase, and counts are added up again by it.  So two phrases
-of one fingerprint are told apart, and only frequent phrases are ever text.
+fingerprint, a second one of 32 bits, count and a pointer to one occurrence,
+packed by parts of the fingerprints' range.  In a slice words are told apart by
+their bytes and n-grams by their words, so a count never mixes two phrases.  The
+shuffle adds up counts by both fingerprints; of the frequent ones a pointer is
+followed into the text, and what stands there is the phrase.  Two phrases of one
+fingerprint are told apart by the second one and verified by their texts, and
+only frequent phrases are ever text.
 
 A phrase of s words can only be frequent if both of its parts of s - 1 words
 are.  Fingerprints of the size before set bits in a bitmap of fixed size, and
 n-grams with a part whose bit isn't set are left out where they are read; a
 full bitmap lets more through and changes no result.
 
-Fingerprints are of (language, words), so one frequent word is sent once a slice (8 MB of text).
+Fingerprints are of (language, words), so one frequent word is sent once a slice (4 MB of text).
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from .textkernels import _power_tables, mix, text_buffer, word_hashes
 #: Bits of the map of frequent fingerprints: 8 MB.
 BITS = 26
 #: Bytes of text that a task counts at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _BREAK, _GAP = b".,;:!?\x0a\x0b\x0c\x0d", b" \x09"
 _FORM = np.arange(256, dtype=np.uint8)
@@ -67,28 +67,28 @@ def _same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray
     return same
 
 
-def word_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Numbers of words: equal exactly where the bytes are, whatever the hashes."""
+def word_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Numbers of words: equal exactly where bytes and kinds are, whatever the hashes."""
     padded = np.concatenate((buf, np.zeros(8, dtype=np.uint8)))
     ids = np.zeros(len(starts), dtype=np.int64)
     todo, made = np.arange(len(starts)), 0
     while len(todo):
-        _, first, of = np.unique(hashes[todo], return_index=True, return_inverse=True)
+        _, first, of = np.unique(hashes[todo] ^ kinds[todo], return_index=True, return_inverse=True)
         head = todo[first[of]]
         sizes = ends[todo] - starts[todo]
-        same = (sizes == ends[head] - starts[head]) & _same_bytes(padded, starts[todo], starts[head], np.minimum(sizes, ends[head] - starts[head]))
+        same = (kinds[todo] == kinds[head]) & (sizes == ends[head] - starts[head]) & _same_bytes(padded, starts[todo], starts[head], np.minimum(sizes, ends[head] - starts[head]))
         ids[todo[same]] = of[same] + made
         made += len(first)
         todo = todo[~same]
     return ids
 
 
-def fingerprints(hashes: np.ndarray, at: np.ndarray, size: int, seed: np.ndarray) -> np.ndarray:
-    """Of the ``size`` words from each place in ``at``, under that place's ``seed``."""
+def fingerprints(hashes: np.ndarray, at: np.ndarray, size: int, seed: np.ndarray, base: int = 1) -> np.ndarray:
+    """Of the ``size`` words from each place in ``at``, under that place's ``seed``: a polynomial in the ``base``-th power."""
     total = np.zeros(len(at), dtype=np.uint64)
-    power, _ = _power_tables(size + 1)
+    power, _ = _power_tables(base * size + 1)
     for k in range(size):
-        total += hashes[at + k] * power[k + 1]
+        total += hashes[at + k] * power[base * (k + 1)]
     return mix(mix(total + np.uint64(size)) ^ seed)
 
 
@@ -98,7 +98,7 @@ def _known(marks: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 
 def counted(buf: np.ndarray, begin: np.ndarray, seeds: np.ndarray, size: int, bitmap: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """(fingerprint, count, text, byte) of every n-gram of ``size`` words whose parts are in ``bitmap`` (of the size before; None lets all through)."""
+    """(fingerprint, second fingerprint, count, text, byte) of every n-gram of ``size`` words whose parts are in ``bitmap`` (of the size before; None lets all through)."""
     starts, ends, hashes = word_hashes(buf)
     text = np.searchsorted(begin, starts, "right") - 1
     at = np.arange(max(0, len(starts) - size + 1))
@@ -111,19 +111,18 @@ def counted(buf: np.ndarray, begin: np.ndarray, seeds: np.ndarray, size: int, bi
             known[part] = _known(fingerprints(hashes, part, size - 1, seeds[text[part]]), bitmap)
             at = at[known[at] & known[at + 1]]
     if not len(at):
-        return (np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 3)
+        return (*[np.zeros(0, dtype=np.uint64)] * 2, *[np.zeros(0, dtype=np.int64)] * 3)
     words = np.unique(np.concatenate([at + k for k in range(size)])) if size > 1 else at
+    # Words of two languages have two numbers, so phrases have, too.
     ids = np.zeros(len(starts), dtype=np.int64)
-    ids[words] = word_ids(buf, starts[words], ends[words], hashes[words])
-    many = int(ids.max()) + 1
-    # Texts of one seed are one language: numbers of phrases start with its number.
-    _, key = np.unique(seeds, return_inverse=True)
-    key = key[text[at]] * many + ids[at]
+    ids[words] = word_ids(buf, starts[words], ends[words], hashes[words], seeds[text[words]])
+    many, key = int(ids.max()) + 1, ids[at]
     for k in range(1, size):
         key = np.unique(key, return_inverse=True)[1] * many + ids[at + k]
     _, first, times = np.unique(key, return_index=True, return_counts=True)
     head = at[first]
-    return fingerprints(hashes, head, size, seeds[text[head]]), times, text[head], starts[head] - begin[text[head]]
+    mark, check = (fingerprints(hashes, head, size, seeds[text[head]], base) for base in (1, 3))
+    return mark, check, times, text[head], starts[head] - begin[text[head]]
 
 
 def _slices(column: pa.Array, most: int):
@@ -140,7 +139,7 @@ def _slices(column: pa.Array, most: int):
 
 
 def _counts(docs: DataFrame, size: int, bitmap: np.ndarray | None, parts: int, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """The n-grams of each slice of a batch, packed in a row for each of ``parts`` by fingerprint: marks, times, who (place in doc and code) and at (byte)."""
+    """The n-grams of each slice of a batch, packed in a row for each of ``parts`` by fingerprint: marks, checks, times, who (place in doc and code) and at (byte)."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
@@ -148,7 +147,7 @@ def _counts(docs: DataFrame, size: int, bitmap: np.ndarray | None, parts: int, s
             langs = batch.column(2).dictionary_encode()
             seed = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs.dictionary.to_pylist()], dtype=np.uint64)
             buf, begin = laid_out(*text_buffer(batch.column(3)))
-            mark, times, text, at = counted(buf, begin, seed[langs.indices.to_numpy()], size, shared.value)
+            mark, check, times, text, at = counted(buf, begin, seed[langs.indices.to_numpy()], size, shared.value)
             if not len(mark):
                 continue
             part = ((mark >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
@@ -158,14 +157,14 @@ def _counts(docs: DataFrame, size: int, bitmap: np.ndarray | None, parts: int, s
             rows = []
             for mine in np.split(order, cuts):
                 docs_, who = np.unique(text[mine], return_inverse=True)
-                rows.append((int(part[mine[0]]), mark[mine].tobytes(), times[mine].astype(np.uint32).tobytes(), who.astype(np.uint32).tobytes(), at[mine].astype(np.uint32).tobytes(), doc[docs_].tobytes(), code[docs_].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=["part", "marks", "times", "who", "at", "doc", "code"])
+                rows.append((int(part[mine[0]]), mark[mine].tobytes(), check[mine].astype(np.uint32).tobytes(), times[mine].astype(np.uint32).tobytes(), who.astype(np.uint32).tobytes(), at[mine].astype(np.uint32).tobytes(), doc[docs_].tobytes(), code[docs_].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=["part", "marks", "checks", "times", "who", "at", "doc", "code"])
 
-    return docs.select("doc", "code", "lang", "text").mapInArrow(run, "part int, marks binary, times binary, who binary, at binary, doc binary, code binary")
+    return docs.select("doc", "code", "lang", "text").mapInArrow(run, "part int, marks binary, checks binary, times binary, who binary, at binary, doc binary, code binary")
 
 
 def _frequent(packed: DataFrame, least: int) -> DataFrame:
-    """(mark, times, doc, code, at): what slices have counted of the fingerprints whose counts reach ``least`` together.
+    """(mark, times, doc, code, at): fingerprints (both) whose counts reach ``least`` together, with a pointer to one occurrence.
 
     A task adds up one part at a time, which holds about as many n-grams as 8 MB of text have.
     """
@@ -174,24 +173,25 @@ def _frequent(packed: DataFrame, least: int) -> DataFrame:
         here, held = None, []
 
         def added():
-            mark, times, doc, code, at = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.argsort(mark, kind="stable")
-            sorted_ = mark[order]
-            first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+            mark, check, times, doc, code, at = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((check, mark))
+            m, c = mark[order], check[order]
+            first = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (c[1:] != c[:-1]))))
             total = np.add.reduceat(times[order], first)
-            keep = order[np.repeat(total >= least, np.diff(np.append(first, len(order))))]
+            fine = total >= least
+            keep = order[first[fine]]
             if len(keep):
-                yield pa.RecordBatch.from_arrays([pa.array(mark[keep].view(np.int64)), *[pa.array(c[keep]) for c in (times, doc, code, at)]], names=["mark", "times", "doc", "code", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(mark[keep].view(np.int64)), pa.array(total[fine]), *[pa.array(x[keep]) for x in (doc, code, at)]], names=["mark", "times", "doc", "code", "at"])
 
         for batch in batches:
             for k in range(batch.num_rows):
-                part, *raw = (batch.column(c)[k].as_py() for c in range(7))
+                part, *raw = (batch.column(c)[k].as_py() for c in range(8))
                 if part != here and held:
                     yield from added()
                     held = []
                 here = part
-                mark, times, who, at, doc, code = (np.frombuffer(x, t) for x, t in zip(raw, (np.uint64, np.uint32, np.uint32, np.uint32, np.int64, np.int64), strict=True))
-                held.append((mark, times.astype(np.int64), doc[who], code[who], at.astype(np.int64)))
+                mark, check, times, who, at, doc, code = (np.frombuffer(x, t) for x, t in zip(raw, (np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.int64), strict=True))
+                held.append((mark, check, times.astype(np.int64), doc[who], code[who], at.astype(np.int64)))
         if held:
             yield from added()
 
@@ -249,7 +249,7 @@ def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, text_col:
     docs = docs.withColumns({"doc": F.xxhash64("lang", "text"), "code": F.crc32("text")})
     with only_results(df.sparkSession) as keep:
         sizes, bitmap = [], None
-        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE_BYTES)
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (2 * SLICE_BYTES))
         for size in range(1, longest + 1):
             marks = written(_frequent(_counts(docs, size, bitmap, parts, slice_bytes), least), f"marks-{size}")
             sizes.append(marks.withColumn("size", F.lit(size)))

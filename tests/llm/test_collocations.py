@@ -70,8 +70,9 @@ def test_words_of_one_hash_are_told_apart():
     buf = np.frombuffer(text, dtype=np.uint8)
     at = [m.span() for m in re.finditer(b"[^ ]+", text)]
     starts, ends = (np.array(x) for x in zip(*at))
-    ids = C.word_ids(buf, starts, ends, np.zeros(len(at), dtype=np.uint64))
-    words = [text[a:b] for a, b in at]
+    kinds = np.array([k % 3 == 0 for k in range(len(at))], dtype=np.uint64)
+    ids = C.word_ids(buf, starts, ends, np.zeros(len(at), dtype=np.uint64), kinds)
+    words = [(text[a:b], int(k)) for (a, b), k in zip(at, kinds)]
     assert all((ids[i] == ids[j]) == (words[i] == words[j]) for i in range(len(at)) for j in range(len(at)))
 
 
