@@ -99,7 +99,7 @@ def coercions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH v AS (SELECT p_partkey, p_size % 70 AS ram, p_size / 2.0 AS inches FROM part)
-SELECT p_partkey, ram IN (4, 8, 12, 16, 18, 20, 24, 32, 36, 40, 48, 64, 96, 128) AS ram_ok, inches BETWEEN 10 AND 18.5 AS inches_ok, CASE WHEN NOT (inches BETWEEN 10 AND 18.5) THEN 'outside 10..18.5' END AS reason FROM v"""
+SELECT p_partkey, ram IN (4, 8, 12, 16, 20, 24, 32, 36, 40, 48, 64, 96, 128, 192) AS ram_ok, inches BETWEEN 10 AND 18.5 AS inches_ok, CASE WHEN NOT (inches BETWEEN 10 AND 18.5) THEN 'outside 10..18.5' END AS reason FROM v"""
 )
 def validators(spark: SparkSession, sf_dir: str) -> DataFrame:
     ram, inches = N.validated("ram_gb", F.col("p_size") % 70), N.validated("display_inches", F.col("p_size") / 2.0)
