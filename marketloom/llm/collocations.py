@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -185,7 +186,7 @@ def _frequent(packed: DataFrame, least: int) -> DataFrame:
 
         for batch in batches:
             for k in range(batch.num_rows):
-                part, *raw = (batch.column(c)[k].as_py() for c in range(8))
+                part, raw = batch.column(0)[k].as_py(), [batch.column(c)[k].as_buffer() for c in range(1, 8)]
                 if part != here and held:
                     yield from added()
                     held = []
@@ -199,12 +200,13 @@ def _frequent(packed: DataFrame, least: int) -> DataFrame:
 
 
 def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
-    """Bits of the fingerprints' low ends; at most 2**(bits - 6) rows reach the driver, whatever the table's size."""
-    bit = F.col("mark").bitwiseAND((1 << bits) - 1)
-    rows = frequent.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((mark & {(1 << bits) - 1}) & 63 AS INT))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (bits - 6), dtype=np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return out.view(np.uint8)
+    """Bits of the fingerprints' low ends: 2**bits of them reach the driver, 4 KB a row, whatever the table's size."""
+    at = F.col("mark").bitwiseAND((1 << bits) - 1) + 1
+    rows = frequent.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("set")).collect()
+    out = np.zeros(max(1 << bits, 1 << 15) // 8, dtype=np.uint8)
+    for r in rows:
+        out[(r["bucket"] - 1) << 12 : r["bucket"] << 12] = np.frombuffer(r["set"], dtype=np.uint8)
+    return out[: (1 << bits) // 8]
 
 
 def _texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -234,6 +236,18 @@ def _texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return told.groupBy("lang", "size", "phrase").agg(F.sum("times").alias("times"))
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """At most 1000 rows in an Arrow batch, so that long texts take less memory; the jobs inside are done when it ends."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 1000) if int(before) > 0 else 1000))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang", bits: int = BITS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(lang, size, phrase, times) of all phrases of up to ``longest`` words that occur at least ``least`` times in texts of a language.
 
@@ -247,7 +261,7 @@ def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, text_col:
     docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # Rows of one language and text are alike; 96 bits tell others apart.
     docs = docs.withColumns({"doc": F.xxhash64("lang", "text"), "code": F.crc32("text")})
-    with only_results(df.sparkSession) as keep:
+    with only_results(df.sparkSession) as keep, _small_batches(df.sparkSession):
         sizes, bitmap = [], None
         parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (2 * SLICE_BYTES))
         for size in range(1, longest + 1):
