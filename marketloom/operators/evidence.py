@@ -204,3 +204,47 @@ def round_robin(df: DataFrame, order: list[Column], workers: int = 3) -> DataFra
     base = first.withColumn("_base", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
     rank = F.col("_i") - F.col("_lo") + F.col("_base")
     return fixed.join(base, "_p").withColumns({"rank": (rank + 1).cast("long"), "worker": (rank % workers).cast("int")}).drop("_p", "_i", "_lo", "_c", "_base")
+
+
+#: An aspect's score before any evidence: (gaming, other), (metal, other), or by battery.
+PRIORS = {"thermals": (73.0, 76.0), "acoustics": (66.0, 76.0), "build": (82.0, 73.0), "keyboard": (76.0, 74.0), "battery": (70.0, 77.0, 62.0)}
+
+
+def aspect_prior(aspect: Column) -> Column:
+    """Of an item with category, gpu, battery_whr, verified_metal and material: 70 and 56 watt-hours are taken for unknown batteries of gaming and other machines."""
+    gaming = F.coalesce(F.lower("category").contains("gaming"), F.lit(False)) | F.coalesce(F.lower("gpu").rlike(r"rtx\s*[345]0\d\d|gtx|radeon rx"), F.lit(False))
+    metal = F.coalesce(F.col("verified_metal"), F.lit(False)) | F.coalesce(F.lower("material").contains("alum"), F.lit(False))
+    hours = F.coalesce(F.nullif(F.col("battery_whr"), F.lit(0.0)), F.when(gaming, 70.0).otherwise(56.0))
+    of = lambda name, which: F.when(which, PRIORS[name][0]).otherwise(PRIORS[name][1])
+    usual, large, small = PRIORS["battery"]
+    battery = F.when(~gaming & (hours >= 65), large).when(gaming & (hours <= 58), small).otherwise(usual)
+    return F.when(aspect == "thermals", of("thermals", gaming)).when(aspect == "acoustics", of("acoustics", gaming)).when(aspect == "build", of("build", metal)).when(aspect == "keyboard", of("keyboard", metal)).when(aspect == "battery", battery)
+
+
+def aspect_scores(items: DataFrame, evidence: DataFrame, key: str, keywords: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """(key, aspect, score) of every item without a language model: prior, five best similarities to pro and con anchors, words for and against.
+
+    ``items`` has a row a key with what ``aspect_prior`` reads; ``evidence`` has
+    key, text and sims, a map from aspect to struct(pro, con).  The best five
+    are ranked by group limits, so a task keeps five rows a group and an item
+    with any number of rows is no burden.  Items without evidence get their
+    prior; null texts have no words; null similarities don't count.
+    """
+    low = F.lower(F.coalesce("text", F.lit("")))
+    said = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)).cast("int")
+    words = F.create_map(*[x for a, (pro, con) in keywords.items() for x in (F.lit(a), F.named_struct(F.lit("yes"), said(pro), F.lit("no"), said(con)))])
+    seen = evidence.select(key, F.explode("sims").alias("aspect", "sim"), words.alias("words")).select(key, "aspect", "sim.pro", "sim.con", F.col("words")[F.col("aspect")].alias("w"))
+
+    def best(side: str) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy(key, "aspect").orderBy(F.col(side).desc()))
+        top = seen.where(F.col(side).isNotNull()).select(key, "aspect", side).withColumn("at", at).where("at <= 5")
+        return top.groupBy(key, "aspect").agg(F.avg(side).alias(f"best_{side}"))
+
+    counts = seen.groupBy(key, "aspect").agg(F.count(F.lit(1)).alias("n"), F.sum("w.yes").alias("said_pro"), F.sum("w.no").alias("said_con"))
+    every = items.withColumn("aspect", F.explode(F.array(*map(F.lit, PRIORS))))
+    met = every.join(counts, [key, "aspect"], "left").join(best("pro"), [key, "aspect"], "left").join(best("con"), [key, "aspect"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    delta = ((zero("best_pro") - zero("best_con")) * 155.0 + (F.col("said_pro") - F.col("said_con")) * 3.2) * F.least(F.lit(1.0), F.greatest(F.lit(0.35), F.col("n") / 14.0))
+    prior = aspect_prior(F.col("aspect"))
+    bounded = lambda v, top: F.greatest(F.lit(35.0), F.least(F.lit(top), v))
+    return met.select(key, "aspect", F.round(F.when(F.col("n") > 0, bounded(prior + delta, 95.0)).otherwise(bounded(prior, 98.0)), 1).alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.operators import evidence as E
 from marketloom.operators import reviews as R
 from marketloom.registry import query
 from marketloom.sources.tables import load
@@ -83,3 +84,26 @@ def bilingual_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     en = R.list_merge(F.array(F.lower("p_name"), F.lower("p_brand")), F.array(F.upper("p_name"), F.col("p_type"), F.lower("p_type")))
     ar = F.slice(F.array(*map(F.lit, "xyz")), 1, F.col("p_size") % 4)
     return load(spark, sf_dir, "part").select("p_partkey", F.array_join(R.aligned(en, ar), ",").alias("aligned"))
+
+
+ASPECT_WORDS = {"thermals": (["the"], ["der"]), "acoustics": (["und"], ["die"]), "build": (["sta"], ["men"]), "keyboard": (["and"], ["osl"]), "battery": (["tio"], ["ver"])}
+
+
+@query(
+    """WITH e AS (SELECT conv_id, lower(coalesce(text, '')) AS t, turn, a.aspect, ((turn * 7 + conv_id + a.k * 3) % 11) / 16.0 AS pro, ((turn * 5 + conv_id * 3 + a.k) % 13) / 32.0 AS con, a.yes, a.no
+  FROM conversations, (VALUES (0, 'thermals', 'the', 'der'), (1, 'acoustics', 'und', 'die'), (2, 'build', 'sta', 'men'), (3, 'keyboard', 'and', 'osl'), (4, 'battery', 'tio', 'ver')) a(k, aspect, yes, no) WHERE conv_id % 5 <> 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, aspect ORDER BY pro DESC) AS p, row_number() OVER (PARTITION BY conv_id, aspect ORDER BY con DESC) AS c FROM e),
+g AS (SELECT conv_id, aspect, count(*) AS n, avg(pro) FILTER (p <= 5) - avg(con) FILTER (c <= 5) AS diff, sum(CAST(contains(t, yes) AS INT)) - sum(CAST(contains(t, no) AS INT)) AS said FROM r GROUP BY 1, 2),
+i AS (SELECT DISTINCT conv_id, conv_id % 3 = 0 AS gaming, conv_id % 4 < 2 AS metal, CASE conv_id % 6 WHEN 0 THEN 50 WHEN 1 THEN 70 WHEN 2 THEN 60 WHEN 3 THEN 70 WHEN 4 THEN 56 ELSE 66 END AS wh FROM conversations),
+b AS (SELECT conv_id, aspect, CASE aspect WHEN 'thermals' THEN CASE WHEN gaming THEN 73 ELSE 76 END WHEN 'acoustics' THEN CASE WHEN gaming THEN 66 ELSE 76 END WHEN 'build' THEN CASE WHEN metal THEN 82 ELSE 73 END WHEN 'keyboard' THEN CASE WHEN metal THEN 76 ELSE 74 END
+  ELSE CASE WHEN NOT gaming AND wh >= 65 THEN 77 WHEN gaming AND wh <= 58 THEN 62 ELSE 70 END END AS prior FROM i, (VALUES ('thermals'), ('acoustics'), ('build'), ('keyboard'), ('battery')) a(aspect))
+SELECT b.conv_id, b.aspect, CAST(round(CASE WHEN n IS NULL THEN prior ELSE greatest(35, least(95, prior + (diff * 155 + said * 3.2) * least(1, greatest(0.35, n / 14.0)))) END, 1) AS DOUBLE) AS score FROM b LEFT JOIN g USING (conv_id, aspect)"""
+)
+def aspect_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every conversation's product without a language model; every fifth has no evidence."""
+    c, k = load(spark, sf_dir, "conversations"), F.col("conv_id")
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (k % n).cast("int"))
+    items = c.select("conv_id").distinct().select("conv_id", pick(["Gaming", None, "Office"], 3).alias("category"), pick(["GTX 1650", "Iris Xe", None], 3).alias("gpu"), pick([50.0, 70.0, 60.0, 0.0, None, 66.0], 6).alias("battery_whr"), pick([True, None, False, False], 4).alias("verified_metal"), pick([None, "Aluminum", "plastic", None], 4).alias("material"))
+    sim = lambda at: F.named_struct(F.lit("pro"), F.pmod(F.col("turn") * 7 + k + at * 3, F.lit(11)) / 16.0, F.lit("con"), F.pmod(F.col("turn") * 5 + k * 3 + at, F.lit(13)) / 32.0)
+    sims = F.create_map(*[x for at, a in enumerate(ASPECT_WORDS) for x in (F.lit(a), sim(at))])
+    return E.aspect_scores(items, c.where("conv_id % 5 != 4").select("conv_id", "text", sims.alias("sims")), "conv_id", ASPECT_WORDS)
