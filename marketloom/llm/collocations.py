@@ -38,6 +38,9 @@ BITS = 26
 #: Bytes of text that a task counts at a time.
 SLICE_BYTES = 4 << 20
 
+#: Tasks that a language's phrases are dealt to before they are ranked.
+_DEAL = 64
+
 _BREAK, _GAP = b".,;:!?\x0a\x0b\x0c\x0d", b" \x09"
 _FORM = np.arange(256, dtype=np.uint8)
 _FORM[65:91] += 32
@@ -317,8 +320,11 @@ def collocations(df: DataFrame, longest: int = 3, least: int = 10, share: int =
     covers = inside.select("lang", F.explode(pairs).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = best.join(covers, ["lang", "phrase"], "left").where(F.coalesce(F.col("longer"), F.lit(0)) * 100 < F.col("a") * share)
 
-    order = Window.partitionBy("lang").orderBy(F.col("cut.score").desc(), F.col("a").desc(), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    # A language's phrases are dealt to tasks, of which each passes on its own first ones.
+    best_first = (F.col("cut.score").desc(), F.col("a").desc(), "phrase")
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*best_first))
+    dealt = kept.withColumn("deal", F.pmod(F.xxhash64("phrase"), F.lit(_DEAL)).cast("int"))
+    ranked = dealt.withColumn("place", place("lang", "deal")).where(F.col("place") <= first).withColumn("rank", place("lang")).where(F.col("rank") <= first)
     return ranked.join(word_totals(df, text_col, lang_col), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", F.col("cut.score").alias("score"))
 
 
