@@ -52,55 +52,53 @@ def _labelled(copies: DataFrame, log: DataFrame) -> DataFrame:
 
 def _placed(first: DataFrame, copies: DataFrame, agree: Callable[[str, str], Column]) -> DataFrame:
     """(pid, since, cluster): each decision of a profile, by the listing that made it."""
-    log = ["pid", "since", "cluster"]
-    head = F.col("pid") == F.col("component")
-    placed = written(first.where(head).select("component", "pid", F.col("pid").alias("since"), F.col("pid").alias("cluster"), "p"), "placed")
-    queue = written(first.where(~head).select("component", "pid", F.col("pid").alias("at"), "p"), "queue")
+    fits, differs = agree("p", "e.p"), ~agree("l.p", "r.p")
+    head = F.when(F.col("pid") == F.col("component"), F.col("pid"))
+    state = written(first.select("component", "pid", F.col("pid").alias("since"), head.alias("cluster"), "p"), "state")
     done, rounds = [], 0
-    while queue.take(1):
+    while (open_ := state.where("cluster IS NULL")).take(1):
         rounds += 1
         if rounds & (rounds - 1) == 0:  # after 1, 2, 4, 8 .. rounds, groups that are done are set aside
-            done.append(written(placed.join(queue, "component", "left_anti").select(*log), "done"))
-            placed = _instead(placed, placed.join(queue, "component", "left_semi"), "placed")
-        step = written(_decided(placed, queue, agree), "step")
-        to = step.select("component", F.col("cluster").alias("_to"), "gone")
-        moved = placed.join(to, "component", "left").select("component", "pid", "since", F.when(F.col("cluster") == F.col("gone"), F.col("_to")).otherwise(F.col("cluster")).alias("cluster"), "p")
-        placed = _instead(placed, moved.unionByName(step.select("component", "pid", F.col("at").alias("since"), "cluster", "p")), "placed")
-        left = queue.join(step.select("component", "at"), ["component", "at"], "left_anti")
+            done.append(written(state.join(open_, "component", "left_anti").select("pid", "since", "cluster"), "done"))
+            state = _instead(state, state.join(open_, "component", "left_semi"))
+        step = written(_decided(state, fits), "step")
+        to = step.select("component", "at", F.col("cluster").alias("_to"), "gone")
+        mine = (F.col("since") == F.col("at")) & F.col("cluster").isNull()
+        moved = state.join(to, "component", "left").withColumn("cluster", F.when(mine | (F.col("cluster") == F.col("gone")), F.col("_to")).otherwise(F.col("cluster")))
+        state = _instead(state, moved.select("component", "pid", "since", "cluster", "p"))
         merged = step.where("gone IS NOT NULL")
         if merged.take(1):
-            left = left.unionByName(_anew(placed, merged, copies, agree)).dropDuplicates(["component", "at"])
-        queue = _instead(queue, left, "queue")
-        discard(step)
-    out = placed.select(*log)
+            state = _instead(state, state.unionByName(_anew(state, merged, copies, differs)).dropDuplicates(["component", "since"]))
+    out = state.select("pid", "since", "cluster")
     for d in done:
         out = out.unionByName(d)
     return out
 
 
-def _instead(old: DataFrame, new: DataFrame, what: str) -> DataFrame:
-    made = written(new, what)
+def _instead(old: DataFrame, new: DataFrame) -> DataFrame:
+    made = written(new, "state")
     discard(old)
     return made
 
 
-def _decided(placed: DataFrame, queue: DataFrame, agree: Callable[[str, str], Column]) -> DataFrame:
-    """(component, pid, at, p, cluster, gone): where each group's next profile goes, and the cluster that goes into that one by it."""
-    turn = queue.groupBy("component").agg(F.min_by(F.struct("pid", "at", "p"), "at").alias("e"))
+def _decided(state: DataFrame, fits: Column) -> DataFrame:
+    """(component, at, cluster, gone): where each group's next profile goes, and the cluster that goes into that one by it."""
+    turn = state.where("cluster IS NULL").groupBy("component").agg(F.min_by(F.struct(F.col("since").alias("at"), "p"), "since").alias("e"))
     seen = lambda key: F.min(F.when(F.col(f"p.{key}") == F.col(f"e.p.{key}"), F.col("since")))
-    per = placed.join(turn, "component").groupBy("component", "cluster").agg(F.bool_and(agree("p", "e.p")).alias("ok"), seen("mpn").alias("by_mpn"), seen("_print").alias("by_print"))
+    met = state.where("cluster IS NOT NULL").join(turn, "component")
+    per = met.groupBy("component", "cluster").agg(F.first("e.at").alias("at"), F.bool_and(fits).alias("ok"), seen("mpn").alias("by_mpn"), seen("_print").alias("by_print"))
     pick = lambda by: F.min(F.when(F.col("ok") & F.col(by).isNotNull(), F.struct(by, "cluster")))["cluster"]
-    found = per.groupBy("component").agg(pick("by_mpn").alias("a"), pick("by_print").alias("b"))
-    return turn.join(found, "component").select("component", "e.*", F.coalesce(F.least("a", "b"), "e.at").alias("cluster"), F.when(F.col("a") != F.col("b"), F.greatest("a", "b")).alias("gone"))
+    found = per.groupBy("component").agg(F.first("at").alias("at"), pick("by_mpn").alias("a"), pick("by_print").alias("b"))
+    return found.select("component", "at", F.coalesce(F.least("a", "b"), "at").alias("cluster"), F.when(F.col("a") != F.col("b"), F.greatest("a", "b")).alias("gone"))
 
 
-def _anew(placed: DataFrame, merged: DataFrame, copies: DataFrame, agree: Callable[[str, str], Column]) -> DataFrame:
-    """Profiles that disagree with a member of the cluster which theirs became part of, at their next copy."""
-    inside = placed.join(merged.select("component", "cluster", F.col("at").alias("_now")), ["component", "cluster"])
-    pairs = inside.alias("l").join(inside.select("component", "cluster", "p").alias("r"), ["component", "cluster"])
-    hurt = pairs.where(~agree("l.p", "r.p")).select("component", "l.pid", "l._now", "l.p").dropDuplicates(["component", "pid"])
+def _anew(state: DataFrame, merged: DataFrame, copies: DataFrame, differs: Column) -> DataFrame:
+    """Profiles that disagree with a member of the cluster which theirs became part of wait for their next copy."""
+    inside = state.join(merged.select("component", "cluster", F.col("at").alias("_now")), ["component", "cluster"])
+    pairs = inside.alias("l").join(inside.select("component", "p").alias("r"), "component")
+    hurt = pairs.where(differs).select("component", "l.pid", "l._now", "l.p").dropDuplicates(["component", "pid"])
     later = copies.select("node", "pid").join(hurt, "pid").where("node > _now")
-    return later.groupBy("component", "pid").agg(F.min("node").alias("at"), F.first("p").alias("p"))
+    return later.groupBy("component", "pid").agg(F.min("node").alias("since"), F.lit(None).cast("long").alias("cluster"), F.first("p").alias("p"))
 
 
 def machines(df: DataFrame, cluster: str, position: str, firsts: list[str], least_price: float = 1000.0) -> DataFrame:
