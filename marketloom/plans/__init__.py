@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("price", "browse", "merge", "scoring", "metrics", "ranking", "personas", "resolve", "combine", "text", "audit", "vectors", "pages", "specs", "sheets", "forms", "reviews", "relevance", "stream")
+GROUPS = ("price", "browse", "merge", "scoring", "metrics", "ranking", "personas", "resolve", "combine", "text", "audit", "ingest", "vectors", "pages", "specs", "sheets", "forms", "reviews", "relevance", "stream")
 
 
 def load() -> None:
