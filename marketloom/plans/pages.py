@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from marketloom.functions.parsing import shown_money
 from marketloom.operators import pages as P
 from marketloom.registry import query
+from marketloom.sources import raw_pages as W
+from marketloom.sources.scratch import scratch_path
 from marketloom.sources.tables import load
 
 
@@ -82,3 +84,17 @@ def streamed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.replace(F.get(F.array(*map(F.lit, PAYLOADS)), (k % 6).cast("int")), F.lit("@"), (k % 90).cast("string"))
     text = F.concat(F.coalesce("html", F.lit("")), F.lit("<script>push(["), payload, F.lit("])</script>"))
     return pages(spark, sf_dir).select("page_id", P.streamed_offer(text).alias("o")).select("page_id", "o.price", "o.currency", "o.sku", "o.in_stock")
+
+
+STORE, DAY = "CASE page_id % 3 WHEN 0 THEN 'Shop #1' WHEN 1 THEN '007' ELSE 'b-c' END", "concat('2024-03-0', CAST(page_id % 4 + 1 AS STRING))"
+
+
+@query(f"SELECT page_id, lower(regexp_replace({STORE}, '[^a-zA-Z0-9_-]', '_', 'g')) AS store_key, {DAY} AS day, substr(sha256(url), 1, 12) AS url_key, md5(CASE WHEN page_id % 5 = 0 THEN '' ELSE coalesce(html, '') END) AS body FROM pages")
+def raw_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages saved by store and day, all of them twice, and read back."""
+    root = scratch_path(spark, "raw")
+    html = F.when(F.col("page_id") % 5 == 0, F.lit(None)).otherwise(F.col("html"))
+    fetched = pages(spark, sf_dir).select("page_id", "url", F.expr(STORE).alias("store"), F.expr(DAY).alias("scraped_at"), html.alias("html"))
+    for _ in range(2):
+        W.save(fetched, root)
+    return W.load_pages(spark, root).select("page_id", "store_key", "day", "url_key", F.md5("html").alias("body"))
