@@ -32,7 +32,10 @@ def save(pages: DataFrame, root: str) -> None:
 
 
 def load_pages(spark: SparkSession, root: str, store: str | None = None, day: str | None = None) -> DataFrame:
-    """Pages of a store and day (null: all) with their bodies; only partitions of that store and day are read."""
+    """Pages of a store and day (null: all) with their bodies; only partitions of that store and day are read.
+
+    A root to which no page was saved is refused, since nothing tells its columns.
+    """
     found = spark.read.parquet(f"{root}/facts").schema
     texts = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("store_key", "day") else f for f in found])  # not numbers or dates by the look of their values
     facts = spark.read.schema(texts).parquet(f"{root}/facts")
