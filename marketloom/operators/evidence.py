@@ -228,7 +228,9 @@ def aspect_scores(items: DataFrame, evidence: DataFrame, key: str, keywords: dic
     key, text and sims, a map from aspect to struct(pro, con).  The best five
     are ranked by group limits, so a task keeps five rows a group and an item
     with any number of rows is no burden.  Items without evidence get their
-    prior; null texts have no words; null similarities don't count.
+    prior; null texts have no words; null similarities don't count.  Words weigh
+    3.2 exactly, and tenths are rounded on ten times the score: both as SQL with
+    a decimal 3.2 does it, so that scores near a border fall on the same side.
     """
     low = F.lower(F.coalesce("text", F.lit("")))
     said = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)).cast("int")
@@ -244,7 +246,8 @@ def aspect_scores(items: DataFrame, evidence: DataFrame, key: str, keywords: dic
     every = items.withColumn("aspect", F.explode(F.array(*map(F.lit, PRIORS))))
     met = every.join(counts, [key, "aspect"], "left").join(best("pro"), [key, "aspect"], "left").join(best("con"), [key, "aspect"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    delta = ((zero("best_pro") - zero("best_con")) * 155.0 + (F.col("said_pro") - F.col("said_con")) * 3.2) * F.least(F.lit(1.0), F.greatest(F.lit(0.35), F.col("n") / 14.0))
+    delta = ((zero("best_pro") - zero("best_con")) * 155.0 + (F.col("said_pro") - F.col("said_con")) * 32 / 10.0) * F.least(F.lit(1.0), F.greatest(F.lit(0.35), F.col("n") / 14.0))
     prior = aspect_prior(F.col("aspect"))
     bounded = lambda v, top: F.greatest(F.lit(35.0), F.least(F.lit(top), v))
-    return met.select(key, "aspect", F.round(F.when(F.col("n") > 0, bounded(prior + delta, 95.0)).otherwise(bounded(prior, 98.0)), 1).alias("score"))
+    score = F.when(F.col("n") > 0, bounded(prior + delta, 95.0)).otherwise(bounded(prior, 98.0))
+    return met.select(key, "aspect", (F.round(score * 10) / 10).alias("score"))
