@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import details as D
 from marketloom.functions import specs as S
+from marketloom.sources.tables import spread
 
 #: How far a stage is trusted.
 CONFIDENCE = {"table": 1.0, "section": 0.8, "title": 0.6, "derived": 0.5}
@@ -55,7 +56,10 @@ def normal_key(key: Column) -> Column:
 
 def bucket(key: Column) -> Column:
     """The bucket of a row's key: packaging and cloud rows first, then labels, then rules in order."""
-    k = normal_key(key)
+    return F.get(F.transform(F.array(normal_key(key)), _bucket_of), F.lit(0))  # the normal key is worked out once, not once a rule
+
+
+def _bucket_of(k: Column) -> Column:
     out = F.lit("unrouted")
     for name, pattern in reversed(RULES):
         if name:
@@ -122,15 +126,16 @@ def of_key(pattern: str, veto: str = r"^\b$", keyed: bool = False) -> Column:
 
 def of_section(pattern: str) -> Column:
     """The rows of the first section whose name has the pattern."""
-    first = F.get(F.filter("rows", lambda r: D.says(r["section"], pattern)), F.lit(0))["section"]
-    return _values(F.col("rows"), lambda r: r["section"] == first, keyed=True)
+    first = F.get(F.filter("__sections", lambda s: D.says(s, pattern)), F.lit(0))
+    kept = F.transform(F.array(first), lambda f: _values(F.col("rows"), lambda r: r["section"] == f, keyed=True))  # the section is looked for once, not once a row
+    return F.get(kept, F.lit(0))
 
 
 def routed(df: DataFrame, title: str = "title", table: str = "rows") -> DataFrame:
     """``df`` with its rows' buckets and, for every category, t_<name> (its rows' values) and s_<name> (the first section about it, else rows whose key names it)."""
     rows = F.transform(F.coalesce(F.col(table), F.array().cast("array<struct<section:string,key:string,value:string>>")), lambda r: F.struct(r["section"].alias("section"), F.trim(r["key"]).alias("key"), F.trim(r["value"]).alias("value"), bucket(r["key"]).alias("bucket")))
     df = df.withColumns({"title": F.coalesce(F.col(title), F.lit("")), "rows": F.filter(rows, lambda r: F.coalesce(r["value"], F.lit("")) != "")})
-    df = df.withColumns({"__plain": _by_bucket(F.col("rows"), False), "__keyed": _by_bucket(F.col("rows"), True)})
+    df = df.withColumns({"__plain": _by_bucket(F.col("rows"), False), "__keyed": _by_bucket(F.col("rows"), True), "__sections": F.array_distinct(F.col("rows")["section"])})
     max_rows = r"max(?:imum)? (?:storage|memory)|storage support"
     texts: dict[str, Column] = {}
     for name, c in CATEGORIES.items():
@@ -146,7 +151,9 @@ def raw(category: str, fallback: Column) -> Column:
     c = CATEGORIES[category]
     names = [b for b in _in(c.buckets + c.more) if b not in c.aside]
     mine = F.transform(F.filter("rows", lambda r: r["bucket"].isin(names)), lambda r: F.concat(bar(r["key"]), F.lit(": "), bar(r["value"])))
-    first = F.filter(mine, lambda x, i: F.array_position(F.transform(mine, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+    both = F.transform(F.array(F.transform(mine, lambda y: F.struct(y.alias("text"), F.lower(y).alias("low")))), lambda m: F.struct(m.alias("m"), m["low"].alias("low")))
+    firsts = F.transform(both, lambda b: F.transform(F.filter(b["m"], lambda x, i: F.array_position(b["low"], x["low"]) == i + 1), lambda x: x["text"]))
+    first = F.get(firsts, F.lit(0))  # each row's text is put together once, not once for every row beside it
     title = F.concat(F.lit("Title: "), F.nullif(F.trim("title"), F.lit("")))
     if category == "identity":
         return F.nullif(F.concat_ws(" | ", bar(title), F.nullif(F.array_join(first, " | "), F.lit(""))), F.lit(""))
@@ -243,8 +250,11 @@ def spec_sheets(df: DataFrame, key: str, title: str = "title", table: str = "row
     and its fields, each of them null or (value, source, confidence).  Null or
     empty titles and tables resolve nothing and give envelopes only; repeated
     rows of a table count once in raw_spec; other columns don't take part.
+    Listings of one title and table (a machine in many stores) are worked out
+    once.
     """
-    base = routed(df.select(F.col(key).alias("__id"), F.col(title).alias("title"), F.col(table).alias("rows")))
+    listings = df.select(F.col(key).alias("__id"), F.struct(F.col(title).alias("title"), F.col(table).alias("rows")).alias("__of"))
+    base = routed(spread(listings.select("__of").distinct()).select("__of", "__of.title", "__of.rows"))
     spec = fields()
     stages = {f"{c}__{f}__{k}": value for c, of in spec.items() for f, ways in of.items() for k, (_, value) in enumerate(ways)}
     out = base.withColumns(stages)
@@ -275,7 +285,8 @@ def spec_sheets(df: DataFrame, key: str, title: str = "title", table: str = "row
         missing.append(F.when(gone, F.struct(F.lit(f"{c}.{f}").alias("field"), F.coalesce(F.nullif(text, F.lit("")), F.col("title")).alias("context"), why.alias("reason"))))
     fallback = lambda c: F.coalesce(F.col(f"s_{c}"), F.concat(F.lit("Title: "), F.nullif(F.trim(F.col("title")), F.lit(""))) if c == "cpu" else F.lit(None).cast("string"))
     structs = [F.struct(raw(c, fallback(c)).alias("raw_spec"), *[F.col(f"{c}__{f}").alias(f) for f in [*of, *late.get(c, [])] if f != "size_mm"]).alias(c) for c, of in spec.items()]
-    return out.select(F.col("__id").alias(key), *structs, F.filter(F.array(*missing), lambda e: e.isNotNull()).alias("envelopes"))
+    sheets = out.select("__of", *structs, F.filter(F.array(*missing), lambda e: e.isNotNull()).alias("envelopes"))
+    return listings.join(sheets, "__of").drop("__of").withColumnRenamed("__id", key)
 
 
 def sheet_values(sheets: DataFrame, key: str) -> DataFrame:
