@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import names as N
 from marketloom.functions import specs as S
 from marketloom.registry import query
-from marketloom.sources.tables import load
+from marketloom.sources.tables import load, spread
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat((40 + k % 50).cast("string"), F.lit("Wh battery, 100W adapter")), F.concat((1 + (k % 20) / 10.0).cast("decimal(3,1)").cast("string"), F.lit(" kg")), F.concat(F.lit("Wi-Fi "), pick(["6", "6E", "7"]), F.lit(", Bluetooth 5.3")), pick(["Windows 11 Pro", "FreeDOS"]),
         F.concat(pick(["RGB backlit", "non-backlit"]), F.lit(" keyboard, 720p webcam, "), pick(["2", "4"]), F.lit(" speakers")),
     )
-    return load(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    return spread(load(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", text.alias("text"))
 
 
 @query(
@@ -44,7 +44,7 @@ def product_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles by the reason they are kept out of the catalog."""
     t = F.col("p_type")
     title = F.concat("p_name", F.when(t == "PROMO", " laptop bundle").when(t == "ECONOMY", " laptop refurbished").when(t == "LARGE", " desktop i7-13700").when(t == "SMALL", " sleeve").otherwise(" laptop i5-1235U with bag"))
-    return load(spark, sf_dir, "part").select("p_type", S.product_gate(title).alias("reason")).groupBy("p_type", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return spread(load(spark, sf_dir, "part").select("p_type", "p_name")).select("p_type", S.product_gate(title).alias("reason")).groupBy("p_type", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT p_partkey, 'memory' AS first_field, 'Memory: ' || p_size || ' GB | RAM slots: 2' AS memory_text FROM part")
@@ -52,4 +52,4 @@ def routed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key-value texts parsed, routed to fields and put together again by field."""
     text = F.concat(F.lit("• Memory: "), F.col("p_size").cast("string"), F.lit(" GB\n- Screen size: 15.6\nRAM slots: 2\nplain line"))
     table = N.key_values(text)
-    return load(spark, sf_dir, "part").select("p_partkey", S.route(F.map_keys(table)[0]).alias("first_field"), S.aggregated(table, "memory").alias("memory_text"))
+    return spread(load(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", S.route(F.map_keys(table)[0]).alias("first_field"), S.aggregated(table, "memory").alias("memory_text"))
