@@ -15,7 +15,7 @@ from marketloom.operators import reviews as V
 from marketloom.registry import query
 from marketloom.sources import catalogs as C
 from marketloom.sources.scratch import scratch_path
-from marketloom.sources.tables import load
+from marketloom.sources.tables import load, spread
 
 #: Expressions over k (the part's number) and its columns, in SQL that Spark and DuckDB read alike.
 TITLE = "concat('New ', p_brand, '  [Official] (', p_name, ') X', CAST(k % 90 AS STRING), 'A-', CAST(k AS STRING), ' | warranty')"
@@ -28,7 +28,7 @@ WHEN = "CASE k % 5 WHEN 0 THEN '2024-03-01T10:20:30Z' WHEN 1 THEN '2024-03-01' W
 
 
 def part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "part").withColumn("k", F.col("p_partkey"))
+    return spread(load(spark, sf_dir, "part")).withColumn("k", F.col("p_partkey"))
 
 
 P_SQL = "p AS (SELECT *, p_partkey AS k FROM part)"
