@@ -61,3 +61,27 @@ def test_texts_meet_targets(spark, targets):
     rows = [(1, "ASUS TUF FA608PM measured", "fans"), (2, "Lenovo LOQ 15 against others", None), (3, "Lenovo Legion and LOQ", "x"), (4, "Should I buy the Lenovo LOQ", ""), (5, None, None), (6, "ASUS TUF A16 gaming laptop", "of 16 inch"), (7, "TUF A15 laptop of ASUS", "a 15 inch laptop"), (1, "ASUS TUF FA608PM measured", "fans")]
     got = R.target_matches(spark.createDataFrame(rows, "text_id long, title string, body string"), targets)
     assert sorted(map(tuple, got.collect())) == [(1, 1, "code"), (2, 2, "family"), (6, 1, "family")]
+
+
+def test_one_kind_of_texts_and_targets_is_judged_once_and_written_in_blocks(spark):
+    n, m = 3 * R.BLOCK, 40
+    texts = spark.range(n).selectExpr("id AS text_id", "'Lenovo LOQ thermals' AS title", "CAST(NULL AS STRING) AS body")
+    targets = spark.range(m).selectExpr("id AS target_id", "'Lenovo' AS brand", "'LOQ' AS family", "'LOQ 15' AS model", "15.6D AS screen")
+    got = R.target_matches(texts, targets)
+    assert got.distinct().count() == got.count() == n * m
+    tasks = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(tasks) < n * m  # one kind's pairs are dealt to several tasks
+
+
+def test_listings_of_one_content_get_their_own_rows(spark):
+    rows = [(k, "Dell", [("S", "RAM", "8 GB DDR4")] if k % 2 else None) for k in range(6)] + [(None, None, None), (0, "Dell", None)]
+    df = spark.createDataFrame(rows, f"id long, title string, rows {ROWS}")
+    got = {(r["id"], r["memory"]["raw_spec"]) for r in S.spec_sheets(df, "id").collect()}
+    assert got == {(k, "RAM: 8 GB DDR4" if k and k % 2 else None) for k in [*range(6), None]}
+
+
+def test_a_small_file_of_many_listings_is_many_tasks(spark):
+    from marketloom.plans import forms, relevance, sheets, specs
+
+    sf = "/root/testdata/sf0.001"
+    assert min(df.rdd.getNumPartitions() for df in (sheets.listings(spark, sf), specs.listings(spark, sf), specs.routed_tables(spark, sf), forms.validated_names(spark, sf), forms.validated_numbers(spark, sf), relevance.sources_and_targets(spark, sf)[0])) >= 8
