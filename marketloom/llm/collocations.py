@@ -16,7 +16,7 @@ are.  Fingerprints of the size before set bits in a bitmap of fixed size, and
 n-grams with a part whose bit isn't set are left out where they are read; a
 full bitmap lets more through and changes no result.
 
-Fingerprints are of (language, words), so one frequent word is sent once a slice (4 MB of text).
+Fingerprints are of (language, words), so one frequent word is sent once a slice (3 MB of text).
 """
 
 from __future__ import annotations
@@ -30,13 +30,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import only_results, table, written
+from .common import lean, only_results, table, written
 from .textkernels import _power_tables, mix, text_buffer, word_hashes
 
 #: Bits of the map of frequent fingerprints: 8 MB.
 BITS = 26
 #: Bytes of text that a task counts at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
+
+#: Bytes of text whose n-grams one part holds.
+PART_BYTES = 4 << 20
+#: Bytes of rows that go to a Python worker at a time.
+_BATCH_BYTES = 8 << 20
 
 #: Tasks that a language's phrases are dealt to before they are ranked.
 _DEAL = 64
@@ -164,13 +169,13 @@ def _counts(docs: DataFrame, size: int, bitmap: np.ndarray | None, parts: int, s
                 rows.append((int(part[mine[0]]), mark[mine].tobytes(), check[mine].astype(np.uint32).tobytes(), times[mine].astype(np.uint32).tobytes(), who.astype(np.uint32).tobytes(), at[mine].astype(np.uint32).tobytes(), doc[docs_].tobytes(), code[docs_].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=["part", "marks", "checks", "times", "who", "at", "doc", "code"])
 
-    return docs.select("doc", "code", "lang", "text").mapInArrow(run, "part int, marks binary, checks binary, times binary, who binary, at binary, doc binary, code binary")
+    return docs.select("doc", "code", "lang", "text").mapInArrow(lean(run), "part int, marks binary, checks binary, times binary, who binary, at binary, doc binary, code binary")
 
 
 def _frequent(packed: DataFrame, least: int) -> DataFrame:
     """(mark, times, doc, code, at): fingerprints (both) whose counts reach ``least`` together, with a pointer to one occurrence.
 
-    A task adds up one part at a time, which holds about as many n-grams as 8 MB of text have.
+    A task adds up one part at a time, which holds about as many n-grams as 4 MB of text have.
     """
 
     def run(batches):
@@ -199,7 +204,7 @@ def _frequent(packed: DataFrame, least: int) -> DataFrame:
         if held:
             yield from added()
 
-    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "mark long, times long, doc long, code long, at long")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(lean(run), "mark long, times long, doc long, code long, at long")
 
 
 def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
@@ -235,20 +240,22 @@ def _texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
                     times.append(t)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], names=["lang", "size", "phrase", "times"])
 
-    told = met.mapInArrow(run, "lang string, size int, phrase string, times long")
+    told = met.mapInArrow(lean(run), "lang string, size int, phrase string, times long")
     return told.groupBy("lang", "size", "phrase").agg(F.sum("times").alias("times"))
 
 
 @contextmanager
 def _small_batches(spark: SparkSession):
-    """At most 1000 rows in an Arrow batch, so that long texts take less memory; the jobs inside are done when it ends."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
+    """At most 1000 rows and 8 MB in an Arrow batch, so that long texts and packed rows take less memory; the jobs inside are done when it ends."""
+    name, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, large = spark.conf.get(name), spark.conf.get(size, None)
     spark.conf.set(name, str(min(int(before), 1000) if int(before) > 0 else 1000))
+    spark.conf.set(size, str(_BATCH_BYTES))
     try:
         yield
     finally:
         spark.conf.set(name, before)
+        spark.conf.unset(size) if large is None else spark.conf.set(size, large)
 
 
 def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang", bits: int = BITS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -266,7 +273,7 @@ def frequent_phrases(df: DataFrame, longest: int = 3, least: int = 10, text_col:
     docs = docs.withColumns({"doc": F.xxhash64("lang", "text"), "code": F.crc32("text")})
     with only_results(df.sparkSession) as keep, _small_batches(df.sparkSession):
         sizes, bitmap = [], None
-        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (2 * SLICE_BYTES))
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
         for size in range(1, longest + 1):
             marks = written(_frequent(_counts(docs, size, bitmap, parts, slice_bytes), least), f"marks-{size}")
             sizes.append(marks.withColumn("size", F.lit(size)))

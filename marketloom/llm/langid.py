@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 _STRETCH = 1 << 20
 _HELD = 64
@@ -73,7 +73,7 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, orders: tuple[int,
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(max_matrix_bytes // (4 << bits) + 1).collect())
     if len(langs) * (4 << bits) > max_matrix_bytes:
         raise ValueError(f"more labels than a matrix of {max_matrix_bytes} bytes has room for; raise max_matrix_bytes or lower bits")
-    found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most the matrix's own size
+    found = rows.mapInArrow(lean(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most the matrix's own size
     counts = np.zeros(((1 << bits) + 1, len(langs)))
     counts[found["bucket"], np.searchsorted(langs, found["lang"])] = found["n"]
     matrix = np.empty_like(counts)
@@ -145,7 +145,7 @@ def predict(df: DataFrame, text_col: str, langs: list[str], matrix: np.ndarray,
     if not langs:
         blank = df.select(*[F.col(c).alias(f"k{k}") for k, c in enumerate(keep)]).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     else:
-        blank = read.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+        blank = read.mapInArrow(lean(run), f"{kinds}, lang_pred string, score double")
     return blank.select(*[F.col(f"k{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "score")
 
 

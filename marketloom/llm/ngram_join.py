@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from marketloom.operators.graph import connected_components
 
-from .common import is_empty, table, written
+from .common import is_empty, lean, table, written
 from .textkernels import mix, shingle_sets, text_buffer
 
 _HEAD = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32()))])
@@ -114,7 +114,7 @@ def _heads(docs: DataFrame, words: int, num: int, den: int, frequent: np.ndarray
                     schema=_HEAD,
                 )
 
-    return docs.mapInArrow(run, "id long, n int, digest binary, bits binary, prefix array<long>, hot array<long>, parts array<int>")
+    return docs.mapInArrow(lean(run), "id long, n int, digest binary, bits binary, prefix array<long>, hot array<long>, parts array<int>")
 
 
 def frequent_shingles(docs: DataFrame, words: int, sample_rows: int, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +134,7 @@ def frequent_shingles(docs: DataFrame, words: int, sample_rows: int, least: int
             for _, sets in _sets(batch, words):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], names=["s"])
 
-    counted = picked.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= least)
+    counted = picked.mapInArrow(lean(run), "s long").groupBy("s").count().where(F.col("count") >= least)
     found = counted.toPandas()
     keys = found["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -270,7 +270,7 @@ def _tile_candidates(tiles: DataFrame, num: int, den: int) -> DataFrame:
                 ids = pa.array(np.full(len(a), tile[i]), pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())], names=["tile", "a", "b"])
 
-    return tiles.select("tile", "node", "label", "n", "bits").mapInArrow(lambda batches: _by_tile(batches, work), "tile long, a long, b long")
+    return tiles.select("tile", "node", "label", "n", "bits").mapInArrow(lean(lambda batches: _by_tile(batches, work)), "tile long, a long, b long")
 
 
 def _dense_links(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -283,7 +283,7 @@ def _dense_links(rows: DataFrame, num: int, den: int) -> DataFrame:
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
-    return rows.select("tile", "node", "label", "items").mapInArrow(lambda batches: _by_tile(batches, work), "a long, b long")
+    return rows.select("tile", "node", "label", "items").mapInArrow(lean(lambda batches: _by_tile(batches, work)), "a long, b long")
 
 
 def _tiles(open_rows: DataFrame, tile_rows: int, num: int, den: int) -> DataFrame:
@@ -350,7 +350,7 @@ def _items(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     # As a table, its size is known before the join, and texts are only shuffled if it is too large to be sent to them.
     wanted = written(wanted.distinct(), "wanted")
-    return written(docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(arrays, "id long, items binary"), "sets")
+    return written(docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(lean(arrays), "id long, items binary"), "sets")
 
 
 def _links(docs: DataFrame, heads: DataFrame, pairs: DataFrame, words: int, num: int, den: int, bounded: bool) -> DataFrame:
@@ -371,7 +371,7 @@ def _links(docs: DataFrame, heads: DataFrame, pairs: DataFrame, words: int, num:
                 out = t.select(["a", "b"]).filter(pa.array(keep))
                 yield from out.combine_chunks().to_batches()
 
-        pairs = pairs.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(bound, "a long, b long").distinct()
+        pairs = pairs.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(lean(bound), "a long, b long").distinct()
     pairs = written(pairs, "pairs")
     if is_empty(pairs):
         return pairs
@@ -390,7 +390,7 @@ def _links(docs: DataFrame, heads: DataFrame, pairs: DataFrame, words: int, num:
             t = pa.Table.from_batches([batch]).select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
             yield from t.combine_chunks().to_batches()
 
-    return written(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "links")
+    return written(both.select("a", "b", "x", "y").mapInArrow(lean(exact), "a long, b long"), "links")
 
 
 def _members(rows: DataFrame) -> DataFrame:

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_ids import encoder
-from .common import ranked, table, written
+from .common import lean, ranked, table, written
 
 Layout = list[tuple[int, int]]
 _PIECE = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_CHUNK_CHARS = 1 << 21
+_CHUNK_CHARS = 1 << 20
 
 
 def dominance_reduction(counts: dict[int, int], capacity: int) -> list[tuple[Layout, int]]:
@@ -161,7 +161,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_co
         enc.forget()
 
     read = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
+    return read.mapInArrow(lean(run), "id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", buckets: int = 64) -> DataFrame:

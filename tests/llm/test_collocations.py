@@ -95,3 +95,22 @@ def test_scores_are_exact_beyond_64_bits(spark):
     rows = [(10**14 - 3, 10**14 - 1, 10**14 + 7), (999_999_999_999_999, 999_999_999_999_999, 999_999_999_999_999), (10, 10, 10), (3_037_000_500, 3_037_000_501, 3_037_000_507), (10, 999_999_999_999_999, 999_999_999_999_998)]
     got = spark.createDataFrame(rows, "a long, l long, r long").withColumn("s", C.exact_score(F.col("a"), F.col("l"), F.col("r"))).collect()
     assert [r["s"] for r in got] == [1_000_000 * a * a // (x * y) for a, x, y in rows]
+
+
+def test_workers_give_memory_back(spark):
+    import numpy as np
+
+    from marketloom.llm.common import lean
+
+    def resident():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    def run(batches):
+        for _ in batches:
+            small = [bytes(1000) for _ in range(300_000)]  # too small to be given back one by one
+            yield np.array([len(small)])
+
+    for _ in range(2):
+        before = resident()
+        assert [int(x[0]) for x in lean(run)([1])] == [300_000]
+        assert resident() - before < 100e6
