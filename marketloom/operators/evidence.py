@@ -129,8 +129,11 @@ def feature_sizes(text: Column) -> Column:
 
     @F.pandas_udf("struct<features:long,total:long,most:long>")
     def sizes(texts: pd.Series) -> pd.DataFrame:
-        found = [features(t or "").values() for t in texts]
-        return pd.DataFrame({"features": [len(f) for f in found], "total": [sum(f) for f in found], "most": [max(f, default=0) for f in found]})
+        def three(t: str) -> tuple[int, int, int]:
+            found = features(t).values()
+            return len(found), sum(found), max(found, default=0)
+
+        return pd.DataFrame([three(t or "") for t in texts], columns=["features", "total", "most"])  # one text's features at a time
 
     return sizes(text)
 
