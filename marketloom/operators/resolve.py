@@ -182,14 +182,14 @@ def _other_token(a: Column, b: Column, tokens: tuple[str, ...]) -> Column:
     return bound(F.struct(F.coalesce(slug(a), F.lit("")).alias("x"), F.coalesce(slug(b), F.lit("")).alias("y")), clash)
 
 
-def same_hardware(left: str, right: str) -> Column:
-    """Whether two listings may be one machine; unknown values (null, 0, empty) never speak against it.
+def same_hardware(left: str | Column, right: str | Column) -> Column:
+    """Whether two listings (aliases, or columns that are structs) may be one machine; unknown values (null, 0, empty) never speak against it.
 
     Columns: ram_gb, storage_gb, vram_gb, store, mpn, hz, resolution, panel,
     touch, cpu, gpu.  Equal part numbers overrule what displays say, and one
     store's different part numbers are different machines.
     """
-    a, b = lambda c: F.col(f"{left}.{c}"), lambda c: F.col(f"{right}.{c}")
+    a, b = [lambda c, side=side: F.col(f"{side}.{c}") if isinstance(side, str) else side[c] for side in (left, right)]
     text = lambda c: F.lower(F.trim(c))
     same_mpn = F.coalesce((a("mpn") != "") & (a("mpn") == b("mpn")), F.lit(False))
     variants = F.coalesce((a("store") != "") & (a("store") == b("store")) & (a("mpn") != "") & (b("mpn") != "") & (a("mpn") != b("mpn")), F.lit(False))
