@@ -69,4 +69,4 @@ def combined_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Machines of all stores: known values of their listings in order, stores and prices rolled up."""
     x = listings(spark, sf_dir)
     homes = C.two_tier_clusters(x, "pos").withColumnRenamed("node", "pos")
-    return C.machines(x.join(homes, "pos"), "cluster", "pos", ["mpn", "hz", "ram_gb"])
+    return C.machines(x.join(homes.hint("merge"), "pos"), "cluster", "pos", ["mpn", "hz", "ram_gb"])
