@@ -59,7 +59,7 @@ def split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
 
 
 #: A JSON text's tokens as far as brackets go: whole strings (an unclosed one takes the rest), brackets, and what lies between.
-_TOKENS = r'("(?:\\.|[^"\\])*"|"[\s\S]*|[{}]|[^{}"]+)'
+_TOKENS = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|"[\s\S]*|[{}]|[^{}"]+)'
 
 
 def balanced(text: Column) -> Column:
@@ -72,8 +72,8 @@ def balanced(text: Column) -> Column:
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
     end = F.aggregate(F.regexp_extract_all(text, F.lit(_TOKENS)), start, step)["end"]
-    found = F.when(end > 0, F.substring(text, F.lit(1), end))
-    return F.when(F.try_parse_json(found).isNotNull(), found)
+    found = bound(end, lambda n: F.when(n > 0, F.substring(text, F.lit(1), n)))
+    return bound(found, lambda x: F.when(F.try_parse_json(x).isNotNull(), x))
 
 
 def json_around(text: Column, anchor: str, attempts: int = 32) -> Column:
@@ -84,22 +84,32 @@ def json_around(text: Column, anchor: str, attempts: int = 32) -> Column:
     reaches past the anchor counts.  Null without an anchor or such an object,
     and for null texts.
     """
-    at = F.locate(anchor, text)
-    before = F.substring(text, F.lit(1), at - 1)
-    gaps = F.slice(F.reverse(F.split(before, r"\{")), 1, attempts)  # from the anchor backwards, what follows each bracket
-    count = F.least(F.size(F.split(before, r"\{")) - 1, F.lit(attempts))
-    place = lambda j: F.length(before) - F.aggregate(F.slice(gaps, F.lit(1), j), F.lit(0), lambda s, g: s + F.length(g)) - j + 1
-    opened = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), place)).otherwise(F.array().cast("array<int>"))
 
-    def attempt(p: Column) -> Column:
-        found = balanced(F.substring(text, p, F.length(text)))
-        return F.when(p + F.length(found) - 1 >= at, found)
+    def around(text: Column, at: Column, before: Column) -> Column:
+        gaps = F.slice(F.reverse(F.split(before, r"\{")), 1, attempts)  # from the anchor backwards, what follows each bracket
+        count = F.least(F.size(F.split(before, r"\{")) - 1, F.lit(attempts))
 
-    return F.when(at > 0, F.aggregate(opened, F.lit(None).cast("string"), lambda found, p: F.coalesce(found, attempt(p))))
+        def place(gaps: Column) -> Column:
+            at_bracket = lambda j: F.length(before) - F.aggregate(F.slice(gaps, F.lit(1), j), F.lit(0), lambda s, g: s + F.length(g)) - j + 1
+            return bound(count, lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(1), n), at_bracket)).otherwise(F.array().cast("array<int>")))
+
+        def attempt(p: Column) -> Column:
+            return bound(balanced(F.substring(text, p, F.length(text))), lambda found: F.when(p + F.length(found) - 1 >= at, found))
+
+        return F.aggregate(bound(gaps, place), F.lit(None).cast("string"), lambda found, p: F.coalesce(found, attempt(p)))
+
+    def inside(text: Column) -> Column:
+        return bound(F.locate(anchor, text), lambda at: F.when(at > 0, bound(F.substring(text, F.lit(1), at - 1), lambda before: around(text, at, before))))
+
+    return bound(text, inside)
 
 
 def streamed_offer(text: Column, anchor: str = '"price"') -> Column:
     """struct(price, currency, sku, in_stock) of the object around a streamed payload's first price; all null if there is none."""
-    data = F.from_json(json_around(text, anchor), "price string, priceCurrency string, sku string, availability string, in_stock boolean")
-    stock = F.coalesce(data["in_stock"], ~data["availability"].contains("OutOfStock"))
-    return F.struct(data["price"].try_cast("double").alias("price"), data["priceCurrency"].alias("currency"), data["sku"].alias("sku"), stock.alias("in_stock"))
+    fields = "price string, priceCurrency string, sku string, availability string, in_stock boolean"
+
+    def read(data: Column) -> Column:
+        stock = F.coalesce(data["in_stock"], ~data["availability"].contains("OutOfStock"))
+        return F.struct(data["price"].try_cast("double").alias("price"), data["priceCurrency"].alias("currency"), data["sku"].alias("sku"), stock.alias("in_stock"))
+
+    return bound(F.from_json(json_around(text, anchor), fields), read)
