@@ -13,6 +13,7 @@ from marketloom.functions.parsing import bound
 from marketloom.operators.graph import connected_components
 from marketloom.operators.merge import first_wins
 from marketloom.sources.scratch import written
+from marketloom.sources.tables import spread
 
 
 def unknown_or(a: Column, b: Column, same: Column) -> Column:
@@ -126,15 +127,18 @@ def longest_match(df: DataFrame, text: str, key: list[str], patterns: DataFrame,
     Every stretch of a text that is as long as some pattern is looked up by an
     equi-join, so what is joined are matches alone, whatever the number of
     patterns; of patterns with different lengths there are as many as the
-    longest has characters at most.
+    longest has characters at most.  Equal texts are looked up once, and the
+    texts are spread over tasks, since each makes very many stretches.
     """
     lengths = patterns.where(F.length(pattern) > 0).agg(F.collect_set(F.length(pattern)).alias("_lengths"))  # one row
-    low = F.lower(F.col(text))
+    low = F.col("_low")
+    rows = df.select(*key, F.lower(F.col(text)).alias("_low"))
+    texts = spread(rows.where(low.isNotNull()).select("_low").distinct(), "_low")
     at = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n))).otherwise(F.array().cast("array<string>"))
-    spans = df.crossJoin(F.broadcast(lengths)).select(*key, F.explode(F.array_distinct(F.flatten(F.transform("_lengths", at)))).alias("_span"))
+    spans = texts.crossJoin(F.broadcast(lengths)).select("_low", F.explode(F.array_distinct(F.flatten(F.transform("_lengths", at)))).alias("_span"))
     hit = spans.join(patterns.select(pattern, value, F.lower(F.col(pattern)).alias("_span")), "_span")
-    best = hit.groupBy(*key).agg(F.max_by(F.struct(pattern, value), F.struct(F.length(pattern), F.col(pattern))).alias("b"))
-    return df.select(*key).join(best, key, "left").select(*key, F.col(f"b.{pattern}").alias("matched"), F.col(f"b.{value}").alias(value))
+    best = hit.groupBy("_low").agg(F.max_by(F.struct(pattern, value), F.struct(F.length(pattern), F.col(pattern))).alias("b"))
+    return rows.join(best, "_low", "left").select(*key, F.col(f"b.{pattern}").alias("matched"), F.col(f"b.{value}").alias(value))
 
 
 def verdict(checks: list[Column], must: list[Column]) -> Column:

@@ -309,3 +309,14 @@ def test_picks_pass_over_what_is_alike(spark):
     df = spark.createDataFrame(rows, "g string, aspect string, score double, id int, v array<double>")
     got = vectors.per_aspect(df, "g", "aspect", "score", "id", "v", 1, 3, 0.95)
     assert sorted(r["id"] for r in got.collect()) == [1, 3, 4, 6]
+
+
+def test_longest_match_looks_equal_texts_up_once(spark):
+    """Stretches are made of different texts only; rows of one key keep their own texts, null ones match nothing."""
+    from marketloom.operators import resolve
+
+    rows = spark.createDataFrame([(k, ("Big Ring", "big ring x", "none")[k % 3]) for k in range(30)] + [(99, None), (100, ""), (None, "ring")], "k int, t string")
+    names = spark.createDataFrame([("ring", 1), ("Big Ring", 2), ("ring x", 3)], "p string, v int")
+    found = resolve.longest_match(rows, "t", ["k"], names, "p", "v")
+    got = {r["k"]: (r["matched"], r["v"]) for r in found.collect()}
+    assert got == {k: (("Big Ring", 2), ("Big Ring", 2), (None, None))[k % 3] for k in range(30)} | {99: (None, None), 100: (None, None), None: ("ring", 1)}
