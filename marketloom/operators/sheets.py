@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import details as D
 from marketloom.functions import specs as S
-from marketloom.sources.tables import spread
+from marketloom.sources.tables import spread, tasks
 
 #: How far a stage is trusted.
 CONFIDENCE = {"table": 1.0, "section": 0.8, "title": 0.6, "derived": 0.5}
@@ -253,8 +253,35 @@ def spec_sheets(df: DataFrame, key: str, title: str = "title", table: str = "row
     Listings of one title and table (a machine in many stores) are worked out
     once.
     """
-    listings = df.select(F.col(key).alias("__id"), F.struct(F.col(title).alias("title"), F.col(table).alias("rows")).alias("__of"))
-    base = routed(spread(listings.select("__of").distinct()).select("__of", "__of.title", "__of.rows"))
+    parts, contents = _parts(df, key, title, table)
+    return _handed_out(parts, _sheets(contents), key)
+
+
+def spec_values(df: DataFrame, key: str, title: str = "title", table: str = "rows") -> DataFrame:
+    """``sheet_values`` of ``spec_sheets``, the values too put together once for all listings of one title and table."""
+    parts, contents = _parts(df, key, title, table)
+    sheets = _sheets(contents)
+    values = _handed_out(parts, sheets.select("__of", "__parts", _cells(sheets).alias("__cells")), key)
+    return values.select(key, F.explode_outer("__cells").alias("x")).where("x IS NOT NULL").select(key, "x.*")  # explode() would have Spark ask for the cells' number below the join, and write all fields out once more
+
+
+def _parts(df: DataFrame, key: str, title: str, table: str) -> tuple[DataFrame, DataFrame]:
+    """(__of, __part, __keys): the keys of a content's listings, in parts by their hash, so that no content's keys are one row; (__of, __parts): each content once, with the parts that it has."""
+    listings = df.select(F.col(key).alias("__key"), F.struct(F.col(title).alias("title"), F.col(table).alias("rows")).alias("__of"))
+    listings = listings.withColumn("__part", F.pmod(F.xxhash64("__key"), F.lit(tasks(df.sparkSession))))
+    return listings.groupBy("__of", "__part").agg(F.collect_list(F.struct("__key")).alias("__keys")), listings.groupBy("__of").agg(F.collect_set("__part").alias("__parts"))
+
+
+def _handed_out(parts: DataFrame, sheets: DataFrame, key: str) -> DataFrame:
+    """``sheets`` (__of, __parts, others) for each listing; a merge join by hint, since listings are small as a file and would be broadcast with all their tables."""
+    each = sheets.withColumn("__part", F.explode("__parts")).drop("__parts")
+    mine = parts.hint("merge").join(each, ["__of", "__part"])
+    return mine.select(F.explode("__keys").alias("__listing"), *[c for c in each.columns if c not in ("__of", "__part")]).withColumn("__listing", F.col("__listing.__key")).withColumnRenamed("__listing", key)
+
+
+def _sheets(contents: DataFrame) -> DataFrame:
+    """``contents`` (__of, __parts) with twelve structs and ``envelopes``."""
+    base = routed(spread(contents).select("__of", "__parts", "__of.title", "__of.rows"))
     spec = fields()
     stages = {f"{c}__{f}__{k}": value for c, of in spec.items() for f, ways in of.items() for k, (_, value) in enumerate(ways)}
     out = base.withColumns(stages)
@@ -285,12 +312,15 @@ def spec_sheets(df: DataFrame, key: str, title: str = "title", table: str = "row
         missing.append(F.when(gone, F.struct(F.lit(f"{c}.{f}").alias("field"), F.coalesce(F.nullif(text, F.lit("")), F.col("title")).alias("context"), why.alias("reason"))))
     fallback = lambda c: F.coalesce(F.col(f"s_{c}"), F.concat(F.lit("Title: "), F.nullif(F.trim(F.col("title")), F.lit(""))) if c == "cpu" else F.lit(None).cast("string"))
     structs = [F.struct(raw(c, fallback(c)).alias("raw_spec"), *[F.col(f"{c}__{f}").alias(f) for f in [*of, *late.get(c, [])] if f != "size_mm"]).alias(c) for c, of in spec.items()]
-    sheets = out.select("__of", *structs, F.filter(F.array(*missing), lambda e: e.isNotNull()).alias("envelopes"))
-    return listings.join(sheets, "__of").drop("__of").withColumnRenamed("__id", key)
+    return out.select("__of", "__parts", *structs, F.filter(F.array(*missing), lambda e: e.isNotNull()).alias("envelopes"))
 
 
 def sheet_values(sheets: DataFrame, key: str) -> DataFrame:
     """(key, field, value, source): a row for each resolved field and each envelope (with its reason for a source), values as text."""
+    return sheets.select(key, F.explode(_cells(sheets)).alias("x")).select(key, "x.*")
+
+
+def _cells(sheets: DataFrame) -> Column:
     text = lambda f, kind: F.array_join(f, "; ") if kind.startswith("array") else f.cast("string")
     cells = []
     for c in CATEGORIES:
@@ -301,4 +331,4 @@ def sheet_values(sheets: DataFrame, key: str) -> DataFrame:
                 x = F.col(f"{c}.{f.name}")
                 cells.append(F.struct(F.lit(f"{c}.{f.name}").alias("field"), text(x["value"], f.dataType["value"].dataType.simpleString()).alias("value"), x["source"].alias("source")))
     gone = F.transform("envelopes", lambda e: F.struct(e["field"].alias("field"), F.lit("envelope").alias("value"), e["reason"].alias("source")))
-    return sheets.select(key, F.explode(F.concat(F.filter(F.array(*cells), lambda c: c["value"].isNotNull()), gone)).alias("x")).select(key, "x.*")
+    return F.concat(F.filter(F.array(*cells), lambda c: c["value"].isNotNull()), gone)

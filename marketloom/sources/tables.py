@@ -17,10 +17,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession) -> int:
+    """More tasks than there are cores, and as many as shuffles have."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """Rows dealt evenly (or by columns) over more tasks than there are cores, before work that is heavy per row: a small file holds very many short rows and is one task."""
-    spark = df.sparkSession
-    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+    return df.repartition(tasks(df.sparkSession), *by)
 
 
 def moment(column: str | Column) -> Column:

@@ -80,6 +80,18 @@ def test_listings_of_one_content_get_their_own_rows(spark):
     assert got == {(k, "RAM: 8 GB DDR4" if k and k % 2 else None) for k in [*range(6), None]}
 
 
+def test_listings_are_not_sent_to_the_driver_with_their_tables(spark):
+    from marketloom.plans import sheets
+
+    rows = [(k, "Dell", [("S", "RAM", "8 GB DDR4")] if k % 2 else None) for k in range(6)] + [(None, None, None), (None, "Dell", []), (0, "Dell", None), (0, "Dell", None)]
+    df = spark.createDataFrame(rows, f"id long, title string, rows {ROWS}")
+    values = S.spec_values(df, "id")
+    assert sorted(map(str, values.collect())) == sorted(map(str, S.sheet_values(S.spec_sheets(df, "id"), "id").collect()))
+    plan = sheets.spec_sheets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert len(plan) < 1_000_000  # fields are written out once
+
+
 def test_a_small_file_of_many_listings_is_many_tasks(spark):
     from marketloom.plans import forms, relevance, sheets, specs
 
