@@ -73,6 +73,20 @@ def test_one_kind_of_texts_and_targets_is_judged_once_and_written_in_blocks(spar
     assert max(tasks) < n * m  # one kind's pairs are dealt to several tasks
 
 
+def test_matches_are_written_out_by_blocks_of_both_sides(spark):
+    n = 2 * R.BLOCK + 3
+    texts = spark.range(n).selectExpr("id AS text_id", "if(id % 2 = 0, 'Lenovo LOQ thermals', 'ASUS TUF FA608PM measured') AS title", "CAST(NULL AS STRING) AS body")
+    named = spark.range(n).selectExpr("id AS target_id", "'Lenovo' AS brand", "'LOQ' AS family", "'LOQ 15' AS model", "15.6D AS screen")
+    other = spark.createDataFrame([(0, "ASUS", "TUF", "TUF A16 FA608PM", 16.0), (0, "ASUS", "TUF", "TUF A16 FA608PM", 16.0), (1, None, "", None, None)], "target_id long, brand string, family string, model string, screen double")  # one target's name stands for two machines
+    got = R.target_matches(texts, named.union(other))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan  # small files of very many texts would be sent whole
+    for noisy in (line for line in plan.split("\n") if "mega ?thread" in line):
+        assert "Filter" not in noisy.split("(")[0]  # equal texts are asked once whether they are noise
+    counts = {(r["by"], r["even"]): (r["n"], r["d"]) for r in got.groupBy("by", (F.col("text_id") % 2 == 0).alias("even")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text_id", "target_id").alias("d")).collect()}
+    assert counts == {("family", True): ((n + 1) // 2 * n, (n + 1) // 2 * n), ("code", False): (n // 2 * 2, n // 2)}
+
+
 def test_listings_of_one_content_get_their_own_rows(spark):
     rows = [(k, "Dell", [("S", "RAM", "8 GB DDR4")] if k % 2 else None) for k in range(6)] + [(None, None, None), (0, "Dell", None)]
     df = spark.createDataFrame(rows, f"id long, title string, rows {ROWS}")
