@@ -266,10 +266,16 @@ def spec_values(df: DataFrame, key: str, title: str = "title", table: str = "row
 
 
 def _parts(df: DataFrame, key: str, title: str, table: str) -> tuple[DataFrame, DataFrame]:
-    """(__of, __part, __keys): the keys of a content's listings, in parts by their hash, so that no content's keys are one row; (__of, __parts): each content once, with the parts that it has."""
+    """(__of, __part, __keys): the keys of a content's listings, in parts by their hash and at most ``BLOCK`` a row, since what is made of one row is held at once; (__of, __parts): each content once, with the parts that it has."""
     listings = df.select(F.col(key).alias("__key"), F.struct(F.col(title).alias("title"), F.col(table).alias("rows")).alias("__of"))
     listings = listings.withColumn("__part", F.pmod(F.xxhash64("__key"), F.lit(tasks(df.sparkSession))))
-    return listings.groupBy("__of", "__part").agg(F.collect_list(F.struct("__key")).alias("__keys")), listings.groupBy("__of").agg(F.collect_set("__part").alias("__parts"))
+    parts = listings.groupBy("__of", "__part").agg(F.collect_list(F.struct("__key")).alias("__all"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("__all") - 1) / BLOCK).cast("int")), lambda b: F.slice("__all", b * BLOCK + 1, BLOCK))
+    return parts.select("__of", "__part", F.explode(blocks).alias("__keys")), listings.groupBy("__of").agg(F.collect_set("__part").alias("__parts"))
+
+
+#: Listings of one content whose rows are written out together.
+BLOCK = 512
 
 
 def _handed_out(parts: DataFrame, sheets: DataFrame, key: str) -> DataFrame:

@@ -106,6 +106,15 @@ def test_listings_are_not_sent_to_the_driver_with_their_tables(spark):
     assert len(plan) < 1_000_000  # fields are written out once
 
 
+def test_keys_of_one_content_are_handed_out_in_blocks(spark):
+    n = 200 * S.BLOCK
+    parts, contents = S._parts(spark.range(n).selectExpr("id", "'Dell' AS title", f"CAST(NULL AS {ROWS}) AS rows"), "id", "title", "rows")
+    assert contents.count() == 1
+    got = parts.agg(F.max(F.size("__keys")).alias("most"), F.sum(F.size("__keys")).alias("all")).first()
+    assert (got["most"], got["all"]) == (S.BLOCK, n)
+    assert parts.select(F.explode("__keys.__key").alias("k")).distinct().count() == n
+
+
 def test_a_small_file_of_many_listings_is_many_tasks(spark):
     from marketloom.plans import forms, relevance, sheets, specs
 
